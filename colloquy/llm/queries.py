@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.near_dedup import near_duplicates
+from colloquy.llm.suffix_dedup import remove_repeats
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -48,9 +49,41 @@ GROUP BY d.doc_id, n
 """
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP5_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS p FROM b)),
+firsts AS (SELECT w, min(doc_id) AS m FROM win GROUP BY w),
+hit AS (SELECT doc_id, p FROM win JOIN firsts USING (w) WHERE m < doc_id),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+runs AS (
+  SELECT doc_id, min(p) AS s, max(p) + 50 AS e
+  FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked) GROUP BY doc_id, g
+), gaps AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS z FROM runs
+  UNION ALL SELECT b.doc_id, coalesce(max(e), 0), max(n) FROM b LEFT JOIN runs USING (doc_id) GROUP BY b.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS k FROM gaps JOIN b USING (doc_id) GROUP BY doc_id
+), total AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+    return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL}
+    return {
+        "op1_minhash_near_dedup": OP1_SQL,
+        "op5_suffix_array_dedup": OP5_SQL,
+    }
