@@ -7,8 +7,9 @@ in a table with probability ``(1 - (1 - s**k)**m) ** 2``; for the defaults and s
 6 in 100,000 pairs meet, for s = 0.9 all but 6 in 10 million.
 
 Candidates are confirmed on the full shingle sets. Inside a bucket, members are compared with one
-centre (the member whose halves are shared most), so a group of g copies costs g comparisons; pairs
-still in different components are then compared too, so no link found by the tables is lost.
+centre (the member whose halves are shared most), so a group of g copies costs g comparisons. Rounds
+with ``CENTRES`` centres a bucket follow until every pair of a bucket is compared or connected, so no
+link between components is lost and a round's pairs stay linear in its rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.storage import checkpointed
@@ -28,6 +29,8 @@ __all__ = ["connected_components", "near_duplicates"]
 SHINGLE_WORDS = 5
 HALF_HASHES = 4
 HALVES = 14
+#: Members of a bucket that all others are compared with in each round after the first.
+CENTRES = 64
 
 
 def _sets_of(column: pa.Array, width: int) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
@@ -139,6 +142,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= union * percent).select("a", "b")
 
 
+def _round(buckets: DataFrame, components: DataFrame | None, centres: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The members that stay for a next round, and the pairs (a, b) to confirm in this one.
+
+    In each bucket that spans components, the ``centres`` members of most weight are paired with every
+    member of another component; pairs of sets whose sizes differ too much are left out.
+    """
+    if components is not None:
+        labelled = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        spread = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        labelled = labelled.join(spread.select("bucket"), "bucket", "left_semi")
+    else:
+        labelled = buckets.withColumn("component", F.col("node"))
+    labelled = checkpointed(labelled)
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "node"))
+    top = checkpointed(labelled.withColumn("rank", rank).where(F.col("rank") <= centres))
+    heads = top.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "rank")
+    pairs = (
+        labelled.join(heads, "bucket")
+        .where((F.col("a") != F.col("node")) & (F.col("ca") != F.col("component")) & _near(F.col("na"), F.col("n"), percent))
+        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        .distinct()
+    )
+    left = labelled.join(top.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("component")
+    return checkpointed(left), pairs
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -155,8 +184,8 @@ def near_duplicates(
     Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; a document's set holds its
     distinct shingles of ``shingle_words`` words, or its whole word sequence where it is shorter. Texts
     with ``100 * intersection >= percent * union`` are linked; ``component_id`` is the smallest id
-    reachable, ``kept`` whether that is the document itself, and ``n_links`` how many of its text's
-    links the job confirmed with other texts (equal texts are one class and need none).
+    reachable, ``kept`` whether that is the document itself, and ``n_links`` how many links with other
+    texts were confirmed for its text (as many as connect its component; equal texts need none).
 
     Null and wordless texts have no shingles and are linked with nothing. A row with a null id keeps a
     null component unless another row has the same set, names no component, and is kept only when it
@@ -185,20 +214,8 @@ def near_duplicates(
         .select("node", "n", "weight", "l", F.explode("right").alias("r"))
         .select(F.xxhash64("l", "r").alias("bucket"), "node", "n", "weight")
     )
-    centre = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n"))
-    centres = checkpointed(
-        members.groupBy("bucket")
-        .agg(centre.alias("c"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("bucket", (-F.col("c.minus")).alias("a"), F.col("c.n").alias("na"))
-    )
-    buckets = checkpointed(members.join(centres.select("bucket"), "bucket", "left_semi"))
-    pairs = checkpointed(
-        buckets.join(centres, "bucket")
-        .where((F.col("a") != F.col("node")) & _near(F.col("na"), F.col("n"), percent))
-        .select("a", F.col("node").alias("b"))
-        .distinct()
-    )
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = checkpointed(members.join(sizes.select("bucket"), "bucket", "left_semi"))
     wanted = buckets.select("node").distinct()
     sets = checkpointed(
         _full_sets(docs.join(wanted, docs.doc_id == wanted.node, "left_semi"), shingle_words)
@@ -208,37 +225,16 @@ def near_duplicates(
         .dropDuplicates(["node", "set_key"])
         .drop("set_key")
     )
-    links = checkpointed(_verified(pairs, sets, percent).distinct())
-    components = connected_components(links)
+    links = components = None
+    centres = 1
     while True:
-        # What the centres left in different components is compared too.
-        labelled = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        rest = checkpointed(
-            labelled.join(mixed.select("bucket", "size"), "bucket").join(centres.select("bucket", "a"), "bucket").where("node <> a")
-        )
-        if rest.isEmpty():
-            break
-        work = rest.agg(F.sum((F.col("size") - 2) / 2)).first()[0]
-        other = rest.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        if work <= 4 * max(1, wanted.count()):
-            close = rest.drop("a").join(other, "bucket").where("a < node")
-            done = True
-        else:
-            top = rest.groupBy("bucket").agg(centre.alias("c"), F.count("*").alias("left"))
-            centres = checkpointed(top.select("bucket", (-F.col("c.minus")).alias("a"), F.col("c.n").alias("na")))
-            buckets = checkpointed(rest.select("bucket", "node", "n", "weight"))
-            near_centre = centres.join(components, F.col("a") == F.col("node"), "left").select("bucket", "a", "na", F.coalesce("component", "a").alias("ca"))
-            close = rest.drop("a").join(near_centre, "bucket").where("a <> node")
-            done = False
-        close = checkpointed(
-            close.where((F.col("component") != F.col("ca")) & _near(F.col("na"), F.col("n"), percent)).select("a", F.col("node").alias("b")).distinct()
-        )
-        more = checkpointed(_verified(close, sets, percent).distinct())
-        if not more.isEmpty():
-            links = checkpointed(links.union(more).distinct())
+        left, close = _round(buckets, components, centres, percent)
+        more = checkpointed(_verified(close, sets, percent))
+        if links is None or not more.isEmpty():
+            links = checkpointed(links.union(more).distinct()) if links else more
             components = connected_components(links)
-        if done:
+        buckets, centres = left, CENTRES
+        if left.isEmpty():
             break
     ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
