@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.llm.mixing import mix_plan
 from colloquy.llm.near_dedup import near_duplicates
 from colloquy.llm.suffix_dedup import remove_repeats
 
@@ -75,10 +76,47 @@ FROM b JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
 """
 
 
+def op7_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS size,
+    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM d GROUP BY source
+), w AS (SELECT *, [5, 2, 1][source_no % 3 + 1] AS weight, source_size * 2 AS cap FROM s),
+l AS (
+  SELECT *, cap / weight AS ratio, (sum(source_size) OVER () * 1.5
+    - coalesce(sum(cap) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w
+), f AS (SELECT ratio, source_no, level FROM l WHERE level <= ratio ORDER BY ratio, source_no LIMIT 1),
+t AS (
+  SELECT l.source, l.source_size, l.source_no,
+    CASE WHEN f.ratio IS NULL OR (l.ratio, l.source_no) < (f.ratio, f.source_no) THEN l.cap::DOUBLE ELSE f.level * l.weight END AS target
+  FROM l LEFT JOIN f ON true
+), q AS (
+  SELECT doc_id, size, source_size, target, source_no, key,
+    sum(size) OVER (PARTITION BY source_no ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, (copy * source_size + cum)::DOUBLE / target AS finish FROM q, (SELECT unnest([0, 1]) AS copy) WHERE size > 0
+), cut AS (
+  SELECT doc_id, copy, sum(size) OVER (ORDER BY finish, source_no, copy, key, doc_id, size ROWS UNBOUNDED PRECEDING)
+    <= (SELECT sum(target) FROM t) AS inside FROM c
+), n AS (SELECT doc_id, count(*) AS copies FROM cut WHERE inside GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(copies, 0) AS BIGINT) AS taken FROM q LEFT JOIN n ON n.doc_id = q.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
+        "op7_weighted_fair_mix": op7_weighted_fair_mix,
     }
 
 
@@ -86,4 +124,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": OP1_SQL,
         "op5_suffix_array_dedup": OP5_SQL,
+        "op7_weighted_fair_mix": OP7_SQL,
     }
