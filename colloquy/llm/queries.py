@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.mixing import mix_plan
 from colloquy.llm.near_dedup import near_duplicates
+from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.suffix_dedup import remove_repeats
 
 __all__ = ["oracle_sql", "queries"]
@@ -112,9 +113,14 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(copies,
 """
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op4_quality_rules": op4_quality_rules,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op7_weighted_fair_mix": op7_weighted_fair_mix,
     }
