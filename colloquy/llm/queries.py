@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colloquy.llm.mixing import mix_plan
 from colloquy.llm.near_dedup import near_duplicates
+from colloquy.llm.quality_knn import fit_quality, score_quality
 from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.suffix_dedup import remove_repeats
 
@@ -20,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(folds: int) -> Column:
+    """The fold of a document: crc32 of its id as text, modulo ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -113,6 +120,14 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(copies,
 """
 
 
+def op3_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
+    model = fit_quality(docs.select("doc_id", "text").join(labels, "doc_id"))
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False))
+    return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -120,6 +135,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op3_quality_neighbours": op3_quality_neighbours,
         "op4_quality_rules": op4_quality_rules,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op7_weighted_fair_mix": op7_weighted_fair_mix,
