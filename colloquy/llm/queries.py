@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm.language_id import fit_languages, identify_languages
 from colloquy.llm.mixing import mix_plan
 from colloquy.llm.near_dedup import near_duplicates
 from colloquy.llm.quality_knn import fit_quality, score_quality
@@ -132,6 +133,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(_fold(5) != 0))
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False))
+    return identify_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -139,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op7_weighted_fair_mix": op7_weighted_fair_mix,
+        "op9_language_spans": op9_language_spans,
     }
 
 
