@@ -6,7 +6,8 @@ id. Sorting every suffix of a corpus would move many times its size, so two step
 1. Every window of ``length`` bytes has an anchor, its ``GRAM``-byte string of least hash. Equal
    windows have equal anchors, and neighbouring windows mostly share one, so about 7 % of positions
    are anchors. Anchors that two documents have are found by hash partition.
-2. Only the runs of windows around such anchors travel, as bytes, to their anchor's partition.
+2. Only the runs of windows around such anchors travel, as bytes, to their anchor's partition. Of
+   equal texts just the first takes part; the others are removed whole.
 
 There the runs enter an index family in batches by document id. A batch gets a suffix array over its
 distinct runs (suffixes ordered by their first ``length`` bytes), is merge-scanned against every
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.storage import checkpointed
 from colloquy.llm.blocks import BLOCK_BYTES, blocks, prefix_sums, span_hash, text_buffer, window_hash
 
 __all__ = ["SuffixFamily", "remove_repeats"]
@@ -137,6 +139,27 @@ def _strings(flat: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out.view(f"S{length + 1}").ravel()
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """The array compressed: runs overlap and repeat, and they are most of what is shuffled."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), kind)
+
+
+def _run_hashes(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each run, a block of runs at a time."""
+    out = np.empty(len(at), np.uint64)
+    cuts = np.flatnonzero(np.diff((at + size) // BLOCK_BYTES)) + 1
+    for a, b in zip(np.append(0, cuts), np.append(cuts, len(at)), strict=True):
+        if b > a:
+            low, high = at[a], at[b - 1] + size[b - 1]
+            out[a:b] = span_hash(prefix_sums(flat[low:high]), at[a:b] - low, at[a:b] + size[a:b] - low)
+    return out
+
+
 def _anchor_rows(length: int, gram: int, parts: int):
     """Distinct anchors of each document, grouped by hash partition: one row per task and partition."""
 
@@ -153,7 +176,7 @@ def _anchor_rows(length: int, gram: int, parts: int):
             out["ids"].append(doc[own].tobytes())
             out["keys"].append(key[own].tobytes())
             out["sizes"].append(np.diff(np.append(first, b - a)).astype(np.int32).tobytes())
-            out["hashes"].append(h[a:b].tobytes())
+            out["hashes"].append(h[a:b].astype(np.uint32).tobytes())
         return pa.RecordBatch.from_arrays(
             [pa.array(out["part"]), *(pa.array(out[k], pa.binary()) for k in ("ids", "keys", "sizes", "hashes"))],
             names=list(out),
@@ -174,7 +197,7 @@ def _anchor_rows(length: int, gram: int, parts: int):
                 for kept, new in zip(held, (ids[rows.start : rows.stop], keys[rows.start : rows.stop], np.bincount(text, minlength=len(rows)), h), strict=True):
                     kept.append(new)
                 n += len(h)
-            if n >= 4_000_000:
+            if n >= 2_000_000:
                 yield emit(*held)
                 held, n = ([], [], [], []), 0
         if n:
@@ -184,7 +207,11 @@ def _anchor_rows(length: int, gram: int, parts: int):
 
 
 def _shared_anchors(groups: pa.Table) -> pa.Table:
-    """Anchors that two documents have: for each document, the low halves of their hashes."""
+    """Anchors that two documents have: for each document, the low halves of their hashes.
+
+    Half a hash is enough here, as partitions grow in number with the text: a chance match only sends
+    a run that nothing will match.
+    """
     docs, keys, hashes, rows = [], [], [], []
     n = 0
     for name in ("ids", "keys", "sizes", "hashes"):
@@ -192,10 +219,10 @@ def _shared_anchors(groups: pa.Table) -> pa.Table:
     for ids, key, sizes, h in zip(*(groups[c].to_pylist() for c in ("ids", "keys", "sizes", "hashes")), strict=True):
         docs.append(np.frombuffer(ids, np.int64))
         keys.append(np.frombuffer(key, np.int64))
-        hashes.append(np.frombuffer(h, np.uint64))
+        hashes.append(np.frombuffer(h, np.uint32))
         rows.append(np.repeat(np.arange(n, n + len(docs[-1])), np.frombuffer(sizes, np.int32)))
         n += len(docs[-1])
-    doc, key, h, row = _joined(docs, np.int64), _joined(keys, np.int64), _joined(hashes, np.uint64), _joined(rows, np.int64)
+    doc, key, h, row = _joined(docs, np.int64), _joined(keys, np.int64), _joined(hashes, np.uint32), _joined(rows, np.int64)
     order = np.argsort(h, kind="stable")
     sorted_h, own = h[order], doc[row[order]]
     first = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1]))
@@ -204,7 +231,7 @@ def _shared_anchors(groups: pa.Table) -> pa.Table:
     member[order] = np.repeat(shared, np.diff(np.append(first, len(h))))
     row, h = row[member], h[member]
     order = np.argsort(row, kind="stable")
-    row, low = row[order], h[order].astype(np.uint32)
+    row, low = row[order], h[order]
     names, begin = np.unique(row, return_index=True)
     return pa.table(
         {
@@ -223,7 +250,7 @@ def _run_rows(length: int, gram: int, parts: int):
         flat = np.concatenate([x[5] for x in held])
         at = np.cumsum(size) - size
         part = (h >> np.uint64(32)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((h, part))
         names, begin = np.unique(part[order], return_index=True)
         out: dict[str, list] = {k: [] for k in ("ids", "keys", "starts", "sizes", "anchors", "bytes")}
         for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True):
@@ -231,7 +258,7 @@ def _run_rows(length: int, gram: int, parts: int):
             total = np.cumsum(size[own])
             index = np.arange(total[-1]) + np.repeat(at[own] - (total - size[own]), size[own])
             for name, values in (("ids", doc[own]), ("keys", key[own]), ("starts", start[own]), ("sizes", size[own].astype(np.int32)), ("anchors", h[own]), ("bytes", flat[index])):
-                out[name].append(values.tobytes())
+                out[name].append(_pack(values))
         return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), *(pa.array(v, pa.binary()) for v in out.values())], names=["part", *out])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +285,7 @@ def _run_rows(length: int, gram: int, parts: int):
                 flat = data[np.arange(total[-1]) + np.repeat(begin - (total - size), size)]
                 held.append((ids[rows.start + text], keys[rows.start + text], begin - offsets[:-1][text] + base, size, h, flat))
                 n += len(flat)
-            if n >= 32 << 20:
+            if n >= 16 << 20:
                 yield emit(held)
                 held, n = [], 0
         if held:
@@ -272,13 +299,13 @@ def _covered(length: int):
 
     def groups(table: pa.Table) -> pa.Table:
         def column(name: str, kind: type) -> np.ndarray:
-            return _joined([np.frombuffer(x, kind) for x in table[name].to_pylist()], kind)
+            return _joined([_unpack(x, kind) for x in table[name].to_pylist()], kind)
 
         doc, key, start, anchor = column("ids", np.int64), column("keys", np.int64), column("starts", np.int64), column("anchors", np.uint64)
         size, flat = column("sizes", np.int32).astype(np.int64), column("bytes", np.uint8)
         at = np.cumsum(size) - size
         # Equal runs are one; all but the first document's are covered whole.
-        run = span_hash(prefix_sums(flat), at, at + size)
+        run = _run_hashes(flat, at, size)
         order = np.lexsort((doc, run))
         fresh = np.append(True, run[order][1:] != run[order][:-1])
         first = order[fresh]
@@ -352,10 +379,12 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         sizes, removed, counts, kept, shas, ranges = [], [], [], [], [], []
-        for i, found in enumerate(batch.column(2)):
+        for i, (found, whole) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
             own = data[offsets[i] : offsets[i + 1]]
             blobs = found.as_py() or []
             spans = merged_spans(np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs]) if blobs else np.zeros((0, 2), np.int64))
+            if whole:
+                spans = np.array([[0, len(own)]])
             if len(spans):
                 keep = np.ones(len(own), bool)
                 for a, b in spans:
@@ -407,6 +436,11 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
         .groupBy("doc_id", "text_key")
         .agg(F.collect_list("anchors").alias("anchors"))
     )
+    # Of equal texts only the first one's runs travel; the others go whole.
+    content = usable.select("doc_id", "text_key", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n"))
+    firsts = content.groupBy("digest", "n").agg(F.min("doc_id").alias("first"))
+    copies = checkpointed(content.join(firsts, ["digest", "n"]).where("doc_id <> first").select("doc_id", "text_key").distinct())
+    shared = shared.join(copies, ["doc_id", "text_key"], "left_anti")
     text_side = docs.select("doc_id", "text", "text_key")
     runs = text_side.join(shared, ["doc_id", "text_key"], "left").select("doc_id", "text", "text_key", "anchors")
     runs = runs.mapInArrow(_run_rows(length, gram, parts), "part long, ids binary, keys binary, starts binary, sizes binary, anchors binary, bytes binary")
@@ -416,7 +450,8 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
         .groupBy("doc_id", "text_key")
         .agg(F.collect_list("spans").alias("spans"))
     )
-    joined = text_side.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    spans = spans.withColumn("whole", F.lit(False)).unionByName(copies.select("*", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("whole")))
+    joined = text_side.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans", "whole")
     return joined.mapInArrow(
         _cut_texts,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary",
