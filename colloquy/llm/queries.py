@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm.brown_lm import score_texts
 from colloquy.llm.language_id import fit_languages, identify_languages
 from colloquy.llm.mixing import mix_plan
 from colloquy.llm.near_dedup import near_duplicates
@@ -140,6 +141,12 @@ def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(_table(spark, sf_dir, "documents"), "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+    held_out = F.coalesce(_fold(5) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -148,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op7_weighted_fair_mix": op7_weighted_fair_mix,
         "op9_language_spans": op9_language_spans,
+        "op10_brown_class_lm": op10_brown_class_lm,
     }
 
 
