@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions.storage import ensure_checkpoint_dir
 from colloquy.llm.brown_lm import score_texts
+from colloquy.llm.decontamination import leaked_items
 from colloquy.llm.language_id import fit_languages, identify_languages
 from colloquy.llm.mixing import mix_plan
 from colloquy.llm.near_dedup import near_duplicates
+from colloquy.llm.preferences import conversations_from_turns, format_preferences, sibling_pairs
 from colloquy.llm.quality_knn import fit_quality, score_quality
 from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.suffix_dedup import remove_repeats
+from colloquy.llm.token_rollup import TOKENIZERS, TokenRollup, inserts, token_counts
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -86,6 +91,10 @@ FROM b JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
 """
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -122,6 +131,33 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(copies,
 """
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after one batch per tokenizer version, each committed twice, and the deletion of copies."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rollup = TokenRollup(spark, f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    digest = F.md5(F.col("text").cast("binary"))
+    firsts = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"))
+    copies = docs.withColumn("digest", digest).join(firsts, "digest").where("doc_id <> first").select(docs.columns)
+    for version in TOKENIZERS:
+        rollup.commit(f"insert-{version}", inserts(token_counts(docs, version)))
+        rollup.commit(f"insert-{version}", inserts(token_counts(docs, version)))
+        gone = token_counts(copies, version)
+        rollup.commit(f"delete-copies-{version}", gone.select("source", "lang", "tokenizer", F.col("tokens").alias("old_tokens"), F.lit(None).cast("long").alias("new_tokens")))
+    rollup.compact()
+    return rollup.totals()
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, source, lang, text, min(doc_id) OVER (PARTITION BY md5(text)) AS first FROM documents),
+t AS (
+  SELECT source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS n FROM d WHERE doc_id = first OR text IS NULL
+  UNION ALL
+  SELECT source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '{TOKENIZERS["pieces-1"]}')), 0) FROM d WHERE doc_id = first OR text IS NULL
+)
+SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens FROM t GROUP BY source, lang, tokenizer
+"""
+
+
 def op3_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(_fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
@@ -134,6 +170,44 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def _span_text(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sibling_pairs(conversations_from_turns(_table(spark, sf_dir, "conversations")))
+    rows = format_preferences(pairs)
+    return rows.withColumns({c: _span_text(c) for c in ("chosen_spans", "rejected_spans")})
+
+
+OP8_SQL = """
+WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+own AS (SELECT c.*, l.turn AS last FROM conversations c JOIN last l ON c.conv_id = l.conv_id AND c.turn <= l.turn),
+answer AS (SELECT xor(conv_id, 1) AS conv_id, role, text FROM own WHERE turn = last),
+t AS (
+  SELECT o.conv_id, o.turn, o.role AS c_role, o.text AS c_text,
+    CASE WHEN turn = last THEN a.role ELSE o.role END AS r_role, CASE WHEN turn = last THEN a.text ELSE o.text END AS r_text
+  FROM own o JOIN answer a USING (conv_id)
+), split AS (
+  SELECT conv_id, coalesce(min(turn) FILTER (WHERE (c_role, c_text) <> (r_role, r_text)), max(turn) + 1) AS rest_from FROM t GROUP BY conv_id
+), w AS (
+  SELECT t.*, rest_from, '<|' || c_role || '|>' || chr(10) AS c_open, '<|' || r_role || '|>' || chr(10) AS r_open, '<|end|>' || chr(10) AS close
+  FROM t JOIN split USING (conv_id)
+), s AS (
+  SELECT *, turn >= rest_from AS rest,
+    sum(CASE WHEN turn >= rest_from THEN length(c_open || c_text || close) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS c_end,
+    sum(CASE WHEN turn >= rest_from THEN length(r_open || r_text || close) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS r_end FROM w
+)
+SELECT conv_id AS pair_id, CAST(count(*) FILTER (WHERE NOT rest) AS BIGINT) AS prefix_turns,
+  coalesce(string_agg(c_open || c_text || close, '' ORDER BY turn) FILTER (WHERE NOT rest), '') AS prompt,
+  coalesce(string_agg(c_open || c_text || close, '' ORDER BY turn) FILTER (WHERE rest), '') AS chosen,
+  coalesce(string_agg(r_open || r_text || close, '' ORDER BY turn) FILTER (WHERE rest), '') AS rejected,
+  coalesce(string_agg((c_end - length(c_text || close)) || '-' || c_end, ',' ORDER BY turn) FILTER (WHERE rest AND c_role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg((r_end - length(r_text || close)) || '-' || r_end, ',' ORDER BY turn) FILTER (WHERE rest AND r_role = 'assistant'), '') AS rejected_spans
+FROM s GROUP BY conv_id
+"""
+
+
 def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_languages(docs.where(_fold(5) != 0))
@@ -150,10 +224,13 @@ def op10_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_token_rollup": op2_token_rollup,
         "op3_quality_neighbours": op3_quality_neighbours,
         "op4_quality_rules": op4_quality_rules,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
+        "op6_benchmark_leaks": op6_benchmark_leaks,
         "op7_weighted_fair_mix": op7_weighted_fair_mix,
+        "op8_preference_pairs": op8_preference_pairs,
         "op9_language_spans": op9_language_spans,
         "op10_brown_class_lm": op10_brown_class_lm,
     }
@@ -162,6 +239,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": OP1_SQL,
+        "op2_token_rollup": OP2_SQL,
         "op5_suffix_array_dedup": OP5_SQL,
         "op7_weighted_fair_mix": OP7_SQL,
+        "op8_preference_pairs": OP8_SQL,
     }

@@ -1,28 +1,80 @@
-"""The corpus pipeline: a chain of operators from raw documents to a training mix."""
+"""The corpus pipeline: from raw documents to a deduplicated, decontaminated training mix.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
+DataFrame; a runner may write each result and read it again. All stages but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from colloquy.llm.decontamination import leaked_items
+from colloquy.llm.mixing import mixed_documents
 from colloquy.llm.near_dedup import near_duplicates
+from colloquy.llm.quality_knn import fit_quality, score_quality
+from colloquy.llm.suffix_dedup import remove_repeats
 
-#: SQL for the rows of :func:`run`; the stages learn models, which SQL can't express.
+#: SQL for the rows of :func:`run`; none, as the first stage learns a model and later ones search by hash.
 ORACLE_SQL = None
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of quality 1 stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(3) != 1)
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    good = score_quality(docs, fit_quality(labelled)).where("predicted = 1").select("doc_id").distinct()
+    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
+    """The document of least id of each group of near copies stays."""
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes that an earlier document has are cut; documents left without a word go.
+
+    A cut character at a passage's edge is dropped. ``n_chars`` follows the text.
+    """
+    cut = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), "kept")
+    cut = cut.select("doc_id", F.coalesce("whole", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).alias("rest"))
+    text = F.coalesce("rest", "text")
+    joined = docs.join(cut, "doc_id", "left").withColumn("text", text).where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaked = leaked_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order by source weights, once for each copy that the mix takes."""
+    return mixed_documents(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("repeated_passages", repeated_passages),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
