@@ -100,19 +100,21 @@ class LatentVectors:
 
 
 def fit_quality(
-    labelled: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", limit: int = LABELLED, rank: int = RANK
+    documents: DataFrame, labels: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", limit: int = LABELLED, rank: int = RANK
 ) -> LatentVectors:
-    """Fit on at most ``limit`` rows of each label 0 and 1, those with the least hash of their id.
+    """Fit on the documents of at most ``limit`` rows of ``labels`` for each label 0 and 1.
 
-    Rows with a null text or another label are left out; repeated rows count again. Without rows every
-    score is 0.5.
+    Those with the least hash of their id are taken, so the sample is at most ``2 * limit`` rows and is
+    broadcast to find their texts. Other labels, null ids and null texts are left out; labels without a
+    document make the sample smaller. Without rows every score is 0.5.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")
-    )
-    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    order = [F.xxhash64("id"), F.col("id"), F.xxhash64("text")]
-    taken = [rows.where(F.col("label") == k).orderBy(*order).limit(limit) for k in (0, 1)]
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
+    taken = [known.where(F.col("label") == k).orderBy(*order).limit(limit) for k in (0, 1)]
+    sample = F.broadcast(taken[0].unionAll(taken[1]))
+    texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(sample, F.col("own") == F.col("id")).select("own", "text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +124,7 @@ def fit_quality(
                     [batch.column(2).slice(block.rows.start, len(block)), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "terms"]
                 )
 
-    got = taken[0].unionAll(taken[1]).mapInArrow(count, "label int, terms binary").toArrow()
+    got = rows.mapInArrow(count, "label int, terms binary").toArrow()
     labels = got["label"].to_numpy().astype(np.int64)
     counts = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float32).reshape(len(labels), TERMS)
     order_of = np.lexsort((*(counts[:, k] for k in range(0, TERMS, 97)), labels))

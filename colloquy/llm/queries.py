@@ -161,7 +161,7 @@ SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(n) AS BIGINT) AS
 def op3_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(_fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
-    model = fit_quality(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit_quality(docs, labels)
     held_out = F.coalesce(_fold(3) == 1, F.lit(False))
     return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

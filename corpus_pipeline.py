@@ -29,8 +29,7 @@ def _fold(folds: int) -> Column:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality 1 stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(3) != 1)
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    good = score_quality(docs, fit_quality(labelled)).where("predicted = 1").select("doc_id").distinct()
+    good = score_quality(docs, fit_quality(docs, labels.select("doc_id", F.col("quality").alias("label")))).where("predicted = 1").select("doc_id").distinct()
     return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
 
 
