@@ -5,19 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-__all__ = ["oracle_sql", "queries"]
+from colloquy.plans import account_queries, ingest_queries, text_queries, turn_queries, validation_queries
 
+__all__ = ["oracle_sql", "queries"]
 
-def turn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"))
+_MODULES = (text_queries, turn_queries, account_queries, validation_queries, ingest_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"turn_metrics": turn_metrics}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"turn_metrics": "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id"}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
