@@ -148,7 +148,7 @@ def _word_rows(parts: int):
         order = np.argsort(part, kind="stable")
         names, begin = np.unique(part[order], return_index=True)
         out: dict[str, list] = {k: [] for k in ("ids", "train", "sizes", "words", "endings", "counts")}
-        for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True):
+        for a, b in zip(begin, np.append(begin, len(order))[1:], strict=True):
             own = order[a:b]
             docs, first = np.unique(doc[own], return_index=True)
             columns = (ids[docs], train[docs], np.diff(np.append(first, b - a)).astype(np.int32), word[own], ending[own], np.minimum(count[own], 2**31 - 1).astype(np.int32))

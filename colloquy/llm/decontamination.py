@@ -124,7 +124,7 @@ def _tiled(items: _Items, match: int, coverage: float):
                     order = np.lexsort((item_at, item, text))
                     text, item, item_at, place = text[order], item[order], item_at[order], place[order]
                     cut = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0)))
-                    for a, b in zip(cut, np.append(cut[1:], len(text)), strict=True):
+                    for a, b in zip(cut, np.append(cut, len(text))[1:], strict=True):
                         size = int(items.sizes[item[a]])
                         # Tiles lie within the shared seeds, which already bound the coverage.
                         spots = np.unique(item_at[a:b])

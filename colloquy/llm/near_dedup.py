@@ -6,22 +6,22 @@ tables: ``2 * m * k`` MinHash values do the work of ``2 * k * m * m``. Two texts
 in a table with probability ``(1 - (1 - s**k)**m) ** 2``; for the defaults and s = 0.85 all but about
 6 in 100,000 pairs meet, for s = 0.9 all but 6 in 10 million.
 
-Candidates whose MinHash values agree about as often as a link's are confirmed on the full shingle
-sets. Inside a bucket, members are compared with one
-centre (the member whose halves are shared most), so a group of g copies costs g comparisons. Rounds
-with ``CENTRES`` centres a bucket follow until every pair of a bucket is compared or connected, so no
-link between components is lost and a round's pairs stay linear in its rows.
+Texts that meet form candidate clusters. A cluster of up to ``BLOCK`` texts is confirmed in one group:
+the sizes of all intersections of full shingle sets are one product of 0/1 matrices. In a larger one,
+members are first compared with their buckets' centres (the members whose halves are shared most), so
+a group of g copies costs g comparisons; what that leaves in several components is confirmed in pairs
+of blocks. No link between components is lost either way, and no pair of texts is ever a row.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from colloquy.functions.storage import checkpointed
 from colloquy.llm.blocks import blocks, distinct_sets, mix, shingle_hashes, word_hashes
@@ -31,13 +31,9 @@ __all__ = ["connected_components", "near_duplicates"]
 SHINGLE_WORDS = 5
 HALF_HASHES = 4
 HALVES = 14
-#: Members of a bucket that all others are compared with, by round; the last holds for all later ones.
-CENTRES = (1, 4, 16, 64)
-#: Bytes of MinHash values kept in one integer of a sketch.
-LANES = 7
-#: Share of equal sketch bytes under which a pair is not confirmed. A pair of similarity 0.85 agrees in
-#: fewer of 112 values about once in 100,000 times, less often than its tables miss it.
-SKETCH_SHARE = 0.7
+#: Texts of a group that is confirmed at once.
+BLOCK = 1024
+_COLUMNS = 4096
 
 
 def _sets_of(column: pa.Array, width: int) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
@@ -56,22 +52,18 @@ def _set_keys(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [flat[16 * i : 16 * i + 16] for i in range(len(bounds) - 1)]
 
 
-def _halves(values: np.ndarray, bounds: np.ndarray, k: int, m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The 2m half keys of each set (m left, then m right), and one byte of each MinHash value, seven
-    to an integer. Sets must not be empty."""
+def _halves(values: np.ndarray, bounds: np.ndarray, k: int, m: int, seed: int) -> np.ndarray:
+    """The 2m half keys of each set: m left, then m right. Sets must not be empty."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(0, 2**63, 2 * m * k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = rng.integers(0, 2**63, 2 * m * k, dtype=np.uint64)
     out = np.empty((len(bounds) - 1, 2 * m), np.uint64)
-    sketch = np.zeros((len(bounds) - 1, -(-2 * m * k // LANES)), np.uint64)
     for half in range(2 * m):
         key = np.full(len(bounds) - 1, half, np.uint64)
         for j in range(half * k, half * k + k):
-            least = np.minimum.reduceat(values * factors[j] + shifts[j], bounds[:-1])
-            key = mix(key ^ least)
-            sketch[:, j // LANES] |= (least & np.uint64(255)) << np.uint64(8 * (j % LANES))
+            key = mix(key ^ np.minimum.reduceat(values * factors[j] + shifts[j], bounds[:-1]))
         out[:, half] = key
-    return out, sketch
+    return out
 
 
 def _signatures(docs: DataFrame, width: int, k: int, m: int, seed: int) -> DataFrame:
@@ -81,39 +73,40 @@ def _signatures(docs: DataFrame, width: int, k: int, m: int, seed: int) -> DataF
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
                 halves = np.zeros((len(rows), 2 * m), np.uint64)
-                sketch = np.zeros((len(rows), -(-2 * m * k // LANES)), np.uint64)
                 if len(full):
-                    halves[full], sketch[full] = _halves(values, np.append(bounds[:-1][full], bounds[-1]), k, m, seed)
+                    halves[full] = _halves(values, np.append(bounds[:-1][full], bounds[-1]), k, m, seed)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(rows.start, len(rows)),
                         pa.array(sizes),
                         pa.array(_set_keys(values, bounds), pa.binary()),
-                        *(
-                            pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
-                            for x in (halves, sketch)
-                        ),
+                        pa.FixedSizeListArray.from_arrays(pa.array(halves.view(np.int64).ravel()), 2 * m).cast(pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "halves", "sketch"],
+                    names=["doc_id", "n_shingles", "set_key", "halves"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, halves array<long>, sketch array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, halves array<long>")
 
 
-def _full_sets(docs: DataFrame, width: int) -> DataFrame:
+def _full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """Rows (text, set_key, ..) with the text's shingles in its place, where it is the text that has the key."""
+    rest = [f for f in texts.schema.fields if f.name not in ("text", "set_key")]
+
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, values, bounds in _sets_of(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays(
+            wanted = batch.column(1).to_pylist()
+            for rows, values, bounds in _sets_of(batch.column(0), width):
+                own = pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(rows.start, len(rows)),
-                        pa.array(_set_keys(values, bounds), pa.binary()),
+                        *(c.slice(rows.start, len(rows)) for c in batch.columns[2:]),
                         pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64))),
                     ],
-                    names=["node", "set_key", "shingles"],
+                    names=[*(f.name for f in rest), "shingles"],
                 )
+                yield own.filter(pa.array([k == w for k, w in zip(_set_keys(values, bounds), wanted[rows.start : rows.stop], strict=True)]))
 
-    return docs.mapInArrow(rows_of, "node long, set_key binary, shingles array<long>")
+    kind = StructType([*rest, StructField("shingles", ArrayType(LongType()))])
+    return texts.select("text", "set_key", *(f.name for f in rest)).mapInArrow(rows_of, kind)
 
 
 def _near(n1: Column, n2: Column, percent: int) -> Column:
@@ -147,23 +140,46 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _alike(percent: int, values: int) -> Column:
-    """Whether the sketches ka and kb agree in as many bytes as similar sets do."""
-    low, high = 0x7F7F7F7F7F7F7F, 0x80808080808080
-    equal = F.lit(0)
-    for i in range(-(-values // LANES)):
-        x = F.get("ka", i).bitwiseXOR(F.get("kb", i))
-        # A lane's high bit stays clear just where the lane is zero.
-        set_bits = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))
-        equal = equal + LANES - F.bit_count(set_bits)
-    padding = -values % LANES
-    return equal - padding >= int(values * SKETCH_SHARE * percent / 85)
-
-
-def _similar_sketches(pairs: DataFrame, sketches: DataFrame, percent: int, values: int) -> DataFrame:
-    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka"))
-    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb"))
-    return pairs.join(right, "b").join(left, "a").where(_alike(percent, values)).select("a", "b").distinct()
+def _linked(nodes: np.ndarray, components: np.ndarray, flat: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A link for every two components of a group that have one, from all pairs of its full sets."""
+    sizes = np.diff(bounds)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(flat, kind="stable")
+    values, owner = flat[order], owner[order]
+    first = np.append(True, values[1:] != values[:-1])
+    column = np.cumsum(first) - 1
+    common = np.bincount(column) > 1
+    keep = common[column]
+    column, owner = (np.cumsum(common) - 1)[column[keep]], owner[keep]
+    shared = np.zeros((len(sizes), len(sizes)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        low, high = np.searchsorted(column, [at, at + _COLUMNS])
+        present = np.zeros((len(sizes), min(_COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        present[owner[low:high], column[low:high] - at] = 1
+        shared += present @ present.T
+    linked = shared.astype(np.float64) * 100 >= percent * (sizes[:, None] + sizes[None, :] - shared.astype(np.float64))
+    i, j = np.nonzero(np.triu(linked, 1) & (components[:, None] != components[None, :]))
+    if not len(i):
+        return []
+    two = np.sort(np.stack([components[i], components[j]], axis=1), axis=1)
+    _, pick = np.unique(two, axis=0, return_index=True)
+    return list(zip(nodes[i[pick]].tolist(), nodes[j[pick]].tolist(), strict=True))
+
+
+def _link_groups(percent: int):
+    def groups(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cluster", "ascending"), ("node", "ascending")]).combine_chunks()
+        clusters, nodes, components = (table[c].to_numpy() for c in ("cluster", "node", "component"))
+        sets = table["shingles"].chunk(0) if table["shingles"].num_chunks else pa.array([], pa.list_(pa.int64()))
+        bounds, flat = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
+        first = np.flatnonzero(np.append(True, clusters[1:] != clusters[:-1])) if len(clusters) else np.zeros(0, np.int64)
+        links: list[tuple[int, int]] = []
+        for a, b in zip(first, np.append(first, len(clusters))[1:], strict=True):
+            own = bounds[a : b + 1]
+            links += _linked(nodes[a:b], components[a:b], flat[own[0] : own[-1]], own - own[0], percent)
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return groups
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,30 +192,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= union * percent).select("a", "b")
 
 
-def _round(buckets: DataFrame, components: DataFrame | None, centres: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The members that stay for a next round, and the pairs (a, b) to confirm in this one.
-
-    In each bucket that spans components, the ``centres`` members of most weight are paired with every
-    member of another component; pairs of sets whose sizes differ too much are left out.
-    """
-    if components is not None:
-        labelled = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        labelled = labelled.join(spread.select("bucket"), "bucket", "left_semi")
-    else:
-        labelled = buckets.withColumn("component", F.col("node"))
-    labelled = checkpointed(labelled)
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "node"))
-    top = checkpointed(labelled.withColumn("rank", rank).where(F.col("rank") <= centres))
-    heads = top.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "rank")
+def _centre_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between each bucket's member of most weight and its other members."""
+    top = F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node")))
+    centres = checkpointed(buckets.groupBy("bucket").agg(top.alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("na")))
     pairs = (
-        labelled.join(heads, "bucket")
-        .where((F.col("a") != F.col("node")) & (F.col("ca") != F.col("component")) & _near(F.col("na"), F.col("n"), percent))
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        buckets.join(centres, "bucket")
+        .where((F.col("a") != F.col("node")) & _near(F.col("na"), F.col("n"), percent))
+        .select("a", F.col("node").alias("b"))
         .distinct()
     )
-    left = labelled.join(top.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("component")
-    return checkpointed(left), pairs
+    return _verified(pairs, sets, percent)
+
+
+def _confirmed(members: DataFrame, sets_of, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that connect what similar texts connect, from candidate buckets.
+
+    ``members`` has bucket, node, n and weight; ``sets_of`` adds full sets to rows that name nodes.
+    """
+    least = checkpointed(members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1"))
+    met = members.join(least, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    clusters = connected_components(met).withColumnRenamed("component", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n_nodes"))
+    placed = checkpointed(clusters.join(sizes, "cluster"))
+    packs = F.lit(max(1, -(-placed.where(F.col("n_nodes") <= block).count() // block)))
+    small = placed.where(F.col("n_nodes") <= block).select("node", "cluster", F.pmod(F.xxhash64("cluster"), packs).alias("pack"), F.col("node").alias("component"))
+    links = sets_of(small).groupBy("pack").applyInArrow(_link_groups(percent), "a long, b long")
+    large = placed.where(F.col("n_nodes") > block)
+    if large.isEmpty():
+        return links
+    sets = checkpointed(sets_of(large.select("node")).select("node", "shingles"))
+    buckets = checkpointed(members.join(large.select("node"), "node", "left_semi"))
+    starred = checkpointed(_centre_links(buckets, sets, percent))
+    components = connected_components(starred)
+    labelled = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rest = labelled.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "component").distinct().join(large, "node")
+    rest = checkpointed(rest.select("node", "component", "cluster", F.ceil(F.col("n_nodes") * 2 / block).alias("blocks")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = rest.select("node", "component", "cluster", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
+    crossed = keyed.join(sets, "node").groupBy("cluster", "b1", "b2").applyInArrow(_link_groups(percent), "a long, b long")
+    return links.unionAll(starred).unionAll(crossed)
 
 
 def near_duplicates(
@@ -211,6 +245,7 @@ def near_duplicates(
     shingle_words: int = SHINGLE_WORDS,
     half_hashes: int = HALF_HASHES,
     halves: int = HALVES,
+    block: int = BLOCK,
     seed: int = 7,
 ) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, n_links.
@@ -230,7 +265,7 @@ def near_duplicates(
     classes = checkpointed(
         signed.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
     )
     half_rows = classes.select("node", "n", F.posexplode("halves").alias("side", "half"))
     common = checkpointed(half_rows.groupBy("half").agg(F.count("*").alias("met")).where("met > 1"))
@@ -248,28 +283,14 @@ def near_duplicates(
         .select("node", "n", "weight", "l", F.explode("right").alias("r"))
         .select(F.xxhash64("l", "r").alias("bucket"), "node", "n", "weight")
     )
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = checkpointed(members.join(sizes.select("bucket"), "bucket", "left_semi"))
-    wanted = buckets.select("node").distinct()
-    sets = checkpointed(
-        _full_sets(docs.join(wanted, docs.doc_id == wanted.node, "left_semi"), shingle_words)
-        .join(classes.select("set_key", F.col("node").alias("of")), "set_key")
-        .where("node = of")
-        .select("node", "shingles", "set_key")
-        .dropDuplicates(["node", "set_key"])
-        .drop("set_key")
-    )
-    sketches = checkpointed(classes.join(wanted, "node", "left_semi").select("node", "sketch"))
-    links = components = None
-    for turn in itertools.count():
-        buckets, close = _round(buckets, components, CENTRES[min(turn, len(CENTRES) - 1)], percent)
-        close = _similar_sketches(close, sketches, percent, 2 * halves * half_hashes)
-        more = checkpointed(_verified(close, sets, percent).distinct())
-        if links is None or not more.isEmpty():
-            links = checkpointed(links.union(more).distinct()) if links else more
-            components = connected_components(links)
-        if buckets.isEmpty():
-            break
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        # The key tells the text that an id stands for from others under the same id.
+        keyed = nodes.join(classes.select("node", "set_key"), "node")
+        return _full_sets(keyed.join(docs, F.col("node") == F.col("doc_id")).drop("doc_id"), shingle_words)
+
+    links = checkpointed(_confirmed(members, sets_of, percent, block).distinct())
+    components = connected_components(links)
     ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     named = checkpointed(

@@ -171,7 +171,7 @@ def _anchor_rows(length: int, gram: int, parts: int):
         h, row, part = h[order], row[order], part[order]
         names, begin = np.unique(part, return_index=True)
         out: dict[str, list] = {"part": names.astype(np.int64), "ids": [], "keys": [], "sizes": [], "hashes": []}
-        for a, b in zip(begin, np.append(begin[1:], len(part)), strict=True):
+        for a, b in zip(begin, np.append(begin, len(part))[1:], strict=True):
             own, first = np.unique(row[a:b], return_index=True)
             out["ids"].append(doc[own].tobytes())
             out["keys"].append(key[own].tobytes())
@@ -237,7 +237,7 @@ def _shared_anchors(groups: pa.Table) -> pa.Table:
         {
             "doc_id": pa.array(doc[names]),
             "text_key": pa.array(key[names]),
-            "anchors": pa.array([low[a:b].tobytes() for a, b in zip(begin, np.append(begin[1:], len(low)), strict=True)], pa.binary()),
+            "anchors": pa.array([low[a:b].tobytes() for a, b in zip(begin, np.append(begin, len(low))[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -253,7 +253,7 @@ def _run_rows(length: int, gram: int, parts: int):
         order = np.lexsort((h, part))
         names, begin = np.unique(part[order], return_index=True)
         out: dict[str, list] = {k: [] for k in ("ids", "keys", "starts", "sizes", "anchors", "bytes")}
-        for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True):
+        for a, b in zip(begin, np.append(begin, len(order))[1:], strict=True):
             own = order[a:b]
             total = np.cumsum(size[own])
             index = np.arange(total[-1]) + np.repeat(at[own] - (total - size[own]), size[own])
@@ -352,7 +352,7 @@ def _covered(length: int):
         order = np.lexsort((start, key, doc))
         doc, key, start, end = doc[order], key[order], start[order], end[order]
         begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        cuts = list(zip(begin, np.append(begin[1:], len(doc)), strict=True)) if len(doc) else []
+        cuts = list(zip(begin, np.append(begin, len(doc))[1:], strict=True)) if len(doc) else []
         return pa.table(
             {
                 "doc_id": pa.array(doc[begin]),
