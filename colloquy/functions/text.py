@@ -38,6 +38,11 @@ INAUDIBLE = r"(?i)\[(?:inaud[ií]vel|incompreens[ií]vel|\?+|risos|sil[êe]ncio)
 CONTRAST = ("mas", "porem", "entretanto", "contudo", "todavia", "so que", "apesar", "embora", "ja o", "enquanto")
 
 
+def _bound(text: Column, make) -> Column:
+    """``make(text)`` with the text evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(text), make), F.lit(0))
+
+
 def bounded(pattern: str) -> str:
     """``pattern`` where no letter or digit stands next to it."""
     return rf"(?<![\p{{L}}\p{{N}}])(?:{pattern})(?![\p{{L}}\p{{N}}])"
@@ -64,15 +69,22 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc.found, F.coalesce(found, F.array().cast(kind))).alias("found"))
 
     state = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(_pieces(text, pattern), state, step, lambda acc: acc.found)).otherwise(
-        F.when(text.isNotNull(), F.array().cast(kind))
-    )
+
+    def found(t: Column) -> Column:
+        none = F.when(t.isNotNull(), F.array().cast(kind))
+        return F.when(t.rlike(pattern), F.aggregate(_pieces(t, pattern), state, step, lambda acc: acc.found)).otherwise(none)
+
+    return _bound(text, found)
 
 
 def _replaced(text: Column, pattern: str, by: Column) -> Column:
     """Every match replaced by ``by(match)``, which keeps its length."""
-    pieces = F.transform(_pieces(text, pattern), lambda p: F.concat(p.before, F.coalesce(by(p.hit), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+    def replaced(t: Column) -> Column:
+        pieces = F.transform(_pieces(t, pattern), lambda p: F.concat(p.before, F.coalesce(by(p.hit), F.lit(""))))
+        return F.when(t.rlike(pattern), F.array_join(pieces, "")).otherwise(t)
+
+    return _bound(text, replaced)
 
 
 def redact(text: Column, rules: tuple[tuple[str, str], ...] = REDACTION_RULES) -> Column:
