@@ -80,11 +80,11 @@ def _confidence(strength: Column) -> Column:
     return F.least(F.lit(0.95), F.floor((1 - F.exp(-strength / 2.5)) * 100 + 0.5) / 100)
 
 
-def infer_roles(turns: DataFrame, company: str = "TOTVS", fixed: DataFrame | None = None) -> DataFrame:
+def infer_roles(turns: DataFrame, company: str | None = None, fixed: DataFrame | None = None) -> DataFrame:
     """doc_id, speaker, position, side, confidence, signals, score of every speaker in ``turns``
     (doc_id, turn, speaker, title, text, words).
 
-    ``fixed`` (doc_id, speaker, side) are roles that a person confirmed; they win. Speakers are one
+    ``company`` is the seller's, in speech and titles a sign of its people. ``fixed`` (doc_id, speaker, side) are roles that a person confirmed; they win. Speakers are one
     whatever the case of their name. Ties go to who spoke first.
     """
     key = F.lower("speaker").alias("key")
@@ -104,12 +104,13 @@ def infer_roles(turns: DataFrame, company: str = "TOTVS", fixed: DataFrame | Non
     free = F.col("fixed").isNull()
     said, title = F.col("said"), F.col("title")
     people = people.withColumn("said", fold(said)).withColumn("title", fold(title)).withColumn("opening", fold(F.col("opening")))
-    home = company.lower()
-    seller_title = F.contains(title, F.lit(home)) | _any(title, SELLER_TITLES)
+    seller_title = _any(title, SELLER_TITLES)
+    if company:
+        seller_title = seller_title | F.contains(title, fold(F.lit(company)))
     signals: list[tuple[Column, Column | float, str]] = [
         (title.isNotNull() & seller_title, TITLE, "cargo_fornecedor"),
         (title.isNotNull() & ~seller_title & _any(title, CLIENT_TITLES), -TITLE, "cargo_comprador"),
-        (said.rlike(rf"\b(?:aqui\s+)?n[ao]\s+{re.escape(home)}\b"), COMPANY, "cita_empresa_vendedora"),
+        *([(said.rlike(rf"\b(?:aqui\s+)?n[ao]\s+{re.escape(company.lower())}\b"), COMPANY, "cita_empresa_vendedora")] if company else []),
         *((said.rlike(p), WORDS, s) for p, s in SELLER_MARKS),
         *((said.rlike(p), -WORDS, s) for p, s in CLIENT_MARKS),
     ]
