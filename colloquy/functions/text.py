@@ -6,10 +6,12 @@ masked one, so evidence can be quoted by offset.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["REDACTION_RULES", "WORD", "blank", "bounded", "clauses", "context", "count_words", "evidence", "fold", "matches", "mentions", "redact", "words"]
+__all__ = ["REDACTION_RULES", "WORD", "blank", "bounded", "clauses", "context", "count_words", "evidence", "fold", "matches", "mentions", "once", "redact", "words"]
 
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}'-]*"
 
@@ -38,9 +40,9 @@ INAUDIBLE = r"(?i)\[(?:inaud[ií]vel|incompreens[ií]vel|\?+|risos|sil[êe]ncio)
 CONTRAST = ("mas", "porem", "entretanto", "contudo", "todavia", "so que", "apesar", "embora", "ja o", "enquanto")
 
 
-def _bound(text: Column, make) -> Column:
-    """``make(text)`` with the text evaluated once, however often it is used."""
-    return F.get(F.transform(F.array(text), make), F.lit(0))
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with the value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
 def bounded(pattern: str) -> str:
@@ -74,7 +76,7 @@ def matches(text: Column, pattern: str) -> Column:
         none = F.when(t.isNotNull(), F.array().cast(kind))
         return F.when(t.rlike(pattern), F.aggregate(_pieces(t, pattern), state, step, lambda acc: acc.found)).otherwise(none)
 
-    return _bound(text, found)
+    return once(text, found)
 
 
 def _replaced(text: Column, pattern: str, by: Column) -> Column:
@@ -84,7 +86,7 @@ def _replaced(text: Column, pattern: str, by: Column) -> Column:
         pieces = F.transform(_pieces(t, pattern), lambda p: F.concat(p.before, F.coalesce(by(p.hit), F.lit(""))))
         return F.when(t.rlike(pattern), F.array_join(pieces, "")).otherwise(t)
 
-    return _bound(text, replaced)
+    return once(text, replaced)
 
 
 def redact(text: Column, rules: tuple[tuple[str, str], ...] = REDACTION_RULES) -> Column:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.text import once
+
 __all__ = ["SentimentLexicon", "aspect_sentiment", "clause_scores", "overall_sentiment", "polarity", "span_score"]
 
 TOKEN = r"[\p{L}\p{N}]+"
@@ -31,19 +33,24 @@ def span_score(text: Column, lexicon: SentimentLexicon) -> Column:
     (negators are -1) among the three tokens before, kept within -1 and 1; 0 without terms."""
     if lexicon.greetings:
         text = F.regexp_replace(text, lexicon.greetings, " ")
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     scores, factors = lexicon._map(lexicon.scores), lexicon._map(lexicon.factors)
 
-    def term(token: Column, i: Column) -> Column:
-        before = F.slice(tokens, F.greatest(F.lit(1), i - 2), F.least(i, F.lit(3)))
-        factor = F.aggregate(before, F.lit(1.0), lambda acc, t: acc * F.coalesce(F.element_at(factors, t), F.lit(1.0)))
-        base = F.element_at(scores, token)
-        return F.when(base.isNotNull(), base * factor)
+    def of(tokens: Column) -> Column:
+        def term(token: Column, i: Column) -> Column:
+            before = F.slice(tokens, F.greatest(F.lit(1), i - 2), F.least(i, F.lit(3)))
+            factor = F.aggregate(before, F.lit(1.0), lambda acc, t: acc * F.coalesce(F.element_at(factors, t), F.lit(1.0)))
+            base = F.element_at(scores, token)
+            return F.when(base.isNotNull(), base * factor)
+
+        return F.array_compact(F.transform(tokens, term))
 
-    terms = F.array_compact(F.transform(tokens, term))
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
-    mean = F.when(F.size(terms) > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total / F.size(terms)))).otherwise(0.0)
-    return F.struct(mean.alias("score"), F.size(terms).alias("terms"))
+    def mean(terms: Column) -> Column:
+        total = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+        score = F.when(F.size(terms) > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total / F.size(terms)))).otherwise(0.0)
+        return F.struct(score.alias("score"), F.size(terms).alias("terms"))
+
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return once(once(tokens, of), mean)
 
 
 def polarity(score: Column, threshold: float = THRESHOLD) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import count_words, fold
+from colloquy.functions.text import count_words, fold, once
 
 __all__ = ["SELLER", "CLIENT", "followup_depth", "interruptions", "longest_monologue", "questions", "talk_ratio", "turns_from_roles", "words_before_question"]
 
@@ -57,14 +57,14 @@ def _questions(text: Column, mark: str) -> Column:
 
 
 def _open(question: Column, openings: tuple[str, ...]) -> Column:
-    folded = fold(question)
-    last = F.element_at(F.split(folded, "[:,;]", -1), -1)
-
     def starts(part: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(part, r"^[^\p{L}]+", ""), LEAD_INS, "")
         return bare.rlike("^(?:" + "|".join(openings) + ")")
 
-    return starts(last) | starts(folded)
+    def either(folded: Column) -> Column:
+        return starts(F.element_at(F.split(folded, "[:,;]", -1), -1)) | starts(folded)
+
+    return once(fold(question), either)
 
 
 def questions(turns: DataFrame, mark: str = "?", openings: tuple[str, ...] = OPENINGS) -> DataFrame:

@@ -83,13 +83,13 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentiment_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: scores of sentences with three-token windows."""
     rows = E.clause_scores(_sentences(spark, sf_dir), LEXICON)
-    return rows.select("doc_id", F.col("k").cast("long").alias("k"), F.round("score", 9).alias("score"), F.col("terms").cast("long").alias("terms"))
+    return rows.select("doc_id", F.col("k").cast("long").alias("k"), F.round(F.col("score") + 1e-12, 9).alias("score"), F.col("terms").cast("long").alias("terms"))
 
 
 def sentiment_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts by their sentences."""
     rows = E.overall_sentiment(E.clause_scores(_sentences(spark, sf_dir), LEXICON))
-    return rows.select("doc_id", F.round("score", 6).alias("score"), "positive", "negative", "sentiment")
+    return rows.select("doc_id", F.round(F.col("score") + 1e-9, 6).alias("score"), "positive", "negative", "sentiment")
 
 
 _ALL = (redact_email, fold_and_wordcount, blanked, quality_index_scores, lexicon_hits, lexicon_offsets, clause_count, sentiment_window, sentiment_overall)
@@ -147,12 +147,12 @@ WITH RECURSIVE f AS (SELECT doc_id, {FOLD} AS t FROM documents),
 m AS (SELECT doc_id, t, string_split_regex(regexp_replace(t, '\\b(the|und|que)\\b', chr(1) || '\\1', 'g'), chr(1)) AS c FROM f)
 SELECT doc_id, len(list_filter(c, lambda x: length(x) >= 3)) AS clauses FROM m
 """,
-    "sentiment_window": f"WITH {TERMS} SELECT doc_id, k, round(score, 9) AS score, terms FROM c",
+    "sentiment_window": f"WITH {TERMS} SELECT doc_id, k, round(score + 1e-12::DOUBLE, 9) AS score, terms FROM c",
     "sentiment_overall": f"""
 WITH {TERMS}, d AS (
   SELECT doc_id, greatest(-1.0, least(1.0, sum(score * terms) / sum(terms))) AS score, count(*) FILTER (WHERE score >= 0.22) AS positive, count(*) FILTER (WHERE score <= -0.22) AS negative FROM c GROUP BY 1
 )
-SELECT doc_id, round(score, 6) AS score, positive, negative,
+SELECT doc_id, round(score + 1e-9::DOUBLE, 6) AS score, positive, negative,
   CASE WHEN least(positive, negative) * 4 >= positive + negative AND (least(positive, negative) >= 2 OR (positive + negative <= 6 AND least(positive, negative) >= 1)) THEN 'mixed'
     WHEN score >= 0.22 THEN 'positive' WHEN score <= -0.22 THEN 'negative' ELSE 'neutral' END AS sentiment FROM d
 """,
