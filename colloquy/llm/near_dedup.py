@@ -225,9 +225,9 @@ def _confirmed(members: DataFrame, sets_of, percent: int, block: int) -> DataFra
     buckets = checkpointed(members.join(large.select("node"), "node", "left_semi"))
     starred = checkpointed(_centre_links(buckets, sets, percent))
     components = connected_components(starred)
-    labelled = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = labelled.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "component").distinct().join(large, "node")
+    labelled = large.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rest = labelled.join(mixed.select("cluster"), "cluster", "left_semi")
     rest = checkpointed(rest.select("node", "component", "cluster", F.ceil(F.col("n_nodes") * 2 / block).alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
