@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from sql_compare import DATA, compare
@@ -67,6 +68,23 @@ def test_chain_of_near_copies_is_one_group(spark):
         assert {r.doc_id: r.component_id for r in near_duplicates(docs, block=block).collect()} == want
 
 
+def test_pipeline_drops_copies_of_080_to_085(spark):
+    rng = random.Random(6)
+    rows, likeness = [], []
+    for k in range(60):
+        words = [f"u{rng.randrange(10**6)}" for _ in range(240)]
+        copy = list(words)
+        for at in range(10, 10 + 40 * (4 + k % 2), 40):
+            copy[at] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        a, b = (shingles(t) for _, t in rows[-2:])
+        likeness.append(len(a & b) / len(a | b))
+    assert sum(0.8 <= x < 0.85 for x in likeness) == 60
+    want = {d for d, c in brute_components(rows, 80).items() if d == c}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (None, 3), (5, 5)], "a long, b long")
     assert {r.node: r.component for r in connected_components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
