@@ -407,13 +407,15 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(shas, pa.string()),
                 pa.array(ranges, pa.list_(pa.list_(pa.int64()))),
                 pa.array(kept, pa.binary()),
+                batch.column(4),
             ],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text_key"],
         )
 
 
 def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept.
+    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept,
+    text_key (``xxhash64`` of the text, which tells texts that share an id apart).
 
     A text is its UTF-8 bytes; null counts as empty. A byte is removed when a string of ``length``
     bytes that covers it also starts in a document with a smaller id; overlaps count and all strings
@@ -451,8 +453,8 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
         .agg(F.collect_list("spans").alias("spans"))
     )
     spans = spans.withColumn("whole", F.lit(False)).unionByName(copies.select("*", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("whole")))
-    joined = text_side.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans", "whole")
+    joined = text_side.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans", "whole", "text_key")
     return joined.mapInArrow(
         _cut_texts,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary",
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary, text_key long",
     )

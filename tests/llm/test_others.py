@@ -168,3 +168,43 @@ def test_pipeline_stages_of_odd_rows(spark, odd, none):
     for docs in (odd, none):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs.select(*corpus_pipeline.COLUMNS), DATA).count() <= 2 * docs.count()
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    prose = lambda n=120: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows_of = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    def staged(stage, rows):
+        return rows_of(stage(spark, spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], schema), DATA))
+
+    a, b, c, d, e = (prose() for _ in range(5))
+    near = lambda t: t + " tail"
+    rows = [(1, a), (None, near(a)), (None, b), (None, near(b)), (7, c), (7, d), (8, near(c)), (9, e), (9, e), (None, "")]
+    got = staged(corpus_pipeline.near_dedup, rows)
+    assert got[None, b] + got[None, near(b)] == 1
+    del got[None, b], got[None, near(b)]
+    assert got == Counter([(1, a), (7, c), (7, d), (9, e), (9, e), (None, "")])
+
+    one, two = prose(20), prose(20)
+    rows = [(1, one + " " + two), (5, a + one), (5, a + one), (5, b + two), (None, c + one), (None, c + one)]
+    got = staged(corpus_pipeline.repeated_passages, rows)
+    assert got == Counter([(1, one + " " + two), (5, a), (5, a), (5, b), (None, c + one), (None, c + one)])
+
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("text is not null").orderBy(F.length("text").desc(), "item_id").first().text
+    rows = [(None, item), (None, a), (5, item), (5, b), (6, c), (6, c)]
+    assert staged(corpus_pipeline.decontaminate, rows) == Counter([(None, a), (5, b), (6, c), (6, c)])
+
+    from colloquy.llm.quality_knn import fit_quality, score_quality
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    kept = rows_of(corpus_pipeline.quality(spark, docs, DATA))
+    assert kept == rows_of(docs.join(score_quality(docs, fit_quality(docs, labels.where(corpus_pipeline._fold(3) != 1).withColumnRenamed("quality", "label"))).where("predicted = 1"), "doc_id", "left_semi"))
+    # The third of the rows whose id is lost, and those that share an id, fare as their texts do.
+    base = docs.join(labels.select("doc_id"), "doc_id", "left_anti").select(*corpus_pipeline.COLUMNS)
+    good = {t for _, t in kept}
+    lost = base.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, -1 - F.col("doc_id") % 2))
+    known = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select(*corpus_pipeline.COLUMNS)
+    got = rows_of(corpus_pipeline.quality(spark, known.unionAll(lost), DATA).where("doc_id is null or doc_id < 0"))
+    assert got == Counter({k: n for k, n in rows_of(lost).items() if k[1] in good}) and None in {k[0] for k in got}
