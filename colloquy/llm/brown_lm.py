@@ -1,16 +1,24 @@
 """Language-model scoring with a Brown class-based bigram model.
 
 P(text) is the product of P(class | class before) and P(word | class). Exchange clustering assigns
-types to classes: each type moves to the class where the likelihood of class bigrams gains most,
-until a pass moves none. Clustered types are the ``VOCABULARY`` most frequent training words and, for
-all others, their endings; so the clustering is bounded, while word counts cover every training word.
+types to classes: each type moves to the class where the likelihood of class bigrams gains most.
+Clustered types are all training words seen ``LEAST`` times or more, whose number grows with the corpus,
+and the endings of all others; word counts cover every training word.
+
+The ``VOCABULARY`` most frequent words and the endings are exchanged first, one at a time until none
+moves. Then all types move in parallel passes: a scan counts, for each type, the classes beside it, in a
+table by ranges of types, and each range moves its types against the class bigrams of the scan. A pass
+that doesn't raise the likelihood is undone and fewer types move at once from then on; the passes end when
+none moves, or when all types have had their turn and the gain stays below ``GAIN``. Words and classes (10
+bytes a word) go to every task.
 
 Words are counted by hash partition. A task sends each partition the distinct words of its texts, and
-gets for every text the sums over its words; no word list goes through the driver.
+gets for every text the sums over its words; of words, only the clustered ones go through the driver.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,13 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.storage import checkpointed
-from colloquy.llm.blocks import Block, blocks, prefix_sums, span_hash, word_bounds
+from colloquy.llm.blocks import Block, blocks, mix, prefix_sums, span_hash, word_bounds
 
 __all__ = ["exchange_clusters", "score_texts"]
 
 VOCABULARY = 1_000
 CLASSES = 48
-PASSES = 4
+#: Least training count of a word that is clustered itself.
+LEAST = 10
+#: Least gain of the passes over all types, in nats for each token.
+GAIN = 1e-4
+#: Of how many types at most one moves in a pass, when passes with more lower the likelihood.
+SPREAD = 16
+#: Types of one row of the context table, and context counts that a task holds.
+RANGE_TYPES = 32_768
+HELD = 4_000_000
 #: Endings (last two bytes of a word, hashed) for words outside the vocabulary.
 ENDINGS = 251
 #: Bytes of text for each hash partition of words.
@@ -41,12 +57,16 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return span_hash(sums, start, end), endings.astype(np.int16), doc
 
 
-def exchange_clusters(pairs: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def exchange_clusters(pairs: np.ndarray, classes: int, passes: int | None = None) -> np.ndarray:
     """Classes of types from a (types, types) matrix of bigram counts, by the exchange algorithm.
 
     Starts with types dealt by frequency, then moves one type at a time to the class that raises the
     sum of n log n over class bigrams less that over both margins; ties go to the class it is in, then
-    to the lowest.
+    to the lowest. Every move raises the sum, so without a limit of ``passes`` it ends when none moves.
     """
     n_types = len(pairs)
     pairs = pairs.astype(np.float64)
@@ -61,10 +81,7 @@ def exchange_clusters(pairs: np.ndarray, classes: int, passes: int = PASSES) ->
     left, right = grid.sum(axis=1), grid.sum(axis=0)
     to_class, from_class = pairs @ hot, (hot.T @ pairs).T
 
-    def xlogx(x: np.ndarray) -> np.ndarray:
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-
-    for _ in range(passes):
+    for _ in itertools.count() if passes is None else range(passes):
         moved = 0
         for t in frequent:
             if rows[t] + cols[t] == 0:
@@ -107,7 +124,7 @@ def exchange_clusters(pairs: np.ndarray, classes: int, passes: int = PASSES) ->
 
 @dataclass
 class _Types:
-    """Clustered types: sorted hashes of vocabulary words, then endings, then the end of a text."""
+    """Clustered types: sorted hashes of words, then endings, then the end of a text."""
 
     hashes: np.ndarray
 
@@ -188,8 +205,8 @@ def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["train"], bool), doc, word, loose("endings", np.int16), loose("counts", np.int32).astype(np.int64)
 
 
-def _count_words(top: int):
-    """Of one partition: sums for every text (kind 0), totals by ending (1), most frequent words (2)."""
+def _count_words(top: int, least: int):
+    """Of one partition: sums for every text (kind 0), totals by ending (1), words seen often or most (2)."""
 
     def groups(table: pa.Table) -> pa.Table:
         rows = [_unpacked(r) for r in table.to_pylist()]
@@ -217,8 +234,8 @@ def _count_words(top: int):
         tokens = np.bincount(own_ending[seen], weights=total[seen], minlength=ENDINGS)
         types = np.bincount(own_ending[seen], minlength=ENDINGS)
         add(1, np.arange(ENDINGS), tokens, types)
-        best = np.lexsort((names, -total))[:top]
-        best = best[total[best] > 0]
+        best = np.lexsort((names, -total))
+        best = best[(total[best] > 0) & ((np.arange(len(best)) < top) | (total[best] >= least))]
         add(2, names[best].view(np.int64), total[best], own_ending[best])
         return pa.table({"kind": np.concatenate(kind), "key": np.concatenate(key), "a": np.concatenate(a), "b": np.concatenate(b)})
 
@@ -227,7 +244,7 @@ def _count_words(top: int):
 
 @dataclass
 class _ClassModel:
-    """Classes of types and log10 probabilities; of bounded size."""
+    """Classes of types and log10 probabilities; it grows with the words seen ``LEAST`` times."""
 
     types: _Types
     member: np.ndarray
@@ -237,40 +254,193 @@ class _ClassModel:
     distinct: int
 
 
-def _fit(docs: DataFrame, counted: DataFrame, n_ends: int, vocabulary: int, classes: int, passes: int) -> _ClassModel:
-    frequent = counted.where("kind = 2").orderBy(F.desc("a"), "key").limit(vocabulary).toArrow()
-    hashes, order = np.unique(frequent["key"].to_numpy().astype(np.int64).view(np.uint64), return_index=True)
-    tokens_of, ending_of = (frequent[c].to_numpy()[order] for c in ("a", "b"))
-    types = _Types(hashes)
-    n_types = types.count
+def _pack(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(names, kind="stable")
+    names = names[order]
+    first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
+    return names[first], np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
+
+
+def _contexts(docs: DataFrame, types: _Types, member: np.ndarray, n_classes: int) -> tuple[DataFrame, np.ndarray]:
+    """Counts of the classes after and before each type, by range of types; and the class bigrams.
+
+    A key is type * 2 * n_classes + class after, or + n_classes + class before.
+    """
+    wide = 2 * n_classes
+    parts = max(24, -(-types.count // RANGE_TYPES))
+    span = -(-types.count // parts) * wide
+
+    def rows_of(names: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        part, begin = np.unique(names // span, return_index=True)
+        ends = np.append(begin, len(names))[1:]
+        keys = [_pack(np.diff(names[a:b], prepend=p * span).astype(np.int32)) for p, a, b in zip(part, begin, ends, strict=True)]
+        counts = [_pack(count[a:b]) for a, b in zip(begin, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(ends - begin), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["part", "n", "keys", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = np.zeros(n_types * n_types, np.int64)
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for batch in batches:
             for block in blocks(batch.column(0)):
                 before, after, _ = types.chains(*_words(block), len(block))
-                pair, n = np.unique(before * n_types + after, return_counts=True)
+                found, n = np.unique(np.concatenate([before * wide + member[after], after * wide + n_classes + member[before]]), return_counts=True)
+                keys.append(found)
+                counts.append(n)
+                if sum(map(len, keys)) >= HELD:
+                    keys, counts = ([x] for x in _summed(keys, counts))
+                    if len(keys[0]) >= HELD // 2:
+                        yield rows_of(keys[0], counts[0])
+                        keys, counts = [], []
+        if keys:
+            yield rows_of(*_summed(keys, counts))
+
+    def merged(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        base = rows[0]["part"] * span
+        names, n = _summed([base + np.cumsum(_unpack(r["keys"], np.int32, r["n"]), dtype=np.int64) for r in rows], [_unpack(r["counts"], np.int64, r["n"]) for r in rows])
+        row, code = member[names // wide], names % wide
+        after = code < n_classes
+        grid = np.bincount(row[after] * n_classes + code[after], weights=n[after], minlength=n_classes**2)
+        return pa.table({"part": pa.array([rows[0]["part"]]), "n": pa.array([len(names)]), "keys": pa.array([_pack(names)], pa.binary()), "counts": pa.array([_pack(n)], pa.binary()), "grid": pa.array([grid.tobytes()], pa.binary())})
+
+    schema = "part long, n long, keys binary, counts binary"
+    table = checkpointed(docs.where("trained").select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(merged, f"{schema}, grid binary"))
+    grid = np.zeros((n_classes, n_classes))
+    for blob in table.select("grid").toArrow()["grid"].to_pylist():
+        grid += np.frombuffer(blob).reshape(n_classes, n_classes)
+    return table, grid
+
+
+def _moves(contexts: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
+    """Types whose turn it is that gain by another class, and that class; the last class is the end's."""
+    n_classes = len(grid)
+    wide, n_types = 2 * n_classes, len(member)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = grid.sum(axis=1), grid.sum(axis=0)
+        # Column k of both: the counts that a context of code k adds to, by class of the type.
+        cells = np.concatenate([grid, grid.T], axis=1)
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, n = _unpack(row["keys"], np.int64, row["n"]), _unpack(row["counts"], np.int64, row["n"]).astype(np.float64)
+                mine = (mix((names // wide).astype(np.uint64)) % np.uint64(spread) == turn % spread) & (names // wide < n_types - 1)
+                names, n = names[mine], n[mine]
+                if not len(names):
+                    continue
+                first = np.flatnonzero(np.append(True, np.diff(names // wide) != 0))
+                for at in range(0, len(first), 4096):
+                    low, high = first[at], first[at + 4096] if at + 4096 < len(first) else len(names)
+                    own_first, code, count = first[at : at + 4096] - low, names[low:high] % wide, n[low:high]
+                    kinds = names[first[at : at + 4096]] // wide
+                    cls = member[kinds]
+                    each = np.repeat(cls, np.diff(np.append(own_first, high - low)))
+                    # Few (code, count) differ, so the logs are taken once for each.
+                    pair, which = np.unique(np.stack([code, count]), axis=1, return_inverse=True)
+                    cell = cells[:, pair[0].astype(np.int64)].T
+                    step = (xlogx(cell + pair[1][:, None]) - xlogx(cell))[which.ravel()]
+                    inside = cells[each, code]
+                    step[np.arange(len(each)), each] = xlogx(inside) - xlogx(inside - count)
+                    gain = np.add.reduceat(step, own_first)
+                    for margin, side in ((left, code < n_classes), (right, code >= n_classes)):
+                        total = np.add.reduceat(np.where(side, count, 0.0), own_first)
+                        loss = xlogx(margin + total[:, None]) - xlogx(margin)
+                        loss[np.arange(len(cls)), cls] = xlogx(margin[cls]) - xlogx(margin[cls] - total)
+                        gain -= loss
+                    # Into a class that is empty all would move at once, like and unlike.
+                    gain[:, left + right == 0] = -np.inf
+                    gain[:, -1] = -np.inf
+                    best = gain.argmax(axis=1)
+                    go = gain[np.arange(len(cls)), best] > gain[np.arange(len(cls)), cls] + 1e-9
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds[go]), pa.array(best[go])], names=["type", "class"])
+
+    found = contexts.select("n", "keys", "counts").mapInArrow(task, "type long, class long").toArrow()
+    return found["type"].to_numpy(), found["class"].to_numpy()
+
+
+def _likelihood(grid: np.ndarray) -> float:
+    return float(xlogx(grid).sum() - xlogx(grid.sum(axis=1)).sum() - xlogx(grid.sum(axis=0)).sum())
+
+
+def _exchange_all(docs: DataFrame, types: _Types, member: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all types after parallel passes from ``member``, and their class bigrams."""
+    best, turn, spread, gained = None, 0, 2, 0.0
+    while True:
+        contexts, grid = _contexts(docs, types, member, n_classes)
+        score = _likelihood(grid)
+        if best is None or score > best[0]:
+            gained += score - best[0] if best is not None else 0.0
+            best = (score, member, grid, contexts)
+        else:
+            spread *= 2
+        if spread > SPREAD:
+            return best[1], best[2]
+        while True:
+            if turn and turn % spread == 0:
+                if gained <= GAIN * grid.sum():
+                    return best[1], best[2]
+                gained = 0.0
+            kinds, to = _moves(best[3], best[1], best[2], turn, spread)
+            turn += 1
+            if len(kinds):
+                break
+        member = best[1].copy()
+        member[kinds] = to
+
+
+def _fit(docs: DataFrame, counted: DataFrame, n_ends: int, vocabulary: int, least: int, classes: int, passes: int | None) -> _ClassModel:
+    words = counted.where("kind = 2").toArrow()
+    key, seen, ending = (words[c].to_numpy() for c in ("key", "a", "b"))
+    rank = np.empty(len(key), np.int64)
+    rank[np.lexsort((key, -seen))] = np.arange(len(key))
+    some = (rank < vocabulary) | (seen >= least)
+    key, seen, ending, rank = key[some].astype(np.int64).view(np.uint64), seen[some], ending[some].astype(np.int64), rank[some]
+    order = np.argsort(key)
+    hashes, tokens_of, ending_of, core = key[order], seen[order], ending[order], rank[order] < vocabulary
+    types, first = _Types(hashes), _Types(hashes[core])
+    n_types, n_first = types.count, first.count
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.zeros(n_first * n_first, np.int64)
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                before, after, _ = first.chains(*_words(block), len(block))
+                pair, n = np.unique(before * n_first + after, return_counts=True)
                 grid[pair] += n
         found = np.flatnonzero(grid)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(grid[found])], names=["pair", "n"])
 
     pairs = docs.where("trained").select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    grid = np.zeros(n_types * n_types)
+    grid = np.zeros(n_first * n_first)
     grid[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    grid = grid.reshape(n_types, n_types)
+    grid = grid.reshape(n_first, n_first)
     # The end of a text is a class of its own.
     own = exchange_clusters(grid[:-1, :-1], classes, passes)
     n_classes = int(own.max()) + 2
-    member = np.append(own, n_classes - 1)
-    between = np.zeros((n_classes, n_classes))
-    np.add.at(between, (member[:, None], member[None, :]), grid)
+    # Other words start in the class of their ending.
+    member = np.empty(n_types, np.int16)
+    member[len(hashes) :] = np.append(own[core.sum() :], n_classes - 1)
+    member[: len(hashes)] = member[len(hashes) + ending_of]
+    member[: len(hashes)][core] = own[: core.sum()]
+    member, between = _exchange_all(docs, types, member, n_classes)
     transitions = np.log10((between + 0.5) / (between.sum(axis=1, keepdims=True) + 0.5 * n_classes))
     by_ending = counted.where("kind = 1").toArrow()
     tokens, distinct = np.zeros(n_types), np.zeros(n_types)
     place = len(hashes) + by_ending["key"].to_numpy()
     tokens[place], distinct[place] = by_ending["a"].to_numpy(), by_ending["b"].to_numpy()
-    np.subtract.at(tokens, len(hashes) + ending_of.astype(np.int64), tokens_of)
-    np.subtract.at(distinct, len(hashes) + ending_of.astype(np.int64), 1)
+    np.subtract.at(tokens, len(hashes) + ending_of, tokens_of)
+    np.subtract.at(distinct, len(hashes) + ending_of, 1)
     tokens[: len(hashes)], distinct[: len(hashes)] = tokens_of, 1
     tokens[-1], distinct[-1] = n_ends, n_ends > 0
     class_tokens = np.bincount(member, weights=tokens, minlength=n_classes)
@@ -285,8 +455,9 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     vocabulary: int = VOCABULARY,
+    least: int = LEAST,
     classes: int = CLASSES,
-    passes: int = PASSES,
+    passes: int | None = None,
 ) -> DataFrame:
     """One row for each document: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -311,9 +482,9 @@ def score_texts(
     words = docs.select("key", "text", "trained").mapInArrow(
         _word_rows(parts), "part long, ids binary, train binary, sizes binary, words binary, endings binary, counts binary"
     )
-    counted = words.groupBy("part").applyInArrow(_count_words(vocabulary), "kind int, key long, a double, b double")
+    counted = words.groupBy("part").applyInArrow(_count_words(vocabulary, least), "kind int, key long, a double, b double")
     counted = checkpointed(counted.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    model = _fit(docs, counted, n_ends, vocabulary, classes, passes)
+    model = _fit(docs, counted, n_ends, vocabulary, least, classes, passes)
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -133,3 +133,16 @@ def test_exchange_finds_classes():
     pairs[3:, :3] = 50
     member = exchange_clusters(pairs, 2)
     assert len(set(member[:3])) == len(set(member[3:])) == 1 and member[0] != member[3]
+
+
+def test_lm_clusters_words_outside_the_core(spark):
+    rng = np.random.default_rng(3)
+    # All words end alike; a-words and b-words alternate, and only the two of number 0 are in the core.
+    name = lambda kind: f"{kind}{max(0, int(rng.integers(-6, 40)))}xx"
+    rows = [(k, " ".join(name("ab"[at % 2]) for at in range(60))) for k in range(100)]
+    good = " ".join(f"a{k}xx b{k + 1}xx" for k in range(1, 31))
+    bad = " ".join([f"a{k}xx" for k in range(1, 31)] + [f"b{k}xx" for k in range(2, 32)])
+    docs = spark.createDataFrame([*rows, (1000, good), (1001, bad)], "doc_id long, text string")
+    got = {r.doc_id: r for r in score_texts(docs, "doc_id < 1000", vocabulary=2).collect()}
+    assert math.isclose(got[1000].base_score, got[1001].base_score)
+    assert got[1000].score > got[1001].score + 10
