@@ -6,11 +6,13 @@ tables: ``2 * m * k`` MinHash values do the work of ``2 * k * m * m``. Two texts
 in a table with probability ``(1 - (1 - s**k)**m) ** 2``; for the defaults and s = 0.85 all but about
 6 in 100,000 pairs meet, for s = 0.9 all but 6 in 10 million.
 
-Texts that meet form candidate clusters. A cluster of up to ``BLOCK`` texts is confirmed in one group:
-the sizes of all intersections of full shingle sets are one product of 0/1 matrices. In a larger one,
-members are first compared with their buckets' centres (the members whose halves are shared most), so
-a group of g copies costs g comparisons; what that leaves in several components is confirmed in pairs
-of blocks. No link between components is lost either way, and no pair of texts is ever a row.
+Texts that meet form candidate clusters, found by contraction: the tables of left half i and right half i
+first, then, of all tables, those in which two clusters meet. A cluster of up to ``BLOCK`` texts is
+confirmed in one group: the sizes of all intersections of full shingle sets are one product of 0/1
+matrices. In a larger one, members are first compared with their buckets' centres (the members whose
+halves are shared most), so a group of g copies costs g comparisons. Where that leaves several components,
+those that still meet in a table go on: as small clusters of their own, or in pairs of blocks of nodes.
+No link between components is lost, and no pair of texts is ever a row.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from colloquy.functions.storage import checkpointed
 from colloquy.llm.blocks import blocks, distinct_sets, mix, shingle_hashes, word_hashes
 
-__all__ = ["connected_components", "near_duplicates"]
+__all__ = ["connected_components", "contracted", "near_duplicates"]
 
 SHINGLE_WORDS = 5
 HALF_HASHES = 4
@@ -114,30 +116,48 @@ def _near(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """Columns node, component (smallest node reachable) of the nodes in ``links`` (a, b).
+def _roots(parents: DataFrame) -> DataFrame:
+    """The last parent of each node in a forest (node, parent), whose roots are their own parents."""
+    def jump(rows: DataFrame) -> DataFrame:
+        up = rows.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+        return rows.select("node", "parent").join(up, "parent").select("node", F.col("root").alias("parent"), F.col("parent").alias("before"))
+
+    while True:
+        jumped = checkpointed(jump(checkpointed(jump(parents))))
+        parents = jumped.select("node", "parent")
+        if jumped.where("parent <> before").isEmpty():
+            return parents
+
 
-    Labels spread along links and jump to their label's label, so the rounds grow with the logarithm
-    of a component's width. Each round is written to the checkpoint folder. Nulls in ``links`` are
-    ignored; no links give no rows.
+def contracted(members: DataFrame, bucket: tuple[str, ...] = ("bucket",)) -> DataFrame:
+    """Columns node, component (smallest node reachable) of the nodes that share a bucket with another.
+
+    Each node takes the least node of its buckets as parent, and each tree of parents becomes one node:
+    a round costs a row for each (bucket, node) that is left, and buckets with one node are settled. The
+    rounds grow with the logarithm of a component's width. Each is written to the checkpoint folder.
     """
-    edges = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    edges = checkpointed(edges.union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")))
+    labels = None
     while True:
-        spread = (
-            edges.join(labels.select(F.col("node").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        wider = labels.join(spread, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("before"))
-        roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = checkpointed(
-            wider.join(roots, "component", "left").select("node", F.least("component", "root").alias("component"), "before")
-        )
-        labels = jumped.select("node", "component")
-        if jumped.where("component <> before").isEmpty():
+        least = members.groupBy(*bucket).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").drop("hi")
+        members = checkpointed(members.join(least, list(bucket)).select(*bucket, "node", "lo"))
+        if labels is not None and members.isEmpty():
             return labels
+        parents = _roots(members.groupBy("node").agg(F.min("lo").alias("parent")))
+        if labels is None:
+            labels = parents.withColumnRenamed("parent", "component")
+        else:
+            up = parents.select(F.col("node").alias("component"), "parent")
+            labels = checkpointed(labels.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
+        members = members.join(parents, "node").select(*bucket, F.col("parent").alias("node")).distinct()
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """Columns node, component (smallest node reachable) of the nodes in ``links`` (a, b).
+
+    Nulls in ``links`` and links of a node with itself are ignored; no links give no rows.
+    """
+    edges = links.where("a < b or b < a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return contracted(edges.select("a", "b", F.explode(F.array("a", "b")).alias("node")), ("a", "b"))
 
 
 def _linked(nodes: np.ndarray, components: np.ndarray, flat: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -195,45 +215,98 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _centre_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links between each bucket's member of most weight and its other members."""
     top = F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node")))
-    centres = checkpointed(buckets.groupBy("bucket").agg(top.alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("na")))
+    centres = checkpointed(buckets.groupBy("bucket").agg(top.alias("c")))
     pairs = (
         buckets.join(centres, "bucket")
-        .where((F.col("a") != F.col("node")) & _near(F.col("na"), F.col("n"), percent))
-        .select("a", F.col("node").alias("b"))
+        .where((F.col("c.node") != F.col("node")) & _near(F.col("c.n"), F.col("n"), percent))
+        .select(F.col("c.node").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    return _verified(pairs, sets, percent)
+    return checkpointed(_verified(pairs, sets, percent))
+
 
+def _diagonal(nodes: DataFrame) -> DataFrame:
+    """The tables of left half i and right half i: as many rows a node as there are left halves."""
+    rows = nodes.select("node", "n", "weight", F.explode("left").alias("l"), F.col("right")[F.col("l.side")].alias("r"))
+    return rows.where("r is not null").select(F.xxhash64("l.half", "r").alias("bucket"), "node", "n", "weight")
 
-def _confirmed(members: DataFrame, sets_of, percent: int, block: int) -> DataFrame:
-    """Links (a, b) that connect what similar texts connect, from candidate buckets.
 
-    ``members`` has bucket, node, n and weight; ``sets_of`` adds full sets to rows that name nodes.
+def _crossings(nodes: DataFrame) -> DataFrame:
+    """Distinct rows (bucket, node) with the labels that meet others in a table in the place of nodes.
+
+    Halves that only one label has lead to no such table and are dropped before they are paired.
     """
-    least = checkpointed(members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1"))
-    met = members.join(least, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    clusters = connected_components(met).withColumnRenamed("component", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n_nodes"))
-    placed = checkpointed(clusters.join(sizes, "cluster"))
-    packs = F.lit(max(1, -(-placed.where(F.col("n_nodes") <= block).count() // block)))
-    small = placed.where(F.col("n_nodes") <= block).select("node", "cluster", F.pmod(F.xxhash64("cluster"), packs).alias("pack"), F.col("node").alias("component"))
-    links = sets_of(small).groupBy("pack").applyInArrow(_link_groups(percent), "a long, b long")
+    lefts = F.transform("left", lambda x: x.half)
+    halves = nodes.select("node", "label", F.explode(F.concat(lefts, F.map_values("right"))).alias("half"))
+    live = halves.groupBy("half").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("half")
+    kept = halves.join(live, "half").groupBy("node").agg(F.collect_set("half").alias("live"))
+    pruned = nodes.join(kept, "node").select("label", F.array_intersect(lefts, "live").alias("left"), F.array_intersect(F.map_values("right"), "live").alias("right"))
+    rows = pruned.withColumn("l", F.explode("left")).withColumn("r", F.explode("right"))
+    return checkpointed(rows.select(F.xxhash64("l", "r").alias("bucket"), F.col("label").alias("node")).distinct())
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` with the component of ``labels`` as label, or with themselves."""
+    named = labels.select("node", F.col("component").alias("found"))
+    return checkpointed(nodes.drop("label").join(named, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found"))
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Columns node, cluster of the nodes that meet others in any table, transitively."""
+    own = nodes.withColumn("label", F.col("node"))
+    first = contracted(_diagonal(own).select("bucket", "node"))
+    second = contracted(_crossings(_labelled(own, first)))
+    both = first.select("node", "component").unionAll(second.join(first, "node", "left_anti").select("node", F.col("node").alias("component")))
+    up = second.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    return both.join(up, "component", "left").select("node", F.coalesce("cluster", "component").alias("cluster"))
+
+
+def _sized(clusters: DataFrame) -> DataFrame:
+    return checkpointed(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n_nodes")), "cluster"))
+
+
+def _small_links(placed: DataFrame, sets_of, percent: int, block: int) -> DataFrame:
+    """Links of the clusters in ``placed`` (node, cluster, n_nodes, component) of up to ``block`` nodes."""
+    small = placed.where(F.col("n_nodes") <= block)
+    packs = F.lit(max(1, -(-small.count() // block)))
+    small = small.select("node", "cluster", "component", F.pmod(F.xxhash64("cluster"), packs).alias("pack"))
+    return sets_of(small).groupBy("pack").applyInArrow(_link_groups(percent), "a long, b long")
+
+
+def _block_links(placed: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of clusters of any size, by pairs of blocks of ``block / 2`` nodes."""
+    rest = placed.select("node", "component", "cluster", F.ceil(F.col("n_nodes") * 2 / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = rest.select("node", "component", "cluster", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
+    return keyed.join(sets, "node").groupBy("cluster", "b1", "b2").applyInArrow(_link_groups(percent), "a long, b long")
+
+
+def _confirmed(nodes: DataFrame, sets_of, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that connect what similar texts connect.
+
+    ``nodes`` has node, n, weight and its halves ``left`` and ``right``; ``sets_of`` adds full sets to rows
+    that name nodes.
+    """
+    placed = _sized(_candidates(nodes)).withColumn("component", F.col("node"))
+    links = _small_links(placed, sets_of, percent, block)
     large = placed.where(F.col("n_nodes") > block)
     if large.isEmpty():
         return links
     sets = checkpointed(sets_of(large.select("node")).select("node", "shingles"))
-    buckets = checkpointed(members.join(large.select("node"), "node", "left_semi"))
-    starred = checkpointed(_centre_links(buckets, sets, percent))
-    components = connected_components(starred)
-    labelled = large.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = labelled.join(mixed.select("cluster"), "cluster", "left_semi")
-    rest = checkpointed(rest.select("node", "component", "cluster", F.ceil(F.col("n_nodes") * 2 / block).alias("blocks")))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keyed = rest.select("node", "component", "cluster", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
-    crossed = keyed.join(sets, "node").groupBy("cluster", "b1", "b2").applyInArrow(_link_groups(percent), "a long, b long")
-    return links.unionAll(starred).unionAll(crossed)
+    inside = checkpointed(nodes.join(large.select("node", "cluster"), "node"))
+    starred = _centre_links(_diagonal(inside), sets, percent)
+    inside = _labelled(inside, connected_components(starred))
+    counts = inside.groupBy("cluster").agg(F.count("*").alias("n_nodes"), F.count_distinct("label").alias("n_labels"))
+    mixed = checkpointed(inside.join(counts.where("n_labels > 1"), "cluster"))
+    # A table with one component has nothing left to connect. Where few components are left, the tables in
+    # which they meet fall into parts; where most nodes are still alone, the part would be the cluster.
+    joined = mixed.where("4 * n_labels < n_nodes")
+    parts = contracted(_crossings(joined)).select(F.col("node").alias("label"), F.col("component").alias("part"))
+    parts = _sized(joined.join(parts, "label").select("node", F.col("label").alias("component"), F.col("part").alias("cluster")))
+    apart = mixed.where("4 * n_labels >= n_nodes").select("cluster", "node", F.col("label").alias("component"), "n_nodes")
+    wide = parts.where(F.col("n_nodes") > block).unionByName(apart)
+    return links.unionAll(starred).unionAll(_small_links(parts, sets_of, percent, block)).unionAll(_block_links(wide, sets, percent, block))
 
 
 def near_duplicates(
@@ -269,19 +342,16 @@ def near_duplicates(
     )
     half_rows = classes.select("node", "n", F.posexplode("halves").alias("side", "half"))
     common = checkpointed(half_rows.groupBy("half").agg(F.count("*").alias("met")).where("met > 1"))
-    met = (
+    left = F.col("side") < halves
+    met = checkpointed(
         half_rows.join(common, "half")
         .groupBy("node", "n")
         .agg(
-            F.collect_list(F.when(F.col("side") < halves, F.col("half"))).alias("left"),
-            F.collect_list(F.when(F.col("side") >= halves, F.col("half"))).alias("right"),
+            F.collect_list(F.when(left, F.struct("side", "half"))).alias("left"),
+            F.map_from_entries(F.collect_list(F.when(~left, F.struct((F.col("side") - halves).alias("side"), "half")))).alias("right"),
             F.sum("met").alias("weight"),
         )
-    )
-    members = checkpointed(
-        met.select("node", "n", "weight", F.explode("left").alias("l"), "right")
-        .select("node", "n", "weight", "l", F.explode("right").alias("r"))
-        .select(F.xxhash64("l", "r").alias("bucket"), "node", "n", "weight")
+        .where("size(left) > 0 and size(right) > 0")
     )
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -289,7 +359,7 @@ def near_duplicates(
         keyed = nodes.join(classes.select("node", "set_key"), "node")
         return _full_sets(keyed.join(docs, F.col("node") == F.col("doc_id")).drop("doc_id"), shingle_words)
 
-    links = checkpointed(_confirmed(members, sets_of, percent, block).distinct())
+    links = checkpointed(_confirmed(met, sets_of, percent, block).distinct())
     components = connected_components(links)
     ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))

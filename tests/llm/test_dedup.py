@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from sql_compare import DATA, compare
 
+from colloquy.llm import near_dedup
 from colloquy.llm import queries as Q
 from colloquy.llm.near_dedup import connected_components, near_duplicates
 from colloquy.llm.suffix_dedup import SuffixFamily, merged_spans, remove_repeats
@@ -85,6 +86,33 @@ def test_pipeline_drops_copies_of_080_to_085(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()} == want
 
 
+def test_contraction_grows_in_proportion(spark, monkeypatch):
+    made = []
+    contract = near_dedup.contracted
+
+    def counted(members, *a):
+        members = near_dedup.checkpointed(members)
+        made.append(members.count())
+        return contract(members, *a)
+
+    monkeypatch.setattr(near_dedup, "contracted", counted)
+    rows = {}
+    for n in (300, 600):
+        rng = random.Random(8)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts = []
+        for k in range(n):
+            own = list(words)
+            for _ in range(2):
+                own[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
+            texts.append((k, " ".join(own)))
+        made.clear()
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        assert near_duplicates(docs, block=256).where("component_id = 0").count() == n
+        rows[n] = sum(made)
+    assert rows[600] < 2.2 * rows[300] and rows[600] < 40 * 600
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (None, 3), (5, 5)], "a long, b long")
     assert {r.node: r.component for r in connected_components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
