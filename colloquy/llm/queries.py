@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.functions.storage import ensure_checkpoint_dir
+from colloquy.functions.storage import checkpointed, ensure_checkpoint_dir
 from colloquy.llm.brown_lm import score_texts
 from colloquy.llm.decontamination import leaked_items
 from colloquy.llm.language_id import fit_languages, identify_languages
@@ -18,7 +18,7 @@ from colloquy.llm.preferences import conversations_from_turns, format_preference
 from colloquy.llm.quality_knn import fit_quality, score_quality
 from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.suffix_dedup import remove_repeats
-from colloquy.llm.token_rollup import TOKENIZERS, TokenRollup, inserts, token_counts
+from colloquy.llm.token_rollup import TOKENIZERS, TokenRollup, changes, inserts, pattern_tokens
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -132,27 +132,37 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(copies,
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after one batch per tokenizer version, each committed twice, and the deletion of copies."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    """Totals after three batches of all documents: inserts, committed twice; copies deleted; digits blanked.
+
+    Texts are read once, for their digest and all counts before and after the revision.
+    """
+    text = F.col("text")
+    blanked = F.regexp_replace(text, "[0-9]+", " ")
+    counts = F.array(*(F.struct(F.lit(v).alias("tokenizer"), pattern_tokens(text, v).alias("tokens"), pattern_tokens(blanked, v).alias("revised")) for v in TOKENIZERS))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.md5(text.cast("binary")).alias("digest"), counts.alias("counts"))
+    docs = checkpointed(docs)
+    firsts = docs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    marked = docs.join(firsts, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") != F.col("first"), F.lit(False)))
+    rows = checkpointed(marked.select("doc_id", "source", "lang", "copy", F.inline("counts")))
     rollup = TokenRollup(spark, f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    digest = F.md5(F.col("text").cast("binary"))
-    firsts = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"))
-    copies = docs.withColumn("digest", digest).join(firsts, "digest").where("doc_id <> first").select(docs.columns)
-    for version in TOKENIZERS:
-        rollup.commit(f"insert-{version}", inserts(token_counts(docs, version)))
-        rollup.commit(f"insert-{version}", inserts(token_counts(docs, version)))
-        gone = token_counts(copies, version)
-        rollup.commit(f"delete-copies-{version}", gone.select("source", "lang", "tokenizer", F.col("tokens").alias("old_tokens"), F.lit(None).cast("long").alias("new_tokens")))
+    rollup.commit("all", inserts(rows))
+    rollup.commit("all", inserts(rows))
+    gone = rows.where("copy").select("source", "lang", "tokenizer", F.col("tokens").alias("old_tokens"), F.lit(None).cast("long").alias("new_tokens"))
+    rollup.commit("copies", gone)
     rollup.compact()
+    left = rows.where("not copy")
+    rollup.commit("blanked", changes(left, left.withColumn("tokens", F.col("revised"))))
     return rollup.totals()
 
 
 OP2_SQL = rf"""
-WITH d AS (SELECT doc_id, source, lang, text, min(doc_id) OVER (PARTITION BY md5(text)) AS first FROM documents),
-t AS (
-  SELECT source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS n FROM d WHERE doc_id = first OR text IS NULL
+WITH d AS (
+  SELECT source, lang, regexp_replace(text, '[0-9]+', ' ', 'g') AS text FROM documents
+  QUALIFY text IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY md5(documents.text))
+), t AS (
+  SELECT source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS n FROM d
   UNION ALL
-  SELECT source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '{TOKENIZERS["pieces-1"]}')), 0) FROM d WHERE doc_id = first OR text IS NULL
+  SELECT source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '{TOKENIZERS["pieces-1"]}')), 0) FROM d
 )
 SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens FROM t GROUP BY source, lang, tokenizer
 """

@@ -36,16 +36,39 @@ def test_rollup_is_signed_and_idempotent(spark, tmp_path):
     rollup.compact()
     assert state(rollup) == want and rollup.batches() == ["b1", "b2"] and not rollup.commit("b1", inserts(one))
     with pytest.raises(ValueError):
-        rollup.commit("a/b", inserts(one))
+        rollup.commit("", inserts(one))
 
 
-def test_half_written_batch_does_not_count(spark, tmp_path):
+def test_broken_and_double_commits_count_once(spark, tmp_path, monkeypatch):
     rollup = TokenRollup(spark, str(tmp_path))
     rows = inserts(spark.createDataFrame([(1, "a", "en", "v1", 10)], COUNTS))
-    rollup.commit("b1", rows)
-    (tmp_path / "batches/b1/_SUCCESS").unlink()
-    assert state(rollup) == {}
-    assert rollup.commit("b1", rows) and state(rollup) == {("a", "en", "v1"): (1, 10)}
+
+    class Lost(Exception):
+        pass
+
+    def breaks(*a, **b):
+        raise Lost
+
+    # The totals are written, the log row is not.
+    with monkeypatch.context() as m, pytest.raises(Lost):
+        append = TokenRollup._append
+        m.setattr(TokenRollup, "_append", lambda *a: (append(*a), breaks()))
+        rollup.commit("b1", rows)
+    assert rollup.batches() == [] and state(rollup) == {}
+    # Two writers that both found the batch missing.
+    with monkeypatch.context() as m:
+        m.setattr(TokenRollup, "_table", lambda self, name, schema: spark.createDataFrame([], schema))
+        assert rollup.commit("b1", rows) and rollup.commit("b1", rows)
+    assert rollup.batches() == ["b1"] and state(rollup) == {("a", "en", "v1"): (1, 10)}
+    rollup.compact()
+    assert state(rollup) == {("a", "en", "v1"): (1, 10)} and not rollup.commit("b1", rows)
+
+
+def test_changes_of_repeated_keys(spark):
+    one = spark.createDataFrame([(1, "a", "en", "v", 3), (1, "a", "en", "v", 5), (None, "a", "en", "v", 1)], COUNTS)
+    two = spark.createDataFrame([(1, "a", "en", "v", 3), (1, "b", "en", "v", 5), (None, "a", "en", "v", 2)], COUNTS)
+    got = sorted(map(str, (tuple(r) for r in changes(one, two).collect())))
+    assert got == sorted(map(str, [("a", "en", "v", 5, None), ("b", "en", "v", None, 5), ("a", "en", "v", 1, 2)]))
 
 
 def test_counts_of_odd_rows(spark, odd, odd_rows, none, tmp_path):
