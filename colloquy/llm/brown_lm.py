@@ -5,15 +5,15 @@ types to classes: each type moves to the class where the likelihood of class big
 Clustered types are all training words seen ``LEAST`` times or more, whose number grows with the corpus,
 and the endings of all others; word counts cover every training word.
 
-The ``VOCABULARY`` most frequent words and the endings are exchanged first, one at a time until none
-moves. Then all types move in parallel passes: a scan counts, for each type, the classes beside it, in a
-table by ranges of types, and each range moves its types against the class bigrams of the scan. A pass
-that doesn't raise the likelihood is undone and fewer types move at once from then on; the passes end when
-none moves, or when all types have had their turn and the gain stays below ``GAIN``. Words and classes (10
-bytes a word) go to every task.
-
-Words are counted by hash partition. A task sends each partition the distinct words of its texts, and
-gets for every text the sums over its words; of words, only the clustered ones go through the driver.
+Bigrams of types are counted once, in one scan, and kept by type. The ``VOCABULARY`` most frequent words and
+the endings are exchanged first, one at a time until none moves. Then all types move in parallel passes
+over the bigrams: each type sums the classes beside it and moves against the class bigrams of the pass
+before. A pass that doesn't raise the likelihood is undone and fewer types move at once from then on; the
+passes end when none moves, or when all types have had their turn and the gain stays below ``GAIN``. Words
+and classes (10 bytes a word) go to every task.
+
+Frequent words have their counts where the classes are; occurrences of the others, of which each word has
+fewer than ``LEAST`` in training, are joined with the table of counts.
 """
 
 from __future__ import annotations
@@ -40,13 +40,12 @@ LEAST = 10
 GAIN = 1e-4
 #: Of how many types at most one moves in a pass, when passes with more lower the likelihood.
 SPREAD = 16
-#: Types of one row of the context table, and context counts that a task holds.
-RANGE_TYPES = 32_768
+#: Counts that a task holds before it passes them on.
 HELD = 4_000_000
 #: Endings (last two bytes of a word, hashed) for words outside the vocabulary.
 ENDINGS = 251
-#: Bytes of text for each hash partition of words.
-PARTITION_BYTES = 16 << 20
+#: Bigrams, in either direction, of one part of the bigram table.
+PART_PAIRS = 1_000_000
 
 
 def _words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,10 +139,9 @@ class _Types:
             out[known] = at[known]
         return out
 
-    def chains(self, words: np.ndarray, endings: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def chains(self, types: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bigrams (before, after, text) of every text; the end stands before the first word too."""
         end = self.count - 1
-        types = self.of(words, endings)
         sizes = np.bincount(doc, minlength=n) + 1
         stop = np.cumsum(sizes) - 1
         after = np.full(sizes.sum(), end, np.int64)
@@ -156,90 +154,45 @@ class _Types:
         return before, after, np.repeat(np.arange(n), sizes)
 
 
-def _word_rows(parts: int):
-    """Distinct words of every text with their counts, grouped by hash partition."""
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, with the sums of their counts and, for any more columns, a value of each."""
+    keys, counts, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    summed = np.add.reduceat(counts[order], first) if len(first) else counts
+    return keys[first], summed, *(x[order[first]] for x in more)
 
-    def emit(held: list[tuple]) -> pa.RecordBatch:
-        ids, train, doc, word, ending, count = (np.concatenate([x[k] for x in held]) for k in range(6))
-        part = (word >> np.uint64(32)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        names, begin = np.unique(part[order], return_index=True)
-        out: dict[str, list] = {k: [] for k in ("ids", "train", "sizes", "words", "endings", "counts")}
-        for a, b in zip(begin, np.append(begin, len(order))[1:], strict=True):
-            own = order[a:b]
-            docs, first = np.unique(doc[own], return_index=True)
-            columns = (ids[docs], train[docs], np.diff(np.append(first, b - a)).astype(np.int32), word[own], ending[own], np.minimum(count[own], 2**31 - 1).astype(np.int32))
-            for name, values in zip(out, columns, strict=True):
-                out[name].append(pa.Codec("lz4_raw").compress(values.tobytes(), asbytes=True) if name in ("counts", "endings") else values.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), *(pa.array(v, pa.binary()) for v in out.values())], names=["part", *out])
+
+def _counting(of_block, names: tuple[str, ...]):
+    """A task that counts what ``of_block`` finds (keys, counts, ..) and passes partial counts on."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n = base = 0
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            trains = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for block in blocks(batch.column(1)):
-                word, ending, doc = _words(block)
-                order = np.lexsort((word, doc))
-                word, ending, doc = word[order], ending[order], doc[order]
-                first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1]))) if len(word) else np.zeros(0, np.int64)
-                count = np.diff(np.append(first, len(word)))
-                rows = slice(block.rows.start, block.rows.stop)
-                held.append((keys[rows], trains[rows], doc[first] + base, word[first], ending[first], count))
-                base += len(block)
-                n += len(first)
-            if n >= 2_000_000:
-                yield emit(held)
-                held, n, base = [], 0, 0
-        if n:
-            yield emit(held)
+            for block in blocks(batch.column(0)):
+                held.append(of_block(block))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    held = [_merged(held)]
+                    if len(held[0][0]) >= HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=names)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], names=names)
 
     return task
 
 
-def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
-    word = np.frombuffer(row["words"], np.uint64)
-    loose = lambda c, kind: np.frombuffer(pa.Codec("lz4_raw").decompress(row[c], len(word) * np.dtype(kind).itemsize, asbytes=True), kind)
-    doc = np.repeat(np.arange(len(row["ids"]) // 8), np.frombuffer(row["sizes"], np.int32))
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["train"], bool), doc, word, loose("endings", np.int16), loose("counts", np.int32).astype(np.int64)
-
-
-def _count_words(top: int, least: int):
-    """Of one partition: sums for every text (kind 0), totals by ending (1), words seen often or most (2)."""
-
-    def groups(table: pa.Table) -> pa.Table:
-        rows = [_unpacked(r) for r in table.to_pylist()]
-        word, ending, count = (np.concatenate([r[k] for r in rows]) for k in (3, 4, 5))
-        train = np.concatenate([r[1][r[2]] for r in rows])
-        names, inverse = np.unique(word, return_inverse=True)
-        total = np.bincount(inverse[train], weights=count[train], minlength=len(names)).astype(np.int64)
-        own_ending = np.zeros(len(names), np.int64)
-        own_ending[inverse] = ending
-        logs = np.log10(total + 0.5)
-        kind, key, a, b = [], [], [], []
-
-        def add(k: int, keys: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-            kind.append(np.full(len(keys), k, np.int32))
-            key.append(keys.astype(np.int64))
-            a.append(one.astype(np.float64))
-            b.append(two.astype(np.float64))
-
-        at = 0
-        for ids, _, doc, own, _, n in rows:
-            mine = inverse[at : at + len(own)]
-            at += len(own)
-            add(0, ids, np.bincount(doc, weights=n * logs[mine], minlength=len(ids)), np.bincount(doc, weights=n * (total[mine] > 0), minlength=len(ids)))
-        seen = total > 0
-        tokens = np.bincount(own_ending[seen], weights=total[seen], minlength=ENDINGS)
-        types = np.bincount(own_ending[seen], minlength=ENDINGS)
-        add(1, np.arange(ENDINGS), tokens, types)
-        best = np.lexsort((names, -total))
-        best = best[(total[best] > 0) & ((np.arange(len(best)) < top) | (total[best] >= least))]
-        add(2, names[best].view(np.int64), total[best], own_ending[best])
-        return pa.table({"kind": np.concatenate(kind), "key": np.concatenate(key), "a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return groups
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """Columns word, total, ending of every distinct word of ``texts`` (text)."""
+
+    def of_block(block: Block) -> tuple[np.ndarray, ...]:
+        word, ending, _ = _words(block)
+        names, first, n = np.unique(word, return_index=True, return_counts=True)
+        return names.view(np.int64), n, ending[first].astype(np.int32)
+
+    rows = texts.mapInArrow(_counting(of_block, ("word", "n", "ending")), "word long, n long, ending int")
+    return checkpointed(rows.groupBy("word").agg(F.sum("n").alias("total"), F.first("ending").alias("ending")))
 
 
 @dataclass
@@ -250,6 +203,7 @@ class _ClassModel:
     member: np.ndarray
     transitions: np.ndarray
     sizes: np.ndarray
+    word_logs: np.ndarray
     tokens: int
     distinct: int
 
@@ -262,68 +216,60 @@ def _unpack(blob: bytes, kind: type, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the sums of their counts."""
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    names, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(names, kind="stable")
-    names = names[order]
-    first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
-    return names[first], np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
+def _bigrams(texts: DataFrame, types: _Types) -> DataFrame:
+    """Bigrams of types by part: each row holds all bigrams of some types, sorted by type.
 
+    A code is the type after, or ``types.count`` + the type before.
+    """
+    n_types = types.count
 
-def _contexts(docs: DataFrame, types: _Types, member: np.ndarray, n_classes: int) -> tuple[DataFrame, np.ndarray]:
-    """Counts of the classes after and before each type, by range of types; and the class bigrams.
+    def of_block(block: Block) -> tuple[np.ndarray, ...]:
+        word, ending, doc = _words(block)
+        before, after, _ = types.chains(types.of(word, ending), doc, len(block))
+        return np.unique(before * n_types + after, return_counts=True)
 
-    A key is type * 2 * n_classes + class after, or + n_classes + class before.
-    """
-    wide = 2 * n_classes
-    parts = max(24, -(-types.count // RANGE_TYPES))
-    span = -(-types.count // parts) * wide
+    pairs = texts.mapInArrow(_counting(of_block, ("pair", "n")), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = checkpointed(pairs)
+    parts = max(24, -(-2 * pairs.count() // PART_PAIRS))
+    before, after = F.expr(f"pair div {n_types}"), F.col("pair") % n_types
+    both = F.array(F.struct(before.alias("type"), after.alias("code")), F.struct(after.alias("type"), (before + n_types).alias("code")))
+    rows = pairs.select(F.explode(both).alias("r"), "n").select("r.type", "r.code", "n").withColumn("part", F.pmod(F.xxhash64("type"), F.lit(parts)))
 
-    def rows_of(names: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        part, begin = np.unique(names // span, return_index=True)
-        ends = np.append(begin, len(names))[1:]
-        keys = [_pack(np.diff(names[a:b], prepend=p * span).astype(np.int32)) for p, a, b in zip(part, begin, ends, strict=True)]
-        counts = [_pack(count[a:b]) for a, b in zip(begin, ends, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(ends - begin), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["part", "n", "keys", "counts"])
+    def packed(table: pa.Table) -> pa.Table:
+        kinds = table["type"].to_numpy()
+        order = np.argsort(kinds, kind="stable")
+        return pa.table({"n": pa.array([len(order)])} | {c: pa.array([_pack(table[c].to_numpy()[order])], pa.binary()) for c in ("type", "code", "count")})
+
+    rows = rows.withColumnRenamed("n", "count")
+    return checkpointed(rows.repartition(parts, "part").groupBy("part").applyInArrow(packed, "n long, type binary, code binary, count binary"))
+
+
+def _part(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(_unpack(row[c], np.int64, row["n"]) for c in ("type", "code", "count"))
+
+
+def _mapped(bigrams: DataFrame, group: np.ndarray, n_groups: int) -> np.ndarray:
+    """The matrix of bigram counts after each type is replaced by its group."""
+    n_types = len(group)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        grid = np.zeros(n_groups * n_groups, np.int64)
         for batch in batches:
-            for block in blocks(batch.column(0)):
-                before, after, _ = types.chains(*_words(block), len(block))
-                found, n = np.unique(np.concatenate([before * wide + member[after], after * wide + n_classes + member[before]]), return_counts=True)
-                keys.append(found)
-                counts.append(n)
-                if sum(map(len, keys)) >= HELD:
-                    keys, counts = ([x] for x in _summed(keys, counts))
-                    if len(keys[0]) >= HELD // 2:
-                        yield rows_of(keys[0], counts[0])
-                        keys, counts = [], []
-        if keys:
-            yield rows_of(*_summed(keys, counts))
-
-    def merged(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        base = rows[0]["part"] * span
-        names, n = _summed([base + np.cumsum(_unpack(r["keys"], np.int32, r["n"]), dtype=np.int64) for r in rows], [_unpack(r["counts"], np.int64, r["n"]) for r in rows])
-        row, code = member[names // wide], names % wide
-        after = code < n_classes
-        grid = np.bincount(row[after] * n_classes + code[after], weights=n[after], minlength=n_classes**2)
-        return pa.table({"part": pa.array([rows[0]["part"]]), "n": pa.array([len(names)]), "keys": pa.array([_pack(names)], pa.binary()), "counts": pa.array([_pack(n)], pa.binary()), "grid": pa.array([grid.tobytes()], pa.binary())})
-
-    schema = "part long, n long, keys binary, counts binary"
-    table = checkpointed(docs.where("trained").select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(merged, f"{schema}, grid binary"))
-    grid = np.zeros((n_classes, n_classes))
-    for blob in table.select("grid").toArrow()["grid"].to_pylist():
-        grid += np.frombuffer(blob).reshape(n_classes, n_classes)
-    return table, grid
-
-
-def _moves(contexts: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
+            for row in batch.to_pylist():
+                kinds, code, n = _part(row)
+                after = code < n_types
+                cell = group[kinds[after]].astype(np.int64) * n_groups + group[code[after]]
+                grid += np.bincount(cell, weights=n[after], minlength=len(grid)).astype(np.int64)
+        found = np.flatnonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(grid[found])], names=["cell", "n"])
+
+    cells = bigrams.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n_groups * n_groups)
+    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return out.reshape(n_groups, n_groups)
+
+
+def _moves(bigrams: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
     """Types whose turn it is that gain by another class, and that class; the last class is the end's."""
     n_classes = len(grid)
     wide, n_types = 2 * n_classes, len(member)
@@ -334,27 +280,32 @@ def _moves(contexts: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int,
         cells = np.concatenate([grid, grid.T], axis=1)
         for batch in batches:
             for row in batch.to_pylist():
-                names, n = _unpack(row["keys"], np.int64, row["n"]), _unpack(row["counts"], np.int64, row["n"]).astype(np.float64)
-                mine = (mix((names // wide).astype(np.uint64)) % np.uint64(spread) == turn % spread) & (names // wide < n_types - 1)
-                names, n = names[mine], n[mine]
-                if not len(names):
+                kind, code, count = _part(row)
+                mine = (mix(kind.astype(np.uint64)) % np.uint64(spread) == turn % spread) & (kind < n_types - 1)
+                kind, code, count = kind[mine], code[mine], count[mine]
+                if not len(kind):
                     continue
-                first = np.flatnonzero(np.append(True, np.diff(names // wide) != 0))
-                for at in range(0, len(first), 4096):
-                    low, high = first[at], first[at + 4096] if at + 4096 < len(first) else len(names)
-                    own_first, code, count = first[at : at + 4096] - low, names[low:high] % wide, n[low:high]
-                    kinds = names[first[at : at + 4096]] // wide
+                own = np.append(True, kind[1:] != kind[:-1])
+                place, own = np.cumsum(own) - 1, kind[own]
+                beside = member[code % n_types] + n_classes * (code >= n_types)
+                for at in range(0, len(own), 4096):
+                    kinds = own[at : at + 4096]
+                    low, high = np.searchsorted(place, [at, at + len(kinds)])
+                    dense = np.bincount((place[low:high] - at) * wide + beside[low:high], weights=count[low:high], minlength=len(kinds) * wide)
+                    names = np.flatnonzero(dense)
+                    context, n = names % wide, dense[names]
+                    first = np.searchsorted(names, np.arange(len(kinds)) * wide)
                     cls = member[kinds]
-                    each = np.repeat(cls, np.diff(np.append(own_first, high - low)))
-                    # Few (code, count) differ, so the logs are taken once for each.
-                    pair, which = np.unique(np.stack([code, count]), axis=1, return_inverse=True)
+                    each = np.repeat(cls, np.diff(np.append(first, len(names))))
+                    # Few (context, count) differ, so the logs are taken once for each.
+                    pair, which = np.unique(np.stack([context, n]), axis=1, return_inverse=True)
                     cell = cells[:, pair[0].astype(np.int64)].T
                     step = (xlogx(cell + pair[1][:, None]) - xlogx(cell))[which.ravel()]
-                    inside = cells[each, code]
-                    step[np.arange(len(each)), each] = xlogx(inside) - xlogx(inside - count)
-                    gain = np.add.reduceat(step, own_first)
-                    for margin, side in ((left, code < n_classes), (right, code >= n_classes)):
-                        total = np.add.reduceat(np.where(side, count, 0.0), own_first)
+                    inside = cells[each, context]
+                    step[np.arange(len(each)), each] = xlogx(inside) - xlogx(inside - n)
+                    gain = np.add.reduceat(step, first)
+                    for margin, side in ((left, context < n_classes), (right, context >= n_classes)):
+                        total = np.add.reduceat(np.where(side, n, 0.0), first)
                         loss = xlogx(margin + total[:, None]) - xlogx(margin)
                         loss[np.arange(len(cls)), cls] = xlogx(margin[cls]) - xlogx(margin[cls] - total)
                         gain -= loss
@@ -365,7 +316,7 @@ def _moves(contexts: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int,
                     go = gain[np.arange(len(cls)), best] > gain[np.arange(len(cls)), cls] + 1e-9
                     yield pa.RecordBatch.from_arrays([pa.array(kinds[go]), pa.array(best[go])], names=["type", "class"])
 
-    found = contexts.select("n", "keys", "counts").mapInArrow(task, "type long, class long").toArrow()
+    found = bigrams.mapInArrow(task, "type long, class long").toArrow()
     return found["type"].to_numpy(), found["class"].to_numpy()
 
 
@@ -373,15 +324,15 @@ def _likelihood(grid: np.ndarray) -> float:
     return float(xlogx(grid).sum() - xlogx(grid.sum(axis=1)).sum() - xlogx(grid.sum(axis=0)).sum())
 
 
-def _exchange_all(docs: DataFrame, types: _Types, member: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+def _exchange_all(bigrams: DataFrame, member: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all types after parallel passes from ``member``, and their class bigrams."""
     best, turn, spread, gained = None, 0, 2, 0.0
     while True:
-        contexts, grid = _contexts(docs, types, member, n_classes)
+        grid = _mapped(bigrams, member, n_classes)
         score = _likelihood(grid)
         if best is None or score > best[0]:
             gained += score - best[0] if best is not None else 0.0
-            best = (score, member, grid, contexts)
+            best = (score, member, grid)
         else:
             spread *= 2
         if spread > SPREAD:
@@ -391,7 +342,7 @@ def _exchange_all(docs: DataFrame, types: _Types, member: np.ndarray, n_classes:
                 if gained <= GAIN * grid.sum():
                     return best[1], best[2]
                 gained = 0.0
-            kinds, to = _moves(best[3], best[1], best[2], turn, spread)
+            kinds, to = _moves(bigrams, best[1], best[2], turn, spread)
             turn += 1
             if len(kinds):
                 break
@@ -399,53 +350,41 @@ def _exchange_all(docs: DataFrame, types: _Types, member: np.ndarray, n_classes:
         member[kinds] = to
 
 
-def _fit(docs: DataFrame, counted: DataFrame, n_ends: int, vocabulary: int, least: int, classes: int, passes: int | None) -> _ClassModel:
-    words = counted.where("kind = 2").toArrow()
-    key, seen, ending = (words[c].to_numpy() for c in ("key", "a", "b"))
-    rank = np.empty(len(key), np.int64)
-    rank[np.lexsort((key, -seen))] = np.arange(len(key))
-    some = (rank < vocabulary) | (seen >= least)
-    key, seen, ending, rank = key[some].astype(np.int64).view(np.uint64), seen[some], ending[some].astype(np.int64), rank[some]
-    order = np.argsort(key)
-    hashes, tokens_of, ending_of, core = key[order], seen[order], ending[order], rank[order] < vocabulary
-    types, first = _Types(hashes), _Types(hashes[core])
-    n_types, n_first = types.count, first.count
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = np.zeros(n_first * n_first, np.int64)
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                before, after, _ = first.chains(*_words(block), len(block))
-                pair, n = np.unique(before * n_first + after, return_counts=True)
-                grid[pair] += n
-        found = np.flatnonzero(grid)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(grid[found])], names=["pair", "n"])
-
-    pairs = docs.where("trained").select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    grid = np.zeros(n_first * n_first)
-    grid[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    grid = grid.reshape(n_first, n_first)
+def _fit(texts: DataFrame, counted: DataFrame, n_ends: int, vocabulary: int, least: int, classes: int, passes: int | None) -> _ClassModel:
+    top = counted.orderBy(F.desc("total"), "word").limit(vocabulary).toArrow()
+    often = counted.where(F.col("total") >= least).toArrow()
+    word, total, end = (np.concatenate([top[c].to_numpy(), often[c].to_numpy()]) for c in ("word", "total", "ending"))
+    hashes, first_at = np.unique(word.astype(np.int64).view(np.uint64), return_index=True)
+    tokens_of, ending_of = total[first_at].astype(np.float64), end[first_at].astype(np.int64)
+    core = np.isin(hashes, top["word"].to_numpy().astype(np.int64).view(np.uint64))
+    types = _Types(hashes)
+    n_types, n_core = types.count, int(core.sum())
+    bigrams = _bigrams(texts, types)
+
+    # Words outside the core stand under their endings at first.
+    group = np.empty(n_types, np.int64)
+    group[: len(hashes)] = n_core + ending_of
+    group[: len(hashes)][core] = np.arange(n_core)
+    group[len(hashes) :] = n_core + np.arange(ENDINGS + 1)
+    grid = _mapped(bigrams, group, n_core + ENDINGS + 1)
     # The end of a text is a class of its own.
     own = exchange_clusters(grid[:-1, :-1], classes, passes)
     n_classes = int(own.max()) + 2
-    # Other words start in the class of their ending.
-    member = np.empty(n_types, np.int16)
-    member[len(hashes) :] = np.append(own[core.sum() :], n_classes - 1)
-    member[: len(hashes)] = member[len(hashes) + ending_of]
-    member[: len(hashes)][core] = own[: core.sum()]
-    member, between = _exchange_all(docs, types, member, n_classes)
+    member = np.append(own, n_classes - 1).astype(np.int16)[group]
+    member, between = _exchange_all(bigrams, member, n_classes)
     transitions = np.log10((between + 0.5) / (between.sum(axis=1, keepdims=True) + 0.5 * n_classes))
-    by_ending = counted.where("kind = 1").toArrow()
+    by_ending = counted.groupBy("ending").agg(F.sum("total").alias("tokens"), F.count("*").alias("words")).toArrow()
     tokens, distinct = np.zeros(n_types), np.zeros(n_types)
-    place = len(hashes) + by_ending["key"].to_numpy()
-    tokens[place], distinct[place] = by_ending["a"].to_numpy(), by_ending["b"].to_numpy()
+    place = len(hashes) + by_ending["ending"].to_numpy()
+    tokens[place], distinct[place] = by_ending["tokens"].to_numpy(), by_ending["words"].to_numpy()
     np.subtract.at(tokens, len(hashes) + ending_of, tokens_of)
     np.subtract.at(distinct, len(hashes) + ending_of, 1)
     tokens[: len(hashes)], distinct[: len(hashes)] = tokens_of, 1
     tokens[-1], distinct[-1] = n_ends, n_ends > 0
     class_tokens = np.bincount(member, weights=tokens, minlength=n_classes)
     class_words = np.bincount(member, weights=distinct, minlength=n_classes)
-    return _ClassModel(types, member, transitions, np.log10(class_tokens + 0.5 * (class_words + 1)), int(tokens.sum()), int(distinct.sum()))
+    sizes = np.log10(class_tokens + 0.5 * (class_words + 1))
+    return _ClassModel(types, member, transitions, sizes, np.log10(tokens_of + 0.5), int(tokens.sum()), int(distinct.sum()))
 
 
 def score_texts(
@@ -475,45 +414,50 @@ def score_texts(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.expr(train) if train else F.lit(True), F.lit(False)).alias("trained"),
     )
-    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    facts = docs.agg(F.sum(F.octet_length("text")), F.sum(F.col("trained").cast("long"))).first()
-    n_ends = facts[1] or 0
-    parts = int(min(131_072, max(24, (facts[0] or 0) // PARTITION_BYTES)))
-    words = docs.select("key", "text", "trained").mapInArrow(
-        _word_rows(parts), "part long, ids binary, train binary, sizes binary, words binary, endings binary, counts binary"
-    )
-    counted = words.groupBy("part").applyInArrow(_count_words(vocabulary, least), "kind int, key long, a double, b double")
-    counted = checkpointed(counted.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    model = _fit(docs, counted, n_ends, vocabulary, least, classes, passes)
+    texts = docs.where("trained").select("text")
+    n_ends = texts.count()
+    counted = _word_counts(texts)
+    model = _fit(texts, counted, n_ends, vocabulary, least, classes, passes)
+    unknown = float(np.log10(0.5))
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = model.types
         for batch in batches:
-            for block in blocks(batch.column(3)):
-                before, after, text = model.types.chains(*_words(block), len(block))
+            for block in blocks(batch.column(2)):
+                word, ending, doc = _words(block)
+                kinds = types.of(word, ending)
+                before, after, text = types.chains(kinds, doc, len(block))
                 logs = model.transitions[model.member[before], model.member[after]] - model.sizes[model.member[after]]
+                often = kinds < len(types.hashes)
+                seldom = np.bincount(doc[~often], minlength=len(block))
+                known = np.bincount(doc[often], weights=model.word_logs[kinds[often]], minlength=len(block))
                 rows = (block.rows.start, len(block))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(k).slice(*rows) for k in range(3)),
+                        *(batch.column(k).slice(*rows) for k in range(2)),
                         pa.array(np.bincount(text, minlength=len(block))),
+                        pa.array(np.bincount(doc[often], minlength=len(block))),
                         pa.array(np.bincount(text, weights=logs, minlength=len(block))),
+                        pa.array(known + unknown * seldom),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(seldom)).astype(np.int32)), pa.array(word[~often].view(np.int64))),
                     ],
-                    names=["doc_id", "trained", "key", "n_tokens", "chain"],
+                    names=["doc_id", "trained", "n_tokens", "n_often", "chain", "words_log", "seldom"],
                 )
 
-    chained = docs.select("doc_id", "trained", "key", "text").mapInArrow(chains, "doc_id long, trained boolean, key long, n_tokens long, chain double")
-    # Rows that repeat id and text share a key, and its sums count each of them.
-    repeats = docs.groupBy("key").agg(F.count("*").alias("m"))
-    sums = counted.where("kind = 0").select("key", "a", "b").join(repeats, "key").select("key", (F.col("a") / F.col("m")).alias("a"), (F.col("b") / F.col("m")).alias("b"))
+    scheme = "doc_id long, trained boolean, n_tokens long, n_often long, chain double, words_log double, seldom array<long>"
+    # The rows are fixed once written, and so are their numbers.
+    scored = checkpointed(docs.select("doc_id", "trained", "text").mapInArrow(chains, scheme)).withColumn("row", F.monotonically_increasing_id())
+    found = scored.select("row", F.explode("seldom").alias("word")).join(counted.where(F.col("total") < least).select("word", "total"), "word")
+    sums = found.groupBy("row").agg(F.sum(F.log10(F.col("total") + 0.5) - unknown).alias("a"), F.count("*").alias("b"))
     end = F.lit(float(np.log10(n_ends + 0.5)))
     total = F.lit(float(np.log10(model.tokens + 0.5 * (model.distinct + 1))))
-    words_log = F.coalesce("a", F.lit(0.0)) + end
+    words_log = F.col("words_log") + F.coalesce("a", F.lit(0.0)) + end
     score = F.col("chain") + words_log
-    return chained.join(sums, "key", "left").select(
+    return scored.drop("seldom").join(sums, "row", "left").select(
         "doc_id",
         "trained",
         "n_tokens",
-        (F.round(F.coalesce("b", F.lit(0.0))).cast("long") + int(n_ends > 0)).alias("n_known"),
+        (F.col("n_often") + F.coalesce("b", F.lit(0)) + int(n_ends > 0)).cast("long").alias("n_known"),
         F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
         (words_log - F.col("n_tokens") * total).alias("base_score"),
         score.alias("score"),

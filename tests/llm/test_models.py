@@ -12,6 +12,8 @@ from sql_compare import DATA
 from pyspark.sql import functions as F
 
 from colloquy.llm import queries as Q
+from colloquy.llm import brown_lm
+from colloquy.llm.blocks import Block
 from colloquy.llm.brown_lm import exchange_clusters, score_texts
 from colloquy.llm.language_id import fit_languages, identify_languages, viterbi
 from colloquy.llm.quality_knn import fit_quality, score_quality
@@ -135,6 +137,44 @@ def test_exchange_finds_classes():
     assert len(set(member[:3])) == len(set(member[3:])) == 1 and member[0] != member[3]
 
 
+def test_lm_class_scores(spark, odd, odd_rows, monkeypatch):
+    fitted = []
+    fit = brown_lm._fit
+    monkeypatch.setattr(brown_lm, "_fit", lambda *a: fitted.append(fit(*a)) or fitted[0])
+    got = score_texts(odd, "doc_id % 2 = 1", vocabulary=20, least=3, classes=5).collect()
+    model = fitted[0]
+    tokens = lambda t: [*WORD.findall((t or "").translate(LOWER)), None]
+
+    def kind(word):
+        if word is None:
+            return model.types.count - 1
+        data = word.encode()
+        block = Block(range(1), np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return int(model.types.of(*brown_lm._words(block)[:2])[0])
+
+    classes = {x: int(model.member[kind(x)]) for _, t, *_ in odd_rows for x in tokens(t)}
+    train = [tokens(t) for d, t, *_ in odd_rows if d is not None and d % 2 == 1]
+    count = Counter(x for t in train for x in t)
+    pairs = Counter((classes[a], classes[b]) for t in train for a, b in zip([None, *t], t, strict=False))
+    n = len(model.transitions)
+    before = Counter()
+    for (a, _), m in pairs.items():
+        before[a] += m
+    size, words = Counter(), Counter()
+    for x, m in count.items():
+        size[classes[x]] += m
+        words[classes[x]] += 1
+
+    def score(t):
+        chain = zip([None, *tokens(t)], tokens(t), strict=False)
+        return sum(
+            math.log10((pairs[classes[a], classes[b]] + 0.5) / (before[classes[a]] + 0.5 * n)) + math.log10((count[b] + 0.5) / (size[classes[b]] + 0.5 * (words[classes[b]] + 1)))
+            for a, b in chain
+        )
+
+    assert Counter((r.doc_id, round(r.score, 4)) for r in got) == Counter((d, round(score(t), 4)) for d, t, *_ in odd_rows)
+
+
 def test_lm_clusters_words_outside_the_core(spark):
     rng = np.random.default_rng(3)
     # All words end alike; a-words and b-words alternate, and only the two of number 0 are in the core.
