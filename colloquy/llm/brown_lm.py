@@ -45,7 +45,7 @@ HELD = 4_000_000
 #: Endings (last two bytes of a word, hashed) for words outside the vocabulary.
 ENDINGS = 251
 #: Bigrams, in either direction, of one part of the bigram table.
-PART_PAIRS = 1_000_000
+PART_PAIRS = 4_000_000
 
 
 def _words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,11 +217,12 @@ def _unpack(blob: bytes, kind: type, n: int) -> np.ndarray:
 
 
 def _bigrams(texts: DataFrame, types: _Types) -> DataFrame:
-    """Bigrams of types by part: each row holds all bigrams of some types, sorted by type.
+    """Bigrams of types by part: each row holds some types, with all bigrams of each one after another.
 
     A code is the type after, or ``types.count`` + the type before.
     """
     n_types = types.count
+    narrow = _narrow(n_types)
 
     def of_block(block: Block) -> tuple[np.ndarray, ...]:
         word, ending, doc = _words(block)
@@ -236,16 +237,23 @@ def _bigrams(texts: DataFrame, types: _Types) -> DataFrame:
     rows = pairs.select(F.explode(both).alias("r"), "n").select("r.type", "r.code", "n").withColumn("part", F.pmod(F.xxhash64("type"), F.lit(parts)))
 
     def packed(table: pa.Table) -> pa.Table:
-        kinds = table["type"].to_numpy()
-        order = np.argsort(kinds, kind="stable")
-        return pa.table({"n": pa.array([len(order)])} | {c: pa.array([_pack(table[c].to_numpy()[order])], pa.binary()) for c in ("type", "code", "count")})
+        order = np.argsort(table["type"].to_numpy(), kind="stable")
+        kinds, sizes = np.unique(table["type"].to_numpy(), return_counts=True)
+        values = {"type": kinds.astype(narrow), "size": sizes, "code": table["code"].to_numpy()[order].astype(narrow), "count": table["n"].to_numpy()[order]}
+        return pa.table({"n_types": pa.array([len(kinds)]), "n": pa.array([len(order)])} | {c: pa.array([_pack(v)], pa.binary()) for c, v in values.items()})
 
-    rows = rows.withColumnRenamed("n", "count")
-    return checkpointed(rows.repartition(parts, "part").groupBy("part").applyInArrow(packed, "n long, type binary, code binary, count binary"))
+    schema = "n_types long, n long, type binary, size binary, code binary, count binary"
+    return checkpointed(rows.repartition(parts, "part").groupBy("part").applyInArrow(packed, schema))
 
 
-def _part(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(_unpack(row[c], np.int64, row["n"]) for c in ("type", "code", "count"))
+def _narrow(n_types: int) -> type:
+    return np.int32 if 2 * n_types < 2**31 else np.int64
+
+
+def _part(row: dict, narrow: type) -> tuple[np.ndarray, ...]:
+    """Types, how many bigrams each has, and the codes and counts of these."""
+    wanted = (("type", narrow, "n_types"), ("size", np.int64, "n_types"), ("code", narrow, "n"), ("count", np.int64, "n"))
+    return tuple(_unpack(row[c], kind, row[n]) for c, kind, n in wanted)
 
 
 def _mapped(bigrams: DataFrame, group: np.ndarray, n_groups: int) -> np.ndarray:
@@ -256,9 +264,9 @@ def _mapped(bigrams: DataFrame, group: np.ndarray, n_groups: int) -> np.ndarray:
         grid = np.zeros(n_groups * n_groups, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                kinds, code, n = _part(row)
+                kinds, sizes, code, n = _part(row, _narrow(n_types))
                 after = code < n_types
-                cell = group[kinds[after]].astype(np.int64) * n_groups + group[code[after]]
+                cell = np.repeat(group[kinds].astype(np.int64) * n_groups, sizes)[after] + group[code[after]]
                 grid += np.bincount(cell, weights=n[after], minlength=len(grid)).astype(np.int64)
         found = np.flatnonzero(grid)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(grid[found])], names=["cell", "n"])
@@ -278,20 +286,20 @@ def _moves(bigrams: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int,
         left, right = grid.sum(axis=1), grid.sum(axis=0)
         # Column k of both: the counts that a context of code k adds to, by class of the type.
         cells = np.concatenate([grid, grid.T], axis=1)
+        beside_of = np.concatenate([member, member + n_classes])
         for batch in batches:
             for row in batch.to_pylist():
-                kind, code, count = _part(row)
-                mine = (mix(kind.astype(np.uint64)) % np.uint64(spread) == turn % spread) & (kind < n_types - 1)
-                kind, code, count = kind[mine], code[mine], count[mine]
-                if not len(kind):
-                    continue
-                own = np.append(True, kind[1:] != kind[:-1])
-                place, own = np.cumsum(own) - 1, kind[own]
-                beside = member[code % n_types] + n_classes * (code >= n_types)
+                own, sizes, code, count = _part(row, _narrow(n_types))
+                turns = (mix(own.astype(np.uint64)) % np.uint64(spread) == turn % spread) & (own < n_types - 1)
+                mine = np.repeat(turns, sizes)
+                own, sizes, code, count = own[turns], sizes[turns], code[mine], count[mine]
+                beside = beside_of[code]
+                ends = np.cumsum(sizes)
                 for at in range(0, len(own), 4096):
-                    kinds = own[at : at + 4096]
-                    low, high = np.searchsorted(place, [at, at + len(kinds)])
-                    dense = np.bincount((place[low:high] - at) * wide + beside[low:high], weights=count[low:high], minlength=len(kinds) * wide)
+                    kinds, size = own[at : at + 4096], sizes[at : at + 4096]
+                    low, high = ends[at] - size[0], ends[at + len(kinds) - 1]
+                    place = np.repeat(np.arange(len(kinds)) * wide, size)
+                    dense = np.bincount(place + beside[low:high], weights=count[low:high], minlength=len(kinds) * wide)
                     names = np.flatnonzero(dense)
                     context, n = names % wide, dense[names]
                     first = np.searchsorted(names, np.arange(len(kinds)) * wide)
@@ -314,7 +322,7 @@ def _moves(bigrams: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int,
                     gain[:, -1] = -np.inf
                     best = gain.argmax(axis=1)
                     go = gain[np.arange(len(cls)), best] > gain[np.arange(len(cls)), cls] + 1e-9
-                    yield pa.RecordBatch.from_arrays([pa.array(kinds[go]), pa.array(best[go])], names=["type", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds[go].astype(np.int64)), pa.array(best[go])], names=["type", "class"])
 
     found = bigrams.mapInArrow(task, "type long, class long").toArrow()
     return found["type"].to_numpy(), found["class"].to_numpy()
