@@ -17,11 +17,12 @@ No link between components is lost, and no pair of texts is ever a row.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -116,39 +117,25 @@ def _near(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def _roots(parents: DataFrame) -> DataFrame:
-    """The last parent of each node in a forest (node, parent), whose roots are their own parents."""
-    def jump(rows: DataFrame) -> DataFrame:
-        up = rows.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-        return rows.select("node", "parent").join(up, "parent").select("node", F.col("root").alias("parent"), F.col("parent").alias("before"))
-
-    while True:
-        jumped = checkpointed(jump(checkpointed(jump(parents))))
-        parents = jumped.select("node", "parent")
-        if jumped.where("parent <> before").isEmpty():
-            return parents
-
-
 def contracted(members: DataFrame, bucket: tuple[str, ...] = ("bucket",)) -> DataFrame:
     """Columns node, component (smallest node reachable) of the nodes that share a bucket with another.
 
-    Each node takes the least node of its buckets as parent, and each tree of parents becomes one node:
-    a round costs a row for each (bucket, node) that is left, and buckets with one node are settled. The
-    rounds grow with the logarithm of a component's width. Each is written to the checkpoint folder.
+    Each node gives way to the node of least hash in its buckets. A round costs a row for each (bucket,
+    node) that is left, and buckets with one node are settled; as hashes stand in no order, the nodes
+    that are left shrink by a factor each round. Each is written to the checkpoint folder.
     """
-    labels = None
-    while True:
-        least = members.groupBy(*bucket).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").drop("hi")
-        members = checkpointed(members.join(least, list(bucket)).select(*bucket, "node", "lo"))
-        if labels is not None and members.isEmpty():
-            return labels
-        parents = _roots(members.groupBy("node").agg(F.min("lo").alias("parent")))
-        if labels is None:
-            labels = parents.withColumnRenamed("parent", "component")
-        else:
-            up = parents.select(F.col("node").alias("component"), "parent")
-            labels = checkpointed(labels.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
+    labels = members.select("node", F.col("node").alias("component")).limit(0)
+    for turn in itertools.count():
+        least = members.groupBy(*bucket).agg(F.min_by("node", F.xxhash64("node")).alias("top"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        members = checkpointed(members.join(least.where("lo < hi"), list(bucket)).select(*bucket, "node", "top"))
+        if members.isEmpty():
+            break
+        parents = members.groupBy("node").agg(F.min_by("top", F.xxhash64("top")).alias("parent"))
+        up = parents.select(F.col("node").alias("component"), "parent")
+        labels = labels.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component")) if turn else up.select(F.col("component").alias("node"), F.col("parent").alias("component"))
         members = members.join(parents, "node").select(*bucket, F.col("parent").alias("node")).distinct()
+    least = labels.groupBy("component").agg(F.min("node").alias("least"))
+    return checkpointed(labels.join(least, "component").select("node", F.col("least").alias("component")))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -186,22 +173,50 @@ def _linked(nodes: np.ndarray, components: np.ndarray, flat: np.ndarray, bounds:
     return list(zip(nodes[i[pick]].tolist(), nodes[j[pick]].tolist(), strict=True))
 
 
+def _group_links(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+    """The nodes of each cluster in a group, and its links."""
+    table = table.sort_by([("cluster", "ascending"), ("node", "ascending")]).combine_chunks()
+    clusters, nodes, components = (table[c].to_numpy() for c in ("cluster", "node", "component"))
+    sets = table["shingles"].chunk(0) if table["shingles"].num_chunks else pa.array([], pa.list_(pa.int64()))
+    bounds, flat = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
+    first = np.flatnonzero(np.append(True, clusters[1:] != clusters[:-1])) if len(clusters) else np.zeros(0, np.int64)
+    for a, b in zip(first, np.append(first, len(clusters))[1:], strict=True):
+        own = bounds[a : b + 1]
+        yield nodes[a:b], _linked(nodes[a:b], components[a:b], flat[own[0] : own[-1]], own - own[0], percent)
+
+
 def _link_groups(percent: int):
     def groups(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cluster", "ascending"), ("node", "ascending")]).combine_chunks()
-        clusters, nodes, components = (table[c].to_numpy() for c in ("cluster", "node", "component"))
-        sets = table["shingles"].chunk(0) if table["shingles"].num_chunks else pa.array([], pa.list_(pa.int64()))
-        bounds, flat = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
-        first = np.flatnonzero(np.append(True, clusters[1:] != clusters[:-1])) if len(clusters) else np.zeros(0, np.int64)
-        links: list[tuple[int, int]] = []
-        for a, b in zip(first, np.append(first, len(clusters))[1:], strict=True):
-            own = bounds[a : b + 1]
-            links += _linked(nodes[a:b], components[a:b], flat[own[0] : own[-1]], own - own[0], percent)
+        links = [x for _, found in _group_links(table, percent) for x in found]
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return groups
 
 
+def _component_groups(percent: int):
+    """Components of clusters that stand in one group each, with the links of each node."""
+
+    def groups(table: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, int]] = []
+        for nodes, links in _group_links(table, percent):
+            parent, degree = {int(x): int(x) for x in nodes}, dict.fromkeys(nodes.tolist(), 0)
+
+            def root(x: int, parent: dict[int, int] = parent) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for a, b in links:
+                degree[a] += 1
+                degree[b] += 1
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+            out += [(x, root(x), n) for x, n in degree.items()]
+        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("node", "component", "n_links"))})
+
+    return groups
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -265,12 +280,12 @@ def _sized(clusters: DataFrame) -> DataFrame:
     return checkpointed(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n_nodes")), "cluster"))
 
 
-def _small_links(placed: DataFrame, sets_of, percent: int, block: int) -> DataFrame:
-    """Links of the clusters in ``placed`` (node, cluster, n_nodes, component) of up to ``block`` nodes."""
+def _packed(placed: DataFrame, sets_of, block: int) -> GroupedData:
+    """The clusters in ``placed`` (node, cluster, n_nodes, component) of up to ``block`` nodes, in groups with their sets."""
     small = placed.where(F.col("n_nodes") <= block)
     packs = F.lit(max(1, -(-small.count() // block)))
     small = small.select("node", "cluster", "component", F.pmod(F.xxhash64("cluster"), packs).alias("pack"))
-    return sets_of(small).groupBy("pack").applyInArrow(_link_groups(percent), "a long, b long")
+    return sets_of(small).groupBy("pack")
 
 
 def _block_links(placed: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -283,16 +298,16 @@ def _block_links(placed: DataFrame, sets: DataFrame, percent: int, block: int) -
 
 
 def _confirmed(nodes: DataFrame, sets_of, percent: int, block: int) -> DataFrame:
-    """Links (a, b) that connect what similar texts connect.
+    """Columns node, component, n_links of the nodes that meet others: what similar texts connect.
 
     ``nodes`` has node, n, weight and its halves ``left`` and ``right``; ``sets_of`` adds full sets to rows
     that name nodes.
     """
     placed = _sized(_candidates(nodes)).withColumn("component", F.col("node"))
-    links = _small_links(placed, sets_of, percent, block)
+    small = _packed(placed, sets_of, block).applyInArrow(_component_groups(percent), "node long, component long, n_links long")
     large = placed.where(F.col("n_nodes") > block)
     if large.isEmpty():
-        return links
+        return small
     sets = checkpointed(sets_of(large.select("node")).select("node", "shingles"))
     inside = checkpointed(nodes.join(large.select("node", "cluster"), "node"))
     starred = _centre_links(_diagonal(inside), sets, percent)
@@ -306,7 +321,10 @@ def _confirmed(nodes: DataFrame, sets_of, percent: int, block: int) -> DataFrame
     parts = _sized(joined.join(parts, "label").select("node", F.col("label").alias("component"), F.col("part").alias("cluster")))
     apart = mixed.where("4 * n_labels >= n_nodes").select("cluster", "node", F.col("label").alias("component"), "n_nodes")
     wide = parts.where(F.col("n_nodes") > block).unionByName(apart)
-    return links.unionAll(starred).unionAll(_small_links(parts, sets_of, percent, block)).unionAll(_block_links(wide, sets, percent, block))
+    inner = _packed(parts, sets_of, block).applyInArrow(_link_groups(percent), "a long, b long")
+    links = checkpointed(starred.unionAll(inner).unionAll(_block_links(wide, sets, percent, block)).distinct())
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    return small.unionByName(connected_components(links).join(ends, "node"))
 
 
 def near_duplicates(
@@ -359,14 +377,10 @@ def near_duplicates(
         keyed = nodes.join(classes.select("node", "set_key"), "node")
         return _full_sets(keyed.join(docs, F.col("node") == F.col("doc_id")).drop("doc_id"), shingle_words)
 
-    links = checkpointed(_confirmed(met, sets_of, percent, block).distinct())
-    components = connected_components(links)
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
+    components = _confirmed(met, sets_of, percent, block)
     named = checkpointed(
         classes.select("set_key", "node")
         .join(components, "node", "left")
-        .join(degree, "node", "left")
         .select("set_key", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
     component = F.coalesce("component", "doc_id")
