@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import fold
+from colloquy.functions.text import ACCENTED, UNACCENTED, fold
 
 __all__ = ["infer_roles"]
 
@@ -76,6 +76,11 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
+def _folded(name: str) -> str:
+    """A name as :func:`fold` leaves it in speech."""
+    return name.lower().translate(str.maketrans(ACCENTED, UNACCENTED))
+
+
 def _confidence(strength: Column) -> Column:
     return F.least(F.lit(0.95), F.floor((1 - F.exp(-strength / 2.5)) * 100 + 0.5) / 100)
 
@@ -110,7 +115,7 @@ def infer_roles(turns: DataFrame, company: str | None = None, fixed: DataFrame |
     signals: list[tuple[Column, Column | float, str]] = [
         (title.isNotNull() & seller_title, TITLE, "cargo_fornecedor"),
         (title.isNotNull() & ~seller_title & _any(title, CLIENT_TITLES), -TITLE, "cargo_comprador"),
-        *([(said.rlike(rf"\b(?:aqui\s+)?n[ao]\s+{re.escape(company.lower())}\b"), COMPANY, "cita_empresa_vendedora")] if company else []),
+        *([(said.rlike(rf"\b(?:aqui\s+)?n[ao]\s+{re.escape(_folded(company))}\b"), COMPANY, "cita_empresa_vendedora")] if company else []),
         *((said.rlike(p), WORDS, s) for p, s in SELLER_MARKS),
         *((said.rlike(p), -WORDS, s) for p, s in CLIENT_MARKS),
     ]

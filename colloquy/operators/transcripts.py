@@ -80,7 +80,8 @@ def turns(transcripts: DataFrame, text_col: str = "safe") -> DataFrame:
     end = F.coalesce("next", F.length("whole"))
     said = F.substring("whole", (F.col("text_start") + 1).cast("int"), (end - F.col("text_start")).cast("int"))
     trimmed = F.regexp_replace(said, r"^\s+|\s+$", "")
-    return rows.select("doc_id", "turn", "speaker", "title", F.col("text_start").alias("start"), end.alias("end"), trimmed.alias("text"), count_words(said).alias("words"))
+    start = F.col("text_start") + F.length(said) - F.length(F.regexp_replace(said, r"^\s+", ""))
+    return rows.select("doc_id", "turn", "speaker", "title", start.alias("start"), end.alias("end"), trimmed.alias("text"), count_words(said).alias("words"))
 
 
 def attributable(roles: DataFrame) -> DataFrame:
