@@ -127,7 +127,7 @@ def pipeline_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idle_upsell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5."""
     last = D.meetings(spark, sf_dir).groupBy("customer_id").agg(F.max("meeting_date").alias("last_contact"))
-    rows = A.idle_upsell(D.opportunities(spark, sf_dir), D.tasks(spark, sf_dir).where("task_id % 7 = 0"), last, D.AS_OF)
+    rows = A.idle_upsell(D.opportunities(spark, sf_dir), D.tasks(spark, sf_dir), last, D.AS_OF)
     return rows.select("customer_id", F.round("upsell", 2).alias("upsell"), "days_idle")
 
 
@@ -309,7 +309,7 @@ SELECT *, budget::INT + authority::INT + need::INT + timing::INT AS score FROM c
 WITH {MEETINGS}, {TASKS}, {CHANCES}, u AS (SELECT customer_id, sum(value * probability) AS upsell FROM chance GROUP BY 1 HAVING sum(value * probability) > 0),
 l AS (SELECT customer_id, max(meeting_date) AS last FROM m GROUP BY 1)
 SELECT u.customer_id, round(upsell, 2) AS upsell, CAST(date_diff('day', last, {DAY}) AS INTEGER) AS days_idle FROM u JOIN l ON l.customer_id = u.customer_id
-WHERE date_diff('day', last, {DAY}) >= 14 AND NOT EXISTS (SELECT 1 FROM task t WHERE t.customer_id = u.customer_id AND NOT done AND task_id % 7 = 0)
+WHERE date_diff('day', last, {DAY}) >= 14 AND NOT EXISTS (SELECT 1 FROM task t WHERE t.customer_id = u.customer_id AND NOT done)
 """,
     "hours_returned": f"WITH {MEETINGS} SELECT CAST(date_trunc('month', meeting_date) AS DATE) AS month, count(*) AS meetings, count(*) * 12 / 60 AS hours FROM m GROUP BY 1",
     "radar_topics": f"""

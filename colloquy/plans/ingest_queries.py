@@ -19,17 +19,19 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meeting_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of documents that no smaller id already has."""
+    """Keys of all documents, and whether an earlier one already has the same."""
     docs = table(spark, sf_dir, "documents").select("doc_id", I.meeting_key(F.col("source"), F.col("lang"), F.col("text")).alias("meeting_key"))
-    known = docs.where("doc_id % 2 = 0")
-    return I.new_meetings(docs.where("doc_id % 2 = 1"), known).select("doc_id", "meeting_key")
+    again = docs.groupBy("meeting_key").agg(F.min("doc_id").alias("first_id"))
+    later = docs.join(again, "meeting_key").where("doc_id > first_id")
+    new = I.new_meetings(docs.withColumn("own", F.struct("doc_id", "meeting_key")), later.select(F.struct("doc_id", "meeting_key").alias("own")), "own")
+    return new.select("doc_id", "meeting_key", F.lit(False).alias("known")).unionByName(later.select("doc_id", "meeting_key", F.lit(True).alias("known")))
 
 
 def manifest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages' URLs against a manifest of base names."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"^[a-z]+://", "").alias("path"))
     name = F.element_at(F.split("path", "/"), -1)
-    manifest = pages.where("page_id % 3 = 0").select(name.alias("file"), F.col("page_id").alias("ordinal"), F.concat(F.lit("title "), F.col("page_id").cast("string")).alias("title"))
+    manifest = pages.select(name.alias("file"), F.col("page_id").alias("ordinal"), F.concat(F.lit("title "), F.col("page_id").cast("string")).alias("title"))
     return I.manifest_join(pages.select("path").distinct(), manifest).select("path", "ordinal", "title")
 
 
@@ -43,7 +45,7 @@ def evidence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report lines of a batch."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", I.csv_line([F.col("doc_id"), F.col("source"), F.substring("text", 1, 40), F.col("n_chars")]).alias("line"))
+    return docs.select("doc_id", I.csv_line([F.col("doc_id"), F.col("source"), F.col("text"), F.col("n_chars")]).alias("line"))
 
 
 QUERIES = {f.__name__: f for f in (content_dedup, meeting_keys, manifest_join, evidence_index, batch_report)}
@@ -63,10 +65,10 @@ SELECT doc_id, first_id, CASE WHEN doc_id <> first_id THEN 'ignored' ELSE 'text'
 """,
     "meeting_keys": """
 WITH k AS (SELECT doc_id, sha256(coalesce(source, '') || chr(31) || coalesce(lang, '') || chr(31) || coalesce(text, '')) AS meeting_key FROM documents)
-SELECT doc_id, meeting_key FROM k WHERE doc_id % 2 = 1 AND meeting_key NOT IN (SELECT meeting_key FROM k WHERE doc_id % 2 = 0)
+SELECT doc_id, meeting_key, doc_id > min(doc_id) OVER (PARTITION BY meeting_key) AS known FROM k
 """,
     "manifest_join": r"""
-WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), m AS (SELECT string_split(path, '/')[-1] AS file, page_id AS ordinal, 'title ' || page_id AS title FROM p WHERE page_id % 3 = 0),
+WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), m AS (SELECT string_split(path, '/')[-1] AS file, page_id AS ordinal, 'title ' || page_id AS title FROM p),
 forms AS (
   SELECT ordinal, title, lower(file) AS form FROM m UNION SELECT ordinal, title, regexp_replace(lower(file), '\.[^.]*$', '') FROM m
 ), l AS (
@@ -76,6 +78,6 @@ SELECT DISTINCT p.path, ordinal, title FROM p LEFT JOIN j ON j.path = p.path
 """,
     "evidence_index": _offsets("mail", "[a-z0-9.]+@") + " UNION ALL " + _offsets("number", "[0-9]+"),
     "batch_report": """
-SELECT doc_id, doc_id || ';' || coalesce(source, '') || ';' || CASE WHEN regexp_matches(substr(text, 1, 40), '[;"' || chr(13) || chr(10) || ']') THEN '"' || replace(substr(text, 1, 40), '"', '""') || '"' ELSE coalesce(substr(text, 1, 40), '') END || ';' || coalesce(CAST(n_chars AS VARCHAR), '') AS line FROM documents
+SELECT doc_id, doc_id || ';' || coalesce(source, '') || ';' || CASE WHEN regexp_matches(text, '[;"' || chr(13) || chr(10) || ']') THEN '"' || replace(text, '"', '""') || '"' ELSE coalesce(text, '') END || ';' || coalesce(CAST(n_chars AS VARCHAR), '') AS line FROM documents
 """,
 }
