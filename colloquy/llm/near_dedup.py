@@ -34,6 +34,10 @@ __all__ = ["connected_components", "contracted", "near_duplicates"]
 SHINGLE_WORDS = 5
 HALF_HASHES = 4
 HALVES = 14
+#: Rows of a partition of small tables, and partitions that they have at least.
+FEW_ROWS, FEW = 1_000_000, 8
+#: Nodes with their keys (at most 64 bytes each) are sent to all tasks up to this number, else joined by shuffle.
+BROADCAST_NODES = 500_000
 #: Texts of a group that is confirmed at once.
 BLOCK = 1024
 _COLUMNS = 4096
@@ -117,6 +121,11 @@ def _near(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as ``rows`` rows need, so that small tables don't become many files."""
+    return df.coalesce(max(FEW, -(-rows // FEW_ROWS)))
+
+
 def contracted(members: DataFrame, bucket: tuple[str, ...] = ("bucket",)) -> DataFrame:
     """Columns node, component (smallest node reachable) of the nodes that share a bucket with another.
 
@@ -127,13 +136,15 @@ def contracted(members: DataFrame, bucket: tuple[str, ...] = ("bucket",)) -> Dat
     labels = members.select("node", F.col("node").alias("component")).limit(0)
     for turn in itertools.count():
         least = members.groupBy(*bucket).agg(F.min_by("node", F.xxhash64("node")).alias("top"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-        members = checkpointed(members.join(least.where("lo < hi"), list(bucket)).select(*bucket, "node", "top"))
-        if members.isEmpty():
+        members = members.join(least.where("lo < hi"), list(bucket)).select(*bucket, "node", "top")
+        members = checkpointed(_few(members, rows) if turn else members)
+        rows = members.count()
+        if not rows:
             break
         parents = members.groupBy("node").agg(F.min_by("top", F.xxhash64("top")).alias("parent"))
         up = parents.select(F.col("node").alias("component"), "parent")
         labels = labels.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component")) if turn else up.select(F.col("component").alias("node"), F.col("parent").alias("component"))
-        members = members.join(parents, "node").select(*bucket, F.col("parent").alias("node")).distinct()
+        members = _few(_few(members, rows).join(parents, "node").select(*bucket, F.col("parent").alias("node")), rows).distinct()
     least = labels.groupBy("component").agg(F.min("node").alias("least"))
     return checkpointed(labels.join(least, "component").select("node", F.col("least").alias("component")))
 
@@ -283,9 +294,10 @@ def _sized(clusters: DataFrame) -> DataFrame:
 def _packed(placed: DataFrame, sets_of, block: int) -> GroupedData:
     """The clusters in ``placed`` (node, cluster, n_nodes, component) of up to ``block`` nodes, in groups with their sets."""
     small = placed.where(F.col("n_nodes") <= block)
-    packs = F.lit(max(1, -(-small.count() // block)))
+    n = small.count()
+    packs = F.lit(max(1, -(-n // block)))
     small = small.select("node", "cluster", "component", F.pmod(F.xxhash64("cluster"), packs).alias("pack"))
-    return sets_of(small).groupBy("pack")
+    return sets_of(small, n).groupBy("pack")
 
 
 def _block_links(placed: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -300,15 +312,15 @@ def _block_links(placed: DataFrame, sets: DataFrame, percent: int, block: int) -
 def _confirmed(nodes: DataFrame, sets_of, percent: int, block: int) -> DataFrame:
     """Columns node, component, n_links of the nodes that meet others: what similar texts connect.
 
-    ``nodes`` has node, n, weight and its halves ``left`` and ``right``; ``sets_of`` adds full sets to rows
-    that name nodes.
+    ``nodes`` has node, n, weight and its halves ``left`` and ``right``; ``sets_of`` adds full sets to a
+    number of rows that name nodes.
     """
     placed = _sized(_candidates(nodes)).withColumn("component", F.col("node"))
     small = _packed(placed, sets_of, block).applyInArrow(_component_groups(percent), "node long, component long, n_links long")
     large = placed.where(F.col("n_nodes") > block)
     if large.isEmpty():
         return small
-    sets = checkpointed(sets_of(large.select("node")).select("node", "shingles"))
+    sets = checkpointed(sets_of(large.select("node"), large.count()).select("node", "shingles"))
     inside = checkpointed(nodes.join(large.select("node", "cluster"), "node"))
     starred = _centre_links(_diagonal(inside), sets, percent)
     inside = _labelled(inside, connected_components(starred))
@@ -372,9 +384,10 @@ def near_duplicates(
         .where("size(left) > 0 and size(right) > 0")
     )
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
+    def sets_of(nodes: DataFrame, n: int) -> DataFrame:
         # The key tells the text that an id stands for from others under the same id.
         keyed = nodes.join(classes.select("node", "set_key"), "node")
+        keyed = F.broadcast(keyed) if n <= BROADCAST_NODES else keyed
         return _full_sets(keyed.join(docs, F.col("node") == F.col("doc_id")).drop("doc_id"), shingle_words)
 
     components = _confirmed(met, sets_of, percent, block)
