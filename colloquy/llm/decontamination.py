@@ -6,8 +6,9 @@ maximal matches; the longest is marked as a tile, what it overlaps is cut back t
 so on until no match of ``MATCH`` words is left. Tiles may stand in any order, so reordered passages
 count too. An item is leaked when tiles cover ``COVERAGE`` of its words.
 
-The benchmark is the query set: it goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text, each
-a pass over all documents, so what is sent to a task doesn't grow with either table.
+The benchmark is the query set: it goes to the tasks in blocks of about ``BLOCK_BYTES`` of text, each a
+pass over all documents. Blocks are cut within hash buckets, so no task sorts the whole benchmark, and
+only one block is on the driver at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ __all__ = ["greedy_tiles", "leaked_items"]
 MATCH = 4
 COVERAGE = 0.5
 BLOCK_BYTES = 16 << 20
+#: Seed pairs of several texts that are matched at once.
+PAIRS = 1 << 21
 
 
 def greedy_tiles(item_at: np.ndarray, doc_at: np.ndarray, match: int) -> list[tuple[int, int, int]]:
@@ -102,6 +105,19 @@ def _seeds(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray,
     return h[at], at
 
 
+def _pieces(hit: np.ndarray, n: np.ndarray, text: np.ndarray) -> Iterator[np.ndarray]:
+    """Slices of ``hit`` that hold whole texts and, unless one text has more, at most ``PAIRS`` seed pairs."""
+    first = np.flatnonzero(np.append(True, np.diff(text) != 0))
+    pairs = np.add.reduceat(n, first)
+    start, held = 0, 0
+    for k, more in enumerate(pairs):
+        if held and held + more > PAIRS:
+            yield hit[first[start] : first[k]]
+            start, held = k, 0
+        held += int(more)
+    yield hit[first[start] :]
+
+
 def _tiled(items: _Items, match: int, coverage: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,25 +132,26 @@ def _tiled(items: _Items, match: int, coverage: float):
                     hit = np.flatnonzero(high > low)
                     if not len(hit):
                         continue
-                    n = (high - low)[hit]
-                    total = np.cumsum(n)
-                    which = np.arange(total[-1]) + np.repeat(low[hit] - (total - n), n)
-                    place = np.repeat(at[hit], n)
-                    text, item, item_at = doc[place], seed_item[which], seed_at[which]
-                    order = np.lexsort((item_at, item, text))
-                    text, item, item_at, place = text[order], item[order], item_at[order], place[order]
-                    cut = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0)))
-                    for a, b in zip(cut, np.append(cut, len(text))[1:], strict=True):
-                        size = int(items.sizes[item[a]])
-                        # Tiles lie within the shared seeds, which already bound the coverage.
-                        spots = np.unique(item_at[a:b])
-                        bound = width + np.minimum(np.diff(spots), width).sum()
-                        if bound < coverage * size:
-                            continue
-                        tiles = greedy_tiles(item_at[a:b], place[a:b] - begin[text[a]], width)
-                        covered = sum(t[2] for t in tiles)
-                        if covered >= coverage * size:
-                            out.append((block.rows.start + int(text[a]), int(items.ids[item[a]]), size, covered, len(tiles), max(t[2] for t in tiles)))
+                    for piece in _pieces(hit, (high - low)[hit], doc[at[hit]]):
+                        n = (high - low)[piece]
+                        total = np.cumsum(n)
+                        which = np.arange(total[-1]) + np.repeat(low[piece] - (total - n), n)
+                        place = np.repeat(at[piece], n)
+                        text, item, item_at = doc[place], seed_item[which], seed_at[which]
+                        order = np.lexsort((item_at, item, text))
+                        text, item, item_at, place = text[order], item[order], item_at[order], place[order]
+                        cut = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0)))
+                        for a, b in zip(cut, np.append(cut, len(text))[1:], strict=True):
+                            size = int(items.sizes[item[a]])
+                            # Tiles lie within the shared seeds, which already bound the coverage.
+                            spots = np.unique(item_at[a:b])
+                            bound = width + np.minimum(np.diff(spots), width).sum()
+                            if bound < coverage * size:
+                                continue
+                            tiles = greedy_tiles(item_at[a:b], place[a:b] - begin[text[a]], width)
+                            covered = sum(t[2] for t in tiles)
+                            if covered >= coverage * size:
+                                out.append((block.rows.start + int(text[a]), int(items.ids[item[a]]), size, covered, len(tiles), max(t[2] for t in tiles)))
                 if out:
                     row, item, size, covered, tiles, longest = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -163,21 +180,27 @@ def leaked_items(
     Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. ``covered`` counts the item's words in tiles of at
     least ``match`` words (an item with fewer words is one tile or none), and rows have
     ``covered >= coverage * item_words``. Null and wordless documents and items match nothing. Repeated
-    documents and items each give their rows; null ids are carried. Other columns are not read.
+    documents and items each give their rows; null document ids are carried, items without an id are left
+    out. Memory follows the seed pairs of one text, which grow with both repetitions where a text and an
+    item repeat the same words. Other columns are not read.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where(
         F.col("text").isNotNull() & F.col("item_id").isNotNull()
     )
-    items = items.withColumn("size", F.octet_length("text"))
-    order = Window.partitionBy(F.lit(1)).orderBy("item_id", F.md5(F.col("text").cast("binary"))).rowsBetween(Window.unboundedPreceding, 0)
+    items = checkpointed(items.withColumn("size", F.octet_length("text").cast("long")).withColumn("key", F.xxhash64("item_id", "text")))
+    buckets = 1 + (items.agg(F.sum("size")).first()[0] or 0) // block_bytes
+    order = Window.partitionBy("bucket").orderBy("item_id", "key").rowsBetween(Window.unboundedPreceding, 0)
+    items = items.withColumn("bucket", F.pmod("key", F.lit(buckets)))
     items = checkpointed(items.withColumn("block", F.floor((F.sum("size").over(order) - F.col("size")) / block_bytes)))
     schema = "doc_id long, item_id long, item_words long, covered long, n_tiles long, longest long"
     found = None
-    for row in items.select("block").distinct().orderBy("block").collect():
-        held = items.where(F.col("block") == row["block"]).orderBy("item_id", "text").toArrow()
+    names = items.select("bucket", "block").distinct().orderBy("bucket", "block").collect()
+    for row in names:
+        held = items.where((F.col("bucket") == row["bucket"]) & (F.col("block") == row["block"])).orderBy("item_id", "text").toArrow()
         index = _seed_index(held["item_id"].to_pylist(), held["text"].to_pylist(), match)
         part = docs.mapInArrow(_tiled(index, match, coverage), schema)
+        part = checkpointed(part) if len(names) > 1 else part
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = docs.limit(0).select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("item_id", "item_words", "covered", "n_tiles", "longest")))

@@ -1,7 +1,7 @@
 """Language identification of mixed texts: script ranges, word scores and Viterbi spans.
 
 A language's model is its byte trigrams (hashed to ``SLOTS``) and the scripts its training words are
-written in. A word's script leaves only the languages written in it; the word's score for each is the
+written in, by ranges of code points. A word's script (of several, the last in ``SCRIPTS``) leaves only the languages written in it; the word's score for each is the
 log probability of its trigrams. Viterbi then labels the words so that the sum of scores, less
 ``SWITCH`` for every change of language, is largest.
 """
@@ -26,22 +26,47 @@ SWITCH = 8.0
 SCRIPT_SHARE = 0.02
 _FORBIDDEN = -1e4
 
-#: Scripts by the first byte of a UTF-8 character; 0 is no letter (fixed ranges of Unicode).
-SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "southeast", "kana", "han", "hangul", "other")
-_SCRIPT = np.zeros(256, np.uint8)
-_SCRIPT[65:91] = 1
-_SCRIPT[97:123] = 1
-_SCRIPT[0xC3:0xCB] = 1
-_SCRIPT[0xCD:0xD0] = 2
-_SCRIPT[0xD0:0xD5] = 3
-_SCRIPT[0xD5:0xD8] = 4
-_SCRIPT[0xD8:0xE0] = 5
-_SCRIPT[0xE0] = 6
-_SCRIPT[0xE1] = 7
-_SCRIPT[0xE3] = 8
-_SCRIPT[0xE4:0xEA] = 9
-_SCRIPT[0xEA:0xEE] = 10
-_SCRIPT[0xF0:0xF5] = 11
+#: First code points of ranges and their scripts (fixed values of Unicode's blocks); "none" is no letter.
+RANGES = (
+    (0x0000, "none"), (0x0041, "latin"), (0x005B, "none"), (0x0061, "latin"), (0x007B, "none"), (0x00AA, "latin"), (0x00AB, "none"),
+    (0x00B5, "greek"), (0x00B6, "none"), (0x00BA, "latin"), (0x00BB, "none"), (0x00C0, "latin"), (0x00D7, "none"), (0x00D8, "latin"),
+    (0x00F7, "none"), (0x00F8, "latin"), (0x02B0, "none"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"),
+    (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0750, "arabic"), (0x0780, "other"), (0x08A0, "arabic"),
+    (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"), (0x0A80, "gujarati"), (0x0B00, "oriya"), (0x0B80, "tamil"),
+    (0x0C00, "telugu"), (0x0C80, "kannada"), (0x0D00, "malayalam"), (0x0D80, "sinhala"), (0x0E00, "thai"), (0x0E80, "lao"),
+    (0x0F00, "tibetan"), (0x1000, "burmese"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"),
+    (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"),
+    (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "none"), (0x2C00, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2D00, "georgian"),
+    (0x2D30, "other"), (0x2D80, "ethiopic"), (0x2DE0, "cyrillic"), (0x2E00, "none"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"),
+    (0x3190, "none"), (0x31F0, "kana"), (0x3200, "none"), (0x3400, "han"), (0x4DC0, "none"), (0x4E00, "han"), (0xA000, "other"),
+    (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"),
+    (0xFB00, "latin"), (0xFB13, "armenian"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "none"), (0xFE70, "arabic"),
+    (0xFEFF, "none"), (0xFF21, "latin"), (0xFF3B, "none"), (0xFF41, "latin"), (0xFF5B, "none"), (0xFF66, "kana"), (0xFFA0, "hangul"),
+    (0xFFE0, "none"), (0x10000, "other"), (0x1F000, "none"), (0x20000, "han"), (0x40000, "none"),
+)
+SCRIPTS = tuple(dict.fromkeys(name for _, name in RANGES))
+_FROM = np.array([first for first, _ in RANGES], np.uint32)
+_NUMBER = np.array([SCRIPTS.index(name) for _, name in RANGES], np.uint8)
+_ASCII = _NUMBER[np.searchsorted(_FROM, np.arange(256, dtype=np.uint32), "right") - 1]
+_ASCII[128:] = 0
+
+
+def script_numbers(data: np.ndarray) -> np.ndarray:
+    """The script (place in ``SCRIPTS``) of the character that begins at each byte of UTF-8; 0 inside one."""
+    out = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        padded = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
+        b0, b1, b2, b3 = (padded[lead + k] for k in range(4))
+        tail1, tail2, tail3 = b1 & 0x3F, b2 & 0x3F, b3 & 0x3F
+        two = (b0 & 0x1F) << 6 | tail1
+        three = (b0 & 0x0F) << 12 | tail1 << 6 | tail2
+        four = (b0 & 0x07) << 18 | tail1 << 12 | tail2 << 6 | tail3
+        point = np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, four))
+        out[lead] = _NUMBER[np.searchsorted(_FROM, point, "right") - 1]
+    return out
+
+
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
@@ -55,7 +80,7 @@ def word_trigrams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     before[1:], after[:-1] = folded[:-1], folded[1:]
     before[start], after[end - 1] = 0x20, 0x20
     slot = (before * np.uint32(0x9E3779B1) + folded * np.uint32(0x85EBCA77) + after * np.uint32(0xC2B2AE3D)) >> np.uint32(17)
-    letters = _SCRIPT[block.data]
+    letters = script_numbers(block.data)
     script = np.maximum.reduceat(letters, start) if len(start) else np.zeros(0, np.uint8)
     return slot, start, end, doc, script
 
@@ -103,26 +128,26 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
 
 @dataclass
 class LanguageModel:
-    """Log probabilities (SLOTS, languages) and allowed scripts (scripts, languages)."""
+    """Log probabilities (languages, SLOTS) and allowed scripts (scripts, languages)."""
 
     languages: list[str]
     trigrams: np.ndarray
     scripts: np.ndarray
 
-    def label(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word starts, ends, texts and labels of a block."""
+    def label(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word starts, ends, texts, labels and scripts of a block."""
         slot, start, end, doc, script = word_trigrams(block)
         if not len(start):
-            return start, end, doc, np.zeros(0, np.int16)
+            return start, end, doc, np.zeros(0, np.int16), script
         bounds = np.stack([start, end], axis=1).ravel()
-        gathered = self.trigrams[slot]
-        if bounds[-1] == len(gathered):
+        if bounds[-1] == len(slot):
             bounds = bounds[:-1]
-        scores = np.add.reduceat(gathered, bounds, axis=0)[::2]
+        # By language, so that a block's bytes are held once and not for each language.
+        scores = np.stack([np.add.reduceat(logs[slot], bounds)[::2] for logs in self.trigrams], axis=1)
         allowed = self.scripts[script]
         scores = scores + np.where(allowed | ~allowed.any(axis=1, keepdims=True), 0.0, _FORBIDDEN).astype(np.float32)
         scores[script == 0] = 0.0
-        return start, end, doc, viterbi(scores, np.bincount(doc, minlength=len(block)))
+        return start, end, doc, viterbi(scores, np.bincount(doc, minlength=len(block))), script
 
 
 def fit_languages(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", slots: int = SLOTS) -> LanguageModel:
@@ -164,7 +189,7 @@ def fit_languages(labelled: DataFrame, *, text_col: str = "text", lang_col: str
     grams, words = table[:, :slots], table[:, slots:]
     logs = np.log((grams + 0.5) / (grams.sum(axis=1, keepdims=True) + 0.5 * slots))
     scripts = words / np.maximum(words[:, 1:].sum(axis=1, keepdims=True), 1) >= SCRIPT_SHARE
-    return LanguageModel(languages, np.ascontiguousarray(logs.T, np.float32), np.ascontiguousarray(scripts.T))
+    return LanguageModel(languages, logs.astype(np.float32), np.ascontiguousarray(scripts.T))
 
 
 def identify_languages(documents: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,8 +216,8 @@ def identify_languages(documents: DataFrame, model: LanguageModel, *, id_col: st
                 picked, share = np.full(n, n_langs), np.zeros(n)
                 spans = pa.array([[]] * n, pa.list_(span))
                 if known.any():
-                    start, end, doc, labels = model.label(block)
-                    lettered = np.maximum.reduceat(_SCRIPT[block.data], start) > 0 if len(start) else np.zeros(0, bool)
+                    start, end, doc, labels, script = model.label(block)
+                    lettered = script > 0
                     sizes = np.bincount(doc * n_langs + labels, weights=(end - start) * lettered, minlength=n * n_langs).reshape(n, n_langs)
                     best = sizes.argmax(axis=1)
                     picked = np.where(known, best, n_langs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["conversations_from_turns", "format_preferences", "sibling_pairs"]
+__all__ = ["branch_pairs", "conversations_from_turns", "format_preferences"]
 
 #: How a turn is written: opening of its role, text, close. Losses cover text and close.
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
@@ -24,21 +24,20 @@ def conversations_from_turns(turns: DataFrame) -> DataFrame:
     return gathered.select("conv_id", F.transform("placed", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
 
 
-def sibling_pairs(conversations: DataFrame, role: str = TRAINED_ROLE) -> DataFrame:
-    """Pairs (pair_id, chosen, rejected) for chats without recorded preferences.
+def branch_pairs(conversations: DataFrame) -> DataFrame:
+    """Pairs (pair_id, chosen, rejected) for chats without recorded preferences, one for each conversation.
 
-    A conversation up to its last ``role`` turn is chosen. Rejected is the same with that turn's text
-    from the sibling's last such turn, the sibling being the conversation whose id differs in the last
-    bit. Conversations without such a turn, or whose sibling has none, give no pair.
+    A whole conversation is chosen. Rejected leaves it after some of its turns (its id modulo their number)
+    and goes on with its sibling's turns from there, the sibling being the conversation whose id differs in
+    the last bit. Without a sibling, or past the sibling's end, rejected ends there. An empty conversation
+    is left at its start. Conversation ids are unique.
     """
-    places = F.transform("turns", lambda t, i: F.when(t.role == role, i))
-    last = F.array_max(places)
-    own = conversations.withColumn("last", last).where("last is not null")
-    own = own.select("conv_id", F.slice("turns", 1, F.col("last") + 1).alias("chosen"), "last")
-    other = own.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.get(F.col("chosen"), F.col("last")).alias("answer"))
-    both = own.join(other, "conv_id")
-    rejected = F.concat(F.slice("chosen", 1, F.col("last")), F.array("answer"))
-    return both.select(F.col("conv_id").alias("pair_id"), "chosen", rejected.alias("rejected"))
+    other = conversations.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("turns").alias("theirs"))
+    depth = F.pmod(F.col("conv_id"), F.greatest(F.size("turns"), F.lit(1))).cast("int")
+    both = conversations.select("conv_id", "turns", depth.alias("depth")).join(other, "conv_id", "left")
+    theirs = F.coalesce(F.col("theirs"), F.slice("turns", 1, 0))
+    rest = F.slice(theirs, F.col("depth") + 1, F.greatest(F.size(theirs) - F.col("depth"), F.lit(0)))
+    return both.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.col("depth")), rest).alias("rejected"))
 
 
 def _written(turn: Column) -> Column:

@@ -1,8 +1,10 @@
 """Quality rules: fixed limits, then robust multivariate outliers by language and source.
 
 Each text gives a vector of transformed statistics. A minimum-covariance-determinant estimate of a
-group's centre and covariance starts from medians and median deviations and repeats concentration
-steps: fit on the ``SHARE`` of rows that are nearest, measure all rows anew. A text is an outlier when
+group's centre and covariance has several ``STARTS``: medians and median deviations over all
+statistics, and over part of them. Each repeats concentration steps (fit on the ``SHARE`` of rows that
+are nearest, measure all rows anew) until no determinant shrinks by ``STABLE`` of itself, at most
+``STEPS`` times; a group takes the fit of least determinant. A text is an outlier when
 its squared Mahalanobis distance, scaled so that the group's median is that of a chi-squared
 variable, is above ``CUTOFF``. All of it is DataFrame expressions; a group's order statistics come
 from counts of fine bins, so no group is gathered in one task.
@@ -15,15 +17,18 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.storage import checkpointed
 
-__all__ = ["FEATURES", "quality_rules", "text_statistics"]
+__all__ = ["FEATURES", "least_determinant", "quality_rules", "text_statistics"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
-#: Share of a group that a concentration step fits, and the number of steps.
+#: Share of a group that a concentration step fits, and the most steps.
 SHARE = 0.75
-STEPS = 4
+STEPS = 12
+#: Statistics whose distance from the medians, in median deviations, picks a start's first rows.
+STARTS = ((0, 1, 2, 3, 4), (0, 1), (2, 3, 4))
+STABLE = 1e-3
 #: Rows that a group needs for its own estimate; smaller groups pool by language, then altogether.
 LEAST_ROWS = 100
 #: Each statistic's spread that counts as noise: most texts have no symbol and no repeated line, and
@@ -148,11 +153,11 @@ def _start(rows: DataFrame) -> DataFrame:
     return both.groupBy("grp").agg(*medians, *spreads)
 
 
-def _fit(nearest: DataFrame) -> DataFrame:
-    """Mean (m0..) and Cholesky factor (l00, l10, ..) of each group's covariance."""
+def _fit(nearest: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean (m0..), Cholesky factor (l00, l10, ..) and log determinant of the covariance by ``keys``."""
     p = len(FEATURES)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    sums = nearest.groupBy("grp").agg(
+    sums = nearest.groupBy(*keys).agg(
         *(F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)),
         *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in pairs),
     )
@@ -161,12 +166,13 @@ def _fit(nearest: DataFrame) -> DataFrame:
         for k in range(j):
             inner = inner - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(inner, F.lit(NOISE[i] ** 2 / 4))) if i == j else inner / F.col(f"l{j}{j}"))
-    return sums.select("grp", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i, j in pairs))
+    determinant = sum((F.log(f"l{i}{i}") for i in range(1, p)), F.log("l00")) * 2
+    return sums.select(*keys, determinant.alias("logdet"), *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i, j in pairs))
 
 
-def _measured(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def _measured(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance, by forward substitution."""
-    joined = rows.join(fit, "grp")
+    joined = rows.join(fit, keys)
     p = len(FEATURES)
     for i in range(p):
         z = F.col(FEATURES[i]) - F.col(f"m{i}")
@@ -177,6 +183,34 @@ def _measured(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return joined.withColumn("d2", d2).select(*rows.columns, "d2")
 
 
+def least_determinant(rows: DataFrame, share: float, steps: int) -> DataFrame:
+    """The fit of each ``grp`` of ``rows`` (grp and FEATURES): grp, logdet, m0.., l00...
+
+    Bins about 1 % wide stand for the order of distances, so a step fits ``share`` of the rows and those
+    that tie with the last of them.
+    """
+    keys = ["grp", "start"]
+    off = [F.pow((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}"), 2) for i, x in enumerate(FEATURES)]
+    starts = F.array(*(F.struct(F.lit(n).alias("start"), sum((off[i] for i in part), F.lit(0.0)).alias("d2")) for n, part in enumerate(STARTS)))
+    measured = checkpointed(rows.join(_start(rows), "grp").select(*rows.columns, F.inline(starts)))
+    spread = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(len(STARTS) - 1))))
+    best = before = None
+    for _ in range(steps):
+        binned = measured.withColumn("bin", _distance_bin(F.col("d2")))
+        nearest = binned.join(_quantile(binned, keys, "bin", share), keys).where("bin <= cut")
+        fit = checkpointed(_fit(nearest, keys))
+        # Of this step's fits and the best so far: bins can let a determinant grow a little.
+        taken = fit if best is None else best.unionByName(fit)
+        best = checkpointed(taken.groupBy("grp").agg(F.min_by(F.struct("start", *fit.columns[2:]), F.struct("logdet", "start")).alias("f")).select("grp", "f.*"))
+        if before is not None:
+            shrunk = before.select(*keys, F.col("logdet").alias("last")).join(fit, keys).where(F.col("logdet") < F.col("last") - STABLE)
+            if shrunk.isEmpty():
+                break
+        before = fit
+        measured = checkpointed(_measured(spread, fit, keys))
+    return best.drop("start")
+
+
 def quality_rules(
     documents: DataFrame,
     *,
@@ -205,19 +239,11 @@ def quality_rules(
     base = checkpointed(_base(documents, id_col, text_col, lang_col, source_col))
     rows = checkpointed(_grouped(_vectors(base), least_rows))
     fitted = rows.where("grp is not null and not base_failed").select("grp", *FEATURES)
-    start = _start(fitted)
-    d2 = sum((F.pow((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}"), 2) for i, x in enumerate(FEATURES)), F.lit(0.0))
-    measured = checkpointed(fitted.join(start, "grp").select(*fitted.columns, d2.alias("d2")))
-    for step in range(steps):
-        binned = measured.withColumn("bin", _distance_bin(F.col("d2")))
-        nearest = binned.join(_quantile(binned, ["grp"], "bin", share), "grp").where("bin <= cut")
-        fit = checkpointed(_fit(nearest))
-        measured = _measured(fitted, fit)
-        if step < steps - 1:
-            measured = checkpointed(measured)
+    fit = least_determinant(fitted, share, steps)
+    measured = _measured(fitted, fit, ["grp"])
     median = _quantile(measured.withColumn("bin", _distance_bin(F.col("d2"))), ["grp"], "bin", 0.5)
     scale = checkpointed(median.select("grp", (F.pow(F.lit(2.0), (F.col("cut") + 0.5) / BINS) / MEDIAN_5).alias("scale")))
-    judged = _measured(rows.where("grp is not null and not base_failed"), fit).join(scale, "grp")
+    judged = _measured(rows.where("grp is not null and not base_failed"), fit, ["grp"]).join(scale, "grp")
     judged = judged.withColumn("distance", F.col("d2") / F.greatest(F.col("scale"), F.lit(1e-3)))
     rest = rows.where("grp is null or base_failed").withColumn("distance", F.lit(None).cast("double"))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

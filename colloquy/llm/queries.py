@@ -14,7 +14,7 @@ from colloquy.llm.decontamination import leaked_items
 from colloquy.llm.language_id import fit_languages, identify_languages
 from colloquy.llm.mixing import mix_plan
 from colloquy.llm.near_dedup import near_duplicates
-from colloquy.llm.preferences import conversations_from_turns, format_preferences, sibling_pairs
+from colloquy.llm.preferences import branch_pairs, conversations_from_turns, format_preferences
 from colloquy.llm.quality_knn import fit_quality, score_quality
 from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.suffix_dedup import remove_repeats
@@ -185,35 +185,38 @@ def _span_text(spans: str) -> Column:
 
 
 def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = sibling_pairs(conversations_from_turns(_table(spark, sf_dir, "conversations")))
+    pairs = branch_pairs(conversations_from_turns(_table(spark, sf_dir, "conversations")))
     rows = format_preferences(pairs)
     return rows.withColumns({c: _span_text(c) for c in ("chosen_spans", "rejected_spans")})
 
 
 OP8_SQL = """
-WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-own AS (SELECT c.*, l.turn AS last FROM conversations c JOIN last l ON c.conv_id = l.conv_id AND c.turn <= l.turn),
-answer AS (SELECT xor(conv_id, 1) AS conv_id, role, text FROM own WHERE turn = last),
-t AS (
-  SELECT o.conv_id, o.turn, o.role AS c_role, o.text AS c_text,
-    CASE WHEN turn = last THEN a.role ELSE o.role END AS r_role, CASE WHEN turn = last THEN a.text ELSE o.text END AS r_text
-  FROM own o JOIN answer a USING (conv_id)
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS at, conv_id % count(*) OVER (PARTITION BY conv_id) AS depth
+  FROM conversations WHERE conv_id IS NOT NULL
+), r AS (
+  SELECT conv_id, at, role, text FROM own WHERE at < depth
+  UNION ALL
+  SELECT d.conv_id, o.at, o.role, o.text FROM own o JOIN (SELECT DISTINCT conv_id, depth FROM own) d ON o.conv_id = xor(d.conv_id, 1) AND o.at >= d.depth
 ), split AS (
-  SELECT conv_id, coalesce(min(turn) FILTER (WHERE (c_role, c_text) <> (r_role, r_text)), max(turn) + 1) AS rest_from FROM t GROUP BY conv_id
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id,
+    coalesce(min(coalesce(c.at, r.at)) FILTER (WHERE (c.role, c.text) IS DISTINCT FROM (r.role, r.text)), count(*)) AS rest_from
+  FROM own c FULL JOIN r ON c.conv_id = r.conv_id AND c.at = r.at GROUP BY 1
+), both_sides AS (
+  SELECT 'c' AS side, conv_id, at, role, text FROM own UNION ALL SELECT 'r', conv_id, at, role, text FROM r
 ), w AS (
-  SELECT t.*, rest_from, '<|' || c_role || '|>' || chr(10) AS c_open, '<|' || r_role || '|>' || chr(10) AS r_open, '<|end|>' || chr(10) AS close
-  FROM t JOIN split USING (conv_id)
+  SELECT b.*, at >= rest_from AS rest, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS turn_text, length(text) + 8 AS trained
+  FROM both_sides b JOIN split USING (conv_id)
 ), s AS (
-  SELECT *, turn >= rest_from AS rest,
-    sum(CASE WHEN turn >= rest_from THEN length(c_open || c_text || close) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS c_end,
-    sum(CASE WHEN turn >= rest_from THEN length(r_open || r_text || close) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS r_end FROM w
+  SELECT *, sum(CASE WHEN rest THEN length(turn_text) ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY at) AS stop FROM w
 )
-SELECT conv_id AS pair_id, CAST(count(*) FILTER (WHERE NOT rest) AS BIGINT) AS prefix_turns,
-  coalesce(string_agg(c_open || c_text || close, '' ORDER BY turn) FILTER (WHERE NOT rest), '') AS prompt,
-  coalesce(string_agg(c_open || c_text || close, '' ORDER BY turn) FILTER (WHERE rest), '') AS chosen,
-  coalesce(string_agg(r_open || r_text || close, '' ORDER BY turn) FILTER (WHERE rest), '') AS rejected,
-  coalesce(string_agg((c_end - length(c_text || close)) || '-' || c_end, ',' ORDER BY turn) FILTER (WHERE rest AND c_role = 'assistant'), '') AS chosen_spans,
-  coalesce(string_agg((r_end - length(r_text || close)) || '-' || r_end, ',' ORDER BY turn) FILTER (WHERE rest AND r_role = 'assistant'), '') AS rejected_spans
+SELECT conv_id AS pair_id, CAST(count(*) FILTER (WHERE side = 'c' AND NOT rest) AS BIGINT) AS prefix_turns,
+  coalesce(string_agg(turn_text, '' ORDER BY at) FILTER (WHERE side = 'c' AND NOT rest), '') AS prompt,
+  coalesce(string_agg(turn_text, '' ORDER BY at) FILTER (WHERE side = 'c' AND rest), '') AS chosen,
+  coalesce(string_agg(turn_text, '' ORDER BY at) FILTER (WHERE side = 'r' AND rest), '') AS rejected,
+  coalesce(string_agg((stop - trained) || '-' || stop, ',' ORDER BY at) FILTER (WHERE side = 'c' AND rest AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg((stop - trained) || '-' || stop, ',' ORDER BY at) FILTER (WHERE side = 'r' AND rest AND role = 'assistant'), '') AS rejected_spans
 FROM s GROUP BY conv_id
 """
 
@@ -222,7 +225,8 @@ def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_languages(docs.where(_fold(5) != 0))
     held_out = F.coalesce(_fold(5) == 0, F.lit(False))
-    return identify_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.start.cast("string"), s.end.cast("string"), s.lang)), ",")
+    return identify_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", spans.alias("spans"))
 
 
 def op10_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

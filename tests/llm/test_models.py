@@ -15,9 +15,10 @@ from colloquy.llm import queries as Q
 from colloquy.llm import brown_lm
 from colloquy.llm.blocks import Block
 from colloquy.llm.brown_lm import exchange_clusters, score_texts
-from colloquy.llm.language_id import fit_languages, identify_languages, viterbi
-from colloquy.llm.quality_knn import fit_quality, score_quality
-from colloquy.llm.quality_rules import quality_rules
+from colloquy.llm.language_id import SCRIPTS, fit_languages, identify_languages, script_numbers, viterbi
+from colloquy.llm.quality_knn import LatentVectors, fit_quality, score_quality
+from colloquy.llm import quality_rules as rules
+from colloquy.llm.quality_rules import FEATURES, least_determinant, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -37,6 +38,25 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows.values())
 
 
+def test_votes_match_plain_neighbours():
+    rng = np.random.default_rng(2)
+    counts, seen = rng.random((300, 20)).astype(np.float32), rng.random((70, 20)).astype(np.float32)
+    counts[5] = 0
+    model = LatentVectors(np.ones(20, np.float32), np.eye(20, 6, dtype=np.float32), np.zeros(0), rng.integers(0, 2, 70), rng.random(70) + 0.5, 0.25)
+    model.vectors = model.project(seen)
+    got = model.votes(counts, 9)
+    for k, row in enumerate(counts):
+        own = np.log1p(100.0 * row)[:6]
+        near = []
+        for j, other in enumerate(seen):
+            theirs = np.log1p(100.0 * other)[:6]
+            cosine = own @ theirs / max(1e-9, math.dist(own, np.zeros(6)) * math.dist(theirs, np.zeros(6)))
+            near.append((-cosine, j))
+        votes = [((-c) ** 8 * model.weights[j], model.labels[j]) for c, j in sorted(near)[:9]]
+        want = sum(w * label for w, label in votes) / sum(w for w, _ in votes) if row.any() else 0.25
+        assert math.isclose(got[k], want, abs_tol=1e-4)
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1), (9, 0), (3, 0), (None, 1), (99, 1), (7, 5)], "doc_id long, label int")
     got = score_quality(odd, fit_quality(odd, labels)).collect()
@@ -72,6 +92,35 @@ def test_quality_rules_outliers(spark):
     assert not any(r.kept for r in got if r.doc_id >= 1000)
 
 
+def test_least_determinant_against_many_starts(spark):
+    rng = np.random.default_rng(9)
+    noise = np.array(rules.NOISE)
+    groups = {}
+    for g, (n, bad) in {"a": (120, 0.0), "b": (160, 0.2)}.items():
+        x = rng.normal(size=(n, 5)) * noise * 4 + 3
+        x[: int(n * bad)] += noise * 60
+        groups[g] = x
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "grp string, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = {r.grp: r for r in least_determinant(rows, 0.75, 12).collect()}
+
+    def fit(part):
+        return part.mean(axis=0), np.cov(part.T, bias=True) + np.diag(noise**2)
+
+    for g, x in groups.items():
+        h, least = math.ceil(len(x) * 0.75), math.inf
+        for _ in range(300):
+            own = x[rng.choice(len(x), 6, replace=False)]
+            for _ in range(30):
+                mean, cov = fit(own)
+                d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+                own = x[np.argsort(d)[:h]]
+            least = min(least, np.linalg.slogdet(fit(own)[1])[1])
+        # Rows that tie within a bin of 1 % enlarge the fitted part a little.
+        assert least - 1e-6 <= got[g].logdet <= least + 0.15, (g, least, got[g].logdet)
+        if g == "b":
+            assert all(abs(got[g][f"m{k}"] - 3) < noise[k] * 2 for k in range(5))
+
+
 def test_language_held_out(spark):
     got = {r.doc_id: r for r in Q.op9_language_spans(spark, DATA).collect()}
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
@@ -93,6 +142,19 @@ def test_language_spans_of_mixed_text(spark):
     assert [got[k].lang_pred for k in (2, 3, 4)] == ["und"] * 3 and got[5].lang_pred in model.languages
 
 
+def test_scripts_by_code_point():
+    text = "aé ß1 Жд ქართ ሰላም tiếng 日本 かな 한국 αβ עב عر कख 😀 ไทย –"
+    got = script_numbers(np.frombuffer(text.encode(), np.uint8))
+    at, seen = 0, []
+    for c in text:
+        seen.append((c, SCRIPTS[got[at]]))
+        assert not got[at + 1 : at + len(c.encode())].any()
+        at += len(c.encode())
+    want = {"é": "latin", "Ж": "cyrillic", "ქ": "georgian", "ሰ": "ethiopic", "ế": "latin", "日": "han", "か": "kana", "한": "hangul"}
+    want |= {"α": "greek", "ע": "hebrew", "ع": "arabic", "क": "devanagari", "😀": "none", "ไ": "thai", "–": "none", "1": "none"}
+    assert {c: s for c, s in seen if c in want} == want
+
+
 def test_language_of_odd_rows(odd, none):
     assert identify_languages(odd, fit_languages(odd)).count() == odd.count()
     assert {r.lang_pred for r in identify_languages(odd, fit_languages(none)).collect()} == {"und"}

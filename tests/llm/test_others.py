@@ -6,13 +6,14 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from sql_compare import DATA
 from pyspark.sql import functions as F
 
 from colloquy.llm.decontamination import greedy_tiles, leaked_items
 from colloquy.llm.mixing import mix_plan, mixed_documents
-from colloquy.llm.preferences import conversations_from_turns, format_preferences, sibling_pairs
+from colloquy.llm.preferences import branch_pairs, conversations_from_turns, format_preferences
 from colloquy.llm.token_rollup import TokenRollup, bpe_counts, changes, inserts, token_counts
 
 COUNTS = "doc_id long, source string, lang string, tokenizer string, tokens long"
@@ -124,8 +125,6 @@ def brute_tiles(item, doc, match):
 
 
 def test_tiles_match_brute_force():
-    import numpy as np
-
     rng = random.Random(8)
     for _ in range(60):
         item, doc = ([rng.randrange(4) for _ in range(n)] for n in (18, 30))
@@ -169,9 +168,33 @@ def test_conversations_with_nulls(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (0, 0, None, None), (0, 1, "assistant", "c"), (None, 0, "user", "x"), (3, 0, "user", "alone")]
     talks = conversations_from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert {r.conv_id: len(r.turns) for r in talks.collect()} == {1: 3, 0: 2, 3: 1}
-    pairs = {r.pair_id: r for r in sibling_pairs(talks).collect()}
-    assert set(pairs) == {0, 1} and pairs[0].rejected[-1].text == "b" and pairs[0].chosen[-1].text == "c"
-    assert format_preferences(sibling_pairs(talks.limit(0))).count() == 0
+    pairs = {r.pair_id: r for r in branch_pairs(talks).collect()}
+    said = lambda turns: [t.text for t in turns]
+    assert {k: (said(r.chosen), said(r.rejected)) for k, r in pairs.items()} == {0: (["", "c"], ["a", "b", "b"]), 1: (["a", "b", "b"], ["a", "c"]), 3: (["alone"], [])}
+    assert format_preferences(branch_pairs(talks.limit(0))).count() == 0
+
+
+def test_branches_part_at_different_depths(spark):
+    talks = conversations_from_turns(spark.read.parquet(f"{DATA}/conversations.parquet"))
+    got = format_preferences(branch_pairs(talks)).collect()
+    assert len(got) == talks.count() and len({r.prefix_turns for r in got}) > 2
+
+
+def test_benchmark_blocks_and_pieces_agree(spark, monkeypatch):
+    from colloquy.llm import decontamination
+
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"v{rng.randrange(30)}" for _ in range(n))
+    items = [(k, text(12)) for k in range(20)]
+    docs = [(k, " ".join([text(40), items[k % 20][1], text(40)])) for k in range(50)] + [(99, "v1 " * 300)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (50, "v1 " * 40)], "item_id long, text string")
+    whole = Counter(leaked_items(docs, items).collect())
+    assert whole == Counter(leaked_items(docs, items, block_bytes=100).collect()) and len(whole) >= 51
+    # A closure refers to the module's constant by name, so tasks see a small limit only here.
+    hit, n, of = np.arange(6), np.array([1, 5, 2, 2, 9, 1]), np.array([0, 0, 1, 2, 3, 4])
+    monkeypatch.setattr(decontamination, "PAIRS", 7)
+    pieces = list(decontamination._pieces(hit, n, of))
+    assert [p.tolist() for p in pieces] == [[0, 1], [2, 3], [4], [5]]
 
 
 def test_pipeline_stages_keep_contract(spark):
