@@ -193,30 +193,30 @@ def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH own AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS at, conv_id % count(*) OVER (PARTITION BY conv_id) AS depth
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place, conv_id % count(*) OVER (PARTITION BY conv_id) AS depth
   FROM conversations WHERE conv_id IS NOT NULL
 ), r AS (
-  SELECT conv_id, at, role, text FROM own WHERE at < depth
+  SELECT conv_id, place, role, text FROM own WHERE place < depth
   UNION ALL
-  SELECT d.conv_id, o.at, o.role, o.text FROM own o JOIN (SELECT DISTINCT conv_id, depth FROM own) d ON o.conv_id = xor(d.conv_id, 1) AND o.at >= d.depth
+  SELECT d.conv_id, o.place, o.role, o.text FROM own o JOIN (SELECT DISTINCT conv_id, depth FROM own) d ON o.conv_id = xor(d.conv_id, 1) AND o.place >= d.depth
 ), split AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id,
-    coalesce(min(coalesce(c.at, r.at)) FILTER (WHERE (c.role, c.text) IS DISTINCT FROM (r.role, r.text)), count(*)) AS rest_from
-  FROM own c FULL JOIN r ON c.conv_id = r.conv_id AND c.at = r.at GROUP BY 1
+    coalesce(min(coalesce(c.place, r.place)) FILTER (WHERE (c.role, c.text) IS DISTINCT FROM (r.role, r.text)), count(*)) AS rest_from
+  FROM own c FULL JOIN r ON c.conv_id = r.conv_id AND c.place = r.place GROUP BY 1
 ), both_sides AS (
-  SELECT 'c' AS side, conv_id, at, role, text FROM own UNION ALL SELECT 'r', conv_id, at, role, text FROM r
+  SELECT 'c' AS side, conv_id, place, role, text FROM own UNION ALL SELECT 'r', conv_id, place, role, text FROM r
 ), w AS (
-  SELECT b.*, at >= rest_from AS rest, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS turn_text, length(text) + 8 AS trained
+  SELECT b.*, place >= rest_from AS rest, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS turn_text, length(text) + 8 AS trained
   FROM both_sides b JOIN split USING (conv_id)
 ), s AS (
-  SELECT *, sum(CASE WHEN rest THEN length(turn_text) ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY at) AS stop FROM w
+  SELECT *, sum(CASE WHEN rest THEN length(turn_text) ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY place) AS stop FROM w
 )
 SELECT conv_id AS pair_id, CAST(count(*) FILTER (WHERE side = 'c' AND NOT rest) AS BIGINT) AS prefix_turns,
-  coalesce(string_agg(turn_text, '' ORDER BY at) FILTER (WHERE side = 'c' AND NOT rest), '') AS prompt,
-  coalesce(string_agg(turn_text, '' ORDER BY at) FILTER (WHERE side = 'c' AND rest), '') AS chosen,
-  coalesce(string_agg(turn_text, '' ORDER BY at) FILTER (WHERE side = 'r' AND rest), '') AS rejected,
-  coalesce(string_agg((stop - trained) || '-' || stop, ',' ORDER BY at) FILTER (WHERE side = 'c' AND rest AND role = 'assistant'), '') AS chosen_spans,
-  coalesce(string_agg((stop - trained) || '-' || stop, ',' ORDER BY at) FILTER (WHERE side = 'r' AND rest AND role = 'assistant'), '') AS rejected_spans
+  coalesce(string_agg(turn_text, '' ORDER BY place) FILTER (WHERE side = 'c' AND NOT rest), '') AS prompt,
+  coalesce(string_agg(turn_text, '' ORDER BY place) FILTER (WHERE side = 'c' AND rest), '') AS chosen,
+  coalesce(string_agg(turn_text, '' ORDER BY place) FILTER (WHERE side = 'r' AND rest), '') AS rejected,
+  coalesce(string_agg((stop - trained) || '-' || stop, ',' ORDER BY place) FILTER (WHERE side = 'c' AND rest AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg((stop - trained) || '-' || stop, ',' ORDER BY place) FILTER (WHERE side = 'r' AND rest AND role = 'assistant'), '') AS rejected_spans
 FROM s GROUP BY conv_id
 """
 
