@@ -75,11 +75,14 @@ def _in_period(signals: DataFrame, as_of: dt.date, days: int) -> DataFrame:
     return signals.where(F.col("date") >= F.lit(as_of - dt.timedelta(days=days))) if days else signals
 
 
-def pain_radar(signals: DataFrame, as_of: dt.date, days: int = 0) -> DataFrame:
+def pain_radar(signals: DataFrame, as_of: dt.date, days: int = 0, customers: DataFrame | None = None, topics: tuple[str, ...] = ()) -> DataFrame:
     """topic, occurrences, clients, recent, earlier, change of pains in the last ``days`` (0: all).
 
-    Recent is the later half of the period, or the last 45 days of an unbounded one.
+    Recent is the later half of the period, or the last 45 days of an unbounded one. ``customers``
+    (customer_id), as those of one segment, and ``topics``, as those of one unit, narrow the signals.
     """
+    signals = signals if customers is None else signals.join(customers.select("customer_id"), "customer_id", "left_semi")
+    signals = signals.where(F.col("topic").isin(*topics)) if topics else signals
     half = as_of - dt.timedelta(days=int(days / 2 + 0.5) if days else 45)
     recent = (F.col("date") >= F.lit(half)).cast("long")
     rows = _in_period(signals, as_of, days).groupBy("topic").agg(

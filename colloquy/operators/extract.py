@@ -157,6 +157,19 @@ def statements(sentences: DataFrame, entries: list[Entry], least_words: int = 0,
     return hits.select("doc_id", "label", "weight", "quote", F.col("hit_start").alias("start"))
 
 
+def tasks(sentences: DataFrame, ours: list[Entry], theirs: list[Entry], meeting_date: Column) -> DataFrame:
+    """doc_id, side, responsible, quote, due, start: promises by the form of their verb, whoever speaks.
+
+    ``sentences`` also has speaker and ``after``, folded text from the sentence's start on to 80 characters
+    past its end, in which the due date is sought. A side's repeated sentences count once, the first.
+    """
+    own = lexicon_hits(sentences, ours).withColumn("task_side", F.lit("ours"))
+    rows = own.unionByName(lexicon_hits(sentences, theirs).withColumn("task_side", F.lit("theirs")))
+    first = F.min_by(F.struct("speaker", "after", "start"), F.struct("start", "hit_start")).alias("f")
+    found = rows.groupBy("doc_id", F.col("task_side").alias("side"), "quote").agg(first)
+    return found.select("doc_id", "side", F.col("f.speaker").alias("responsible"), "quote", deadline(F.col("f.after"), meeting_date).alias("due"), F.col("f.start").alias("start"))
+
+
 def risks(churn: DataFrame, rivals: DataFrame) -> DataFrame:
     """doc_id, risk, severity of churn signals (weight 20: high, 14: medium, else low) and active competitors."""
     severity = F.when(F.col("weight") >= 20, "high").when(F.col("weight") >= 14, "medium").otherwise("low")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["bant_cycle", "competitor_portrait", "latest_analyses", "mention_counts", "memory_before", "score_series", "strongest_stack", "task_status"]
+__all__ = ["bant_cycle", "competitor_portrait", "customer_peaks", "latest_analyses", "mention_counts", "memory_before", "score_series", "strongest_stack", "task_status"]
 
 # Product statuses, the strongest first.
 STATUSES = ("em_uso", "em_avaliacao", "oportunidade", "mencionado")
@@ -22,6 +22,21 @@ def latest_analyses(analyses: DataFrame, key: str = "meeting_id", order: tuple[s
     return analyses.groupBy(key).agg(best).select(key, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
+def customer_peaks(meetings: DataFrame, powers: tuple[str, ...]) -> DataFrame:
+    """customer_id, top_power, top_meeting, budget, budget_meeting: the persona of most power, the first that
+    has it, and the latest budget that names an amount.
+
+    ``powers`` goes from least to most; a power that isn't listed is below all, null is no persona.
+    """
+    at = F.struct("meeting_date", "meeting_id")
+    rank = F.array_position(F.array(*map(F.lit, powers)), F.col("power"))
+    level = meetings.where("power is not null").groupBy("customer_id", rank.alias("rank")).agg(F.min_by(F.struct("power", "meeting_id"), at).alias("p"))
+    top = level.groupBy("customer_id").agg(F.max_by("p", "rank").alias("p"))
+    latest = meetings.where("budget is not null").groupBy("customer_id").agg(F.max_by(F.struct("budget", "meeting_id"), at).alias("b"))
+    rows = meetings.select("customer_id").distinct().join(top, "customer_id", "left").join(latest, "customer_id", "left")
+    return rows.select("customer_id", F.col("p.power").alias("top_power"), F.col("p.meeting_id").alias("top_meeting"), F.col("b.budget").alias("budget"), F.col("b.meeting_id").alias("budget_meeting"))
+
+
 def memory_before(meetings: DataFrame) -> DataFrame:
     """Adds what each meeting remembers: prior_meetings, prior_interests (abstentions left out),
     prior_interest_last, and memory (null unless a prior interest exists)."""

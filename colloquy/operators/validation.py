@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["accuracy", "band_error", "binary_scores", "confusion", "false_positives", "holdout_gap", "nearest_rank", "role_accuracy", "set_scores"]
+__all__ = ["accuracy", "band_error", "binary_scores", "confusion", "corpus_coverage", "false_positives", "holdout_gap", "nearest_rank", "role_accuracy", "set_scores"]
 
 
 def _scores(hit: Column, extra: Column, missed: Column) -> list[Column]:
@@ -15,6 +15,32 @@ def _scores(hit: Column, extra: Column, missed: Column) -> list[Column]:
     return [p.alias("precision"), r.alias("recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1")]
 
 
+def corpus_coverage(samples: DataFrame, price: str, units: tuple[str, ...] = ()) -> DataFrame:
+    """One row of counts of annotated samples: total, dev, holdout, with_rival, with_price, with_churn,
+    with_upsell, with_budget, without_signal, one count for each of ``units``, scenarios.
+
+    ``samples`` has part, rivals, objections and units (arrays), churn and upsell (booleans), budget and
+    scenario; null arrays count as empty, null booleans as false.
+    """
+    true = lambda c: F.coalesce(c, F.lit(False))
+    count = lambda c, name: F.count_if(true(c)).alias(name)
+    rival, objection = true(F.size("rivals") > 0), true(F.size("objections") > 0)
+    said = rival | objection | true(F.col("churn")) | true(F.col("upsell")) | F.col("budget").isNotNull()
+    return samples.agg(
+        F.count("*").alias("total"),
+        count(F.col("part") == "dev", "dev"),
+        count(F.col("part") == "holdout", "holdout"),
+        count(rival, "with_rival"),
+        count(F.array_contains("objections", price), "with_price"),
+        count(F.col("churn"), "with_churn"),
+        count(F.col("upsell"), "with_upsell"),
+        count(F.col("budget").isNotNull(), "with_budget"),
+        count(~said, "without_signal"),
+        *(count(F.array_contains("units", u), f"unit_{u}") for u in units),
+        F.countDistinct("scenario").alias("scenarios"),
+    )
+
+
 def set_scores(gold: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("field",)) -> DataFrame:
     """keys, hits, extra, missed, precision, recall, f1 of items (keys, sample, item), each counted once."""
     columns = [*keys, "sample", "item"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import accounts as A
+from colloquy.operators import export as E
 from colloquy.operators import memory as M
 from colloquy.operators import scores as S
 from colloquy.plans import driver_tables as D
@@ -141,6 +142,28 @@ def radar_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.pain_radar(D.signals(spark, sf_dir), D.AS_OF_SIGNALS, 30)
 
 
+def pain_radar_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radar of one segment's customers and one unit's topics."""
+    customers = D.accounts(spark, sf_dir).where("segment = 'BUILDING'")
+    return A.pain_radar(D.signals(spark, sf_dir), D.AS_OF_SIGNALS, 30, customers, ("click", "view"))
+
+
+POWERS = ("user", "influencer", "decider")
+
+
+def customer_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most powerful persona and latest budget of each customer."""
+    power = F.array(*map(F.lit, ("unknown", *POWERS)))[(F.col("meeting_id") * 3 % 5).cast("int")]
+    rows = D.meetings(spark, sf_dir).withColumn("power", F.when(F.col("meeting_id") * 3 % 5 < 4, power))
+    return M.customer_peaks(rows.withColumn("budget", F.when(F.col("churn_risk").isNotNull(), F.col("budget"))), POWERS)
+
+
+def crm_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each meeting as a JSON and a CSV document."""
+    rows = E.crm_rows(*(f(spark, sf_dir) for f in (D.meetings, D.opportunities, D.competitors)))
+    return rows.select("meeting_id", E.json_document(rows.columns).alias("json"), E.csv_document(rows.columns).alias("csv"))
+
+
 def radar_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six newest signals of each topic."""
     return A.pain_examples(D.signals(spark, sf_dir), D.AS_OF_SIGNALS).select("topic", "rank", "signal_id", "customer_id")
@@ -206,7 +229,7 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     latest_per_key, memory_prior, churn_pass, interest_scores, trust_scores, health_scores, mention_counts, stack_status, competitor_portrait, task_status, bant_cycle, tower,
-    accounts_at_risk, revenue_at_risk, pipeline_by_unit, idle_upsell, hours_returned, radar_topics, radar_examples, radar_units, alerts_top1, alert_counts, coaching, overdue_tasks,
+    accounts_at_risk, revenue_at_risk, pipeline_by_unit, idle_upsell, hours_returned, customer_peaks, crm_export, radar_topics, pain_radar_segment, radar_examples, radar_units, alerts_top1, alert_counts, coaching, overdue_tasks,
     worst_accounts, customer_list, reliability_histogram, warnings_topk, correction_rates, table_counts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -316,6 +339,31 @@ WHERE date_diff('day', last, {DAY}) >= 14 AND NOT EXISTS (SELECT 1 FROM task t W
 SELECT event_type AS topic, count(*) AS occurrences, count(DISTINCT user_id) AS clients, count(*) FILTER (WHERE CAST(ts AS DATE) >= {SIGNAL_DAY} - 15) AS recent, count(*) FILTER (WHERE CAST(ts AS DATE) < {SIGNAL_DAY} - 15) AS earlier,
   count(*) FILTER (WHERE CAST(ts AS DATE) >= {SIGNAL_DAY} - 15) - count(*) FILTER (WHERE CAST(ts AS DATE) < {SIGNAL_DAY} - 15) AS change
 FROM events WHERE CAST(ts AS DATE) >= {SIGNAL_DAY} - 30 GROUP BY 1
+""",
+    "pain_radar_segment": f"""
+SELECT event_type AS topic, count(*) AS occurrences, count(DISTINCT user_id) AS clients, count(*) FILTER (WHERE recent) AS recent, count(*) FILTER (WHERE NOT recent) AS earlier,
+  count(*) FILTER (WHERE recent) - count(*) FILTER (WHERE NOT recent) AS change
+FROM (SELECT *, CAST(ts AS DATE) >= {SIGNAL_DAY} - 15 AS recent FROM events WHERE CAST(ts AS DATE) >= {SIGNAL_DAY} - 30 AND event_type IN ('click', 'view'))
+WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1
+""",
+    "customer_peaks": """
+WITH p AS (
+  SELECT o_custkey AS customer_id, o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderkey * 3 % 5 AS rank, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS budget FROM orders
+), t AS (SELECT customer_id, id, ['unknown', 'user', 'influencer', 'decider'][rank + 1] AS power FROM p WHERE rank < 4 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY rank DESC, d, id) = 1),
+b AS (SELECT customer_id, id, budget FROM p WHERE budget IS NOT NULL QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY d DESC, id DESC) = 1)
+SELECT c.customer_id, t.power AS top_power, t.id AS top_meeting, b.budget, b.id AS budget_meeting FROM (SELECT DISTINCT customer_id FROM p) c LEFT JOIN t USING (customer_id) LEFT JOIN b USING (customer_id)
+""",
+    "crm_export": f"""
+WITH {MEETINGS}, o AS (
+  SELECT l_orderkey AS meeting_id, string_agg(item, '; ' ORDER BY item) AS opportunities, string_agg(rival, '; ' ORDER BY rival) AS competitors FROM (
+    SELECT l_orderkey, l_returnflag || '-' || l_linestatus || ' [' || CAST(round(l_discount * 8 * 100) AS INTEGER) || '%]' AS item,
+      'rival ' || (l_suppkey % 27) || CASE WHEN l_quantity > 40 THEN ' (active)' ELSE ' (past)' END AS rival FROM lineitem) GROUP BY 1
+), r AS (
+  SELECT m.meeting_id, customer_id, CAST(meeting_date AS VARCHAR) AS "date", CAST(interest AS INTEGER) AS interest, CAST(churn AS INTEGER) AS churn_risk, CAST(trust AS INTEGER) AS trust,
+    coalesce(opportunities, '') AS opportunities, coalesce(competitors, '') AS competitors FROM m LEFT JOIN o USING (meeting_id)
+)
+SELECT meeting_id, CAST(to_json(r) AS VARCHAR) AS json, chr(65279) || 'meeting_id,customer_id,date,interest,churn_risk,trust,opportunities,competitors' || chr(13) || chr(10)
+  || concat_ws(',', meeting_id, customer_id, "date", coalesce(CAST(interest AS VARCHAR), ''), coalesce(CAST(churn_risk AS VARCHAR), ''), trust, opportunities, competitors) AS csv FROM r
 """,
     "radar_examples": "SELECT event_type AS topic, CAST(row_number() OVER w AS INTEGER) AS rank, event_id AS signal_id, user_id AS customer_id FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) QUALIFY row_number() OVER w <= 6",
     "radar_units": "SELECT CASE WHEN event_type IN ('click', 'view') THEN 'web' WHEN event_type = 'purchase' THEN 'sales' ELSE 'undefined' END AS unit, count(*) AS occurrences FROM events GROUP BY 1",

@@ -37,6 +37,8 @@ REMARKS = (
     " Vamos cancelar o contrato.",
     " O suporte da Beta é ruim, mas o preço está caro e combinamos um desconto.",
     " Não vamos comprar nada.",
+    " Vou enviar a proposta em 15 dias.",
+    " Preciso que você mande o contrato até 31/01.",
 )
 NEEDS = [Entry("closing", "vamos fechar", 5.0), Entry("cancel", "cancelar", 20.0), Entry("bad_support", "suporte[^.]{0,20}ruim", 14.0), Entry("discount", "desconto", 3.0)]
 CHURN = ("cancel", "bad_support")
@@ -47,6 +49,7 @@ DENIAL, RESOLUTION, OTHER = "nao|sem", "combinamos|resolvido", "banco"
 PRODUCTS = [Entry("Acme", "acme", group="erp"), Entry("Acme Payroll", "acme folha", group="hr")]
 CONTEXTS = {"possession": "usamos", "evaluating": "avaliamos", "opportunity": "queremos"}
 REFUSAL = "nao vamos comprar"
+OURS, THEIRS = "vou enviar", "preciso que voce"
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +73,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = T.sentences(turns).join(roles.select("doc_id", F.lower("speaker").alias("key"), "side"), [F.lower(turns.speaker) == F.col("key"), turns.doc_id == roles.doc_id])
     order = Window.partitionBy(turns.doc_id).orderBy("sentence_start")
     rows = rows.select(
-        turns.doc_id, (F.row_number().over(order) - 1).alias("sentence_no"), F.col("sentence_start").alias("start"), T.fold(F.col("sentence")).alias("search"), F.col("sentence").alias("quote"), "side"
+        turns.doc_id, (F.row_number().over(order) - 1).alias("sentence_no"), F.col("sentence_start").alias("start"), T.fold(F.col("sentence")).alias("search"), F.col("sentence").alias("quote"), "side", turns.speaker
     )
     return rows, T.attributable(roles)
 
@@ -133,9 +136,19 @@ def meeting_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return due.where("due is not null").select("doc_id", F.col("start").cast("long").alias("start_at"), "due")
 
 
+def meeting_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promises of both sides with the date that follows within 80 characters."""
+    rows, _ = _sentences(spark, sf_dir)
+    whole = _transcripts(spark, sf_dir).select("doc_id", T.fold(F.col("text")).alias("whole"))
+    after = F.substring("whole", (F.col("start") + 1).cast("int"), F.length("quote") + 80)
+    rows = rows.join(whole, "doc_id").withColumn("after", after).drop("whole")
+    found = X.tasks(rows, [Entry("task", OURS)], [Entry("task", THEIRS)], F.lit(MEETING))
+    return found.select("doc_id", "side", "responsible", "due", F.col("start").cast("long").alias("start_at"), _digest("quote").alias("quote_md5"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (transcript_turns, speaker_roles, transcript_sentences, client_statements, client_objections, meeting_risks, product_status, meeting_deadlines)
+    for f in (transcript_turns, speaker_roles, transcript_sentences, client_statements, client_objections, meeting_risks, product_status, meeting_deadlines, meeting_tasks)
 }
 
 _LIST = ", ".join(f"'{r}'" for r in REMARKS)
@@ -207,7 +220,7 @@ _SENTENCES = f"""{_ROLES}, cut AS (
 ), bare AS (
   SELECT *, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS quote, length(piece) - length(regexp_replace(piece, '^\\s+', '')) AS lead FROM pieces
 ), sentences AS (
-  SELECT b.doc_id, CAST(row_number() OVER (PARTITION BY b.doc_id ORDER BY b.turn, i) - 1 AS BIGINT) AS sentence_no, CAST(start_at + shift + lead AS BIGINT) AS start_at, side, quote,
+  SELECT b.doc_id, CAST(row_number() OVER (PARTITION BY b.doc_id ORDER BY b.turn, i) - 1 AS BIGINT) AS sentence_no, CAST(start_at + shift + lead AS BIGINT) AS start_at, side, b.speaker, quote,
     {FOLD.replace("text", "quote")} AS search, NOT attributable OR side = 'client' AS client
   FROM bare b JOIN roles r ON r.doc_id = b.doc_id AND r.speaker = b.speaker JOIN sides x ON x.doc_id = b.doc_id WHERE length(quote) > 0
 )"""
@@ -274,4 +287,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY rank, sta
   FROM sentences
 )
 SELECT * FROM due WHERE due IS NOT NULL""",
+    "meeting_tasks": f"""WITH {_SENTENCES}, docs AS (
+  SELECT doc_id, {FOLD.replace("text", "string_agg(label || said, chr(10) ORDER BY turn)")} AS whole FROM placed GROUP BY doc_id
+), h AS (
+  SELECT *, 'ours' AS task_side FROM sentences WHERE {_has(OURS, "search")} UNION ALL SELECT *, 'theirs' FROM sentences WHERE {_has(THEIRS, "search")}
+), a AS (SELECT h.*, substr(whole, start_at + 1, length(quote) + 80) AS after_text FROM h JOIN docs USING (doc_id) QUALIFY row_number() OVER (PARTITION BY h.doc_id, task_side, quote ORDER BY start_at) = 1)
+SELECT doc_id, task_side AS side, speaker AS responsible, start_at, md5(quote) AS quote_md5,
+  CASE WHEN contains(after_text, '31/01') THEN DATE '2024-01-31' WHEN {_has("em 15 dias", "after_text")} THEN DATE '2024-01-25' WHEN {_has("segunda", "after_text")} THEN DATE '2024-01-15' END AS due
+FROM a""",
 }

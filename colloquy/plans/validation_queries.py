@@ -75,9 +75,22 @@ def holdout_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("field", *(F.round(c, 9).alias(c) for c in ("dev", "holdout", "gap")), "suspect")
 
 
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as annotated samples."""
+    k = F.col("o_orderkey")
+    some = lambda test, value: F.when(test, F.array(F.lit(value))).otherwise(F.array().cast("array<string>"))
+    part = F.when(F.col("o_orderstatus") == "F", "holdout").otherwise("dev").alias("part")
+    objections = F.when(k % 4 == 0, F.array(F.lit("price"))).when(k % 4 == 1, F.array(F.lit("time"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "orders").select(
+        part, some(k % 3 == 0, "rival").alias("rivals"), objections.alias("objections"), some(k % 11 == 0, "finance").alias("units"), (k % 5 == 0).alias("churn"), (k % 7 == 0).alias("upsell"),
+        F.when(k % 2 == 0, F.col("o_totalprice")).alias("budget"), F.col("o_orderpriority").alias("scenario"),
+    )
+    return V.corpus_coverage(rows, "price", ("finance",))
+
+
 QUERIES = {
     f"validation_{f.__name__}": f
-    for f in (set_scores, binary_scores, accuracy, band_error, confusion, percentile_nearest, false_positives, role_accuracy, holdout_gap)
+    for f in (set_scores, binary_scores, accuracy, band_error, confusion, percentile_nearest, false_positives, role_accuracy, holdout_gap, coverage)
 }
 
 PAIRS = """p AS (
@@ -127,6 +140,11 @@ WITH t AS (SELECT conv_id AS sample, turn, CASE role WHEN 'assistant' THEN 'sell
 s AS (SELECT sample, count(*) AS judged, count(*) FILTER (WHERE gold = found) AS ok, count(*) FILTER (WHERE (turn = 0) = (gold = 'seller')) AS first_right,
   coalesce(bool_and(gold <> found) FILTER (WHERE decided), false) AS inverted FROM t GROUP BY sample)
 SELECT CAST(sum(judged) AS BIGINT) AS judged, CAST(sum(ok) AS BIGINT) AS right, CAST(sum(first_right) AS BIGINT) AS first_right, CAST(sum(inverted::INT) AS BIGINT) AS inverted FROM s
+""",
+    "validation_coverage": """
+SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus <> 'F') AS dev, count(*) FILTER (WHERE o_orderstatus = 'F') AS holdout, count(*) FILTER (WHERE k % 3 = 0) AS with_rival, count(*) FILTER (WHERE k % 4 = 0) AS with_price, count(*) FILTER (WHERE k % 5 = 0) AS with_churn,
+  count(*) FILTER (WHERE k % 7 = 0) AS with_upsell, count(*) FILTER (WHERE k % 2 = 0) AS with_budget, count(*) FILTER (WHERE k % 3 <> 0 AND k % 4 NOT IN (0, 1) AND k % 5 <> 0 AND k % 7 <> 0 AND k % 2 <> 0) AS without_signal,
+  count(*) FILTER (WHERE k % 11 = 0) AS unit_finance, count(DISTINCT o_orderpriority) AS scenarios FROM (SELECT *, o_orderkey AS k FROM orders)
 """,
     "validation_holdout_gap": """
 WITH r AS (SELECT event_type AS field, avg((event_id % 100) / 100) FILTER (WHERE event_id % 5 < 3) AS dev, avg((event_id % 100) / 100) FILTER (WHERE event_id % 5 >= 3) AS holdout FROM events GROUP BY 1)
