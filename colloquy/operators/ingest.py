@@ -38,15 +38,20 @@ def batch_duplicates(items: DataFrame, *, id_col: str, text_col: str) -> DataFra
 
 
 def manifest_join(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files (path) with the manifest row (file, ordinal, ..) that names them: by whole path, else by base
-    name, with or without extension; the first row wins. Each form of the manifest keeps its first row
-    before the join, so a file meets three rows at most."""
+    """Files (path) with the manifest row (file, ordinal, ..) that names them: by whole path, else by the end
+    of the path that has most folders, else by base name, with or without extension; the first row wins.
+    Each form of the manifest keeps its first row before the join, so a file meets one row for each of its
+    folders and two more at most."""
     base = lambda c: F.element_at(F.split(F.lower(c), "/"), -1)
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
     forms = lambda c: F.array_distinct(F.array(F.lower(c), base(c), stem(base(c))))
-    left = files.select("path", F.posexplode(forms(F.col("path"))).alias("rank", "form"))
+    parts = F.split(F.lower("path"), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    named = F.array_distinct(F.concat(ends, F.array(stem(base(F.col("path"))))))
+    left = files.select("path", F.posexplode(named).alias("rank", "form"))
     rest = manifest.columns
-    right = manifest.select(F.struct(*rest).alias("m"), F.explode(forms(F.col("file"))).alias("form"))
+    file = F.trim(F.regexp_replace("file", r"\\", "/"))
+    right = manifest.select(F.struct(*rest).alias("m"), F.explode(forms(file)).alias("form"))
     right = right.groupBy("form").agg(F.min_by("m", "m.ordinal").alias("m"))
     best = left.join(right, "form").groupBy("path").agg(F.min_by("m", "rank").alias("m"))
     return files.join(best, "path", "left").select(*files.columns, *(F.col(f"m.{c}").alias(c) for c in rest))

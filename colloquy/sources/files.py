@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["decode", "docx_text", "items_of_files", "read_files", "sheet_rows", "unpack"]
+__all__ = ["decode", "docx_text", "items_of_files", "odt_text", "read_files", "rtf_text", "sheet_rows", "unpack"]
 
 # The limits of an item's text, nesting of archives, and what systems leave in them.
 LEAST_CHARS, MOST_CHARS = 20, 1_500_000
@@ -26,6 +26,11 @@ TEXT = ("txt", "md", "vtt", "srt", "sbv", "csv", "tsv", "json", "log")
 AUDIO = ("mp3", "wav", "m4a", "ogg", "flac", "aac", "mp4", "webm")
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+OPEN = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
+# RTF destinations whose groups hold no text, and control words that stand for characters.
+RTF_HIDDEN = {"colortbl", "fonttbl", "footer", "header", "info", "listtable", "pict", "stylesheet"}
+RTF_CHARACTERS = {"par": "\n", "line": "\n", "tab": "\t", "bullet": "\u2022", "emdash": "\u2014", "endash": "\u2013", "lquote": "\u2018", "rquote": "\u2019"}
+RTF_TOKEN = re.compile(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-f]{2})|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.IGNORECASE)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +55,49 @@ def docx_text(raw: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{WORD}t")) for p in root.iter(f"{WORD}p"))
 
 
+def odt_text(raw: bytes) -> str:
+    """Paragraphs and headings of an open document, a line each, with its tabs, breaks and repeated spaces."""
+
+    def text_of(node: ElementTree.Element) -> str:
+        inner = {f"{OPEN}tab": "\t", f"{OPEN}line-break": "\n"}.get(node.tag, node.text or "")
+        if node.tag == f"{OPEN}s":
+            inner = " " * int(node.get(f"{OPEN}c", "1"))
+        return inner + "".join(text_of(c) + (c.tail or "") for c in node)
+
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        root = ElementTree.fromstring(z.read("content.xml"))
+    return "\n".join(text_of(p) for p in root.iter() if p.tag in (f"{OPEN}p", f"{OPEN}h"))
+
+
+def rtf_text(raw: bytes) -> str:
+    """The text of an RTF document. Groups of fonts, styles, pictures and the like, and those marked as
+    optional, hold none; bytes are Windows-1252, and the replacement after a Unicode character is skipped."""
+    if not raw.startswith(b"{\\rtf"):
+        raise ValueError("not RTF")
+    out: list[str] = []
+    hidden, skip, stack = False, 0, []
+    for word, number, code, symbol, brace, plain in RTF_TOKEN.findall(raw.decode("cp1252", errors="replace")):
+        if brace == "{":
+            stack.append(hidden)
+        elif brace == "}":
+            hidden, skip = stack.pop() if stack else False, 0
+        elif symbol == "*" or word in RTF_HIDDEN:
+            hidden = True
+        elif hidden:
+            continue
+        elif word == "u" and number:
+            out.append(chr(int(number) % 65_536))
+            skip = 1
+        elif word:
+            out.append(RTF_CHARACTERS.get(word, ""))
+        else:
+            text = bytes([int(code, 16)]).decode("cp1252", errors="replace") if code else {"~": "\u00a0", "_": "-"}.get(symbol, symbol if symbol in "\\{}" else "") or plain
+            out.append(text[skip:])
+            skip = max(0, skip - len(text))
+    # Characters beyond the first plane come as two halves.
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", errors="replace")
+
+
 def sheet_rows(raw: bytes) -> list[list[str]]:
     """Cells of a workbook's first sheet, with shared and inline strings."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -116,6 +164,8 @@ def _item(path: str, raw: bytes | None, reason: str | None) -> tuple[str, str, s
     try:
         if kind == "docx":
             text = docx_text(raw)
+        elif kind in ("odt", "rtf"):
+            text = odt_text(raw) if kind == "odt" else rtf_text(raw)
         elif kind == "xlsx":
             text = "\n".join("\t".join(r) for r in sheet_rows(raw))
         elif kind in TEXT:
