@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["REDACTION_RULES", "WORD", "blank", "bounded", "clauses", "context", "count_words", "evidence", "fold", "matches", "mentions", "once", "redact", "words"]
+__all__ = ["REDACTION_RULES", "WORD", "blank", "bounded", "clauses", "context", "count_words", "evidence", "fold", "matches", "mentions", "once", "redact", "redactions", "words"]
 
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}'-]*"
 
@@ -99,6 +99,25 @@ def redact(text: Column, rules: tuple[tuple[str, str], ...] = REDACTION_RULES) -
     return text
 
 
+def redactions(text: Column, rules: tuple[tuple[str, str], ...] = REDACTION_RULES) -> Column:
+    """What :func:`redact` masks: array of (start, end, type) in the order of the text. Null text: null."""
+    kind = "array<struct<start:int,end:int,type:string>>"
+
+    def claimed(state: Column, rule: tuple[str, str]) -> Column:
+        def claim(m: Column) -> Column:
+            return F.struct(m.start.alias("start"), m.end.alias("end"), F.lit(rule[0]).alias("type"))
+
+        def left(s: Column) -> Column:
+            return F.struct(redact(s.text, (rule,)).alias("text"), F.concat(s.found, F.transform(matches(s.text, rule[1]), claim)).alias("found"))
+
+        return once(state, left)
+
+    state = F.struct(text.alias("text"), F.when(text.isNotNull(), F.array().cast(kind)).alias("found"))
+    for rule in rules:
+        state = claimed(state, rule)
+    return F.array_sort(state.found)
+
+
 def blank(text: Column, pattern: str) -> Column:
     """Text with every match blanked out."""
     return _replaced(text, pattern, lambda hit: F.repeat(F.lit(" "), F.length(hit)))

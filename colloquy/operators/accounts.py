@@ -11,8 +11,8 @@ from colloquy.operators.memory import latest_analyses
 from colloquy.operators.scores import band, rounded
 
 __all__ = [
-    "alert_counts", "alerts", "at_risk", "coaching", "control_tower", "correction_rates", "customer_list", "hours_returned", "idle_upsell",
-    "overdue_tasks", "pain_examples", "pain_radar", "pain_units", "pipeline_by_unit", "reliability_histogram", "revenue_at_risk", "table_counts", "top_warnings",
+    "alert_counts", "alerts", "at_risk", "coaching", "control_tower", "correction_rates", "customer_list", "hours_returned", "idle_upsell", "latest_meetings",
+    "overdue_tasks", "pain_examples", "pain_radar", "pain_units", "pipeline_by_unit", "reliability_histogram", "revenue_at_risk", "redaction_counts", "table_counts", "top_warnings", "treatment_totals",
 ]
 
 MINUTES_SAVED = 12
@@ -140,6 +140,11 @@ def overdue_tasks(tasks: DataFrame, as_of: dt.date) -> DataFrame:
     return tasks.where(~F.col("done") & (F.col("due_date") < F.lit(as_of))).withColumn("days_late", late).orderBy(F.desc("days_late"), "task_id")
 
 
+def latest_meetings(meetings: DataFrame, most: int = 8) -> DataFrame:
+    """The newest meetings by date, then id, for the dashboard."""
+    return meetings.orderBy(F.desc_nulls_last("meeting_date"), F.desc("meeting_id")).limit(most)
+
+
 def customer_list(accounts: DataFrame, meetings: DataFrame) -> DataFrame:
     """Accounts with meeting count and last date, the least healthy first."""
     seen = meetings.groupBy("customer_id").agg(F.count("*").alias("meetings"), F.max("meeting_date").alias("last_contact"))
@@ -154,6 +159,19 @@ def reliability_histogram(transcripts: DataFrame) -> DataFrame:
     )
 
 
+def treatment_totals(transcripts: DataFrame) -> DataFrame:
+    """One row: transcripts, words, turns, diarised and the mean reliability; zeros and null without any."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return transcripts.agg(
+        F.count("*").alias("transcripts"), total("words", "words"), total("turns", "turns"), total(F.col("diarised").cast("long"), "diarised"), F.avg("reliability").alias("reliability")
+    )
+
+
+def redaction_counts(redacted: DataFrame, column: str = "redactions") -> DataFrame:
+    """type, n over arrays of :func:`colloquy.functions.text.redactions`."""
+    return redacted.select(F.explode(F.col(column).type).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
 def top_warnings(warnings: DataFrame, most: int = 5) -> DataFrame:
     """warning, n: the most frequent warnings, their numbers written N."""
     kind = F.regexp_replace("warning", r"[0-9]+", "N").alias("warning")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 __all__ = [
-    "band", "bant", "business_value", "churn_band", "churn_risk", "health_score", "interest_factors", "interest_score", "quality_index",
+    "band", "bant", "business_value", "churn_band", "churn_risk", "health_score", "interest_factors", "interest_score", "quality_facts", "quality_index",
     "rounded", "series_drop", "trust_score", "with_abstention",
 ]
 
@@ -149,6 +149,30 @@ def quality_index(words: Column, fillers: Column, inaudible: Column, sentences:
     return clamp(100 - lost).cast("int")
 
 
+def quality_facts(tokens: Column, fillers: Column, inaudible: Column, sentences: Column, diarised: Column, speakers: Column, unknown_sides: Column, attributable: Column) -> Column:
+    """Struct (minutes, diversity, density, warnings) of a transcript from its word tokens.
+
+    Minutes of speech at 140 words each, distinct lower-cased words over all, fillers over all, and the
+    names of what lowers :func:`quality_index` or keeps scores from being given. Null tokens are none.
+    """
+    words = F.coalesce(F.size(tokens), F.lit(0))
+    share = lambda n: F.when(words > 0, n / words).otherwise(0.0)
+    types = F.coalesce(F.size(F.array_distinct(F.transform(tokens, F.lower))), F.lit(0))
+    fragmented = diarised & (speakers > 6)
+    notes = {
+        "no speakers": ~diarised,
+        "inaudible": (sentences > 0) & (inaudible > 0),
+        "short": words < 150,
+        "fillers": share(fillers) > 0.08,
+        "one speaker": diarised & (speakers < 2),
+        "fragmented": fragmented,
+        "unknown sides": diarised & ~fragmented & (unknown_sides > 0),
+        "no scores": ~attributable,
+    }
+    warnings = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in notes.items())))
+    return F.struct(F.round(words / 140, 1).alias("minutes"), F.round(share(types), 3).alias("diversity"), F.round(share(fillers), 3).alias("density"), warnings.alias("warnings"))
+
+
 def with_abstention(scores: DataFrame, attributable: Column, columns: tuple[str, ...] = ("interest_score", "churn_risk")) -> DataFrame:
     """Scores are null where sides can't be told apart: not measured is not zero."""
     return scores.withColumns({c: F.when(attributable, F.col(c)) for c in columns if c in scores.columns})

@@ -200,6 +200,17 @@ def worst_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.accounts(spark, sf_dir).orderBy("health", "customer_id").limit(6).select("customer_id", "health")
 
 
+def latest_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's eight newest meetings."""
+    return A.latest_meetings(D.meetings(spark, sf_dir)).select("meeting_id", "customer_id", "meeting_date")
+
+
+def treatment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was treated in all."""
+    rows = D.meetings(spark, sf_dir).select("reliability", F.col("monologue").alias("words"), F.col("questions").alias("turns"), F.col("talk_ratio").isNotNull().alias("diarised"))
+    return A.treatment_totals(rows).withColumn("reliability", F.round("reliability", 6))
+
+
 def customer_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12."""
     return A.customer_list(D.accounts(spark, sf_dir), D.meetings(spark, sf_dir)).select("customer_id", "health", "meetings", "last_contact")
@@ -230,7 +241,7 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     latest_per_key, memory_prior, churn_pass, interest_scores, trust_scores, health_scores, mention_counts, stack_status, competitor_portrait, task_status, bant_cycle, tower,
     accounts_at_risk, revenue_at_risk, pipeline_by_unit, idle_upsell, hours_returned, customer_peaks, crm_export, radar_topics, pain_radar_segment, radar_examples, radar_units, alerts_top1, alert_counts, coaching, overdue_tasks,
-    worst_accounts, customer_list, reliability_histogram, warnings_topk, correction_rates, table_counts,
+    worst_accounts, latest_meetings, treatment_totals, customer_list, reliability_histogram, warnings_topk, correction_rates, table_counts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -376,6 +387,8 @@ SELECT seller_id, meetings, round(t, 6) AS talk_ratio, round(mo, 6) AS monologue
 """,
     "overdue_tasks": f"WITH {TASKS} SELECT task_id, CAST(date_diff('day', due, {DAY}) AS INTEGER) AS days_late FROM task WHERE NOT done AND due < {DAY}",
     "worst_accounts": "SELECT c_custkey AS customer_id, CAST(c_custkey * 37 % 101 AS INTEGER) AS health FROM customer ORDER BY health, customer_id LIMIT 6",
+    "latest_meetings": f"WITH {MEETINGS} SELECT meeting_id, customer_id, meeting_date FROM m ORDER BY meeting_date DESC, meeting_id DESC LIMIT 8",
+    "treatment_totals": f"WITH {MEETINGS} SELECT count(*) AS transcripts, CAST(sum(monologue) AS BIGINT) AS words, CAST(sum(questions) AS BIGINT) AS turns, count(talk_ratio) AS diarised, round(avg(reliability), 6) AS reliability FROM m",
     "customer_list": f"WITH {MEETINGS} SELECT c_custkey AS customer_id, CAST(c_custkey * 37 % 101 AS INTEGER) AS health, count(meeting_id) AS meetings, max(meeting_date) AS last_contact FROM customer LEFT JOIN m ON customer_id = c_custkey GROUP BY 1, 2",
     "reliability_histogram": f"""
 WITH {MEETINGS} SELECT CASE WHEN reliability >= 75 THEN 'high' WHEN reliability >= 50 THEN 'medium' ELSE 'low' END AS level, count(*) AS transcripts, CAST(sum(monologue) AS BIGINT) AS words, CAST(sum(questions) AS BIGINT) AS turns, count(talk_ratio) AS diarised FROM m GROUP BY 1
