@@ -35,6 +35,8 @@ GRAM = 24
 BATCH_SUFFIXES = 50_000
 #: Bytes of text for each hash partition of anchors.
 PARTITION_BYTES = 32 << 20
+#: Shuffle partitions at most. Of more text (4 TB) a partition has several groups, each read on its own.
+MOST_TASKS = 131_072
 POSITION_BITS = np.uint64(21)
 _POSITION = np.uint64((1 << 21) - 1)
 
@@ -429,11 +431,13 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(min(131_072, max(24, total // PARTITION_BYTES)))
+    parts = int(max(24, total // PARTITION_BYTES))
+    tasks = min(parts, MOST_TASKS)
     usable = docs.where(f"doc_id is not null and octet_length(text) >= {length}")
     anchors = usable.mapInArrow(_anchor_rows(length, gram, parts), "part long, ids binary, keys binary, sizes binary, hashes binary")
     shared = (
-        anchors.groupBy("part")
+        anchors.repartition(tasks, "part")
+        .groupBy("part")
         .applyInArrow(_shared_anchors, "doc_id long, text_key long, anchors binary")
         .groupBy("doc_id", "text_key")
         .agg(F.collect_list("anchors").alias("anchors"))
@@ -447,7 +451,8 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     runs = text_side.join(shared, ["doc_id", "text_key"], "left").select("doc_id", "text", "text_key", "anchors")
     runs = runs.mapInArrow(_run_rows(length, gram, parts), "part long, ids binary, keys binary, starts binary, sizes binary, anchors binary, bytes binary")
     spans = (
-        runs.groupBy("part")
+        runs.repartition(tasks, "part")
+        .groupBy("part")
         .applyInArrow(_covered(length), "doc_id long, text_key long, spans binary")
         .groupBy("doc_id", "text_key")
         .agg(F.collect_list("spans").alias("spans"))
