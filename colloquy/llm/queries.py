@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from colloquy.functions.storage import checkpointed, ensure_checkpoint_dir
 from colloquy.llm.brown_lm import score_texts
 from colloquy.llm.decontamination import leaked_items
+from colloquy.llm.fill_in_middle import fill_in_middle, restored_text
+from colloquy.llm.filter_audit import filter_interactions
 from colloquy.llm.language_id import fit_languages, identify_languages
 from colloquy.llm.mixing import mix_plan
 from colloquy.llm.near_dedup import near_duplicates
@@ -235,6 +237,75 @@ def op10_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents
+), f AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m
+  FROM d
+), l AS (
+  SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), k AS (
+  SELECT part, m, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+), letter(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT o, s, 1 << (ascii(substr(o, s, 1)) - 65) AS b,
+    coalesce(list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(substr(o, i, 1)) - 65))), 0)::INT AS prior
+  FROM (SELECT o, unnest(range(1, 6)) AS s FROM orders)
+), c AS (
+  SELECT part, o, s, b,
+    sum(CASE WHEN m & (prior | b) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN m & prior = 0 AND m & b > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN m & prior > 0 AND m & b > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN m = b THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN m & prior = 0 AND m & b > 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN m & prior = 0 AND m & b > 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM k, steps GROUP BY part, o, s, b
+)
+SELECT part, o AS filter_order, CAST(s AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
+FROM c
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle(_table(spark, sf_dir, "documents"))
+    shas = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored_text("output", "form"), 256)}
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(c.alias(k) for k, c in shas.items()))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents
+), g AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), c AS (
+  SELECT *, coalesce(array_to_string(u[1:least(x, y)], ''), '') AS p, coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') AS m,
+    coalesce(array_to_string(u[greatest(x, y) + 1:n], ''), '') AS s
+  FROM g
+), o AS (
+  SELECT *, CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END AS out FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(out) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -247,6 +318,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_preference_pairs": op8_preference_pairs,
         "op9_language_spans": op9_language_spans,
         "op10_brown_class_lm": op10_brown_class_lm,
+        "op11_filter_interactions": op11_filter_interactions,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
@@ -257,4 +330,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_array_dedup": OP5_SQL,
         "op7_weighted_fair_mix": OP7_SQL,
         "op8_preference_pairs": OP8_SQL,
+        "op11_filter_interactions": OP11_SQL,
+        "op12_fill_in_middle": OP12_SQL,
     }
