@@ -16,6 +16,7 @@ from colloquy.llm.filter_audit import filter_interactions
 from colloquy.llm.language_id import fit_languages, identify_languages
 from colloquy.llm.mixing import mix_plan
 from colloquy.llm.near_dedup import near_duplicates
+from colloquy.llm.pii import KINDS, find_personal_data, fit_pii
 from colloquy.llm.preferences import branch_pairs, conversations_from_turns, format_preferences
 from colloquy.llm.quality_knn import fit_quality, score_quality
 from colloquy.llm.quality_rules import quality_rules
@@ -306,6 +307,11 @@ FROM o
 """
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return find_personal_data(docs, fit_pii(docs)).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -320,6 +326,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_brown_class_lm": op10_brown_class_lm,
         "op11_filter_interactions": op11_filter_interactions,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_personal_data": op13_personal_data,
     }
 
 
