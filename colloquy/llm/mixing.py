@@ -45,15 +45,28 @@ def _running(part: list[str], order: list[str]) -> Column:
     return F.sum("size").over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def _queue(documents: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], budget_percent: int, repeats: int, seed: str) -> tuple[DataFrame, Column, float]:
-    """Documents with the finish time of their first copy, the test that a copy is taken, the budget."""
+def _row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    """128 bits of a row's id, source and text, each of which may be null."""
+    parts = [F.col(id_col).cast("long").cast("string"), F.col(source_col).cast("string"), F.col(text_col).cast("string")]
+    return F.md5(F.concat_ws(":", *(F.concat(F.coalesce(F.length(p), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(p, F.lit(""))) for p in parts)).cast("binary"))
+
+
+def _queue(
+    documents: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], budget_percent: int, repeats: int, seed: str, distinct: bool = False
+) -> tuple[DataFrame, Column, float]:
+    """Documents with the finish time of their first copy, the test that a copy is taken, the budget.
+
+    ``distinct``: rows that repeat id, source and text are one document, with a row_key.
+    """
     text = F.col(text_col).cast("string")
     docs = documents.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(text).alias("text_key"),
+        (_row_key(id_col, text_col, source_col) if distinct else F.lit(None).cast("string")).alias("row_key"),
     )
+    if distinct:
+        docs = docs.distinct()
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     docs = checkpointed(docs.withColumn("key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")))
     sources = checkpointed(source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget_percent, repeats))
@@ -63,7 +76,7 @@ def _queue(documents: DataFrame, id_col: str, text_col: str, source_col: str, we
     slices = rows.groupBy("source_no", "slice").agg(F.sum("size").alias("size"))
     slices = slices.withColumn("before", _running(["source_no"], ["slice"]) - F.col("size")).drop("size")
     rows = rows.join(slices, ["source_no", "slice"]).withColumn("cum", F.col("before") + _running(["source_no", "slice"], ["key", "doc_id", "size"]))
-    rows = checkpointed(rows.select("doc_id", "text_key", "source_no", "size", "source_size", "target", "key", "cum"))
+    rows = checkpointed(rows.select("doc_id", "row_key", "source_no", "size", "source_size", "target", "key", "cum"))
     copies = rows.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("copy")).withColumn("finish", finish(F.col("copy")))
     copies = copies.withColumn("slice", F.least(F.floor(F.col("finish") * SLICES), F.lit(4 * SLICES)))
     budget = sources.agg(F.sum("target")).first()[0] or 0.0
@@ -103,7 +116,7 @@ def mix_plan(
     repeats: int = REPEATS,
     seed: str = "mix",
 ) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, copies, text_key.
+    """One row for each document: doc_id, size, source_size, target, taken, copies.
 
     ``size`` is the number of words ``[^\\x20\\x09-\\x0D]+`` (null text: 0), ``target`` its source's (see
     :func:`source_targets`). Documents of a source queue in the order of a keyed digest of their id, as
@@ -116,7 +129,7 @@ def mix_plan(
     """
     rows, taken, _ = _queue(documents, id_col, text_col, source_col, weights, budget_percent, repeats, seed)
     copies = sum((taken(F.lit(k)).cast("long") for k in range(repeats)), F.lit(0).cast("long"))
-    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "text_key")
+    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(
@@ -132,13 +145,12 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: rows of ``documents`` with mix_copy and mix_finish, range-sorted by finish time.
 
-    A document comes once for each copy that :func:`mix_plan` takes. Rows that repeat id and text are
-    one document here.
+    Rows that repeat id, source and text are one document, in the plan as in the result; it comes once for
+    each copy that the plan takes, so the words planned are the words delivered.
     """
-    rows, taken, _ = _queue(documents, id_col, text_col, source_col, weights, budget_percent, repeats, seed)
+    rows, taken, _ = _queue(documents, id_col, text_col, source_col, weights, budget_percent, repeats, seed, distinct=True)
     copies = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("mix_copy"))
-    copies = copies.where(taken(F.col("mix_copy"))).withColumn("mix_finish", finish(F.col("mix_copy")))
-    plan = copies.select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_text"), "mix_copy", "mix_finish").dropDuplicates(["mix_id", "mix_text", "mix_copy"])
-    keyed = documents.dropDuplicates([id_col, text_col]).withColumn("mix_text_key", F.xxhash64(F.col(text_col).cast("string")))
-    match = (F.col(id_col).cast("long").eqNullSafe(F.col("mix_id"))) & (F.col("mix_text_key") == F.col("mix_text"))
-    return keyed.join(plan, match).drop("mix_id", "mix_text", "mix_text_key").orderBy("mix_finish", id_col, "mix_copy")
+    copies = copies.where(taken(F.col("mix_copy"))).select(F.col("row_key").alias("mix_key"), "mix_copy", finish(F.col("mix_copy")).alias("mix_finish"))
+    # Copies of a row meet once a task; one shuffle by the key serves both the distinct rows and the join.
+    keyed = documents.withColumn("mix_key", _row_key(id_col, text_col, source_col)).dropDuplicates(["mix_key"])
+    return keyed.join(copies, "mix_key").select(*documents.columns, "mix_copy", "mix_finish").orderBy("mix_finish", id_col, "mix_copy")

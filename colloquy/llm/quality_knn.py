@@ -105,16 +105,17 @@ def fit_quality(
     """Fit on the documents of at most ``limit`` rows of ``labels`` for each label 0 and 1.
 
     Those with the least hash of their id are taken, so the sample is at most ``2 * limit`` rows and is
-    broadcast to find their texts. Other labels, null ids and null texts are left out; labels without a
-    document make the sample smaller. Without rows every score is 0.5.
+    broadcast to find their texts. Of texts that share an id the least one is taken, and a label that
+    repeats counts once, so no more rows than the sample's are fitted. Other labels, null ids and null
+    texts are left out; labels without a document make the sample smaller. Without rows every score is 0.5.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
     taken = [known.where(F.col("label") == k).orderBy(*order).limit(limit) for k in (0, 1)]
     sample = F.broadcast(taken[0].unionAll(taken[1]))
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(sample, F.col("own") == F.col("id")).select("own", "text", "label")
+    rows = texts.join(sample, F.col("own") == F.col("id")).groupBy("own", "label").agg(F.min("text").alias("text")).select("own", "text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
