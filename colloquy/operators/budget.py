@@ -17,10 +17,10 @@ NUMBERS = (
     ("oitenta", 80), ("noventa", 90), ("cem", 100), ("cento", 100), ("duzentos", 200), ("trezentos", 300), ("quatrocentos", 400),
     ("quinhentos", 500), ("seiscentos", 600), ("setecentos", 700), ("oitocentos", 800), ("novecentos", 900), ("meio", 0.5),
 )
-SCALES = (("mil", 1e3), ("k", 1e3), ("mi", 1e6), ("milhao", 1e6), ("milhoes", 1e6))
+SCALES = (("mil", 1e3), ("k", 1e3), ("milhao", 1e6), ("milhoes", 1e6), ("mi", 1e6))
 LIMIT = "no maximo|limite de|teto de|ate"
 ESTIMATE = "por volta de|cerca de|uns|umas|em torno de|aproximadamente"
-ELLIPSIS = "uns|umas|por volta de|em torno de|cerca de|seria|fica em|chega a|chega em|chegar a|chegar em|nos"
+ELLIPSIS = "uns|umas|por volta de|em torno de|cerca de|seria|fica em|chegar? (?:a|em)|nos"
 SECRECY = "nao (?:menciona|mencione|comenta|comente|fala|fale|conta|conte)|confidencial|entre (?:nos|a gente)|segredo|sigilo|nao espalha|fica entre"
 
 _WORD = "(?:" + "|".join(w for w, _ in NUMBERS) + ")"

@@ -186,29 +186,36 @@ def opportunities(found: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.select("doc_id", "label", F.greatest(F.lit(0.05), F.least(F.lit(0.95), p)).alias("probability"))
 
 
-# Weekdays as they are said, for dates relative to a meeting.
-WEEKDAYS = (("segunda", "MON"), ("terca", "TUE"), ("quarta", "WED"), ("quinta", "THU"), ("sexta", "FRI"), ("sabado", "SAT"), ("domingo", "SUN"))
+# Weekdays as they are said, with the names that date functions know, and small numbers in words.
+WEEKDAYS = (("domingo", "SUN"), ("segunda", "MON"), ("terca", "TUE"), ("quarta", "WED"), ("quinta", "THU"), ("sexta", "FRI"), ("sabado", "SAT"))
 SMALL_NUMBERS = (("um", 1), ("uma", 1), ("dois", 2), ("duas", 2), ("tres", 3), ("quatro", 4), ("cinco", 5), ("seis", 6), ("dez", 10), ("quinze", 15), ("trinta", 30))
 
 
 def deadline(search: Column, meeting_date: Column) -> Column:
-    """The date that folded text names, seen from a meeting: d/m[/y], in N days or weeks, a weekday (the
-    next one, never the same day), next week, the month's end, next month; null if none or invalid."""
+    """The date that folded text names, seen from a meeting; null where it names none.
+
+    The forms are tried in this order, each by its first mention: d/m[/y] (without a year: the meeting's),
+    in N days, in N weeks, a weekday (the next one, never the same day), next week, the month's end, next
+    month. A form that gives no date, such as 31/02, leaves the choice to the next one.
+    """
     number = r"(\d{1,3}|" + "|".join(w for w, _ in SMALL_NUMBERS) + ")"
     named = F.create_map(*(x for w, n in SMALL_NUMBERS for x in (F.lit(w), F.lit(n))))
+    days_of = F.create_map(*(F.lit(x) for pair in WEEKDAYS for x in pair))
     part = lambda p, k: F.regexp_extract(search, p, k)
     day = r"(?<!\d)(\d{1,2})/(\d{1,2})(?:/(\d{4}|\d{2}))?(?!\d)"
     year = F.when(F.length(part(day, 3)) == 4, part(day, 3).try_cast("int")).when(F.length(part(day, 3)) == 2, 2000 + part(day, 3).try_cast("int")).otherwise(F.year(meeting_date))
     stated = F.try_make_timestamp(year, part(day, 2).try_cast("int"), part(day, 1).try_cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    rolled = F.when((F.length(part(day, 3)) == 0) & (stated < meeting_date), F.add_months(stated, 12)).otherwise(stated)
 
     def count(p: str) -> Column:
-        return F.coalesce(part(p, 1).try_cast("int"), F.element_at(named, part(p, 1)))
-
-    days, weeks = rf"\bem {number} dias?\b", rf"\bem {number} semanas?\b"
-    out = F.when(search.rlike(day), rolled).when(search.rlike(days), F.date_add(meeting_date, count(days))).when(search.rlike(weeks), F.date_add(meeting_date, count(weeks) * 7))
-    for word, name in WEEKDAYS:
-        out = out.when(search.rlike(rf"\b{word}\b"), F.next_day(meeting_date, name))
-    out = out.when(search.rlike(r"\b(?:semana que vem|proxima semana)\b"), F.date_add(meeting_date, 7))
-    out = out.when(search.rlike(r"\b(?:fim|final) do mes\b"), F.last_day(meeting_date))
-    return out.when(search.rlike(r"\b(?:mes que vem|proximo mes)\b"), F.add_months(meeting_date, 1))
+        return F.coalesce(part(p, 1).try_cast("int"), F.try_element_at(named, part(p, 1)))
+
+    weekday = F.try_element_at(days_of, part(r"\b(" + "|".join(w for w, _ in WEEKDAYS) + r")\b", 1))
+    return F.coalesce(
+        stated,
+        F.date_add(meeting_date, count(rf"\bem\s+{number}\s+dias?\b")),
+        F.date_add(meeting_date, count(rf"\bem\s+{number}\s+semanas?\b") * 7),
+        F.call_function("next_day", meeting_date, weekday),
+        F.when(search.rlike(r"\b(?:semana que vem|proxima semana)\b"), F.date_add(meeting_date, 7)),
+        F.when(search.rlike(r"\b(?:fim|final) do mes\b"), F.last_day(meeting_date)),
+        F.when(search.rlike(r"\b(?:mes que vem|proximo mes)\b"), F.add_months(meeting_date, 1)),
+    )

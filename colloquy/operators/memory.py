@@ -16,9 +16,13 @@ STATUSES = ("em_uso", "em_avaliacao", "oportunidade", "mencionado")
 
 
 def latest_analyses(analyses: DataFrame, key: str = "meeting_id", order: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """The latest row of each key: a partial aggregate, so rows of a key need not meet sorted."""
+    """The latest row of each key: a partial aggregate, so rows of a key need not meet sorted.
+
+    Rows that agree in ``order`` are ordered by their other columns in turn, so exactly one is the latest
+    whatever the order of the input; a null comes before every value.
+    """
     rest = [c for c in analyses.columns if c != key]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("r")
+    best = F.max(F.struct(*order, *(c for c in rest if c not in order))).alias("r")
     return analyses.groupBy(key).agg(best).select(key, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 

@@ -281,7 +281,7 @@ _COUNT = " + ".join(f"(meeting_id % {i + 2} = 0)::INT" for i in range(len(S.INTE
 LAST3 = "prior[greatest(1, len(prior) - 2):]"
 
 SQL = {
-    "latest_per_key": "SELECT l_orderkey AS meeting_id, l_shipdate AS created_at, l_linenumber AS run, l_quantity AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1",
+    "latest_per_key": "SELECT l_orderkey AS meeting_id, l_shipdate AS created_at, l_linenumber AS run, l_quantity AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_quantity DESC) = 1",
     "memory_prior": f"WITH {PRIOR} SELECT meeting_id, prior_meetings, coalesce(len(prior), 0) AS n_interests, prior[-1] AS prior_interest_last, coalesce(len(prior), 0) > 0 AS has_memory FROM p",
     "churn_pass": f"""
 WITH {PRIOR}, c AS (

@@ -51,14 +51,26 @@ def captions_to_text(cues: DataFrame, pause: float = PAUSE) -> DataFrame:
     return blocks.select("path", F.col("block").alias("k"), said.alias("said")).groupBy("path").agg(joined("said", "\n").alias("text"))
 
 
+def _letters(rank: Column) -> Column:
+    """1, 2, ... as A to Z, AA, AB and so on: every rank has letters of its own."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.floor((rank - _before(k)) / F.pow(F.lit(26.0), k)))
+    digits = F.transform(F.filter(places, lambda d: d >= 0), lambda d: F.char(d % 26 + 65))
+    return F.array_join(F.reverse(digits), "")
+
+
+def _before(k: Column) -> Column:
+    """Ranks that have fewer than k + 1 letters, and one: the first rank with k + 1 letters."""
+    return F.aggregate(F.sequence(F.lit(0), k), F.lit(0).cast("double"), lambda a, i: a + F.pow(F.lit(26.0), i))
+
+
 def normalised_speakers(turns: DataFrame) -> DataFrame:
     """Adds name: e-mails by their local part, generic labels as ``Falante A`` by first appearance in the
-    document, more than three words as first and last."""
+    document (after ``Z`` come ``AA``, ``AB``), more than three words as first and last."""
     raw = F.trim("speaker")
     generic = raw.rlike(r"(?i)^(?:speaker|falante|participante|locutor|spk)[ _-]*\d*[a-z]?$|^\d+$")
     firsts = turns.where(F.coalesce(generic, F.lit(False))).groupBy("doc_id", F.lower(raw).alias("label")).agg(F.min("turn").alias("at"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "label"))
-    letters = firsts.withColumn("letter", F.char(F.least(rank, F.lit(26)) + 64)).drop("at")
+    letters = firsts.withColumn("letter", _letters(rank)).drop("at")
     rows = turns.withColumn("label", F.lower(raw)).join(letters, ["doc_id", "label"], "left").drop("label")
     local = F.initcap(F.regexp_replace(F.regexp_extract(raw, r"^([^@\s]+)@", 1), r"[._]+", " "))
     words = F.split(raw, r"\s+")

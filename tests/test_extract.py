@@ -67,7 +67,7 @@ def test_risks_and_opportunities(spark):
     ("text", "want"),
     [
         ("ate 15/03", dt.date(2025, 3, 15)),
-        ("ate 10/01", dt.date(2026, 1, 10)),
+        ("ate 10/01", dt.date(2025, 1, 10)),
         ("em 5/4/26", dt.date(2026, 4, 5)),
         ("dia 31/02", None),
         ("em dez dias", dt.date(2025, 2, 15)),
