@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["REDACTION_RULES", "WORD", "blank", "bounded", "clauses", "context", "count_words", "evidence", "fold", "matches", "mentions", "once", "redact", "redactions", "words"]
+__all__ = ["REDACTION_RULES", "WORD", "blank", "bounded", "clauses", "context", "count_words", "evidence", "fold", "matches", "mentions", "once", "parts", "redact", "redactions", "running_sums", "words"]
 
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}'-]*"
 
@@ -60,21 +60,59 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a, b: F.struct(a.alias("before"), b.alias("hit")))
 
 
+#: Values that are summed at a time: a running sum over n values takes n * RUN / 2 + (n / RUN) ** 2 / 2 additions.
+RUN = 64
+#: A character that marks a cut; one that a text has itself counts as a blank there.
+CUT = "\ue001"
+
+
+def running_sums(values: Column) -> Column:
+    """For each of an array of integers the sum of those before it. Runs are summed first, so a long array is not copied once a value."""
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def within(runs: Column) -> Column:
+        sums = F.transform(runs, total)
+        return once(sums, lambda ss: F.flatten(F.zip_with(runs, F.transform(ss, lambda x, k: total(F.slice(ss, F.lit(1), k))), shifted)))
+
+    def shifted(run: Column, before: Column) -> Column:
+        return F.transform(run, lambda x, i: before + total(F.slice(run, F.lit(1), i)))
+
+    def runs(xs: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(xs) / RUN).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(xs, k * RUN + 1, F.lit(RUN)))
+
+    return once(values, lambda xs: F.when(xs.isNotNull(), once(runs(xs), within)))
+
+
+def parts(strings: Column, opens: Callable[[Column], Column]) -> Column:
+    """Strings joined, and cut again before those for which ``opens`` holds: array of (at, text) in code points.
+
+    The first part is what stands before the first cut, empty if nothing does.
+    """
+    clean = lambda x: F.translate(x, CUT, " ")
+    joined = F.array_join(F.transform(strings, lambda x: F.when(opens(x), F.concat(F.lit(CUT), clean(x))).otherwise(clean(x))), "")
+    lengths = lambda xs: running_sums(F.transform(xs, lambda x: F.length(x)))
+    return once(F.split(joined, CUT, -1), lambda xs: F.zip_with(lengths(xs), xs, lambda at, x: F.struct(at.alias("at"), x.alias("text"))))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) of every match, with code point offsets. Null text: null."""
     kind = "array<struct<start:int,end:int,text:string>>"
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc.at + F.length(piece.before)
-        end = start + F.coalesce(F.length(piece.hit), F.lit(0))
-        found = F.when(piece.hit.isNotNull(), F.array(F.struct(start.alias("start"), end.alias("end"), piece.hit.alias("text"))))
-        return F.struct(end.alias("at"), F.concat(acc.found, F.coalesce(found, F.array().cast(kind))).alias("found"))
+    def placed(pieces: Column) -> Column:
+        sizes = F.transform(pieces, lambda p: F.length(p.before) + F.coalesce(F.length(p.hit), F.lit(0)))
 
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+        def hit(p: Column, at: Column) -> Column:
+            start = at + F.length(p.before)
+            return F.struct(start.alias("start"), (start + F.length(p.hit)).alias("end"), p.hit.alias("text"))
+
+        return F.filter(F.zip_with(pieces, running_sums(sizes), hit), lambda m: m.text.isNotNull())
 
     def found(t: Column) -> Column:
         none = F.when(t.isNotNull(), F.array().cast(kind))
-        return F.when(t.rlike(pattern), F.aggregate(_pieces(t, pattern), state, step, lambda acc: acc.found)).otherwise(none)
+        return F.when(t.rlike(pattern), once(_pieces(t, pattern), placed)).otherwise(none)
 
     return once(text, found)
 
@@ -101,21 +139,11 @@ def redact(text: Column, rules: tuple[tuple[str, str], ...] = REDACTION_RULES) -
 
 def redactions(text: Column, rules: tuple[tuple[str, str], ...] = REDACTION_RULES) -> Column:
     """What :func:`redact` masks: array of (start, end, type) in the order of the text. Null text: null."""
-    kind = "array<struct<start:int,end:int,type:string>>"
-
-    def claimed(state: Column, rule: tuple[str, str]) -> Column:
-        def claim(m: Column) -> Column:
-            return F.struct(m.start.alias("start"), m.end.alias("end"), F.lit(rule[0]).alias("type"))
-
-        def left(s: Column) -> Column:
-            return F.struct(redact(s.text, (rule,)).alias("text"), F.concat(s.found, F.transform(matches(s.text, rule[1]), claim)).alias("found"))
-
-        return once(state, left)
+    def claimed(k: int, rule: tuple[str, str]) -> Column:
+        left = redact(text, rules[:k])
+        return F.transform(matches(left, rule[1]), lambda m: F.struct(m.start.alias("start"), m.end.alias("end"), F.lit(rule[0]).alias("type")))
 
-    state = F.struct(text.alias("text"), F.when(text.isNotNull(), F.array().cast(kind)).alias("found"))
-    for rule in rules:
-        state = claimed(state, rule)
-    return F.array_sort(state.found)
+    return F.array_sort(F.concat(*(claimed(k, rule) for k, rule in enumerate(rules))))
 
 
 def blank(text: Column, pattern: str) -> Column:
