@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import bounded, evidence, matches
+from colloquy.functions.text import bounded, evidence, matches, once
 
 __all__ = ["budgets", "spoken_amount"]
 
@@ -55,32 +55,42 @@ def budgets(texts: DataFrame) -> DataFrame:
 
     An amount counts once a sentence. Where a text names thousands, a bare figure from ten up after words
     such as "about" means thousands too, unless the amount is known already. Null texts name nothing.
+
+    Hits, the scale they carry and what stands around them are settled in the text's own row; what is
+    shuffled to find repeated amounts is a quote for each hit, never a text.
     """
+    bare = len(PATTERNS) - 1
 
     def found(ordinal: int, pattern: str) -> Column:
-        return F.transform(matches(F.col("search"), pattern), lambda m: F.struct(F.lit(ordinal).alias("ordinal"), m.start.alias("at"), m.end.alias("upto"), m.text.alias("hit")))
-
-    hits = F.concat(*(found(i, p) for i, p in enumerate(PATTERNS)))
-    rows = texts.select("doc_id", "safe", "search", "spans", F.explode(hits).alias("h")).select("doc_id", "safe", "search", "spans", "h.*")
-    bare = F.col("ordinal") == len(PATTERNS) - 1
-    amount = spoken_amount(F.col("hit"))
-    rows = rows.withColumn("amount", F.when(~bare, amount).when(amount >= 10, amount * 1000)).where("amount > 0")
-    whole = Window.partitionBy("doc_id")
-    known = F.collect_set(F.when(~bare, F.col("amount"))).over(whole)
-    rows = rows.withColumn("known", known)
-    rows = rows.where(~bare | (F.exists("known", lambda a: a >= 1000) & ~F.array_contains("known", F.col("amount"))))
-
-    def around(before: int, after: int) -> Column:
-        first = F.greatest(F.lit(0), F.col("at") - before)
-        return F.substring("search", (first + 1).cast("int"), (F.col("at") + after - first).cast("int"))
-
-    touches = lambda p: around(28, 0).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{p})\s*(?:r\$)?\s*$")
-    kind = F.when(bare, "estimate").when(touches(LIMIT), "limit").when(touches(ESTIMATE), "estimate").otherwise("stated")
-    raw = F.trim(F.substring("safe", (F.col("at") + 1).cast("int"), (F.col("upto") - F.col("at")).cast("int")))
-    rows = rows.select(
-        "doc_id", "ordinal", "at", "amount", F.lit("BRL").alias("currency"), raw.alias("raw"), kind.alias("kind"),
-        around(140, 140).rlike(bounded(SECRECY)).alias("confidential"), evidence(F.col("safe"), F.col("spans"), F.col("at"), F.col("upto")).alias("e"),
-    )
-    once = Window.partitionBy("doc_id", "amount", F.when(bare, -1).otherwise(F.col("e.start"))).orderBy("ordinal", "at")
-    first = rows.withColumn("k", F.row_number().over(once)).where("k = 1")
-    return first.select("doc_id", "amount", "currency", "raw", "kind", "confidential", "e.quote", "e.start", "e.end")
+        def hit(m: Column) -> Column:
+            amount = spoken_amount(m.text)
+            if ordinal == bare:
+                amount = F.when(amount >= 10, amount * 1000)
+            return F.struct(F.lit(ordinal).alias("ordinal"), m.start.alias("at"), m.end.alias("upto"), amount.alias("amount"))
+
+        return F.transform(matches(F.col("search"), pattern), hit)
+
+    def settled(hits: Column) -> Column:
+        known = F.array_distinct(F.transform(F.filter(hits, lambda h: h.ordinal < bare), lambda h: h.amount))
+        return once(known, lambda k: F.filter(hits, lambda h: (h.ordinal < bare) | (F.exists(k, lambda a: a >= 1000) & ~F.array_contains(k, h.amount))))
+
+    hits = once(F.filter(F.concat(*(found(i, p) for i, p in enumerate(PATTERNS))), lambda h: h.amount > 0), settled)
+
+    def around(h: Column, before: int, after: int) -> Column:
+        first = F.greatest(F.lit(0), h.at - before)
+        return F.substring("search", (first + 1).cast("int"), (h.at + after - first).cast("int"))
+
+    def told(h: Column) -> Column:
+        touches = lambda p: around(h, 28, 0).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{p})\s*(?:r\$)?\s*$")
+        kind = F.when(h.ordinal == bare, "estimate").when(touches(LIMIT), "limit").when(touches(ESTIMATE), "estimate").otherwise("stated")
+        raw = F.trim(F.substring("safe", (h.at + 1).cast("int"), (h.upto - h.at).cast("int")))
+        quote = evidence(F.col("safe"), F.col("spans"), h.at, h.upto)
+        return F.struct(
+            h.ordinal.alias("ordinal"), h.at.alias("at"), h.amount.alias("amount"), F.lit("BRL").alias("currency"), raw.alias("raw"), kind.alias("kind"),
+            around(h, 140, 140).rlike(bounded(SECRECY)).alias("confidential"), quote.alias("e"),
+        )
+
+    rows = texts.select("doc_id", F.explode(F.transform(hits, told)).alias("h")).select("doc_id", "h.*")
+    place = F.when(F.col("ordinal") == bare, -1).otherwise(F.col("e.start"))
+    first = rows.groupBy("doc_id", "amount", place.alias("place")).agg(F.min(F.struct("ordinal", "at", "currency", "raw", "kind", "confidential", "e")).alias("h"))
+    return first.select("doc_id", "amount", "h.currency", "h.raw", "h.kind", "h.confidential", "h.e.quote", "h.e.start", "h.e.end")

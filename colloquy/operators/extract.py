@@ -1,8 +1,9 @@
 """Extractors: items that a lexicon's patterns find in sentences, each with the quote that supports it.
 
 Sentences are rows (doc_id, sentence_no, start, search, quote, side): ``search`` is folded, ``start`` its
-offset in the text, ``side`` seller, client or null. A lexicon is a list of :class:`Entry`. One pattern
-that joins all entries of a lexicon finds the sentences with any; only those are tested entry by entry.
+offset in the text, ``side`` seller, client or null. A lexicon is a list of :class:`~.phrases.Phrase`, whose
+words are looked up, or of :class:`Entry`, regular expressions: one pattern that joins them finds the
+sentences with any, and only those are tested entry by entry.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import bounded, matches
+from colloquy.operators.phrases import Phrase, phrase_hits
 
 __all__ = [
     "Entry", "client_speech", "competitors", "cross_needs", "deadline", "first_per_label", "lexicon_hits", "longest_hits", "objections", "opportunities", "pains", "products", "refused", "risks", "statements",
@@ -35,8 +37,10 @@ def client_speech(sentences: DataFrame, attributable: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce("attributable", F.lit(False)) | (F.col("side") == "client")).drop("attributable")
 
 
-def lexicon_hits(sentences: DataFrame, entries: list[Entry]) -> DataFrame:
+def lexicon_hits(sentences: DataFrame, entries: list[Entry] | list[Phrase]) -> DataFrame:
     """Every match of every entry: the sentence's columns, ordinal (of the entry), label, grp, weight, hit_start, hit_end."""
+    if all(isinstance(e, Phrase) for e in entries):
+        return phrase_hits(sentences, list(entries))
     anything = bounded("|".join(f"(?:{e.pattern})" for e in entries))
     some = sentences.where(F.col("search").rlike(anything))
     found = F.array(
