@@ -122,48 +122,53 @@ def pattern(words: str) -> str:
     return "|".join(sorted(ways, key=len))
 
 
-def _table(spark: SparkSession, rows: list) -> DataFrame:
-    kind = "key string, rest array<struct<word:string,stem:boolean,gap:int>>, ordinal int, label string, grp string, weight double"
-    return spark.createDataFrame(rows, kind)
+def _by_key(rows: list[tuple]) -> list[tuple[str, list[tuple]]]:
+    """A row for each first word and each beginning, with all entries that a word found by it may begin: those
+    of the word itself and of every beginning that it has."""
+    own: dict[str, list[tuple]] = {}
+    for key, *entry in rows:
+        own.setdefault(key, []).append(tuple(entry))
+    stems = [k for k in own if len(k) > 1 and k.endswith("*")]
 
+    def all_of(key: str) -> list[tuple]:
+        word = key[:-1] if key in stems else key
+        shorter = [k for k in stems if k != key and word.startswith(k[:-1])]
+        return sorted((e for k in [key, *shorter] for e in own[k]), key=lambda e: e[1])
+
+    return [(key, all_of(key)) for key in own]
+
+
+def _table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    entry = "struct<rest:array<struct<word:string,stem:boolean,gap:int>>,ordinal:int,label:string,grp:string,weight:double>"
+    return spark.createDataFrame(_by_key(rows), f"_p_key string, _p_entries array<{entry}>")
 
-def _candidates(search: Column, firsts: set[str], stems: dict[int, set[str]], reach: int) -> Column:
-    """Places at which a phrase may begin: array of (at, keys, ahead), ahead being the next tokens with the white space before them."""
 
-    def begins(word: Column) -> Column:
-        hit = word.isin(*sorted(firsts)) if firsts else F.lit(False)
-        for n, some in stems.items():
-            hit = hit | F.substring(word, 1, n).isin(*sorted(some))
-        return hit
+def _candidates(search: Column, firsts: set[str], stems: dict[int, set[str]], reach: int) -> Column:
+    """Places at which a phrase may begin: array of (at, key, ahead), ahead being the next tokens. The key is the
+    word itself, or else its longest known beginning."""
 
-    def keys(word: Column) -> Column:
-        return F.concat(F.array(word), *(F.array(F.concat(F.substring(word, 1, n), F.lit("*"))) for n in stems))
+    def key(word: Column) -> Column:
+        known = [F.when(word.isin(*sorted(firsts)), word)] if firsts else []
+        begins = lambda n: F.when(F.substring(word, 1, n).isin(*sorted(stems[n])), F.concat(F.substring(word, 1, n), F.lit("*")))
+        return F.coalesce(*known, *(begins(n) for n in sorted(stems, reverse=True)), F.lit(None).cast("string"))
 
     def of(tokens: Column) -> Column:
-        places = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.word.alias("word"))), lambda p: begins(p.word))
-        ahead = lambda i: F.slice(tokens, i + 1, F.lit(reach))
-        return F.transform(places, lambda p: F.struct(F.get(tokens, p.i).at.alias("at"), keys(p.word).alias("keys"), ahead(p.i).alias("ahead")))
+        places = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.at.alias("at"), key(t.word).alias("key"))), lambda p: p.key.isNotNull())
+        return F.transform(places, lambda p: F.struct(p.at.alias("at"), p.key.alias("key"), F.slice(tokens, p.i + 1, F.lit(reach)).alias("ahead")))
 
     def tokens(words: Column) -> Column:
         gaps = F.split(search, TOKEN, -1)
         sizes = F.zip_with(gaps, words, lambda g, w: F.length(g) + F.coalesce(F.length(w), F.lit(0)))
+        pairs = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).alias("gap"), w.alias("word")))
+        placed = F.zip_with(pairs, running_sums(sizes), lambda p, at: F.struct((at + p.gap).alias("at"), p.word.alias("word")))
+        return F.filter(placed, lambda t: t.word.isNotNull())
 
-        def token(p: Column, at: Column) -> Column:
-            return F.struct(F.length(p.gap).alias("gap"), p.word.alias("word"), (at + F.length(p.gap)).alias("at"))
-
-        pairs = F.zip_with(gaps, words, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
-        return F.filter(F.zip_with(pairs, running_sums(sizes), token), lambda t: t.word.isNotNull())
-
-    found = once(once(F.regexp_extract_all(search, F.lit(TOKEN), F.lit(0)), tokens), of)
     words = F.regexp_extract_all(search, F.lit(TOKEN), F.lit(0))
-    return F.when(F.exists(words, begins), found)
+    return F.when(F.exists(words, lambda w: key(w).isNotNull()), once(once(words, tokens), of))
 
 
 def _ends(ahead: Column, rest: Column) -> Column:
-    """How many tokens each way of following ``rest`` takes, as an array; empty if there is none.
-
-    The next word stands after white space; between a mark and a word none is needed.
-    """
+    """How many tokens each way of following ``rest`` takes, as an array; empty if there is none."""
 
     def fits(token: Column, part: Column) -> Column:
         return F.when(part.stem, F.startswith(token.word, part.word)).otherwise(token.word == part.word)
@@ -185,6 +190,9 @@ def phrase_hits(sentences: DataFrame, phrases: list[Phrase], text_col: str = "se
     An entry that can be read in several ways from one place hits there once, with the nearest end. Offsets
     count from ``start_col``, or from the text's start if there is no such column. A null text has no hits.
     """
+    kept = sentences.columns
+    if clash := {"ordinal", "label", "grp", "weight", "hit_start", "hit_end"} & set(kept):
+        raise ValueError(f"rename {sorted(clash)} first")
     rows = compiled(phrases)
     keys = {r[0] for r in rows}
     firsts = {k for k in keys if not (len(k) > 1 and k.endswith("*"))}
@@ -192,15 +200,19 @@ def phrase_hits(sentences: DataFrame, phrases: list[Phrase], text_col: str = "se
     for k in keys - firsts:
         stems.setdefault(len(k) - 1, set()).add(k[:-1])
     reach = max((1 + sum(1 + g for _, _, g in r[1]) for r in rows), default=1)
-    kept = sentences.columns
     at = F.col(start_col) if start_col in kept else F.lit(0)
-    places = sentences.select("*", F.explode(_candidates(F.col(text_col), firsts, stems, reach)).alias("_p")).select(*kept, "_p.at", "_p.ahead", F.explode("_p.keys").alias("key"))
-    clash = {c: f"_own_{c}" for c in kept if c in ("at", "ahead", "key", "rest", "ordinal", "label", "grp", "weight")}
-    if clash:
-        raise ValueError(f"rename {sorted(clash)} first")
-    found = places.join(F.broadcast(_table(sentences.sparkSession, rows)), "key")
-    found = found.withColumn("end", F.array_min(_ends(F.col("ahead"), F.col("rest")))).where("end is not null")
-    last = F.get("ahead", F.col("end") - 1)
-    found = found.withColumn("hit_end", last.at + F.length(last.word))
-    nearest = found.groupBy(*kept, "ordinal", "label", "grp", "weight", F.col("at").alias("hit_at")).agg(F.min("hit_end").alias("upto"))
-    return nearest.select(*kept, "ordinal", "label", "grp", "weight", (at + F.col("hit_at")).alias("hit_start"), (at + F.col("upto")).alias("hit_end"))
+    places = sentences.select("*", F.explode(_candidates(F.col(text_col), firsts, stems, reach)).alias("_p")).withColumn("_p_key", F.col("_p.key"))
+    found = places.join(F.broadcast(_table(sentences.sparkSession, rows)), "_p_key")
+    ahead = F.col("_p.ahead")
+
+    def ends(e: Column) -> Column:
+        last = F.get(ahead, F.array_min(_ends(ahead, e.rest)) - 1)
+        return F.struct(e.ordinal.alias("ordinal"), (last.at + F.length(last.word)).alias("upto"), e.label.alias("label"), e.grp.alias("grp"), e.weight.alias("weight"))
+
+    def nearest(hits: Column) -> Column:
+        return F.filter(hits, lambda h, i: (i == 0) | (F.get(hits, i - 1).ordinal != h.ordinal))
+
+    # An entry that can be read in several ways has them side by side, the nearest end first.
+    hits = once(F.array_sort(F.filter(F.transform("_p_entries", ends), lambda h: h.upto.isNotNull())), nearest)
+    found = found.select(*kept, F.col("_p.at").alias("_p_at"), F.explode(hits).alias("_p_hit"))
+    return found.select(*kept, "_p_hit.ordinal", "_p_hit.label", "_p_hit.grp", "_p_hit.weight", (at + F.col("_p_at")).alias("hit_start"), (at + F.col("_p_hit.upto")).alias("hit_end"))

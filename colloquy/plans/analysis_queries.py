@@ -1,7 +1,8 @@
 """From transcripts to findings, over the driver's chats as meetings between a seller and a client.
 
-A chat becomes one labelled transcript: the assistant is Ana, the user Bruno, with titles in some chats.
-The chats are invented prose, so each turn gets one of :data:`REMARKS`; all that follows reads the text.
+A chat becomes one labelled transcript: the assistant is Ana, the user Bruno, others Carla, with titles in
+some chats. The chats are invented prose, so each turn gets one of :data:`REMARKS`, with a number of its own;
+all that follows reads the text. Chats with one speaker are texts of nobody.
 """
 
 from __future__ import annotations
@@ -39,6 +40,24 @@ REMARKS = (
     " Não vamos comprar nada.",
     " Vou enviar a proposta em 15 dias.",
     " Preciso que você mande o contrato até 31/01.",
+    " Temos {n} mil reais para isso.",
+    " Seria uns {n}, mas não comenta com ninguém.",
+    " Podemos pagar até R$ {n}.500,00 por mês.",
+    " São cento e vinte mil no máximo.",
+    " Sou o diretor financeiro.",
+    " Sou gerente de TI e falo com meu diretor.",
+    " O fechamento está atrasado.",
+    " A planilha trava toda semana e é um problema.",
+    " Adoramos o suporte, é excelente.",
+    " A integração é lenta e o suporte ficou muito ruim.",
+    " Precisamos de um relatório melhor.",
+    " Decidimos seguir, o próximo passo é na sexta ou na quinta.",
+    " Me manda a proposta em {n} dias.",
+    " Qual o prazo de implantação?",
+    " Vamos abrir novas filiais e queremos o Acme.",
+    " Confio em vocês.",
+    " Vamos adiar a reunião para o mês que vem.",
+    " O dia 31/02 não existe, fica em duas semanas.",
 )
 NEEDS = [Entry("closing", "vamos fechar", 5.0), Entry("cancel", "cancelar", 20.0), Entry("bad_support", "suporte[^.]{0,20}ruim", 14.0), Entry("discount", "desconto", 3.0)]
 CHURN = ("cancel", "bad_support")
@@ -52,14 +71,19 @@ REFUSAL = "nao vamos comprar"
 OURS, THEIRS = "vou enviar", "preciso que voce"
 
 
-def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("role").isin("assistant", "user"))
-    kind = F.col("conv_id") % 3
-    label = F.when(F.col("role") == "assistant", F.when(kind == 2, "Ana (Comercial): ").otherwise("Ana: ")).otherwise(F.when(kind == 0, "Bruno (Diretor): ").otherwise("Bruno: "))
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    kind, role = F.col("conv_id") % 3, F.col("role")
+    name = F.when(role == "assistant", F.when(kind == 2, "Ana (Comercial): ").otherwise("Ana: ")).when(role == "user", F.when(kind == 0, "Bruno (Diretor): ").otherwise("Bruno: ")).otherwise("Carla: ")
     remark = F.array(*map(F.lit, REMARKS))[((F.col("conv_id") * 7 + F.col("turn")) % len(REMARKS)).cast("int")]
-    line = F.concat(label, F.coalesce("text", F.lit("")), remark)
+    number = ((F.col("conv_id") * 13 + F.col("turn") * 5) % 90 + 10).cast("string")
+    line = F.concat(name, F.coalesce("text", F.lit("")), F.replace(remark, F.lit("{n}"), number))
     lines = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
-    return T.prepared(lines.select("doc_id", F.array_join("lines.line", "\n").alias("text")))
+    return lines.select("doc_id", F.array_join("lines.line", "\n").alias("text"), F.lit(MEETING).alias("meeting_date"))
+
+
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.prepared(_texts(spark, sf_dir))
 
 
 def _roles(turns: DataFrame) -> DataFrame:
@@ -68,12 +92,12 @@ def _roles(turns: DataFrame) -> DataFrame:
 
 def _sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sentences as extractors take them, and which transcripts tell the sides apart."""
-    turns = T.turns(_transcripts(spark, sf_dir))
-    roles = _roles(turns)
-    rows = T.sentences(turns).join(roles.select("doc_id", F.lower("speaker").alias("key"), "side"), [F.lower(turns.speaker) == F.col("key"), turns.doc_id == roles.doc_id])
-    order = Window.partitionBy(turns.doc_id).orderBy("sentence_start")
+    spans = T.spans(_transcripts(spark, sf_dir))
+    roles = _roles(spans.where("diarised"))
+    rows = T.sentences(spans).join(roles.select("doc_id", F.lower("speaker").alias("key"), "side"), [F.lower(spans.speaker) == F.col("key"), spans.doc_id == roles.doc_id], "left")
+    order = Window.partitionBy(spans.doc_id).orderBy("sentence_start")
     rows = rows.select(
-        turns.doc_id, (F.row_number().over(order) - 1).alias("sentence_no"), F.col("sentence_start").alias("start"), T.fold(F.col("sentence")).alias("search"), F.col("sentence").alias("quote"), "side", turns.speaker
+        spans.doc_id, (F.row_number().over(order) - 1).alias("sentence_no"), F.col("sentence_start").alias("start"), T.fold(F.col("sentence")).alias("search"), F.col("sentence").alias("quote"), "side", spans.speaker
     )
     return rows, T.attributable(roles)
 
@@ -155,10 +179,10 @@ _LIST = ", ".join(f"'{r}'" for r in REMARKS)
 _TURNS = f"""
 lines AS (
   SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn,
-    CASE role WHEN 'assistant' THEN 'Ana' ELSE 'Bruno' END AS speaker,
+    CASE role WHEN 'assistant' THEN 'Ana' WHEN 'user' THEN 'Bruno' ELSE 'Carla' END AS speaker,
     CASE WHEN role = 'assistant' AND conv_id % 3 = 2 THEN 'Comercial' WHEN role = 'user' AND conv_id % 3 = 0 THEN 'Diretor' END AS title,
-    coalesce(text, '') || [{_LIST}][(conv_id * 7 + conversations.turn) % {len(REMARKS)} + 1] AS said
-  FROM conversations WHERE role IN ('assistant', 'user')
+    coalesce(text, '') || replace([{_LIST}][(conv_id * 7 + conversations.turn) % {len(REMARKS)} + 1], '{{n}}', CAST((conv_id * 13 + conversations.turn * 5) % 90 + 10 AS VARCHAR)) AS said
+  FROM conversations
 ), placed AS (
   SELECT *, speaker || CASE WHEN title IS NULL THEN '' ELSE ' (' || title || ')' END || ': ' AS label FROM lines
 ), ranged AS (
@@ -170,6 +194,11 @@ lines AS (
     CAST(label_start + length(label || said) + CASE WHEN is_last THEN 0 ELSE 1 END AS BIGINT) AS end_at,
     regexp_replace(said, '^\\s+|\\s+$', '', 'g') AS text, {WORDS.format("said")} AS words
   FROM ranged WHERE both_speak
+), docs AS (
+  SELECT doc_id, string_agg(label || said, chr(10) ORDER BY turn) AS whole, bool_or(both_speak) AS diarised FROM ranged GROUP BY doc_id
+), spans AS (
+  SELECT doc_id, turn, speaker, start_at, text, words FROM turns
+  UNION ALL SELECT doc_id, 0, NULL, 0, regexp_replace(whole, '\\s+$', ''), {WORDS.format("whole")} FROM docs WHERE NOT diarised
 )"""
 
 
@@ -182,14 +211,14 @@ _ROLES = f"""{_TURNS}, spoken AS (
     avg(CASE WHEN contains(text, '?') THEN 1 ELSE 0 END) AS rate, quantile_cont(words, 0.5) AS median
   FROM turns GROUP BY doc_id, speaker
 ), facing AS (
-  SELECT *, rate - min(rate) OVER d AS gap, row_number() OVER (d ORDER BY rate DESC, first) AS rate_rank,
-    row_number() OVER (d ORDER BY median DESC, first) AS long_rank, max(median) OVER d AS longest, min(median) OVER d AS shortest
+  SELECT *, rate - lead(rate) OVER (d ORDER BY rate DESC, first) AS gap, row_number() OVER (d ORDER BY rate DESC, first) AS rate_rank,
+    row_number() OVER (d ORDER BY median DESC, first) AS long_rank, row_number() OVER (d ORDER BY median, first DESC) AS short_rank, max(median) OVER d AS longest, min(median) OVER d AS shortest
   FROM spoken WINDOW d AS (PARTITION BY doc_id)
 ), scored AS (
   SELECT *, rate_rank = 1 AND rate >= 0.5 AND gap > 0 AS asks, longest >= {R.LONG_TURN} AND shortest > 0 AND longest >= 1.5 * shortest AS apart FROM facing
 ), summed AS (
   SELECT *, CASE title WHEN 'Comercial' THEN {R.TITLE} WHEN 'Diretor' THEN -{R.TITLE} ELSE 0 END + {R.WORDS} * ({_marks(R.SELLER_MARKS)}) - {R.WORDS} * ({_marks(R.CLIENT_MARKS)})
-    + CASE WHEN asks THEN gap * {R.QUESTIONS} ELSE 0 END + CASE WHEN apart AND long_rank = 1 THEN -{R.LENGTH} WHEN apart THEN {R.LENGTH} ELSE 0 END AS score
+    + CASE WHEN asks THEN gap * {R.QUESTIONS} ELSE 0 END + CASE WHEN apart AND long_rank = 1 THEN -{R.LENGTH} ELSE 0 END + CASE WHEN apart AND short_rank = 1 THEN {R.LENGTH} ELSE 0 END AS score
   FROM scored
 ), s1 AS (
   SELECT *, CASE WHEN score >= {R.THRESHOLD} THEN 'seller' WHEN score <= -{R.THRESHOLD} THEN 'client' ELSE 'unknown' END AS side,
@@ -198,9 +227,9 @@ _ROLES = f"""{_TURNS}, spoken AS (
   SELECT * REPLACE (CASE WHEN elected THEN 'seller' ELSE side END AS side), CASE WHEN elected OR side <> 'unknown' THEN sure ELSE 0 END AS confidence
   FROM (SELECT *, NOT bool_or(side = 'seller') OVER (PARTITION BY doc_id) AND asks AND side = 'unknown' AND score > 0 AS elected FROM s1)
 ), s3 AS (
-  SELECT * REPLACE (CASE WHEN side <> 'unknown' THEN side WHEN sold THEN 'client' WHEN bought THEN 'seller' ELSE side END AS side,
-    CASE WHEN side = 'unknown' AND (sold OR bought) THEN {R.PROPAGATED} ELSE confidence END AS confidence)
-  FROM (SELECT *, bool_or(side = 'seller') OVER (PARTITION BY doc_id) AS sold, bool_or(side = 'client') OVER (PARTITION BY doc_id) AS bought FROM s2)
+  SELECT * REPLACE (CASE WHEN side <> 'unknown' THEN side WHEN sold THEN 'client' WHEN bought AND unknowns = 1 THEN 'seller' ELSE side END AS side,
+    CASE WHEN side = 'unknown' AND (sold OR bought AND unknowns = 1) THEN {R.PROPAGATED} ELSE confidence END AS confidence)
+  FROM (SELECT *, bool_or(side = 'seller') OVER (PARTITION BY doc_id) AS sold, bool_or(side = 'client') OVER (PARTITION BY doc_id) AS bought, count(*) FILTER (WHERE side = 'unknown') OVER (PARTITION BY doc_id) AS unknowns FROM s2)
 ), s4 AS (
   SELECT * REPLACE (CASE WHEN last_resort THEN 'seller' ELSE side END AS side, CASE WHEN last_resort THEN {R.SPEAKING_ORDER} ELSE confidence END AS confidence) FROM (
     SELECT *, NOT bool_or(side = 'seller') OVER (PARTITION BY doc_id) AND row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first) = 1 AS last_resort FROM s3)
@@ -213,7 +242,7 @@ _SHORT = "|".join(T.ABBREVIATIONS)
 _CLOSERS = "[.!?\"''”’)\\]]*"
 _SENTENCES = f"""{_ROLES}, cut AS (
   SELECT doc_id, turn, speaker, start_at, string_split(regexp_replace(regexp_replace(text, '([.!?]{_CLOSERS})(\\s+[\\p{{Lu}}0-9"''“—-])', '\\1' || chr(30) || '\\2', 'g'),
-    '((?:^|[^\\p{{L}}])(?:(?i:{_SHORT})|\\p{{L}})\\.)' || chr(30), '\\1', 'g'), chr(30)) AS pieces FROM turns
+    '((?:^|[^\\p{{L}}])(?:(?i:{_SHORT})|\\p{{L}})\\.)' || chr(30), '\\1', 'g'), chr(30)) AS pieces FROM spans
 ), pieces AS (
   SELECT doc_id, turn, speaker, start_at, i, pieces[i] AS piece, coalesce(list_sum(list_transform(pieces[1:i - 1], lambda x: length(x))), 0) AS shift
   FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM cut)
@@ -221,8 +250,8 @@ _SENTENCES = f"""{_ROLES}, cut AS (
   SELECT *, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS quote, length(piece) - length(regexp_replace(piece, '^\\s+', '')) AS lead FROM pieces
 ), sentences AS (
   SELECT b.doc_id, CAST(row_number() OVER (PARTITION BY b.doc_id ORDER BY b.turn, i) - 1 AS BIGINT) AS sentence_no, CAST(start_at + shift + lead AS BIGINT) AS start_at, side, b.speaker, quote,
-    {FOLD.replace("text", "quote")} AS search, NOT attributable OR side = 'client' AS client
-  FROM bare b JOIN roles r ON r.doc_id = b.doc_id AND r.speaker = b.speaker JOIN sides x ON x.doc_id = b.doc_id WHERE length(quote) > 0
+    {FOLD.replace("text", "quote")} AS search, NOT coalesce(attributable, false) OR coalesce(side = 'client', false) AS client
+  FROM bare b LEFT JOIN roles r ON r.doc_id = b.doc_id AND r.speaker = b.speaker LEFT JOIN sides x ON x.doc_id = b.doc_id WHERE length(quote) > 0
 )"""
 
 
@@ -232,6 +261,28 @@ def _at(pattern: str, text: str = "search") -> str:
     return f"nullif(length({head}), 0) - 1"
 
 
+def _due(text: str) -> str:
+    """The date that a folded text names, by the rules: a stated day, days, weeks, weekday, next week, month's end, next month."""
+    day = f"'(?:^|[^0-9])([0-9]{{1,2}})/([0-9]{{1,2}})(?:/([0-9]{{4}}|[0-9]{{2}}))?(?:[^0-9]|$)'"
+    part = lambda k: f"regexp_extract({text}, {day}, {k})"
+    year = f"CASE length({part(3)}) WHEN 4 THEN {part(3)} WHEN 2 THEN '20' || {part(3)} ELSE '{MEETING.year}' END"
+    small = " ".join(f"WHEN '{w}' THEN {n}" for w, n in X.SMALL_NUMBERS)
+    words = "|".join(w for w, _ in X.SMALL_NUMBERS)
+
+    def count(unit: str) -> str:
+        n = f"regexp_extract(' ' || {text} || ' ', '[^\\p{{L}}\\p{{N}}]em\\s+([0-9]{{1,3}}|{words})\\s+{unit}[^\\p{{L}}\\p{{N}}]', 1)"
+        return f"coalesce(try_cast({n} AS INTEGER), CASE {n} {small} END)"
+
+    names = "|".join(w for w, _ in X.WEEKDAYS)
+    said = f"regexp_extract(' ' || {text} || ' ', '[^\\p{{L}}\\p{{N}}_]({names})[^\\p{{L}}\\p{{N}}_]', 1)"
+    target = " ".join(f"WHEN '{w}' THEN {i}" for i, (w, _) in enumerate(X.WEEKDAYS))
+    meeting, today = f"DATE '{MEETING}'", MEETING.isoweekday() % 7
+    return f"""coalesce(try_cast({year} || '-' || lpad({part(2)}, 2, '0') || '-' || lpad({part(1)}, 2, '0') AS DATE),
+      {meeting} + {count("dias?")}, {meeting} + 7 * {count("semanas?")}, {meeting} + ((CASE {said} {target} END - {today} + 6) % 7 + 1)::INT,
+      CASE WHEN {_has("semana que vem|proxima semana", text)} THEN {meeting} + 7 END, CASE WHEN {_has("(?:fim|final) do mes", text)} THEN last_day({meeting}) END,
+      CASE WHEN {_has("mes que vem|proximo mes", text)} THEN CAST({meeting} + INTERVAL 1 MONTH AS DATE) END)"""
+
+
 def _has(pattern: str, text: str) -> str:
     return f"regexp_matches(' ' || {text} || ' ', '[^\\p{{L}}\\p{{N}}](?:{pattern})[^\\p{{L}}\\p{{N}}]')"
 
@@ -282,17 +333,10 @@ h AS (
 )
 SELECT doc_id, label, grp, ['in_use', 'evaluating', 'opportunity', 'mentioned'][rank] AS status, [0.9, 0.75, 0.75, 0.6][rank]::DOUBLE AS confidence, start_at
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY rank, start_at) AS k FROM s) WHERE k = 1""",
-    "meeting_deadlines": f"""WITH {_SENTENCES}, due AS (
-  SELECT doc_id, start_at, CASE WHEN contains(search, '31/01') THEN DATE '2024-01-31' WHEN {_has("em 15 dias", "search")} THEN DATE '2024-01-25' WHEN {_has("segunda", "search")} THEN DATE '2024-01-15' END AS due
-  FROM sentences
-)
+    "meeting_deadlines": f"""WITH {_SENTENCES}, due AS (SELECT doc_id, start_at, {_due("search")} AS due FROM sentences)
 SELECT * FROM due WHERE due IS NOT NULL""",
-    "meeting_tasks": f"""WITH {_SENTENCES}, docs AS (
-  SELECT doc_id, {FOLD.replace("text", "string_agg(label || said, chr(10) ORDER BY turn)")} AS whole FROM placed GROUP BY doc_id
-), h AS (
+    "meeting_tasks": f"""WITH {_SENTENCES}, folded AS (SELECT doc_id, {FOLD.replace("text", "whole")} AS folded FROM docs), h AS (
   SELECT *, 'ours' AS task_side FROM sentences WHERE {_has(OURS, "search")} UNION ALL SELECT *, 'theirs' FROM sentences WHERE {_has(THEIRS, "search")}
-), a AS (SELECT h.*, substr(whole, start_at + 1, length(quote) + 80) AS after_text FROM h JOIN docs USING (doc_id) QUALIFY row_number() OVER (PARTITION BY h.doc_id, task_side, quote ORDER BY start_at) = 1)
-SELECT doc_id, task_side AS side, speaker AS responsible, start_at, md5(quote) AS quote_md5,
-  CASE WHEN contains(after_text, '31/01') THEN DATE '2024-01-31' WHEN {_has("em 15 dias", "after_text")} THEN DATE '2024-01-25' WHEN {_has("segunda", "after_text")} THEN DATE '2024-01-15' END AS due
-FROM a""",
+), a AS (SELECT h.*, substr(folded, start_at + 1, length(quote) + 80) AS after_text FROM h JOIN folded USING (doc_id) QUALIFY row_number() OVER (PARTITION BY h.doc_id, task_side, quote ORDER BY start_at) = 1)
+SELECT doc_id, task_side AS side, speaker AS responsible, start_at, md5(quote) AS quote_md5, {_due("after_text")} AS due FROM a""",
 }
