@@ -133,8 +133,9 @@ def _row(rows: DataFrame, kind: str, **columns: Column | str) -> DataFrame:
     return rows.select("doc_id", F.lit(kind).alias("kind"), *cells)
 
 
-def findings(meetings: Meetings, lexicon: Lexicon) -> DataFrame:
-    """doc_id, kind, label, grp, detail, flag, value, start, quote: all that the texts say, one row a finding.
+def findings(meetings: Meetings, lexicon: Lexicon, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kind, label, grp, detail, flag, value, start, quote: all that the texts say, one row a finding;
+    of ``kinds`` only, if any are given.
 
     kind and what goes with it: product (grp its unit, detail status, value confidence), rival (detail threat,
     flag active), pain (value confidence), objection (flag resolved), need, decision, next_step, churn, upsell
@@ -146,35 +147,33 @@ def findings(meetings: Meetings, lexicon: Lexicon) -> DataFrame:
     all_, client, x = meetings.sentences, meetings.client, lexicon
     said = {"need": (client, x.needs), "decision": (all_, x.decisions), "next_step": (all_, x.next_steps), "churn": (client, x.churn), "upsell": (client, x.upsell), "trust": (all_, x.trust)}
     stated = {kind: X.statements(rows, phrases) for kind, (rows, phrases) in said.items()}
-    out = [_row(rows, kind, label="label", value="weight", start="start", quote="quote") for kind, rows in stated.items()]
+    out = {kind: _row(rows, kind, label="label", value="weight", start="start", quote="quote") for kind, rows in stated.items()}
     status = {k: either(v) for k, v in x.status.items()}
     found = X.products(all_, x.products, status, X.refused(client, [X.Entry("no", either(x.refusal))]))
-    out.append(_row(found, "product", label="label", grp="grp", detail="status", value="confidence", start="start", quote="quote"))
+    out["product"] = _row(found, "product", label="label", grp="grp", detail="status", value="confidence", start="start", quote="quote")
     rivals = X.competitors(all_, x.rivals, either(x.past), either(x.active))
-    out.append(_row(rivals, "rival", label="label", detail="threat", flag="active", start="start", quote="quote"))
+    out["rival"] = _row(rivals, "rival", label="label", detail="threat", flag="active", start="start", quote="quote")
     pains = X.pains(client, x.pains, either(x.complaint), E.span_score(F.col("search"), x.sentiment).score)
-    out.append(_row(pains, "pain", label="label", value="confidence", start="start", quote="quote"))
+    out["pain"] = _row(pains, "pain", label="label", value="confidence", start="start", quote="quote")
     objections = X.objections(client, x.objections, either(x.denial), either(x.resolution), either(x.other_party))
-    out.append(_row(objections, "objection", label="label", flag="resolved", start="start", quote="quote"))
-    out.append(_row(P.voice(client, x.voice, x.aspects), "voice", label="kind", detail="target", start="start", quote="quote"))
+    out["objection"] = _row(objections, "objection", label="label", flag="resolved", start="start", quote="quote")
+    out["voice"] = _row(P.voice(client, x.voice, x.aspects), "voice", label="kind", detail="target", start="start", quote="quote")
     budgets = budgets_in(budget_hits(meetings.texts), all_)
-    out.append(_row(budgets, "budget", label="currency", detail="kind", flag="confidential", value="amount", start="at", quote="quote"))
+    out["budget"] = _row(budgets, "budget", label="currency", detail="kind", flag="confidential", value="amount", start="at", quote="quote")
     persona = P.persona(all_, x.roles, either(x.superior), either(x.third_party))
-    out.append(_row(persona.where("role is not null or power <> 'unknown'"), "persona", label="role", detail="power", quote="quote"))
+    out["persona"] = _row(persona.where("role is not null or power <> 'unknown'"), "persona", label="role", detail="power", quote="quote")
     tasks = X.tasks(all_, x.ours, x.theirs, F.col("meeting_date"))
-    out.append(_row(tasks, "task", label="side", grp="responsible", detail=F.col("due").cast("string"), start="start", quote="quote"))
-    risks = X.risks(stated["churn"], rivals)
-    out.append(_row(risks, "risk", label="risk", detail="severity"))
+    out["task"] = _row(tasks, "task", label="side", grp="responsible", detail=F.col("due").cast("string"), start="start", quote="quote")
+    out["risk"] = _row(X.risks(stated["churn"], rivals), "risk", label="risk", detail="severity")
     has = lambda words: F.coalesce(F.bool_or(F.col("search").rlike(bounded(either(words)))), F.lit(False))
     facts = all_.groupBy("doc_id").agg(has(x.preference).alias("preference"), has(x.conditional).alias("conditional"), has(x.complaint).alias("pain"))
     rich = budgets.select("doc_id").distinct().withColumn("budget", F.lit(True))
-    chances = X.opportunities(found, facts.join(rich, "doc_id", "left"))
-    out.append(_row(chances, "opportunity", label="label", value="probability"))
-    out.append(_row(aspects_of(meetings, x), "aspect", label="aspect", detail="polarity", value="score"))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return rows
+    out["opportunity"] = _row(X.opportunities(found, facts.join(rich, "doc_id", "left")), "opportunity", label="label", value="probability")
+    out["aspect"] = _row(aspects_of(meetings, x), "aspect", label="aspect", detail="polarity", value="score")
+    rows = [out[kind] for kind in kinds or out]
+    for more in rows[1:]:
+        rows[0] = rows[0].unionByName(more)
+    return rows[0]
 
 
 def briefings(meetings: Meetings, found: DataFrame, lexicon: Lexicon, memory: DataFrame | None = None) -> DataFrame:

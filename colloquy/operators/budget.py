@@ -99,7 +99,7 @@ def _once_a_sentence(rows: DataFrame, start: str) -> DataFrame:
 def budget_hits(texts: DataFrame) -> DataFrame:
     """doc_id, ordinal, at, amount, currency, raw, kind, confidential: every mention of an amount in texts
     (doc_id, safe, search). Settled in the text's own row, so no text is shuffled."""
-    return texts.select("doc_id", F.explode(F.transform(_settled(), _told)).alias("h")).select("doc_id", "h.*")
+    return texts.select("doc_id", F.explode(F.transform(_settled(), lambda h: _told(h))).alias("h")).select("doc_id", "h.*")
 
 
 def budgets_in(hits: DataFrame, sentences: DataFrame) -> DataFrame:

@@ -169,9 +169,10 @@ def tasks(sentences: DataFrame, ours: list[Entry], theirs: list[Entry], meeting_
     """
     own = lexicon_hits(sentences, ours).withColumn("task_side", F.lit("ours"))
     rows = own.unionByName(lexicon_hits(sentences, theirs).withColumn("task_side", F.lit("theirs")))
-    first = F.min_by(F.struct("speaker", "after", "start"), F.struct("start", "hit_start")).alias("f")
+    rows = rows.withColumn("met", meeting_date)
+    first = F.min_by(F.struct("speaker", "after", "start", "met"), F.struct("start", "hit_start")).alias("f")
     found = rows.groupBy("doc_id", F.col("task_side").alias("side"), "quote").agg(first)
-    return found.select("doc_id", "side", F.col("f.speaker").alias("responsible"), "quote", deadline(F.col("f.after"), meeting_date).alias("due"), F.col("f.start").alias("start"))
+    return found.select("doc_id", "side", F.col("f.speaker").alias("responsible"), "quote", deadline(F.col("f.after"), F.col("f.met")).alias("due"), F.col("f.start").alias("start"))
 
 
 def risks(churn: DataFrame, rivals: DataFrame) -> DataFrame:
