@@ -145,24 +145,27 @@ def findings(meetings: Meetings, lexicon: Lexicon, kinds: tuple[str, ...] = ())
     found in the text, or of its sentence; aspects have none.
     """
     all_, client, x = meetings.sentences, meetings.client, lexicon
-    said = {"need": (client, x.needs), "decision": (all_, x.decisions), "next_step": (all_, x.next_steps), "churn": (client, x.churn), "upsell": (client, x.upsell), "trust": (all_, x.trust)}
-    stated = {kind: X.statements(rows, phrases) for kind, (rows, phrases) in said.items()}
+    lists = ("products", "rivals", "pains", "objections", "needs", "decisions", "next_steps", "churn", "upsell", "trust", "voice", "roles", "ours", "theirs")
+    hits = X.hits_of(all_, {name: getattr(x, name) for name in lists})
+    own = {name: rows.where("client") for name, rows in hits.items()}
+    said = {"need": own["needs"], "decision": hits["decisions"], "next_step": hits["next_steps"], "churn": own["churn"], "upsell": own["upsell"], "trust": hits["trust"]}
+    stated = {kind: X.statements(all_, rows) for kind, rows in said.items()}
     out = {kind: _row(rows, kind, label="label", value="weight", start="start", quote="quote") for kind, rows in stated.items()}
     status = {k: either(v) for k, v in x.status.items()}
-    found = X.products(all_, x.products, status, X.refused(client, [X.Entry("no", either(x.refusal))]))
+    found = X.products(all_, hits["products"], status, X.refused(client, [X.Entry("no", either(x.refusal))]))
     out["product"] = _row(found, "product", label="label", grp="grp", detail="status", value="confidence", start="start", quote="quote")
-    rivals = X.competitors(all_, x.rivals, either(x.past), either(x.active))
+    rivals = X.competitors(all_, hits["rivals"], either(x.past), either(x.active))
     out["rival"] = _row(rivals, "rival", label="label", detail="threat", flag="active", start="start", quote="quote")
-    pains = X.pains(client, x.pains, either(x.complaint), E.span_score(F.col("search"), x.sentiment).score)
+    pains = X.pains(client, own["pains"], either(x.complaint), E.span_score(F.col("search"), x.sentiment).score)
     out["pain"] = _row(pains, "pain", label="label", value="confidence", start="start", quote="quote")
-    objections = X.objections(client, x.objections, either(x.denial), either(x.resolution), either(x.other_party))
+    objections = X.objections(client, own["objections"], either(x.denial), either(x.resolution), either(x.other_party))
     out["objection"] = _row(objections, "objection", label="label", flag="resolved", start="start", quote="quote")
-    out["voice"] = _row(P.voice(client, x.voice, x.aspects), "voice", label="kind", detail="target", start="start", quote="quote")
+    out["voice"] = _row(P.voice(client, own["voice"], x.aspects), "voice", label="kind", detail="target", start="start", quote="quote")
     budgets = budgets_in(budget_hits(meetings.texts), all_)
     out["budget"] = _row(budgets, "budget", label="currency", detail="kind", flag="confidential", value="amount", start="at", quote="quote")
-    persona = P.persona(all_, x.roles, either(x.superior), either(x.third_party))
+    persona = P.persona(all_, hits["roles"], either(x.superior), either(x.third_party))
     out["persona"] = _row(persona.where("role is not null or power <> 'unknown'"), "persona", label="role", detail="power", quote="quote")
-    tasks = X.tasks(all_, x.ours, x.theirs, F.col("meeting_date"))
+    tasks = X.tasks(all_, hits["ours"], hits["theirs"], F.col("meeting_date"))
     out["task"] = _row(tasks, "task", label="side", grp="responsible", detail=F.col("due").cast("string"), start="start", quote="quote")
     out["risk"] = _row(X.risks(stated["churn"], rivals), "risk", label="risk", detail="severity")
     has = lambda words: F.coalesce(F.bool_or(F.col("search").rlike(bounded(either(words)))), F.lit(False))
@@ -170,7 +173,7 @@ def findings(meetings: Meetings, lexicon: Lexicon, kinds: tuple[str, ...] = ())
     rich = budgets.select("doc_id").distinct().withColumn("budget", F.lit(True))
     out["opportunity"] = _row(X.opportunities(found, facts.join(rich, "doc_id", "left")), "opportunity", label="label", value="probability")
     out["aspect"] = _row(aspects_of(meetings, x), "aspect", label="aspect", detail="polarity", value="score")
-    rows = [out[kind] for kind in kinds or out]
+    rows = [out[kind] for kind in kinds or out]  # those that aren't asked for are never run
     for more in rows[1:]:
         rows[0] = rows[0].unionByName(more)
     return rows[0]

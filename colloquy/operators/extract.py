@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.storage import checkpointed
 from colloquy.functions.text import bounded, matches
 from colloquy.operators.phrases import Phrase, phrase_hits
 
 __all__ = [
-    "Entry", "client_speech", "competitors", "cross_needs", "deadline", "first_per_label", "lexicon_hits", "longest_hits", "objections", "opportunities", "pains", "products", "refused", "risks", "statements",
+    "Entry", "client_speech", "competitors", "cross_needs", "deadline", "first_per_label", "hits_of", "lexicon_hits", "longest_hits", "objections", "opportunities", "pains", "products", "refused", "risks", "statements",
 ]
 
 
@@ -37,8 +38,14 @@ def client_speech(sentences: DataFrame, attributable: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce("attributable", F.lit(False)) | (F.col("side") == "client")).drop("attributable")
 
 
-def lexicon_hits(sentences: DataFrame, entries: list[Entry] | list[Phrase]) -> DataFrame:
-    """Every match of every entry: the sentence's columns, ordinal (of the entry), label, grp, weight, hit_start, hit_end."""
+def lexicon_hits(sentences: DataFrame, entries: list[Entry] | list[Phrase] | DataFrame) -> DataFrame:
+    """Every match of every entry: the sentence's columns, ordinal (of the entry), label, grp, weight, hit_start, hit_end.
+
+    In place of entries, here and wherever they are asked for, may stand the hits themselves, found before with
+    those of other lexicons (see :func:`hits_of`).
+    """
+    if isinstance(entries, DataFrame):
+        return entries
     if all(isinstance(e, Phrase) for e in entries):
         return phrase_hits(sentences, list(entries))
     anything = bounded("|".join(f"(?:{e.pattern})" for e in entries))
@@ -54,6 +61,17 @@ def lexicon_hits(sentences: DataFrame, entries: list[Entry] | list[Phrase]) -> D
     return rows.select(*sentences.columns, "x.ordinal", "x.label", "x.grp", "x.weight", (at + F.col("h.start")).alias("hit_start"), (at + F.col("h.end")).alias("hit_end"))
 
 
+def hits_of(sentences: DataFrame, lexicons: dict[str, list[Phrase]]) -> dict[str, DataFrame]:
+    """The hits of several lexicons, with every word of the sentences looked up once for all of them."""
+    hits = checkpointed(phrase_hits(sentences, [p for phrases in lexicons.values() for p in phrases]))
+    out, first = {}, 0
+    for name, phrases in lexicons.items():
+        own = hits.where(F.col("ordinal").between(first, first + len(phrases) - 1))
+        out[name] = own.withColumn("ordinal", F.col("ordinal") - first)
+        first += len(phrases)
+    return out
+
+
 def first_per_label(hits: DataFrame, keys: tuple[str, ...] = ("doc_id", "label", "start")) -> DataFrame:
     """One hit for each key, the first by entry, then place."""
     order = Window.partitionBy(*keys).orderBy("ordinal", "hit_start")
@@ -133,7 +151,7 @@ def competitors(sentences: DataFrame, entries: list[Entry], past: str, active: s
 def pains(client: DataFrame, entries: list[Entry], complaint: str, score: Column) -> DataFrame:
     """doc_id, label, confidence, quote, start: one pain a sentence, a domain before a generic one (group
     "generic"), then the longest match; with a complaint (.75) or a clause score of -.15 or less (.6)."""
-    hits = lexicon_hits(client.withColumn("clause_score", score), entries)
+    hits = lexicon_hits(client, entries).withColumn("clause_score", score)
     said, felt = F.col("search").rlike(bounded(complaint)), F.col("clause_score") <= -0.15
     rows = hits.withColumn("confidence", F.when(said, 0.75).when(felt, 0.6)).where("confidence is not null")
     order = Window.partitionBy("doc_id", "sentence_no").orderBy(F.col("grp") == "generic", F.desc(F.col("hit_end") - F.col("hit_start")), "ordinal", "hit_start")
@@ -154,10 +172,12 @@ def objections(client: DataFrame, entries: list[Entry], negation: str, resolutio
 def statements(sentences: DataFrame, entries: list[Entry], least_words: int = 0, without: str | None = None) -> DataFrame:
     """Decisions, next steps, needs, signals: doc_id, label, weight, quote, start, once for each label and
     sentence; sentences of fewer words, or with ``without``, don't count."""
-    rows = sentences.where(F.size(F.split(F.trim("search"), r"\s+")) >= least_words)
+    rows = lexicon_hits(sentences, entries)
+    if least_words:
+        rows = rows.where(F.size(F.split(F.trim("search"), r"\s+")) >= least_words)
     if without:
         rows = rows.where(~F.col("search").rlike(bounded(without)))
-    hits = first_per_label(lexicon_hits(rows, entries))
+    hits = first_per_label(rows)
     return hits.select("doc_id", "label", "weight", "quote", F.col("hit_start").alias("start"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions.storage import checkpointed
 from colloquy.functions.text import CONTRAST
 from colloquy.operators import analysis as A
 from colloquy.operators import budget as M
@@ -68,7 +69,7 @@ def meeting_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section 2.0, T5, S4, S6, M11, S1, S2: one row a conversation, with or without speakers."""
     meetings = A.read_meetings(_texts(spark, sf_dir))
-    rows = A.briefings(meetings, A.findings(meetings, EXAMPLE), EXAMPLE)
+    rows = A.briefings(meetings, checkpointed(A.findings(meetings, EXAMPLE)), EXAMPLE)
     return rows.select(
         "doc_id", "words", "turns", "sentences", "diarised", "attributable", "sentiment", _listed("products", "label", "status").alias("products"), F.array_join("pains", ",").alias("pains"),
         _listed("rivals", "label", "threat").alias("rivals"), _listed("objections", "label", "resolved").alias("objections"), "budget", "role", "power", "trust_score", "interest_score",
