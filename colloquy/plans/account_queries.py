@@ -29,7 +29,7 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each meeting knows of earlier ones."""
     rows = M.memory_before(D.meetings(spark, sf_dir))
-    return rows.select("meeting_id", "prior_meetings", F.size("prior_interests").alias("n_interests"), "prior_interest_last", "has_memory")
+    return rows.select("meeting_id", "prior_meetings", F.col("prior_interest_count").cast("int").alias("n_interests"), "prior_interest_last", "has_memory")
 
 
 def churn_pass(spark: SparkSession, sf_dir: str) -> DataFrame:

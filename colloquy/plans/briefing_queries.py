@@ -12,9 +12,10 @@ from colloquy.functions.storage import checkpointed
 from colloquy.functions.text import CONTRAST
 from colloquy.operators import analysis as A
 from colloquy.operators import budget as M
+from colloquy.operators import memory as M2
 from colloquy.operators import scores as S
 from colloquy.operators.phrases import Phrase, _variants
-from colloquy.plans.analysis_queries import _SENTENCES, _due, _texts
+from colloquy.plans.analysis_queries import _SENTENCES, MEETING, _due, _texts
 from colloquy.plans.example_lexicon import EXAMPLE
 from colloquy.plans.text_queries import FOLD
 
@@ -78,7 +79,19 @@ def briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (meeting_findings, meeting_budgets, client_pains, client_voice, client_aspects, meeting_persona, meeting_opportunities, briefing)}
+def churn_from_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Churn of what is said and of what earlier meetings left. Conversations are meetings of ten customers, a day each."""
+    meetings = A.read_meetings(_texts(spark, sf_dir))
+    found = checkpointed(A.findings(meetings, EXAMPLE))
+    first = A.briefings(meetings, found, EXAMPLE)
+    held = first.select(F.col("doc_id").alias("meeting_id"), (F.col("doc_id") % 10).alias("customer_id"), F.date_add(F.lit(MEETING), F.col("doc_id").cast("int")).alias("meeting_date"), "interest_score")
+    left = M2.objections_before(M2.memory_before(checkpointed(held)), found.where("kind = 'objection' and not flag").select(F.col("doc_id").alias("meeting_id"), "label"))
+    memory = left.select(F.col("meeting_id").alias("doc_id"), F.col("prior_interests").alias("last_interests"), "recurring", "unresolved", F.lit(0).alias("overdue"), F.lit(None).cast("double").alias("contract_value"))
+    rows = A.briefings(meetings, found, EXAMPLE, checkpointed(memory))
+    return rows.select("doc_id", "interest_score", F.element_at(F.when(F.size("last_interests") > 0, F.col("last_interests")), -1).alias("prior_interest"), F.col("recurring").cast("int").alias("recurring"), F.col("unresolved").cast("int").alias("unresolved"), "churn_risk", "churn_band")
+
+
+QUERIES = {f.__name__: f for f in (churn_from_speech, meeting_findings, meeting_budgets, client_pains, client_voice, client_aspects, meeting_persona, meeting_opportunities, briefing)}
 
 # --- SQL ----------------------------------------------------------------------------------------------
 
@@ -336,4 +349,21 @@ SQL = {
     "meeting_persona": f"WITH {_FOUND} SELECT doc_id, label AS role, detail AS power FROM f WHERE kind = 'persona'",
     "meeting_opportunities": f"WITH {_FOUND} SELECT doc_id, label, round(probability, 6) AS probability FROM chances",
     "briefing": f"WITH {_BRIEF}",
+    "churn_from_speech": f"""WITH brief AS (WITH {_BRIEF}), said AS (WITH {_FOUND} SELECT DISTINCT doc_id, label FROM f WHERE kind = 'objection' AND NOT flag), heard AS (
+  WITH {_FOUND} SELECT doc_id, 1.5 * coalesce(sum(value) FILTER (WHERE kind = 'churn'), 0) AS signals, 20 * count(*) FILTER (WHERE kind = 'rival' AND flag AND detail = 'high') AS threats FROM f GROUP BY doc_id
+), m AS (
+  SELECT *, doc_id % 10 AS c, list(interest_score) FILTER (WHERE interest_score IS NOT NULL) OVER (PARTITION BY doc_id % 10 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM brief
+), o AS (
+  SELECT m.doc_id, count(*) FILTER (WHERE k = 1 AND s.doc_id < m.doc_id) AS recurring, count(*) FILTER (WHERE k = 2 AND s.doc_id < m.doc_id) AS unresolved
+  FROM m LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id % 10, label ORDER BY doc_id) AS k FROM said) s ON s.doc_id % 10 = m.c GROUP BY m.doc_id
+), parts AS (
+  SELECT m.doc_id, interest_score, attributable, prior[-1] AS prior_interest, recurring, unresolved, least(100.0, least(100.0, coalesce(signals, 0)) + coalesce(threats, 0))::DOUBLE AS said,
+    CASE WHEN len(prior) >= 2 THEN greatest(0, least(100, prior[greatest(1, len(prior) - 2)] - prior[-1])) END AS fall, CASE WHEN recurring > 0 THEN least(100, unresolved * 35) END AS open
+  FROM m JOIN o USING (doc_id) LEFT JOIN heard USING (doc_id)
+), r AS (
+  SELECT *, CASE WHEN attributable THEN CAST(floor((0.0::DOUBLE + said * 0.6::DOUBLE + coalesce(fall * 0.2::DOUBLE, 0) + coalesce(open * 0.1::DOUBLE, 0))
+    / (0.0::DOUBLE + 0.6::DOUBLE + CASE WHEN fall IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN open IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END) + 0.5) AS INT) END AS churn_risk FROM parts
+)
+SELECT doc_id, interest_score, prior_interest, CAST(recurring AS INT) AS recurring, CAST(unresolved AS INT) AS unresolved, churn_risk,
+  CASE WHEN churn_risk >= 67 THEN 'high' WHEN churn_risk >= 34 THEN 'medium' WHEN churn_risk IS NOT NULL THEN 'low' END AS churn_band FROM r""",
 }
