@@ -94,7 +94,8 @@ def read_meetings(texts: DataFrame, company: str | None = None, fixed: DataFrame
     roles = R.infer_roles(spans.where("diarised"), company, fixed)
     sides = T.attributable(roles)
     rows = T.sentences(spans.select("doc_id", "speaker", "text", "start", "folded", F.col("start").alias("span_start")))
-    rows = rows.join(roles.select("doc_id", F.lower("speaker").alias("key"), "side"), (F.lower("speaker") == F.col("key")) & (spans["doc_id"] == roles["doc_id"]), "left").drop(roles["doc_id"]).drop("key")
+    who = roles.select(F.col("doc_id").alias("whose"), F.lower("speaker").alias("key"), "side")
+    rows = rows.join(who, (F.lower("speaker") == F.col("key")) & (F.col("doc_id") == F.col("whose")), "left").drop("key", "whose")
     rows = rows.join(sides.select("doc_id", "attributable"), "doc_id", "left").join(texts.select("doc_id", "meeting_date"), "doc_id")
     told = F.coalesce("attributable", F.lit(False))
     place = F.col("sentence_start") - F.col("span_start")

@@ -1,8 +1,8 @@
 """From transcripts to findings, over the driver's chats as meetings between a seller and a client.
 
 A chat becomes one labelled transcript: the assistant is Ana, the user Bruno, others Carla, with titles in
-some chats. The chats are invented prose, so each turn gets one of :data:`REMARKS`, with a number of its own;
-all that follows reads the text. Chats with one speaker are texts of nobody.
+some chats; every tenth chat comes without labels, as a text of nobody. The chats are invented prose, so each
+turn gets one of :data:`REMARKS`, with a number of its own; all that follows reads the text.
 """
 
 from __future__ import annotations
@@ -75,6 +75,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     kind, role = F.col("conv_id") % 3, F.col("role")
     name = F.when(role == "assistant", F.when(kind == 2, "Ana (Comercial): ").otherwise("Ana: ")).when(role == "user", F.when(kind == 0, "Bruno (Diretor): ").otherwise("Bruno: ")).otherwise("Carla: ")
+    name = F.when(F.col("conv_id") % 10 == 4, "").otherwise(name)
     remark = F.array(*map(F.lit, REMARKS))[((F.col("conv_id") * 7 + F.col("turn")) % len(REMARKS)).cast("int")]
     number = ((F.col("conv_id") * 13 + F.col("turn") * 5) % 90 + 10).cast("string")
     line = F.concat(name, F.coalesce("text", F.lit("")), F.replace(remark, F.lit("{n}"), number))
@@ -94,10 +95,11 @@ def _sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sentences as extractors take them, and which transcripts tell the sides apart."""
     spans = T.spans(_transcripts(spark, sf_dir))
     roles = _roles(spans.where("diarised"))
-    rows = T.sentences(spans).join(roles.select("doc_id", F.lower("speaker").alias("key"), "side"), [F.lower(spans.speaker) == F.col("key"), spans.doc_id == roles.doc_id], "left")
-    order = Window.partitionBy(spans.doc_id).orderBy("sentence_start")
+    who = roles.select(F.col("doc_id").alias("whose"), F.lower("speaker").alias("key"), "side")
+    rows = T.sentences(spans).join(who, (F.lower("speaker") == F.col("key")) & (F.col("doc_id") == F.col("whose")), "left")
+    order = Window.partitionBy("doc_id").orderBy("sentence_start")
     rows = rows.select(
-        spans.doc_id, (F.row_number().over(order) - 1).alias("sentence_no"), F.col("sentence_start").alias("start"), T.fold(F.col("sentence")).alias("search"), F.col("sentence").alias("quote"), "side", spans.speaker
+        "doc_id", (F.row_number().over(order) - 1).alias("sentence_no"), F.col("sentence_start").alias("start"), T.fold(F.col("sentence")).alias("search"), F.col("sentence").alias("quote"), "side", "speaker"
     )
     return rows, T.attributable(roles)
 
@@ -184,10 +186,10 @@ lines AS (
     coalesce(text, '') || replace([{_LIST}][(conv_id * 7 + conversations.turn) % {len(REMARKS)} + 1], '{{n}}', CAST((conv_id * 13 + conversations.turn * 5) % 90 + 10 AS VARCHAR)) AS said
   FROM conversations
 ), placed AS (
-  SELECT *, speaker || CASE WHEN title IS NULL THEN '' ELSE ' (' || title || ')' END || ': ' AS label FROM lines
+  SELECT *, CASE WHEN doc_id % 10 = 4 THEN '' ELSE speaker || CASE WHEN title IS NULL THEN '' ELSE ' (' || title || ')' END || ': ' END AS label FROM lines
 ), ranged AS (
   SELECT *, coalesce(sum(length(label || said) + 1) OVER (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS label_start,
-    lead(turn) OVER (PARTITION BY doc_id ORDER BY turn) IS NULL AS is_last, min(speaker) OVER (PARTITION BY doc_id) <> max(speaker) OVER (PARTITION BY doc_id) AS both_speak
+    lead(turn) OVER (PARTITION BY doc_id ORDER BY turn) IS NULL AS is_last, doc_id % 10 <> 4 AND min(speaker) OVER (PARTITION BY doc_id) <> max(speaker) OVER (PARTITION BY doc_id) AS both_speak
   FROM placed
 ), turns AS (
   SELECT doc_id, turn, speaker, title, CAST(label_start + length(label) + length(said) - length(ltrim(said, ' ' || chr(10) || chr(9) || chr(13))) AS BIGINT) AS start_at,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions.storage import ensure_checkpoint_dir
 from colloquy.functions.text import matches
 from colloquy.operators import ingest as I
+from colloquy.operators.store import MeetingStore, keyed
 from colloquy.plans.driver_tables import table
 
 __all__ = ["QUERIES", "SQL"]
@@ -48,7 +52,21 @@ def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", I.csv_line([F.col("doc_id"), F.col("source"), F.col("text"), F.col("n_chars")]).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (content_dedup, meeting_keys, manifest_join, evidence_index, batch_report)}
+def ingested_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as meetings of customers by language and source, through three commits: the English ones, all, all again."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        F.col("lang").alias("organisation"), F.col("source").alias("customer"), F.col("n_chars").cast("string").alias("title"), F.lit("2024-01-01").alias("meeting_date"), "text", F.length("text").alias("size")
+    )
+    meetings = keyed(rows)
+    store = MeetingStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    for batch, some in (("english", meetings.where("organisation = 'en'")), ("all", meetings), ("all", meetings)):
+        store.ingest(batch, some.drop("size"), {"sizes": some.select("meeting_key", "size").distinct()})
+    sizes = store.table("sizes").join(store.meetings().select("meeting_key", "customer_key"), "meeting_key").groupBy("customer_key").agg(F.sum("size").cast("long").alias("characters"))
+    return store.customers().join(sizes, "customer_key", "left").select("organisation", "customer", "meetings", "characters")
+
+
+QUERIES = {f.__name__: f for f in (ingested_customers, content_dedup, meeting_keys, manifest_join, evidence_index, batch_report)}
 
 
 def _offsets(kind: str, pattern: str) -> str:
@@ -59,6 +77,10 @@ def _offsets(kind: str, pattern: str) -> str:
 
 
 SQL = {
+    "ingested_customers": """
+SELECT lang AS organisation, source AS customer, count(*) AS meetings, CAST(sum(length(text)) AS BIGINT) AS characters
+FROM (SELECT DISTINCT lang, source, n_chars, text FROM documents) GROUP BY lang, source
+""",
     "content_dedup": r"""
 WITH k AS (SELECT doc_id, sha256(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))) AS k FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first_id FROM k)
 SELECT doc_id, first_id, CASE WHEN doc_id <> first_id THEN 'ignored' ELSE 'text' END AS kind, CASE WHEN doc_id <> first_id THEN 'duplicate' END AS reason FROM f
