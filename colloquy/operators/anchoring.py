@@ -2,32 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["anchored", "evidence_coverage", "quote_offset"]
+from colloquy.functions.text import once, running_sums
+
+__all__ = ["anchored", "coverage", "evidence_coverage", "evidence_rows", "quote_offset"]
 
 LEAST_CHARS = 8
 
 
+def _index(text: Column) -> Column:
+    """Struct of a text, the text with every white space made one blank, and where each run stands in either."""
+    runs = F.regexp_extract_all(text, F.lit(r"\s+|[^\s]+"), F.lit(0))
+
+    def of(pieces: Column) -> Column:
+        size = F.transform(pieces, lambda p: F.length(p))
+        bare = F.transform(pieces, lambda p: F.when(p.rlike(r"^\s"), 1).otherwise(F.length(p)))
+        return F.struct(text.alias("text"), F.regexp_replace(text, r"\s+", " ").alias("bare"), running_sums(size).alias("at"), running_sums(bare).alias("bare_at"))
+
+    return once(runs, of)
+
+
+def _found(index: Column, quote: Column, least: int) -> Column:
+    """Struct (start, end) of a quote in an indexed text; null if it isn't there or is shorter than ``least``."""
+    plain = F.regexp_replace(F.trim(quote), r"^\s+|\s+$", "")
+
+    def original(place: Column) -> Column:
+        """Where a place of the bare text stands in the text."""
+        run = F.size(F.filter(index.bare_at, lambda x: x <= place)) - 1
+        return F.get(index.at, run) + (place - F.get(index.bare_at, run))
+
+    def of(q: Column) -> Column:
+        literal, tolerant = F.instr(index.text, q), F.instr(index.bare, F.regexp_replace(q, r"\s+", " "))
+        size = F.length(F.regexp_replace(q, r"\s+", " "))
+        whole = F.struct((literal - 1).alias("start"), (literal - 1 + F.length(q)).alias("end"))
+        spaced = F.struct(original(tolerant - 1).alias("start"), (original(tolerant + size - 2) + 1).alias("end"))
+        return F.when(F.length(q) >= least, F.when(literal > 0, whole).when(tolerant > 0, spaced))
+
+    return once(plain, of)
+
+
 def quote_offset(text: Column, quote: Column, least: int = LEAST_CHARS) -> Column:
-    """Struct (start, end) of a quote's first occurrence, literally or else with white space collapsed in
-    the quote; null if it isn't there or is shorter than ``least``."""
-    bare = F.trim(quote)
-    words = F.split(bare, r"\s+")
-    literal = F.instr(text, bare)
-    # A pattern of the quote's words, each quoted as it is.
-    loose = F.concat(F.lit(r"\Q"), F.array_join(words, r"\E\s+\Q"), F.lit(r"\E"))
-    found = F.regexp_substr(text, loose)
-    at = F.when(literal > 0, literal).when(found.isNotNull(), F.instr(text, found))
-    size = F.when(literal > 0, F.length(bare)).otherwise(F.length(found))
-    return F.when((F.length(bare) >= least) & (at > 0), F.struct((at - 1).alias("start"), (at - 1 + size).alias("end")))
+    """Struct (start, end) of a quote's first occurrence, literally or else whatever the white space between its
+    words; null if it isn't there or is shorter than ``least``."""
+    return once(_index(text), lambda index: _found(index, quote, least))
 
 
 def anchored(items: DataFrame, texts: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """Items (doc_id, quote, ..) with ``span``, null where the quote isn't in the text: those are to be
-    discarded and counted."""
-    return items.join(texts.select("doc_id", "text"), "doc_id").withColumn("span", quote_offset(F.col("text"), F.col("quote"), least)).drop("text")
+    """Items (doc_id, quote, ..) with ``span``, null where the quote isn't in the text or there is no text: those
+    are to be discarded and counted.
+
+    A text is indexed once, for all quotes that are said to stand in it: it travels once, not once an item,
+    and no expression is built for a quote. Quotes that repeat are sought once.
+    """
+    asked = items.where("quote is not null").groupBy("doc_id").agg(F.collect_set("quote").alias("quotes"))
+    rows = texts.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(asked, "doc_id")
+    told = once(_index(F.col("text")), lambda index: F.transform("quotes", lambda q: F.struct(q.alias("quote"), _found(index, q, least).alias("span"))))
+    spans = rows.select(F.col("doc_id").alias("_doc"), F.explode(told).alias("_t")).select("_doc", F.col("_t.quote").alias("_quote"), F.col("_t.span").alias("span")).where("span is not null")
+    return items.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.col("quote") == F.col("_quote")), "left").drop("_doc", "_quote")
+
+
+def evidence_rows(found: DataFrame) -> DataFrame:
+    """The index of all that findings quote: kind, doc_id, ordinal, quote, start, end, by place in each text and kind.
+
+    ``found`` is of ``analysis.findings``; ``start`` is the place of what was found, ``end`` where its quote ends as
+    long as it begins there. Findings without a quote are items without evidence.
+    """
+    order = Window.partitionBy("kind", "doc_id").orderBy(F.col("start").asc_nulls_last(), "label", "quote")
+    rows = found.withColumn("ordinal", F.row_number().over(order) - 1)
+    return rows.select("kind", "doc_id", "ordinal", "quote", "start", (F.col("start") + F.length("quote")).alias("end"))
+
+
+def coverage(items: DataFrame, texts: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """kind, items, quoted, covered, coverage: how many items (kind, doc_id, quote) have a quote, and how many one that stands in their text."""
+    rows = anchored(items, texts, least).groupBy("kind").agg(
+        F.count("*").alias("items"), F.count("quote").alias("quoted"), F.count("span").alias("covered"),
+    )
+    return rows.withColumn("coverage", F.col("covered") / F.col("items"))
 
 
 def evidence_coverage(index: DataFrame, texts: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.storage import checkpointed
 from colloquy.functions.text import CONTRAST
 from colloquy.operators import analysis as A
+from colloquy.operators import anchoring as N
 from colloquy.operators import budget as M
 from colloquy.operators import memory as M2
 from colloquy.operators import scores as S
@@ -91,7 +92,16 @@ def churn_from_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "interest_score", F.element_at(F.when(F.size("last_interests") > 0, F.col("last_interests")), -1).alias("prior_interest"), F.col("recurring").cast("int").alias("recurring"), F.col("unresolved").cast("int").alias("unresolved"), "churn_risk", "churn_band")
 
 
-QUERIES = {f.__name__: f for f in (churn_from_speech, meeting_findings, meeting_budgets, client_pains, client_voice, client_aspects, meeting_persona, meeting_opportunities, briefing)}
+def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of all kinds of findings, spaced otherwise, some with words that nobody said, sought in their texts."""
+    meetings = A.read_meetings(_texts(spark, sf_dir))
+    items = N.evidence_rows(A.findings(meetings, EXAMPLE))
+    spaced = F.replace("quote", F.lit(" "), F.lit(" \n "))
+    told = F.when(F.col("doc_id") % 3 == 0, F.concat(spaced, F.lit(" nunca dito"))).when(F.col("doc_id") % 3 == 1, spaced).otherwise(F.col("quote"))
+    return N.coverage(items.withColumn("quote", told), meetings.texts.select("doc_id", F.col("safe").alias("text")))
+
+
+QUERIES = {f.__name__: f for f in (evidence_coverage, churn_from_speech, meeting_findings, meeting_budgets, client_pains, client_voice, client_aspects, meeting_persona, meeting_opportunities, briefing)}
 
 # --- SQL ----------------------------------------------------------------------------------------------
 
@@ -349,6 +359,11 @@ SQL = {
     "meeting_persona": f"WITH {_FOUND} SELECT doc_id, label AS role, detail AS power FROM f WHERE kind = 'persona'",
     "meeting_opportunities": f"WITH {_FOUND} SELECT doc_id, label, round(probability, 6) AS probability FROM chances",
     "briefing": f"WITH {_BRIEF}",
+    "evidence_coverage": f"""WITH {_FOUND}, said AS (
+  SELECT f.*, regexp_replace(trim(CASE doc_id % 3 WHEN 0 THEN quote || ' nunca dito' ELSE quote END), '\\s+', ' ', 'g') AS bare, regexp_replace(whole, '\\s+', ' ', 'g') AS text FROM f JOIN docs USING (doc_id)
+)
+SELECT kind, count(*) AS items, count(quote) AS quoted, count(*) FILTER (WHERE length(bare) >= 8 AND contains(text, bare)) AS covered,
+  count(*) FILTER (WHERE length(bare) >= 8 AND contains(text, bare)) / count(*) AS coverage FROM said GROUP BY kind""",
     "churn_from_speech": f"""WITH brief AS (WITH {_BRIEF}), said AS (WITH {_FOUND} SELECT DISTINCT doc_id, label FROM f WHERE kind = 'objection' AND NOT flag), heard AS (
   WITH {_FOUND} SELECT doc_id, 1.5 * coalesce(sum(value) FILTER (WHERE kind = 'churn'), 0) AS signals, 20 * count(*) FILTER (WHERE kind = 'rival' AND flag AND detail = 'high') AS threats FROM f GROUP BY doc_id
 ), m AS (
