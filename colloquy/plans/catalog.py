@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.plans import account_queries, analysis_queries, briefing_queries, ingest_queries, record_queries, text_queries, turn_queries, validation_queries
+from colloquy.plans import account_queries, analysis_queries, briefing_queries, ingest_queries, record_queries, source_queries, text_queries, turn_queries, validation_queries
 
 __all__ = ["oracle_sql", "queries"]
 
-_MODULES = (text_queries, turn_queries, analysis_queries, briefing_queries, account_queries, validation_queries, ingest_queries, record_queries)
+_MODULES = (text_queries, turn_queries, analysis_queries, briefing_queries, account_queries, validation_queries, ingest_queries, record_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
