@@ -216,12 +216,24 @@ def _unpack(blob: bytes, kind: type, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def _bigrams(texts: DataFrame, types: _Types) -> DataFrame:
+def _by_type(types: np.ndarray, codes: np.ndarray, n: np.ndarray, narrow: type) -> dict[str, list]:
+    """Bigrams in the order of their types as one row: the types, how many bigrams each has, codes and counts."""
+    kinds, sizes = np.unique(types, return_counts=True)
+    values = {"type": kinds.astype(narrow), "size": sizes, "code": codes.astype(narrow), "count": n.astype(np.int64)}
+    return {"n_types": [len(kinds)], "n": [len(codes)]} | {c: [_pack(v)] for c, v in values.items()}
+
+
+_PACKED = "n_types long, n long, type binary, size binary, code binary, count binary"
+
+
+def _bigrams(texts: DataFrame, types: _Types, tokens: int) -> DataFrame:
     """Bigrams of types by part: each row holds some types, with all bigrams of each one after another.
 
-    A code is the type after, or ``types.count`` + the type before.
+    A code is the type after, or ``types.count`` + the type before. A task counts, deals its counts out to
+    parts by type, for either side of a bigram, and sends each part as one packed row; the counts of a part
+    meet once. There are parts enough that none meets more than twice PART_PAIRS, were no bigram repeated.
     """
-    n_types = types.count
+    n_types, parts = types.count, max(24, -(-tokens // PART_PAIRS))
     narrow = _narrow(n_types)
 
     def of_block(block: Block) -> tuple[np.ndarray, ...]:
@@ -229,21 +241,39 @@ def _bigrams(texts: DataFrame, types: _Types) -> DataFrame:
         before, after, _ = types.chains(types.of(word, ending), doc, len(block))
         return np.unique(before * n_types + after, return_counts=True)
 
-    pairs = texts.mapInArrow(_counting(of_block, ("pair", "n")), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = checkpointed(pairs)
-    parts = max(24, -(-2 * pairs.count() // PART_PAIRS))
-    before, after = F.expr(f"pair div {n_types}"), F.col("pair") % n_types
-    both = F.array(F.struct(before.alias("type"), after.alias("code")), F.struct(after.alias("type"), (before + n_types).alias("code")))
-    rows = pairs.select(F.explode(both).alias("r"), "n").select("r.type", "r.code", "n").withColumn("part", F.pmod(F.xxhash64("type"), F.lit(parts)))
+    def dealt(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        before, after = keys // n_types, keys % n_types
+        kind, code, n = np.concatenate([before, after]), np.concatenate([after, before + n_types]), np.concatenate([counts, counts])
+        part = (mix(kind.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((code, kind, part))
+        kind, code, n, part = kind[order], code[order], n[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if high > low:
+                yield pa.RecordBatch.from_pydict({"part": [k]} | _by_type(kind[low:high], code[low:high], n[low:high], narrow))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                held.append(of_block(block))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    held = [_merged(held)]
+                    if len(held[0][0]) >= HELD // 2:
+                        yield from dealt(*held[0])
+                        held = []
+        if held:
+            yield from dealt(*_merged(held))
 
-    def packed(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["type"].to_numpy(), kind="stable")
-        kinds, sizes = np.unique(table["type"].to_numpy(), return_counts=True)
-        values = {"type": kinds.astype(narrow), "size": sizes, "code": table["code"].to_numpy()[order].astype(narrow), "count": table["n"].to_numpy()[order]}
-        return pa.table({"n_types": pa.array([len(kinds)]), "n": pa.array([len(order)])} | {c: pa.array([_pack(v)], pa.binary()) for c, v in values.items()})
+    def met(table: pa.Table) -> pa.Table:
+        some = [_part(row, narrow) for row in table.to_pylist()]
+        kind = np.concatenate([np.repeat(x[0].astype(np.int64), x[1]) for x in some])
+        code, n = (np.concatenate([x[k] for x in some]).astype(np.int64) for k in (2, 3))
+        keys, sums = _merged([(kind * (2 * n_types) + code, n)])
+        return pa.Table.from_pydict(_by_type(keys // (2 * n_types), keys % (2 * n_types), sums, narrow))
 
-    schema = "n_types long, n long, type binary, size binary, code binary, count binary"
-    return checkpointed(rows.repartition(parts, "part").groupBy("part").applyInArrow(packed, schema))
+    rows = texts.mapInArrow(count, f"part long, {_PACKED}")
+    return checkpointed(rows.repartition(parts, "part").groupBy("part").applyInArrow(met, _PACKED))
 
 
 def _narrow(n_types: int) -> type:
@@ -367,7 +397,7 @@ def _fit(texts: DataFrame, counted: DataFrame, n_ends: int, vocabulary: int, lea
     core = np.isin(hashes, top["word"].to_numpy().astype(np.int64).view(np.uint64))
     types = _Types(hashes)
     n_types, n_core = types.count, int(core.sum())
-    bigrams = _bigrams(texts, types)
+    bigrams = _bigrams(texts, types, int(counted.agg(F.sum("total")).first()[0] or 0) + n_ends)
 
     # Words outside the core stand under their endings at first.
     group = np.empty(n_types, np.int64)
