@@ -308,7 +308,10 @@ def _mapped(bigrams: DataFrame, group: np.ndarray, n_groups: int) -> np.ndarray:
 
 
 def _moves(bigrams: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
-    """Types whose turn it is that gain by another class, and that class; the last class is the end's."""
+    """Types whose turn it is that gain by another class, and that class; the last class is the end's.
+
+    The gain is that in likelihood if the type moved alone.
+    """
     n_classes = len(grid)
     wide, n_types = 2 * n_classes, len(member)
 
@@ -330,28 +333,45 @@ def _moves(bigrams: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int,
                     low, high = ends[at] - size[0], ends[at + len(kinds) - 1]
                     place = np.repeat(np.arange(len(kinds)) * wide, size)
                     dense = np.bincount(place + beside[low:high], weights=count[low:high], minlength=len(kinds) * wide)
+                    # Bigrams of a type with itself go where the type goes.
+                    twice = np.bincount(np.repeat(np.arange(len(kinds)), size), weights=count[low:high] * (code[low:high] == np.repeat(kinds, size)), minlength=len(kinds))
+                    cls, at_type = member[kinds], np.arange(len(kinds))
+                    dense = dense.reshape(-1, wide)
+                    totals = dense[:, :n_classes].sum(axis=1), dense[:, n_classes:].sum(axis=1)
+                    dense[at_type, cls] -= twice
+                    dense[at_type, n_classes + cls] -= twice
+                    out, into = dense[:, :n_classes], dense[:, n_classes:]
+                    dense = dense.ravel()
                     names = np.flatnonzero(dense)
                     context, n = names % wide, dense[names]
                     first = np.searchsorted(names, np.arange(len(kinds)) * wide)
-                    cls = member[kinds]
                     each = np.repeat(cls, np.diff(np.append(first, len(names))))
-                    # Few (context, count) differ, so the logs are taken once for each.
-                    pair, which = np.unique(np.stack([context, n]), axis=1, return_inverse=True)
-                    cell = cells[:, pair[0].astype(np.int64)].T
-                    step = (xlogx(cell + pair[1][:, None]) - xlogx(cell))[which.ravel()]
+                    # Few (count, context) differ, so the logs are taken once for each.
+                    pair, which = np.unique(n.astype(np.int64) * wide + context, return_inverse=True)
+                    cell = cells[:, pair % wide].T
+                    step = (xlogx(cell + (pair // wide)[:, None]) - xlogx(cell))[which]
                     inside = cells[each, context]
                     step[np.arange(len(each)), each] = xlogx(inside) - xlogx(inside - n)
                     gain = np.add.reduceat(step, first)
-                    for margin, side in ((left, context < n_classes), (right, context >= n_classes)):
-                        total = np.add.reduceat(np.where(side, n, 0.0), first)
+                    # So far each cell was changed alone. Two changes meet in the class's cell with itself, and
+                    # where it stands beside the class that the type leaves.
+                    own_out, own_into = out[at_type, cls], into[at_type, cls]
+                    d, after_own, before_own = np.diagonal(grid), grid[cls], grid[:, cls].T
+                    change = xlogx(d + out + into + twice[:, None]) - xlogx(d + out) - xlogx(d + into) + xlogx(d)
+                    for met, leaves, comes in ((before_own, into, own_out), (after_own, out, own_into)):
+                        change += xlogx(met - leaves + comes[:, None]) - xlogx(met - leaves) - xlogx(met + comes[:, None]) + xlogx(met)
+                    d = d[cls]
+                    change[at_type, cls] = xlogx(d - own_out) + xlogx(d - own_into) - xlogx(d) - xlogx(d - own_out - own_into - twice)
+                    gain += change
+                    for margin, total in zip((left, right), totals, strict=True):
                         loss = xlogx(margin + total[:, None]) - xlogx(margin)
-                        loss[np.arange(len(cls)), cls] = xlogx(margin[cls]) - xlogx(margin[cls] - total)
+                        loss[at_type, cls] = xlogx(margin[cls]) - xlogx(margin[cls] - total)
                         gain -= loss
                     # Into a class that is empty all would move at once, like and unlike.
                     gain[:, left + right == 0] = -np.inf
                     gain[:, -1] = -np.inf
                     best = gain.argmax(axis=1)
-                    go = gain[np.arange(len(cls)), best] > gain[np.arange(len(cls)), cls] + 1e-9
+                    go = gain[at_type, best] > gain[at_type, cls] + 1e-9
                     yield pa.RecordBatch.from_arrays([pa.array(kinds[go].astype(np.int64)), pa.array(best[go])], names=["type", "class"])
 
     found = bigrams.mapInArrow(task, "type long, class long").toArrow()

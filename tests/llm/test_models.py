@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from sql_compare import DATA
 from pyspark.sql import functions as F
 
@@ -248,3 +249,38 @@ def test_lm_clusters_words_outside_the_core(spark):
     got = {r.doc_id: r for r in score_texts(docs, "doc_id < 1000", vocabulary=2).collect()}
     assert math.isclose(got[1000].base_score, got[1001].base_score)
     assert got[1000].score > got[1001].score + 10
+
+
+@pytest.mark.parametrize("spread", [1, 3])
+def test_lm_moves_against_brute_force_likelihood(spark, spread):
+    rng = np.random.default_rng(5)
+    draw = lambda: " ".join(f"w{min(int(x), 40)}" for x in rng.zipf(1.4, 30))
+    texts = spark.createDataFrame([(draw(),) for _ in range(60)], "text string")
+    rows = brown_lm._word_counts(texts).collect()
+    types = brown_lm._Types(np.unique(np.array([r.word for r in rows if r.total >= 2], np.int64).view(np.uint64)))
+    n = types.count
+    bigrams = brown_lm._bigrams(texts, types, 60 * 31).cache()
+    pairs = brown_lm._mapped(bigrams, np.arange(n), n)
+    member = np.append(rng.integers(0, 5, n - 1), 5)
+
+    def grid_of(classes):
+        hot = np.eye(6)[classes]
+        return hot.T @ pairs @ hot
+
+    grid = brown_lm._mapped(bigrams, member, 6)
+    assert pairs.sum() == 60 * 31 and (grid == grid_of(member)).all()
+    moves = {}
+    for turn in range(spread):
+        kinds, to = brown_lm._moves(bigrams, member, grid, turn, spread)
+        assert not set(moves) & set(kinds.tolist())
+        moves |= dict(zip(kinds.tolist(), to.tolist(), strict=True))
+    seen = np.flatnonzero(pairs.sum(axis=0)[:-1] + pairs.sum(axis=1)[:-1])
+    assert set(moves) <= set(seen.tolist()) and moves and (np.diagonal(pairs)[seen] > 0).any()
+    for t in seen.tolist():
+        scores = []
+        for c in range(5):
+            moved = member.copy()
+            moved[t] = c
+            scores.append(brown_lm._likelihood(grid_of(moved)))
+        assert scores[moves.get(t, member[t])] > max(scores) - 1e-6
+        assert t not in moves or max(scores) > scores[member[t]]
