@@ -45,7 +45,7 @@ HELD = 4_000_000
 #: Endings (last two bytes of a word, hashed) for words outside the vocabulary.
 ENDINGS = 251
 #: Bigrams, in either direction, of one part of the bigram table.
-PART_PAIRS = 4_000_000
+PART_PAIRS = 2_000_000
 
 
 def _words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +234,7 @@ def _bigrams(texts: DataFrame, types: _Types, tokens: int) -> DataFrame:
     meet once. There are parts enough that none meets more than twice PART_PAIRS, were no bigram repeated.
     """
     n_types, parts = types.count, max(24, -(-tokens // PART_PAIRS))
-    narrow = _narrow(n_types)
+    narrow, step = _narrow(n_types), -(-parts // 8)
 
     def of_block(block: Block) -> tuple[np.ndarray, ...]:
         word, ending, doc = _words(block)
@@ -242,15 +242,20 @@ def _bigrams(texts: DataFrame, types: _Types, tokens: int) -> DataFrame:
         return np.unique(before * n_types + after, return_counts=True)
 
     def dealt(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        before, after = keys // n_types, keys % n_types
-        kind, code, n = np.concatenate([before, after]), np.concatenate([after, before + n_types]), np.concatenate([counts, counts])
-        part = (mix(kind.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((code, kind, part))
-        kind, code, n, part = kind[order], code[order], n[order], part[order]
-        cuts = np.searchsorted(part, np.arange(parts + 1))
-        for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if high > low:
-                yield pa.RecordBatch.from_pydict({"part": [k]} | _by_type(kind[low:high], code[low:high], n[low:high], narrow))
+        for backwards in (False, True):
+            kinds = keys % n_types if backwards else keys // n_types
+            parts_of = (mix(kinds.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            # Some parts at a time, so what is sorted and copied stays a fraction of the counts held.
+            for some in range(0, parts, step):
+                at = np.flatnonzero((parts_of >= some) & (parts_of < some + step))
+                kind, part, n = kinds[at], parts_of[at], counts[at]
+                code = keys[at] // n_types + n_types if backwards else keys[at] % n_types
+                order = np.lexsort((code, kind, part))
+                kind, code, n, part = kind[order], code[order], n[order], part[order]
+                cuts = np.searchsorted(part, np.arange(some, min(some + step, parts) + 1))
+                for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), some):
+                    if high > low:
+                        yield pa.RecordBatch.from_pydict({"part": [k]} | _by_type(kind[low:high], code[low:high], n[low:high], narrow))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -266,10 +271,11 @@ def _bigrams(texts: DataFrame, types: _Types, tokens: int) -> DataFrame:
             yield from dealt(*_merged(held))
 
     def met(table: pa.Table) -> pa.Table:
-        some = [_part(row, narrow) for row in table.to_pylist()]
-        kind = np.concatenate([np.repeat(x[0].astype(np.int64), x[1]) for x in some])
-        code, n = (np.concatenate([x[k] for x in some]).astype(np.int64) for k in (2, 3))
-        keys, sums = _merged([(kind * (2 * n_types) + code, n)])
+        held = []
+        for row in table.to_pylist():
+            kinds, sizes, code, n = _part(row, narrow)
+            held.append((np.repeat(kinds.astype(np.int64) * (2 * n_types), sizes) + code, n))
+        keys, sums = _merged(held)
         return pa.Table.from_pydict(_by_type(keys // (2 * n_types), keys % (2 * n_types), sums, narrow))
 
     rows = texts.mapInArrow(count, f"part long, {_PACKED}")
