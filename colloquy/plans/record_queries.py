@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions.storage import ensure_checkpoint_dir
 from colloquy.operators import memory as M
 from colloquy.operators import records as R
+from colloquy.operators.portrait_table import PortraitTable
 from colloquy.plans import driver_tables as D
 
 __all__ = ["QUERIES", "SQL"]
@@ -21,20 +25,41 @@ def reanalysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reanalysed(derived, again, fresh)
 
 
-def customer_portraits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The portrait of every customer."""
-    li = D._lines(spark, sf_dir)
+def _portraits(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None, before: str | None = None) -> DataFrame:
+    """Portraits of all customers or of ``keys``, from all meetings or those before a day."""
+    some = lambda rows: rows if keys is None else rows.join(keys, "customer_id", "left_semi")
+    early = lambda rows, day: rows if before is None else rows.where(F.to_date(day) < before)
+    li = early(D._lines(spark, sf_dir), "o_orderdate")
+    meetings = some(early(D.meetings(spark, sf_dir), "meeting_date"))
+    offers = some(D.opportunities(spark, sf_dir))
+    if before is not None:
+        offers = offers.join(meetings.select("meeting_id"), "meeting_id", "left_semi")
     status = F.element_at(F.array(*map(F.lit, M.STATUSES)), (F.col("l_partkey") % 4 + 1).cast("int"))
     products = li.select(F.col("o_custkey").alias("customer_id"), F.concat(F.lit("p"), (F.col("l_suppkey") % 7).cast("string")).alias("product"), status.alias("status"))
     objections = li.select(
         F.col("o_custkey").alias("customer_id"), F.col("l_orderkey").alias("meeting_id"), F.to_date("o_orderdate").alias("meeting_date"), F.col("l_linenumber").alias("ordinal"),
         (F.col("l_partkey") % 5).cast("string").alias("text"), (F.col("l_quantity") > 25).alias("resolved"),
     )
-    rows = R.portraits(D.accounts(spark, sf_dir), D.meetings(spark, sf_dir), products, objections, D.opportunities(spark, sf_dir))
+    rows = R.portraits(some(D.accounts(spark, sf_dir)), meetings, some(products), some(objections), offers)
     lists = (F.array_join(c, ", ").alias(c) for c in ("stack", "open_objections"))
     return rows.select("customer_id", "health", *lists, "trust_level", "upsell_potential")
 
 
+def customer_portraits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portrait of every customer."""
+    return _portraits(spark, sf_dir)
+
+
+def portraits_by_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portraits of all customers from the meetings before a day, then of those who met on it or later."""
+    day = "2001-07-15"
+    table = PortraitTable(spark, f"{ensure_checkpoint_dir(spark)}/portraits-{uuid.uuid4().hex}", buckets=32)
+    table.refresh(D.accounts(spark, sf_dir), lambda keys: _portraits(spark, sf_dir, keys, day))
+    later = D.meetings(spark, sf_dir).where(F.col("meeting_date") >= day)
+    table.refresh(later, lambda keys: _portraits(spark, sf_dir, keys))
+    return table.rows()
+
+
 def corrections_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as corrections, sent twice, some invalid: the log after both batches."""
     e, action = D.table(spark, sf_dir, "events"), F.array(*map(F.lit, (*R.ACTIONS, "drop")))[(F.col("event_id") % 5).cast("int")]
@@ -64,7 +89,7 @@ def triage_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.select("id", F.length("text").cast("long").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (reanalysis, customer_portraits, corrections_log, corpus_samples, triage_queue)}
+QUERIES = {f.__name__: f for f in (reanalysis, customer_portraits, portraits_by_change, corrections_log, corpus_samples, triage_queue)}
 
 STRONGEST = ", ".join(f"'{s}'" for s in M.STATUSES)
 SQL = {
@@ -94,3 +119,4 @@ SELECT title, date, customer, sample_id FROM s WHERE title NOT IN (SELECT title
 """,
     "triage_queue": "SELECT doc_id AS id, length(text) AS chars FROM documents WHERE lang = 'en' AND length(text) >= 2000 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
 }
+SQL["portraits_by_change"] = SQL["customer_portraits"]
