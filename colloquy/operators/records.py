@@ -62,9 +62,11 @@ def portraits(customers: DataFrame, meetings: DataFrame, products: DataFrame, ob
 
     Lists are sorted and empty where there is nothing. Trust is that of the latest meeting that has one, else
     50. Upsell is the sum of value by chance over the latest meeting's opportunities, one without a value
-    counting the latest budget; rounded, null unless it is positive. Facts are aggregated before they are
-    joined, so a customer meets at most one row of each.
+    counting the latest budget; rounded, null unless it is positive. Money is added in decimals, each product
+    to six places, so that no order of rows moves a half over the rounding. Facts are aggregated before they
+    are joined, so a customer meets at most one row of each.
     """
+    money = lambda c: c.cast("decimal(28,6)")
     stack = strongest_stack(products).groupBy("customer_id").agg(F.sort_array(F.collect_list(F.concat_ws(": ", "product", "status"))).alias("stack"))
     still = mention_counts(objections, F.col("text")).where("not last_resolved")
     still = still.groupBy("customer_id").agg(F.sort_array(F.collect_list("key")).alias("open_objections"))
@@ -75,10 +77,11 @@ def portraits(customers: DataFrame, meetings: DataFrame, products: DataFrame, ob
         F.max_by("budget", F.when(F.col("budget").isNotNull(), at)).alias("latest_budget"),
     )
     offered = opportunities.groupBy("customer_id", "meeting_id").agg(
-        F.coalesce(F.sum(F.col("value") * F.col("probability")), F.lit(0.0)).alias("priced"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("probability"))), F.lit(0.0)).alias("unpriced"),
+        F.coalesce(F.sum(money(F.col("value") * F.col("probability"))), money(F.lit(0))).alias("priced"),
+        F.coalesce(F.sum(money(F.when(F.col("value").isNull(), F.col("probability")))), money(F.lit(0))).alias("unpriced"),
     )
-    upsell = F.floor(F.col("priced") + F.col("unpriced") * F.coalesce("latest_budget", F.lit(0.0)) + 0.5)
+    budgeted = money(F.col("unpriced").cast("double") * F.coalesce("latest_budget", F.lit(0.0)))
+    upsell = F.floor(F.col("priced") + budgeted + F.lit(0.5).cast("decimal(2,1)")).cast("long")
     latest = latest.join(offered, ["customer_id", "meeting_id"], "left").select("customer_id", "trust", upsell.alias("upsell"))
     rows = customers.select("customer_id", "health")
     for facts in (stack, still, latest):

@@ -97,3 +97,15 @@ def test_open_document_and_rich_text(spark):
     assert rtf_text(rich) == "Preço {alto}\nBom\tdia ’s \U0001f600 fim"
     files = spark.createDataFrame([("a.odt", packed.getvalue()), ("b.rtf", rich), ("c.rtf", b"no"), ("d.odt", b"no")], "path string, content binary")
     assert {r.path: (r.kind, r.reason) for r in items_of_files(files).collect()} == {"a.odt": ("text", None), "b.rtf": ("text", None), "c.rtf": ("ignored", "unreadable"), "d.odt": ("ignored", "unreadable")}
+
+
+def test_upsell_is_the_same_in_any_order(spark):
+    """107953.5 in all, which sums of floating point numbers miss in some orders of the rows."""
+    offers = [(1, 1, 81332.1, 0.4), (1, 1, 70475.25, 0.24), (1, 1, 90909.68, 0.48), (1, 1, 61958.14, 0.24)]
+    customers = spark.createDataFrame([(1, 80)], "customer_id long, health int")
+    meetings = spark.createDataFrame([(1, 1, DAY, 40, 1.0)], "meeting_id long, customer_id long, meeting_date date, trust_score int, budget double")
+    products = spark.createDataFrame([], "customer_id long, product string, status string")
+    objections = spark.createDataFrame([], "customer_id long, meeting_id long, meeting_date date, ordinal int, text string, resolved boolean")
+    for order in (offers, offers[:2] + offers[:1:-1]):
+        rows = spark.createDataFrame(order, "customer_id long, meeting_id long, value double, probability double").coalesce(1)
+        assert R.portraits(customers, meetings, products, objections, rows).first()["upsell_potential"] == 107954
