@@ -62,12 +62,18 @@ def clause_scores(clauses: DataFrame, lexicon: SentimentLexicon, text_col: str =
     return clauses.withColumn("s", span_score(F.col(text_col), lexicon)).select("*", "s.score", "s.terms").drop("s").where("terms > 0")
 
 
+def _mean() -> Column:
+    """The mean score of a group's clauses by their terms, within -1 and 1. It is added in decimals and rounded to
+    12 places, so that no order of rows moves it over a threshold."""
+    total = F.sum((F.col("score") * F.col("terms")).cast("decimal(28,9)")).cast("double")
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(total / F.sum("terms"), 12)))
+
+
 def aspect_sentiment(scored: DataFrame, aspects: dict[str, str], keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """One row per text and aspect (a pattern) with a charge: keys, aspect, score, polarity."""
     hits = F.array_compact(F.array(*(F.when(F.col(text_col).rlike(p), F.lit(a)) for a, p in aspects.items())))
     long = scored.select(*keys, "score", "terms", F.explode(hits).alias("aspect"))
-    mean = F.sum(F.col("score") * F.col("terms")) / F.sum("terms")
-    rows = long.groupBy(*keys, "aspect").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean)).alias("score"))
+    rows = long.groupBy(*keys, "aspect").agg(_mean().alias("score"))
     return rows.withColumn("polarity", polarity(F.col("score"))).where("polarity <> 'neutral'")
 
 
@@ -79,7 +85,7 @@ def overall_sentiment(scored: DataFrame, aspects: DataFrame | None = None, keys:
     """
     charged = lambda p: F.sum((polarity(F.col("score")) == p).cast("long"))
     rows = scored.groupBy(*keys).agg(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sum(F.col("score") * F.col("terms")) / F.sum("terms"))).alias("score"),
+        _mean().alias("score"),
         charged("positive").alias("positive"),
         charged("negative").alias("negative"),
     )
