@@ -34,6 +34,9 @@ REDACTION_RULES = (
     ("telefone", _EDGE + r"9[0-9]{4}-[0-9]{4}" + _END),
 )
 
+#: What each of the rules needs somewhere; a text without it has nothing to mask and is scanned once.
+REDACTABLE = r"[0-9]{4}|[0-9]{3}\.[0-9]{3}|@"
+
 # Time stamps and marks of speech that was not understood.
 TIMESTAMP = r"\[?\(?(?<![A-Za-z0-9_])[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?![A-Za-z0-9_])\)?\]?"
 INAUDIBLE = r"(?i)\[(?:inaud[ií]vel|incompreens[ií]vel|\?+|risos|sil[êe]ncio)\]"
@@ -132,9 +135,16 @@ def redact(text: Column, rules: tuple[tuple[str, str], ...] = REDACTION_RULES) -
 
     Rules run in order on what earlier ones left, so the most specific claims a span.
     """
-    for _, pattern in rules:
-        text = _replaced(text, pattern, lambda hit: F.regexp_replace(hit, r"[^.\-/() ]", "#"))
-    return text
+
+
+    def masked(t: Column) -> Column:
+        for _, pattern in rules:
+            t = _replaced(t, pattern, lambda hit: F.regexp_replace(hit, r"[^.\-/() ]", "#"))
+        return t
+
+    if not set(rules) <= set(REDACTION_RULES):
+        return masked(text)
+    return once(text, lambda t: F.when(t.rlike(REDACTABLE), masked(t)).otherwise(t))
 
 
 def redactions(text: Column, rules: tuple[tuple[str, str], ...] = REDACTION_RULES) -> Column:
@@ -154,7 +164,8 @@ def blank(text: Column, pattern: str) -> Column:
 def fold(text: Column) -> Column:
     """Lower case without accents, code point by code point."""
     keep = "\ue000"  # U+0130 would become two characters
-    return F.translate(F.translate(F.lower(F.translate(text, "İ", keep)), keep, "İ"), ACCENTED, UNACCENTED)
+    kept = lambda t: F.translate(F.lower(F.translate(t, "İ", keep)), keep, "İ")
+    return F.translate(once(text, lambda t: F.when(F.contains(t, F.lit("İ")) | F.contains(t, F.lit(keep)), kept(t)).otherwise(F.lower(t))), ACCENTED, UNACCENTED)
 
 
 def words(text: Column) -> Column:

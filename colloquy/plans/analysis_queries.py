@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.storage import checkpointed
 from colloquy.operators import extract as X
 from colloquy.operators import roles as R
 from colloquy.operators import transcripts as T
@@ -93,15 +94,15 @@ def _roles(turns: DataFrame) -> DataFrame:
 
 def _sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sentences as extractors take them, and which transcripts tell the sides apart."""
-    spans = T.spans(_transcripts(spark, sf_dir))
-    roles = _roles(spans.where("diarised"))
+    spans = checkpointed(T.spans(_transcripts(spark, sf_dir)))
+    roles = checkpointed(_roles(spans.where("diarised")))
     who = roles.select(F.col("doc_id").alias("whose"), F.lower("speaker").alias("key"), "side")
     rows = T.sentences(spans).join(who, (F.lower("speaker") == F.col("key")) & (F.col("doc_id") == F.col("whose")), "left")
     order = Window.partitionBy("doc_id").orderBy("sentence_start")
     rows = rows.select(
         "doc_id", (F.row_number().over(order) - 1).alias("sentence_no"), F.col("sentence_start").alias("start"), T.fold(F.col("sentence")).alias("search"), F.col("sentence").alias("quote"), "side", "speaker"
     )
-    return rows, T.attributable(roles)
+    return checkpointed(rows), T.attributable(roles)
 
 
 def _digest(c: str) -> Column:
@@ -116,7 +117,7 @@ def transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def speaker_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sides by titles, phrases, questions, length of turns, election and propagation."""
-    roles = _roles(T.turns(_transcripts(spark, sf_dir)))
+    roles = checkpointed(_roles(T.turns(_transcripts(spark, sf_dir))))
     rows = roles.join(T.attributable(roles), "doc_id")
     return rows.select("doc_id", "speaker", F.col("position").cast("long").alias("position"), "side", F.round("confidence", 4).alias("confidence"), F.round("score", 6).alias("score"), "attributable")
 
