@@ -63,7 +63,8 @@ def lexicon_hits(sentences: DataFrame, entries: list[Entry] | list[Phrase] | Dat
 
 def hits_of(sentences: DataFrame, lexicons: dict[str, list[Phrase]]) -> dict[str, DataFrame]:
     """The hits of several lexicons, with every word of the sentences looked up once for all of them."""
-    hits = checkpointed(phrase_hits(sentences, [p for phrases in lexicons.values() for p in phrases]))
+    every = [p for phrases in lexicons.values() for p in phrases]
+    hits = checkpointed(phrase_hits(sentences, every)) if every else phrase_hits(sentences.where("false"), every)
     out, first = {}, 0
     for name, phrases in lexicons.items():
         own = hits.where(F.col("ordinal").between(first, first + len(phrases) - 1))
