@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import once, running_sums
+from colloquy.functions.text import once
 
 __all__ = ["anchored", "coverage", "evidence_coverage", "evidence_rows", "quote_offset"]
 
@@ -13,32 +13,26 @@ LEAST_CHARS = 8
 
 
 def _index(text: Column) -> Column:
-    """Struct of a text, the text with every white space made one blank, and where each run stands in either."""
-    runs = F.regexp_extract_all(text, F.lit(r"\s+|[^\s]+"), F.lit(0))
-
-    def of(pieces: Column) -> Column:
-        size = F.transform(pieces, lambda p: F.length(p))
-        bare = F.transform(pieces, lambda p: F.when(p.rlike(r"^\s"), 1).otherwise(F.length(p)))
-        return F.struct(text.alias("text"), F.regexp_replace(text, r"\s+", " ").alias("bare"), running_sums(size).alias("at"), running_sums(bare).alias("bare_at"))
-
-    return once(runs, of)
+    """Struct of a text, and the text with every white space made one blank."""
+    return F.struct(text.alias("text"), F.regexp_replace(text, r"\s+", " ").alias("bare"))
 
 
 def _found(index: Column, quote: Column, least: int) -> Column:
     """Struct (start, end) of a quote in an indexed text; null if it isn't there or is shorter than ``least``."""
     plain = F.regexp_replace(F.trim(quote), r"^\s+|\s+$", "")
 
-    def original(place: Column) -> Column:
-        """Where a place of the bare text stands in the text."""
-        run = F.size(F.filter(index.bare_at, lambda x: x <= place)) - 1
-        return F.get(index.at, run) + (place - F.get(index.bare_at, run))
+    def spaced(bare: Column) -> Column:
+        """Where the words of a quote stand with any white space between them; sought only where they do."""
+        literal = F.replace(bare, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        words = F.concat(F.lit("\\Q"), F.replace(literal, F.lit(" "), F.lit("\\E\\s+\\Q")), F.lit("\\E"))
+        first = F.length(F.call_function("regexp_extract", index.text, F.concat(F.lit("(?s)^(.*?)"), words), F.lit(1)))
+        size = F.length(F.call_function("regexp_extract", index.text, words, F.lit(0)))
+        return F.when(F.contains(index.bare, bare), F.struct(first.alias("start"), (first + size).alias("end")))
 
     def of(q: Column) -> Column:
-        literal, tolerant = F.instr(index.text, q), F.instr(index.bare, F.regexp_replace(q, r"\s+", " "))
-        size = F.length(F.regexp_replace(q, r"\s+", " "))
+        literal = F.instr(index.text, q)
         whole = F.struct((literal - 1).alias("start"), (literal - 1 + F.length(q)).alias("end"))
-        spaced = F.struct(original(tolerant - 1).alias("start"), (original(tolerant + size - 2) + 1).alias("end"))
-        return F.when(F.length(q) >= least, F.when(literal > 0, whole).when(tolerant > 0, spaced))
+        return F.when(F.length(q) >= least, F.when(literal > 0, whole).otherwise(once(F.regexp_replace(q, r"\s+", " "), spaced)))
 
     return once(plain, of)
 
