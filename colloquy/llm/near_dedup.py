@@ -38,6 +38,10 @@ HALVES = 14
 FEW_ROWS, FEW = 1_000_000, 8
 #: Nodes with their keys (at most 64 bytes each) are sent to all tasks up to this number, else joined by shuffle.
 BROADCAST_NODES = 500_000
+#: Two columns of numbers are sent to all tasks up to this number of rows.
+BROADCAST_ROWS = 100_000
+#: Numbers of a set, for a guess at how much pairs of sets are.
+SET_NUMBERS = 256
 #: Texts of a group that is confirmed at once.
 BLOCK = 1024
 _COLUMNS = 4096
@@ -121,41 +125,51 @@ def _near(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` in as many partitions as ``rows`` rows need, so that small tables don't become many files."""
-    return df.coalesce(max(FEW, -(-rows // FEW_ROWS)))
+def _few(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df`` in as many partitions as ``rows`` rows need, so that small tables don't become many tasks and files."""
+    return df if rows is None else df.coalesce(max(FEW, -(-rows // FEW_ROWS)))
 
 
-def contracted(members: DataFrame, bucket: tuple[str, ...] = ("bucket",)) -> DataFrame:
+def _sent(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df`` for a join, of ``rows`` rows at most: sent to all tasks where these are few."""
+    return df if rows is None or rows > BROADCAST_ROWS else F.broadcast(_few(df, rows))
+
+
+def contracted(members: DataFrame, bucket: tuple[str, ...] = ("bucket",), rows: int | None = None) -> DataFrame:
     """Columns node, component (smallest node reachable) of the nodes that share a bucket with another.
 
     Each node gives way to the node of least hash in its buckets. A round costs a row for each (bucket,
     node) that is left, and buckets with one node are settled; as hashes stand in no order, the nodes
-    that are left shrink by a factor each round. Each is written to the checkpoint folder.
+    that are left shrink by a factor each round. Each is written to the checkpoint folder. ``rows`` is a
+    bound of the rows of ``members``, where one is known.
     """
-    labels = members.select("node", F.col("node").alias("component")).limit(0)
+    labels, n_labels = members.select("node", F.col("node").alias("component")).limit(0), 0
     for turn in itertools.count():
         least = members.groupBy(*bucket).agg(F.min_by("node", F.xxhash64("node")).alias("top"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-        members = members.join(least.where("lo < hi"), list(bucket)).select(*bucket, "node", "top")
-        members = checkpointed(_few(members, rows) if turn else members)
+        members = members.join(_sent(least.where("lo < hi").drop("lo", "hi"), rows), list(bucket)).select(*bucket, "node", "top")
+        members = checkpointed(_few(members, rows))
         rows = members.count()
         if not rows:
             break
         parents = members.groupBy("node").agg(F.min_by("top", F.xxhash64("top")).alias("parent"))
         up = parents.select(F.col("node").alias("component"), "parent")
-        labels = labels.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component")) if turn else up.select(F.col("component").alias("node"), F.col("parent").alias("component"))
-        members = _few(_few(members, rows).join(parents, "node").select(*bucket, F.col("parent").alias("node")), rows).distinct()
+        if turn:
+            labels = _few(labels.join(_sent(up, rows), "component", "left").select("node", F.coalesce("parent", "component").alias("component")), n_labels)
+        else:
+            labels, n_labels = _few(up.select(F.col("component").alias("node"), F.col("parent").alias("component")), rows), rows
+        members = _few(_few(members, rows).join(_sent(parents, rows), "node").select(*bucket, F.col("parent").alias("node")).distinct(), rows)
     least = labels.groupBy("component").agg(F.min("node").alias("least"))
-    return checkpointed(labels.join(least, "component").select("node", F.col("least").alias("component")))
+    return checkpointed(_few(labels.join(_sent(least, n_labels), "component").select("node", F.col("least").alias("component")), n_labels))
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """Columns node, component (smallest node reachable) of the nodes in ``links`` (a, b).
 
-    Nulls in ``links`` and links of a node with itself are ignored; no links give no rows.
+    Nulls in ``links`` and links of a node with itself are ignored; no links give no rows. ``rows`` is a bound
+    of the rows of ``links``, where one is known.
     """
     edges = links.where("a < b or b < a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return contracted(edges.select("a", "b", F.explode(F.array("a", "b")).alias("node")), ("a", "b"))
+    return contracted(_few(edges, rows).select("a", "b", F.explode(F.array("a", "b")).alias("node")), ("a", "b"), rows and 2 * rows)
 
 
 def _linked(nodes: np.ndarray, components: np.ndarray, flat: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -238,17 +252,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= union * percent).select("a", "b")
 
 
-def _centre_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _centre_links(buckets: DataFrame, rows: int, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links between each bucket's member of most weight and its other members."""
     top = F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node")))
-    centres = checkpointed(buckets.groupBy("bucket").agg(top.alias("c")))
+    centres = _sent(buckets.groupBy("bucket").agg(top.alias("c")), rows)
     pairs = (
         buckets.join(centres, "bucket")
         .where((F.col("c.node") != F.col("node")) & _near(F.col("c.n"), F.col("n"), percent))
         .select(F.col("c.node").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    return checkpointed(_verified(pairs, sets, percent))
+    pairs = checkpointed(_few(pairs, rows))
+    return checkpointed(_few(_verified(pairs, sets, percent), SET_NUMBERS * pairs.count()))
 
 
 def _diagonal(nodes: DataFrame) -> DataFrame:
@@ -257,38 +272,55 @@ def _diagonal(nodes: DataFrame) -> DataFrame:
     return rows.where("r is not null").select(F.xxhash64("l.half", "r").alias("bucket"), "node", "n", "weight")
 
 
-def _crossings(nodes: DataFrame) -> DataFrame:
-    """Distinct rows (bucket, node) with the labels that meet others in a table in the place of nodes.
+def _pairs(pruned: DataFrame, wide: int) -> DataFrame:
+    """Rows (label, l, r): the pairs of halves that a label's nodes (node, label, left, right) have, few of them twice."""
+    most = F.max_by(F.struct("node", "left", "right"), F.struct(F.size("left") * F.size("right"), -F.col("node")))
+    both = pruned.join(_few(pruned.groupBy("label").agg(most.alias("most")), wide), "label")
+    lacks = F.array_except("right", "most.right")
+    both = both.select("label", "left", "right", (F.col("most.node") == F.col("node")).alias("own"), F.col("most.left").alias("named"), lacks.alias("lacks"))
+    rest = F.when(~F.col("own") & F.array_contains("named", F.col("l")), F.col("lacks")).otherwise(F.col("right"))
+    return _few(both, wide).withColumn("l", F.explode("left")).select("label", "l", F.explode(rest).alias("r"))
 
-    Halves that only one label has lead to no such table and are dropped before they are paired.
-    """
-    lefts = F.transform("left", lambda x: x.half)
-    halves = nodes.select("node", "label", F.explode(F.concat(lefts, F.map_values("right"))).alias("half"))
-    live = halves.groupBy("half").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("half")
-    kept = halves.join(live, "half").groupBy("node").agg(F.collect_set("half").alias("live"))
-    pruned = nodes.join(kept, "node").select("label", F.array_intersect(lefts, "live").alias("left"), F.array_intersect(F.map_values("right"), "live").alias("right"))
-    rows = pruned.withColumn("l", F.explode("left")).withColumn("r", F.explode("right"))
-    return checkpointed(rows.select(F.xxhash64("l", "r").alias("bucket"), F.col("label").alias("node")).distinct())
 
+def _crossings(nodes: DataFrame, n: int, halves: int) -> DataFrame:
+    """Distinct rows (bucket, node) with the labels that meet others in a table in the place of nodes.
 
-def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    Halves that only one label has lead to no such table and are dropped before they are paired. The node of
+    a label that has most pairs names all of its own; the label's other nodes name only what it lacks, so
+    copies don't repeat the same pairs. ``n`` is a bound of the nodes, of which each has ``halves`` on a side.
+    """
+    flat = nodes.select("node", "label", F.transform("left", lambda x: x.half).alias("left"), F.map_values("right").alias("right"))
+    wide = 2 * halves * n
+    rows = flat.select("node", "label", F.explode(F.concat("left", "right")).alias("half"))
+    live = rows.groupBy("half").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("half")
+    kept = _few(_few(rows.join(_few(live, wide), "half"), wide).groupBy("node").agg(F.collect_set("half").alias("live")), wide)
+    pruned = flat.join(kept, "node").select("node", "label", F.array_intersect("left", "live").alias("left"), F.array_intersect("right", "live").alias("right"))
+    pruned = checkpointed(_few(pruned.where("size(left) > 0 and size(right) > 0"), wide))
+    pairs = _pairs(pruned, wide).select(F.xxhash64("l", "r").alias("bucket"), F.col("label").alias("node"))
+    return checkpointed(_few(pairs.distinct(), wide))
+
+
+def _labelled(nodes: DataFrame, n: int, halves: int, labels: DataFrame) -> DataFrame:
     """``nodes`` with the component of ``labels`` as label, or with themselves."""
     named = labels.select("node", F.col("component").alias("found"))
-    return checkpointed(nodes.drop("label").join(named, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found"))
+    named = nodes.drop("label").join(_sent(named, n), "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found")
+    return checkpointed(_few(named, 2 * halves * n))
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
+def _candidates(nodes: DataFrame, n: int, halves: int) -> DataFrame:
     """Columns node, cluster of the nodes that meet others in any table, transitively."""
     own = nodes.withColumn("label", F.col("node"))
-    first = contracted(_diagonal(own).select("bucket", "node"))
-    second = contracted(_crossings(_labelled(own, first)))
-    both = first.select("node", "component").unionAll(second.join(first, "node", "left_anti").select("node", F.col("node").alias("component")))
+    first = contracted(_diagonal(own).select("bucket", "node"), ("bucket",), halves * n)
+    crossings = _crossings(_labelled(own, n, halves, first), n, halves)
+    second = contracted(crossings, ("bucket",), crossings.count())
+    both = first.select("node", "component").unionAll(second.join(_sent(first, n), "node", "left_anti").select("node", F.col("node").alias("component")))
     up = second.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    return both.join(up, "component", "left").select("node", F.coalesce("cluster", "component").alias("cluster"))
+    return both.join(_sent(up, n), "component", "left").select("node", F.coalesce("cluster", "component").alias("cluster"))
 
 
-def _sized(clusters: DataFrame) -> DataFrame:
-    return checkpointed(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n_nodes")), "cluster"))
+def _sized(clusters: DataFrame, n: int) -> DataFrame:
+    clusters = checkpointed(_few(clusters, n))
+    return checkpointed(_few(clusters.join(_sent(clusters.groupBy("cluster").agg(F.count("*").alias("n_nodes")), n), "cluster"), n))
 
 
 def _packed(placed: DataFrame, sets_of, block: int) -> GroupedData:
@@ -309,34 +341,45 @@ def _block_links(placed: DataFrame, sets: DataFrame, percent: int, block: int) -
     return keyed.join(sets, "node").groupBy("cluster", "b1", "b2").applyInArrow(_link_groups(percent), "a long, b long")
 
 
-def _confirmed(nodes: DataFrame, sets_of, percent: int, block: int) -> DataFrame:
+def _confirmed(nodes: DataFrame, halves: int, sets_of, percent: int, block: int) -> DataFrame:
     """Columns node, component, n_links of the nodes that meet others: what similar texts connect.
 
-    ``nodes`` has node, n, weight and its halves ``left`` and ``right``; ``sets_of`` adds full sets to a
-    number of rows that name nodes.
+    ``nodes`` has node, n, weight and its halves ``left`` and ``right``, up to ``halves`` each; ``sets_of`` adds
+    full sets to a number of rows that name nodes.
     """
-    placed = _sized(_candidates(nodes)).withColumn("component", F.col("node"))
+    n = nodes.count()
+    placed = _sized(_candidates(nodes, n, halves), n).withColumn("component", F.col("node"))
     small = _packed(placed, sets_of, block).applyInArrow(_component_groups(percent), "node long, component long, n_links long")
     large = placed.where(F.col("n_nodes") > block)
-    if large.isEmpty():
+    n = large.count()
+    if not n:
         return small
-    sets = checkpointed(sets_of(large.select("node"), large.count()).select("node", "shingles"))
-    inside = checkpointed(nodes.join(large.select("node", "cluster"), "node"))
-    starred = _centre_links(_diagonal(inside), sets, percent)
-    inside = _labelled(inside, connected_components(starred))
+    sets = checkpointed(sets_of(large.select("node"), n).select("node", "shingles"))
+    inside = checkpointed(_few(nodes.join(_sent(large.select("node", "cluster"), n), "node"), 2 * halves * n))
+    starred = _centre_links(_diagonal(inside), halves * n, sets, percent)
+    inside = _labelled(inside, n, halves, connected_components(starred, starred.count()))
     counts = inside.groupBy("cluster").agg(F.count("*").alias("n_nodes"), F.count_distinct("label").alias("n_labels"))
-    mixed = checkpointed(inside.join(counts.where("n_labels > 1"), "cluster"))
+    mixed = checkpointed(_few(inside.join(_sent(counts.where("n_labels > 1"), n), "cluster"), 2 * halves * n))
     # A table with one component has nothing left to connect. Where few components are left, the tables in
     # which they meet fall into parts; where most nodes are still alone, the part would be the cluster.
     joined = mixed.where("4 * n_labels < n_nodes")
-    parts = contracted(_crossings(joined)).select(F.col("node").alias("label"), F.col("component").alias("part"))
-    parts = _sized(joined.join(parts, "label").select("node", F.col("label").alias("component"), F.col("part").alias("cluster")))
+    crossings = _crossings(joined, n, halves)
+    parts = contracted(crossings, ("bucket",), crossings.count()).select(F.col("node").alias("label"), F.col("component").alias("part"))
+    parts = _sized(joined.join(_sent(parts, n), "label").select("node", F.col("label").alias("component"), F.col("part").alias("cluster")), n)
     apart = mixed.where("4 * n_labels >= n_nodes").select("cluster", "node", F.col("label").alias("component"), "n_nodes")
     wide = parts.where(F.col("n_nodes") > block).unionByName(apart)
     inner = _packed(parts, sets_of, block).applyInArrow(_link_groups(percent), "a long, b long")
-    links = checkpointed(starred.unionAll(inner).unionAll(_block_links(wide, sets, percent, block)).distinct())
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    return small.unionByName(connected_components(links).join(ends, "node"))
+    added = checkpointed(inner.unionAll(_block_links(wide, sets, percent, block)).distinct())
+    # What was added connects labels, each the least node of its component so far.
+    named, n_added = inside.select("node", "label"), added.count()
+    if n_added:
+        ends = [named.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
+        across = added.join(_sent(ends[0], n), "a").join(_sent(ends[1], n), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        up = connected_components(across, n_added).select(F.col("node").alias("label"), "component")
+        named = named.join(_sent(up, n), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
+    links = starred.unionAll(added)
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    return small.unionByName(named.withColumnRenamed("label", "component").join(_sent(degrees, n), "node"))
 
 
 def near_duplicates(
@@ -365,16 +408,15 @@ def near_duplicates(
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = checkpointed(_signatures(docs, shingle_words, half_hashes, halves, seed))
-    classes = checkpointed(
-        signed.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_key")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
-    )
+    wide = 2 * halves * signed.count()
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key")
+    classes = classes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
+    classes = checkpointed(_few(classes, wide))
     half_rows = classes.select("node", "n", F.posexplode("halves").alias("side", "half"))
-    common = checkpointed(half_rows.groupBy("half").agg(F.count("*").alias("met")).where("met > 1"))
+    common = checkpointed(_few(half_rows.groupBy("half").agg(F.count("*").alias("met")).where("met > 1"), wide))
     left = F.col("side") < halves
-    met = checkpointed(
-        half_rows.join(common, "half")
+    met = (
+        half_rows.join(_sent(common, common.count()), "half")
         .groupBy("node", "n")
         .agg(
             F.collect_list(F.when(left, F.struct("side", "half"))).alias("left"),
@@ -383,6 +425,7 @@ def near_duplicates(
         )
         .where("size(left) > 0 and size(right) > 0")
     )
+    met = checkpointed(_few(met, wide))
 
     def sets_of(nodes: DataFrame, n: int) -> DataFrame:
         # The key tells the text that an id stands for from others under the same id.
@@ -390,12 +433,13 @@ def near_duplicates(
         keyed = F.broadcast(keyed) if n <= BROADCAST_NODES else keyed
         return _full_sets(keyed.join(docs, F.col("node") == F.col("doc_id")).drop("doc_id"), shingle_words)
 
-    components = _confirmed(met, sets_of, percent, block)
-    named = checkpointed(
+    components = _confirmed(met, halves, sets_of, percent, block)
+    named = (
         classes.select("set_key", "node")
         .join(components, "node", "left")
         .select("set_key", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
+    named = checkpointed(_few(named, wide))
     component = F.coalesce("component", "doc_id")
     return signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
         "doc_id",

@@ -61,9 +61,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keyed = _keyed(docs)
     groups = near_duplicates(keyed, id_col=ROW_KEY, percent=NEAR_PERCENT, halves=NEAR_HALVES)
-    groups = groups.select(F.col("doc_id").alias(ROW_KEY), F.col("component_id").alias("group")).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", ROW_KEY)).alias("first")
-    kept = keyed.select(ROW_KEY, "doc_id").distinct().join(groups, ROW_KEY).groupBy("group").agg(first).select(F.col(f"first.{ROW_KEY}").alias(ROW_KEY))
+    # Both sides have a row for each document, and a key names one id and one group.
+    ids = keyed.select(ROW_KEY, F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("group"))
+    both = ids.unionAll(groups.select(F.col("doc_id").alias(ROW_KEY), F.lit(None).cast("long").alias("doc_id"), F.col("component_id").alias("group")))
+    both = both.groupBy(ROW_KEY).agg(F.max("doc_id").alias("doc_id"), F.max("group").alias("group"))
+    kept = both.groupBy("group").agg(first).select(F.col(f"first.{ROW_KEY}").alias(ROW_KEY))
     return keyed.join(kept, ROW_KEY, "left_semi").select(*COLUMNS)
 
 

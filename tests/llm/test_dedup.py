@@ -113,6 +113,21 @@ def test_contraction_grows_in_proportion(spark, monkeypatch):
     assert rows[600] < 2.2 * rows[300] and rows[600] < 40 * 600
 
 
+def test_copies_do_not_repeat_the_pairs_of_their_label(spark):
+    rng, rows = random.Random(4), []
+    for k in range(400):
+        # Near copies of two texts under one label, and a label of its own now and then.
+        base = 100 * (k % 2)
+        left, right = ([base + side * 50 + x if rng.random() < 0.995 else rng.randrange(900, 920) for x in range(20)] for side in (0, 1))
+        rows.append((k, 7 if k % 50 else k, sorted(set(left)), sorted({-x for x in right})))
+    nodes = spark.createDataFrame(rows, "node long, label long, left array<long>, right array<long>")
+    found = [tuple(r) for r in near_dedup._pairs(nodes, 8).collect()]
+    want = {(label, a, b) for _, label, left, right in rows for a in left for b in right}
+    assert set(found) == want
+    one = spark.createDataFrame([r for r in rows if r[0] % 2 == 0], nodes.schema)
+    assert near_dedup._pairs(one, 8).count() < 0.25 * sum(len(left) * len(right) for k, _, left, right in rows if k % 2 == 0)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (None, 3), (5, 5)], "a long, b long")
     assert {r.node: r.component for r in connected_components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
