@@ -9,8 +9,9 @@ Bigrams of types are counted once, in one scan, and kept by type. The ``VOCABULA
 the endings are exchanged first, one at a time until none moves. Then all types move in parallel passes
 over the bigrams: each type sums the classes beside it and moves against the class bigrams of the pass
 before. A pass that doesn't raise the likelihood is undone and fewer types move at once from then on; the
-passes end when none moves, or when all types have had their turn and the gain stays below ``GAIN``. Words
-and classes (10 bytes a word) go to every task.
+passes end when none moves, or when all types have had their turn and the gain stays below ``GAIN``. The table
+is kept by turn, so a pass reads the bigrams of the types whose turn it is, and class bigrams are changed by
+those of the types that moved. Words and classes (10 bytes a word) go to every task.
 
 Frequent words have their counts where the classes are; occurrences of the others, of which each word has
 fewer than ``LEAST`` in training, are joined with the table of counts.
@@ -219,15 +220,20 @@ def _unpack(blob: bytes, kind: type, n: int) -> np.ndarray:
 def _by_type(types: np.ndarray, codes: np.ndarray, n: np.ndarray, narrow: type) -> dict[str, list]:
     """Bigrams in the order of their types as one row: the types, how many bigrams each has, codes and counts."""
     kinds, sizes = np.unique(types, return_counts=True)
-    values = {"type": kinds.astype(narrow), "size": sizes, "code": codes.astype(narrow), "count": n.astype(np.int64)}
-    return {"n_types": [len(kinds)], "n": [len(codes)]} | {c: [_pack(v)] for c, v in values.items()}
+    least = np.min_scalar_type(int(n.max(initial=0)))
+    values = {"type": kinds.astype(narrow), "size": sizes.astype(np.int64), "code": codes.astype(narrow), "count": n.astype(least)}
+    return {"n_types": [len(kinds)], "n": [len(codes)], "width": [least.itemsize]} | {c: [_pack(v)] for c, v in values.items()}
 
 
-_PACKED = "n_types long, n long, type binary, size binary, code binary, count binary"
+_PACKED = "n_types long, n long, width long, type binary, size binary, code binary, count binary"
+
+
+def _turns(types: np.ndarray, spread: int) -> np.ndarray:
+    return mix(types.astype(np.uint64)) % np.uint64(spread)
 
 
 def _bigrams(texts: DataFrame, types: _Types, tokens: int) -> DataFrame:
-    """Bigrams of types by part: each row holds some types, with all bigrams of each one after another.
+    """Bigrams of types by part and turn: each row holds some types, with all bigrams of each one after another.
 
     A code is the type after, or ``types.count`` + the type before. A task counts, deals its counts out to
     parts by type, for either side of a bigram, and sends each part as one packed row; the counts of a part
@@ -274,12 +280,24 @@ def _bigrams(texts: DataFrame, types: _Types, tokens: int) -> DataFrame:
         held = []
         for row in table.to_pylist():
             kinds, sizes, code, n = _part(row, narrow)
-            held.append((np.repeat(kinds.astype(np.int64) * (2 * n_types), sizes) + code, n))
+            held.append((np.repeat(kinds.astype(np.int64) * (2 * n_types), sizes) + code, n.astype(np.int64)))
         keys, sums = _merged(held)
-        return pa.Table.from_pydict(_by_type(keys // (2 * n_types), keys % (2 * n_types), sums, narrow))
+        kinds, code = keys // (2 * n_types), keys % (2 * n_types)
+        turns = _turns(kinds, SPREAD).astype(np.uint8)
+        order = np.argsort(turns, kind="stable")
+        cuts = np.searchsorted(turns[order], np.arange(SPREAD + 1))
+        own = [order[low:high] for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = [{"turn": [turn]} | _by_type(kinds[at], code[at], sums[at], narrow) for turn, at in enumerate(own) if len(at)]
+        return pa.Table.from_pydict({c: [x for row in rows for x in row[c]] for c in rows[0]})
 
     rows = texts.mapInArrow(count, f"part long, {_PACKED}")
-    return checkpointed(rows.repartition(parts, "part").groupBy("part").applyInArrow(met, _PACKED))
+    # Passes stream rows, so two parts are one task of theirs.
+    return checkpointed(rows.repartition(parts, "part").groupBy("part").applyInArrow(met, f"turn long, {_PACKED}")).coalesce(-(-parts // 2))
+
+
+def _of_turn(bigrams: DataFrame, turn: int, spread: int) -> DataFrame:
+    """Rows with the types whose turn it is, and others only where ``spread`` doesn't divide ``SPREAD``."""
+    return bigrams if SPREAD % spread else bigrams.where(F.col("turn") % spread == turn % spread)
 
 
 def _narrow(n_types: int) -> type:
@@ -288,7 +306,7 @@ def _narrow(n_types: int) -> type:
 
 def _part(row: dict, narrow: type) -> tuple[np.ndarray, ...]:
     """Types, how many bigrams each has, and the codes and counts of these."""
-    wanted = (("type", narrow, "n_types"), ("size", np.int64, "n_types"), ("code", narrow, "n"), ("count", np.int64, "n"))
+    wanted = (("type", narrow, "n_types"), ("size", np.int64, "n_types"), ("code", narrow, "n"), ("count", np.dtype(f"u{row['width']}"), "n"))
     return tuple(_unpack(row[c], kind, row[n]) for c, kind, n in wanted)
 
 
@@ -313,6 +331,39 @@ def _mapped(bigrams: DataFrame, group: np.ndarray, n_groups: int) -> np.ndarray:
     return out.reshape(n_groups, n_groups)
 
 
+def _shifted(bigrams: DataFrame, member: np.ndarray, grid: np.ndarray, moved: np.ndarray, turn: int, spread: int) -> np.ndarray:
+    """``grid``, the class bigrams of ``member``, as it is for ``moved``, where types moved whose turn it was."""
+    n_classes, n_types = len(grid), len(member)
+    gone = member != moved
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = np.zeros(n_classes * n_classes)
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, sizes, code, n = _part(row, _narrow(n_types))
+                go = gone[own]
+                if not go.any():
+                    continue
+                own, at = np.repeat(own[go], sizes[go]), np.repeat(go, sizes)
+                code, n = code[at], n[at]
+                backwards = code >= n_types
+                other = np.where(backwards, code - n_types, code)
+                # A bigram of two types that moved counts with its first.
+                once = ~(backwards & gone[other])
+                own, other, backwards, n = own[once], other[once], backwards[once], n[once]
+                first, last = np.where(backwards, other, own), np.where(backwards, own, other)
+                for classes, sign in ((member, -1), (moved, 1)):
+                    cell = classes[first].astype(np.int64) * n_classes + classes[last]
+                    change += sign * np.bincount(cell, weights=n, minlength=len(change))
+        found = np.flatnonzero(change)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(change[found].astype(np.int64))], names=["cell", "n"])
+
+    cells = _of_turn(bigrams, turn, spread).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = grid.ravel().copy()
+    out[cells["cell"].to_numpy()] += cells["n"].to_numpy()
+    return out.reshape(n_classes, n_classes)
+
+
 def _moves(bigrams: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
     """Types whose turn it is that gain by another class, and that class; the last class is the end's.
 
@@ -329,9 +380,10 @@ def _moves(bigrams: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int,
         for batch in batches:
             for row in batch.to_pylist():
                 own, sizes, code, count = _part(row, _narrow(n_types))
-                turns = (mix(own.astype(np.uint64)) % np.uint64(spread) == turn % spread) & (own < n_types - 1)
-                mine = np.repeat(turns, sizes)
-                own, sizes, code, count = own[turns], sizes[turns], code[mine], count[mine]
+                turns = (_turns(own, spread) == turn % spread) & (own < n_types - 1)
+                if not turns.all():
+                    mine = np.repeat(turns, sizes)
+                    own, sizes, code, count = own[turns], sizes[turns], code[mine], count[mine]
                 beside = beside_of[code]
                 ends = np.cumsum(sizes)
                 for at in range(0, len(own), 4096):
@@ -380,7 +432,7 @@ def _moves(bigrams: DataFrame, member: np.ndarray, grid: np.ndarray, turn: int,
                     go = gain[at_type, best] > gain[at_type, cls] + 1e-9
                     yield pa.RecordBatch.from_arrays([pa.array(kinds[go].astype(np.int64)), pa.array(best[go])], names=["type", "class"])
 
-    found = bigrams.mapInArrow(task, "type long, class long").toArrow()
+    found = _of_turn(bigrams, turn, spread).mapInArrow(task, "type long, class long").toArrow()
     return found["type"].to_numpy(), found["class"].to_numpy()
 
 
@@ -392,7 +444,7 @@ def _exchange_all(bigrams: DataFrame, member: np.ndarray, n_classes: int) -> tup
     """Classes of all types after parallel passes from ``member``, and their class bigrams."""
     best, turn, spread, gained = None, 0, 2, 0.0
     while True:
-        grid = _mapped(bigrams, member, n_classes)
+        grid = _mapped(bigrams, member, n_classes) if best is None else _shifted(bigrams, best[1], best[2], member, turn - 1, spread)
         score = _likelihood(grid)
         if best is None or score > best[0]:
             gained += score - best[0] if best is not None else 0.0

@@ -284,3 +284,24 @@ def test_lm_moves_against_brute_force_likelihood(spark, spread):
             scores.append(brown_lm._likelihood(grid_of(moved)))
         assert scores[moves.get(t, member[t])] > max(scores) - 1e-6
         assert t not in moves or max(scores) > scores[member[t]]
+
+
+@pytest.mark.parametrize("spread", [1, 2, 3, 16])
+def test_lm_class_bigrams_change_by_what_moved(spark, spread, monkeypatch):
+    rng = np.random.default_rng(6)
+    draw = lambda: " ".join(f"w{min(int(x), 60)}" for x in rng.zipf(1.3, 40))
+    texts = spark.createDataFrame([(draw(),) for _ in range(80)], "text string")
+    rows = brown_lm._word_counts(texts).collect()
+    types = brown_lm._Types(np.unique(np.array([r.word for r in rows if r.total >= 2], np.int64).view(np.uint64)))
+    n = types.count
+    bigrams = brown_lm._bigrams(texts, types, 80 * 41).cache()
+    member = np.append(rng.integers(0, 5, n - 1), 5).astype(np.int16)
+    grid = brown_lm._mapped(bigrams, member, 6)
+    for turn in range(min(spread, 3)):
+        own = np.flatnonzero((brown_lm._turns(np.arange(n), spread) == turn) & (np.arange(n) < n - 1))
+        moved = member.copy()
+        moved[own] = rng.integers(0, 5, len(own))
+        assert (brown_lm._shifted(bigrams, member, grid, moved, turn, spread) == brown_lm._mapped(bigrams, moved, 6)).all()
+        read = brown_lm._of_turn(bigrams, turn, spread)
+        if spread > 1 and 16 % spread == 0:
+            assert read.agg(F.sum("n")).first()[0] < 0.8 * bigrams.agg(F.sum("n")).first()[0]
